@@ -26,7 +26,6 @@ from .common import stage, table
 TOKENIZER = "byte_bpe_50k.json"
 SPECIAL = "<|endoftext|>"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
-_LOADED: dict[str, object] = {}
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -41,8 +40,11 @@ def encoder(path: str | None = None):
     A vocabulary that also comes as ranks beside its JSON is encoded by tiktoken, about four times
     faster with equal ids; texts that hold a special token's string always go to `tokenizers`.
     """
+    import sys
+
     path = path or tokenizer_path()
-    if path not in _LOADED:
+    loaded = sys.__dict__.setdefault("_corpusloom_encoders", {})  # outlives one task of a worker
+    if path not in loaded:
         import base64
         import os
 
@@ -66,8 +68,8 @@ def encoder(path: str | None = None):
                 return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
             return fast.encode_to_numpy(text, disallowed_special=())
 
-        _LOADED[path] = run
-    return _LOADED[path]
+        loaded[path] = run
+    return loaded[path]
 
 
 class Packer:

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, simhash
+from . import exact_dedup, html_extract, mixing, packing, simhash, toxicity, url_filter
 
 
 def queries():
     return {
         "op1_mixing": mixing.op1_mixing,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+        "op4_html_extract": html_extract.op4_html_extract,
         "op5_packing": packing.op5_packing,
+        "op6_toxicity": toxicity.op6_toxicity,
+        "op7_url_filter": url_filter.op7_url_filter,
         "op10_simhash": simhash.op10_simhash,
     }
 
 
 def oracle_sql():
-    return {"op1_mixing": mixing.OP1_SQL, "op3_exact_dedup": exact_dedup.OP3_SQL}
+    return {"op1_mixing": mixing.OP1_SQL, "op3_exact_dedup": exact_dedup.OP3_SQL, "op7_url_filter": url_filter.op7_sql()}
