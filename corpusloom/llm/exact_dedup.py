@@ -14,6 +14,7 @@ table gives an empty result. Other columns are ignored.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,7 +52,8 @@ class DigestIndex:
         self._write(filled.groupBy("memtable", "digest").agg(_best("doc_id", self.keep), F.count("*").alias("n")), "memtable")
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(*self.runs).select("digest", "best", "n")
+        runs = (self.spark.read.schema("digest binary, best long, n long").parquet(r) for r in self.runs)
+        return reduce(DataFrame.unionByName, runs)
 
     def compact(self) -> None:
         """Merge all runs into one: one row a digest, with the smallest identifier and the count."""
