@@ -240,6 +240,12 @@ def deduplicate_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFram
     return out.withColumn("text", F.when(F.col("__cl_no").isNull(), F.col("text")).otherwise(kept)).drop("__cl_key", "__cl_no")
 
 
+def rewritten_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows and columns of docs with the lines that stay; a column n_chars follows the text."""
+    out = deduplicate_lines(docs, threshold).select(*docs.columns)
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = deduplicate_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("__cl_lines").alias("n_lines"), F.col("__cl_gone").alias("n_removed"), "text")

@@ -105,11 +105,11 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the rows of docs, each as often as it is taken, whole documents only."""
     names = docs.columns
     take = select_mix(docs, cut=False, **options).where("copies > 0")
-    take = take.groupBy("doc_id", "th").agg(F.max("copies").alias("__cl_most"), F.min("copies").alias("__cl_least"), F.sum("copies").alias("__cl_all"), F.count("*").alias("__cl_rows"))
-    take = take.select(F.col("doc_id").alias("__cl_id"), F.col("th").alias("__cl_th"), "__cl_most", "__cl_all", "__cl_rows")
+    take = take.groupBy("doc_id", "th").agg(F.max("copies").alias("__cl_n"))
+    take = take.select(F.col("doc_id").alias("__cl_id"), F.col("th").alias("__cl_th"), "__cl_n")
     out = docs.withColumn("__cl_hash", F.xxhash64("text"))
     out = out.join(take, out.doc_id.eqNullSafe(take["__cl_id"]) & (out["__cl_hash"] == take["__cl_th"]))
-    return out.withColumn("__cl_copy", F.explode(F.sequence(F.lit(1), F.col("__cl_most")))).select(*names)
+    return out.withColumn("__cl_copy", F.explode(F.sequence(F.lit(1), F.col("__cl_n")))).select(*names)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_extract, line_dedup, mixing, packing, simhash, toxicity, url_filter
+from . import exact_dedup, html_extract, line_dedup, mixing, packing, simhash, suffix_dedup, toxicity, url_filter
 
 
 def queries():
@@ -13,6 +13,7 @@ def queries():
         "op5_packing": packing.op5_packing,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_url_filter": url_filter.op7_url_filter,
+        "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_simhash": simhash.op10_simhash,
     }
