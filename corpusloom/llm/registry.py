@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_extract, line_dedup, mixing, packing, simhash, suffix_dedup, toxicity, url_filter
+from . import chroma, exact_dedup, html_extract, line_dedup, mixing, packing, simhash, suffix_dedup, toxicity, url_filter
 
 
 def queries():
     return {
         "op1_mixing": mixing.op1_mixing,
+        "op2_chroma": chroma.op2_chroma,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op4_html_extract": html_extract.op4_html_extract,
         "op5_packing": packing.op5_packing,
