@@ -1,6 +1,21 @@
+"""All queries of the engine and their oracle SQL."""
+
+from __future__ import annotations
+
+from . import curation, grading, records, rollouts, traces
+
+MODULES = (curation, grading, traces, records, rollouts)
+
+
 def queries():
-    return {}
+    out = {}
+    for m in MODULES:
+        out |= m.QUERIES
+    return out
 
 
 def oracle_sql():
-    return {}
+    out = {}
+    for m in MODULES:
+        out |= m.SQL
+    return out
