@@ -19,7 +19,19 @@ CONTEXT_MARKERS = (*HELP, *REVIEW, *NOTICE)
 CONTROL_MARKER = r"(?i)</?(?:ASK|VERIFY|ACCEPT|TEACHER_HELP|TEACHER_REVIEW|ENVIRONMENT_NOTICE)>"
 
 # fixed values: sample types with their weights, in order
-SAMPLE_TYPES = ("normal", "ask_help", "verify_confirm", "verify_accept_correction", "verify_reject_bad_feedback", "verify_uncertain")
+SAMPLE_WEIGHTS = {
+    "normal": 0.45,
+    "ask_help": 0.15,
+    "verify_confirm": 0.10,
+    "verify_accept_correction": 0.15,
+    "verify_reject_bad_feedback": 0.10,
+    "verify_uncertain": 0.05,
+}
+SAMPLE_TYPES = tuple(SAMPLE_WEIGHTS)
+
+# fixed values: token budgets that requests ask for
+ASK_BUDGETS = (32, 64, 96, 128)
+VERIFY_BUDGETS = (64, 96, 128)
 
 # fixed values: difficulty bins, easiest last
 DIFFICULTY_BINS = ("0", "(0,0.25]", "(0.25,0.5]", "(0.5,0.75]", "(0.75,1)", "1")
