@@ -273,3 +273,43 @@ def adaptive_kl(observed: Column, start: float, target: float, horizon: float, s
     """The coefficient after a sequence of observed divergences: each moves it by a clipped relative error."""
     pairs = F.arrays_zip(observed.alias("d"), steps.alias("n"))
     return F.aggregate(pairs, _d(start), lambda c, x: c * (1 + F.greatest(_d(-0.2), F.least(_d(0.2), x["d"] / target - 1)) * x["n"] / horizon))
+
+
+def rank_stats(rows: DataFrame, group: str, rank: str, hits: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
+    """Per group: hit counts, least, most, and the upper median (the element at n // 2 of the sorted ranks).
+
+    The median is found from counts of distinct ranks, so that no group is gathered.
+    """
+    n = rows.groupBy(group, rank).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(W.partitionBy(group).orderBy(rank))
+    total = F.sum("n").over(W.partitionBy(group))
+    n = n.withColumn("upto", upto).withColumn("total", total)
+    median = F.min(F.when(F.col("upto") > F.floor(F.col("total") / 2), F.col(rank)))
+    counts = [F.sum(F.when(F.col(rank) <= h, F.col("n")).otherwise(0)).alias(f"hits_{h}") for h in hits]
+    return n.groupBy(group).agg(*counts, F.min(rank).alias("least"), median.alias("median"), F.max(rank).alias("most"))
+
+
+def first_per_action(rows: DataFrame, action: str, order: str, k: int, needed: list[str]) -> DataFrame:
+    """The first k rows of each action; an action without rows is an error."""
+    have = {r[0] for r in rows.select(action).where(F.col(action).isin(needed)).distinct().collect()}  # at most the needed names
+    lack = sorted(set(needed) - have)
+    if lack:
+        raise ValueError(f"no rows for {lack}")
+    w = W.partitionBy(action).orderBy(order)
+    return rows.where(F.col(action).isin(needed)).withColumn("k", F.row_number().over(w)).where(F.col("k") <= k)
+
+
+def refill(batches, group: str, score: str, low: float, high: float, size: int, most_tries: int, order: str) -> DataFrame:
+    """Rows of well-mixed groups from successive batches until `size` are there, cut to it by order.
+
+    batches: an iterator of DataFrames; running out of tries before the batch is full is an error.
+    """
+    kept = None
+    for n, batch in enumerate(batches):
+        if n >= most_tries:
+            break
+        good = group_filter(batch, group, score, low, high)
+        kept = good if kept is None else kept.unionByName(good)
+        if kept.count() >= size:
+            return kept.orderBy(order).limit(size)
+    raise RuntimeError(f"not enough groups between {low} and {high} in {most_tries} tries")

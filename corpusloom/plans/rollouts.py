@@ -284,3 +284,51 @@ def f21(spark, sf):
     event = F.struct(F.lit("verify").alias("action"), F.lit(None).cast("string").alias("error"), (n % 2 == 0).alias("accepted"), F.lit("draft \\boxed{7}").alias("student_before_feedback"), F.lit("Verdict: correct").alias("teacher_context_text"))
     rows = d.select("doc_id", F.concat(F.lit("\\boxed{"), final, F.lit("}")).alias("response"), F.lit("7").alias("ground_truth"), F.array(event).alias("events"), F.col("n_chars").alias("teacher_tokens_used"), *[F.lit(0).alias(c) for c in ("ask_count", "verify_count", "invalid_accept_count", "invalid_protocol_count", "denied_action_count")])
     return R.interaction_score(rows).select("doc_id", "accuracy", "teacher_token_ratio", "unsupported_accept_count", "overall")
+
+
+@query("a18_rank_stats", """
+SELECT o_orderpriority AS grp, count(*) FILTER (o_custkey <= 1)::BIGINT AS hits_1, count(*) FILTER (o_custkey <= 100)::BIGINT AS hits_100, min(o_custkey) AS least,
+       list_sort(list(o_custkey))[count(*) // 2 + 1] AS median, max(o_custkey) AS most FROM orders GROUP BY 1""")
+def a18(spark, sf):
+    rows = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("grp"), F.col("o_custkey").alias("r"))
+    return O.rank_stats(rows, "grp", "r", (1, 100))
+
+
+@query("w18_first_per_action", "SELECT event_type, event_id, k FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id)::INT AS k FROM events WHERE event_type IN ('view', 'click')) WHERE k <= 20")
+def w18(spark, sf):
+    return O.first_per_action(table(spark, sf, "events"), "event_type", "event_id", 20, ["view", "click"]).select("event_type", "event_id", "k")
+
+
+@query("m10_refill", """
+WITH b AS (SELECT o_custkey, o_orderkey, (o_orderstatus = 'F')::INT::DOUBLE AS score, o_custkey % 4 AS batch FROM orders),
+g AS (SELECT o_custkey FROM b GROUP BY 1 HAVING avg(score) > 0.3 AND avg(score) < 0.6),
+c AS (SELECT b.*, (SELECT count(*) FROM b x JOIN g USING (o_custkey) WHERE x.batch < b.batch) AS before FROM b JOIN g USING (o_custkey))
+SELECT o_custkey, o_orderkey FROM c WHERE before < 3000 ORDER BY o_orderkey LIMIT 3000""")
+def m10(spark, sf):
+    """Batches of customers until 3000 rows of well-mixed ones are there."""
+    b = table(spark, sf, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderstatus") == "F").cast("double").alias("score"))
+    parts = (b.where(F.col("o_custkey") % 4 == k) for k in range(4))
+    return O.refill(parts, "o_custkey", "score", 0.3, 0.6, 3000, 4, "o_orderkey").select("o_custkey", "o_orderkey")
+
+
+@query("f36_overrides", "SELECT s_suppkey, (s_acctbal + 1)::VARCHAR AS a, 'base' AS b, 'new' AS c FROM supplier")
+def f36(spark, sf):
+    from ..functions.config import merged
+
+    s = table(spark, sf, "supplier")
+    base = F.create_map(F.lit("a"), F.lit("0"), F.lit("b"), F.lit("base"))
+    m = merged(base, F.create_map(F.lit("a"), F.lit("1"), F.lit("c"), F.lit("old")), F.create_map(F.lit("a"), (F.col("s_acctbal") + 1).cast("string"), F.lit("c"), F.lit("new")))
+    return s.select("s_suppkey", m["a"].alias("a"), m["b"].alias("b"), m["c"].alias("c"))
+
+
+@query("p13_templates", "SELECT doc_id, 'Q: ' || trim(left(text, 50)) || chr(10) || 'lang=' || lang || '!' AS prompt FROM documents")
+def p13(spark, sf):
+    from ..functions.config import template
+
+    return table(spark, sf, "documents").withColumn("head", F.left("text", F.lit(50))).select("doc_id", template("Q: {{ head | trim }}\nlang={{ lang }}!").alias("prompt"))
+
+
+@query("p9_token_filter", "SELECT doc_id FROM documents WHERE len(regexp_extract_all(text, '[^\\s]+')) <= 200")
+def p9(spark, sf):
+    """Over-long prompts go; the tokenizer's stand-in counts words."""
+    return table(spark, sf, "documents").where(F.regexp_count("text", F.lit(r"[^\s]+")) <= 200).select("doc_id")

@@ -278,3 +278,35 @@ def f27(spark, sf):
     tokens = F.expr("transform(sequence(0, 11), i -> named_struct('id', doc_id + i, 'start', i * 5, 'end', i * 5 + 5))")
     spans = F.expr("array(named_struct('start', 10, 'end', 25), named_struct('start', 40, 'end', 55))")
     return table(spark, sf, "documents").select("doc_id", P.token_labels(tokens, spans).alias("labels"))
+
+
+# -- dialogues with stub models ------------------------------------------------------------------------
+
+
+@query("m3_dialogues", """
+WITH d AS (SELECT item_id AS id, length(text) % 2 = 1 AS asks FROM benchmark)
+SELECT id, asks::BIGINT AS ask_count, 1::BIGINT AS verify_count, 1::BIGINT AS accept_count, 0::BIGINT AS denied_action_count, (CASE WHEN asks THEN 11 ELSE 0 END + 29)::BIGINT AS teacher_tokens_used,
+       (CASE WHEN asks THEN 5 ELSE 3 END)::INT AS n_segments, 0::INT AS n_errors FROM d""")
+def m3(spark, sf):
+    """The turn loop with deterministic models; its segments pass the validator."""
+    from ..operators import dialogues as D
+
+    rows = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("prompt"))
+    out = D.run_dialogues(rows, D.stub_student, D.stub_teacher, D.Rules(tokens=len))
+    first = F.array(F.struct(F.lit("user").alias("source"), F.lit("q").alias("text"), F.lit(False).alias("loss")))
+    errors = F.size(P.segment_errors(F.concat(first, "segments")))
+    return out.select("id", "ask_count", "verify_count", "accept_count", "denied_action_count", "teacher_tokens_used", F.size("segments").alias("n_segments"), errors.alias("n_errors"))
+
+
+@query("m5_relay")
+def m5(spark, sf):
+    from ..operators import dialogues as D
+
+    def student(prompts, limits):
+        return ["done" if "help" in p[-8:] else "please <call>4</call>" for p in prompts]
+
+    def teacher(prompts, limits):
+        return [{"text": "help!"[:n]} for n in limits]
+
+    rows = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("prompt"))
+    return D.run_dialogues(rows, student, teacher, D.Rules(), D.relay).select("id", "response", "ask_count", "teacher_tokens_used", "status")
