@@ -303,12 +303,12 @@ def w18(spark, sf):
 WITH b AS (SELECT o_custkey, o_orderkey, (o_orderstatus = 'F')::INT::DOUBLE AS score, o_custkey % 4 AS batch FROM orders),
 g AS (SELECT o_custkey FROM b GROUP BY 1 HAVING avg(score) > 0.3 AND avg(score) < 0.6),
 c AS (SELECT b.*, (SELECT count(*) FROM b x JOIN g USING (o_custkey) WHERE x.batch < b.batch) AS before FROM b JOIN g USING (o_custkey))
-SELECT o_custkey, o_orderkey FROM c WHERE before < 3000 ORDER BY o_orderkey LIMIT 3000""")
+SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS k FROM c WHERE before < (SELECT count(*) // 5 FROM orders)) WHERE k <= (SELECT count(*) // 5 FROM orders)""")
 def m10(spark, sf):
-    """Batches of customers until 3000 rows of well-mixed ones are there."""
+    """Batches of customers until rows of well-mixed ones are a fifth of all."""
     b = table(spark, sf, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderstatus") == "F").cast("double").alias("score"))
     parts = (b.where(F.col("o_custkey") % 4 == k) for k in range(4))
-    return O.refill(parts, "o_custkey", "score", 0.3, 0.6, 3000, 4, "o_orderkey").select("o_custkey", "o_orderkey")
+    return O.refill(parts, "o_custkey", "score", 0.3, 0.6, b.count() // 5, 4, "o_orderkey").select("o_custkey", "o_orderkey")
 
 
 @query("f36_overrides", "SELECT s_suppkey, (s_acctbal + 1)::VARCHAR AS a, 'base' AS b, 'new' AS c FROM supplier")

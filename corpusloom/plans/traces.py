@@ -152,7 +152,7 @@ def w1(spark, sf):
 @query("w15_replay_mix", f"""
 WITH {TRACES}, p AS (SELECT ord AS id FROM traces WHERE collection_mode = 'policy'), r AS (SELECT ord AS id FROM traces WHERE collection_mode = 'independent')
 SELECT id, 'protocol' AS origin FROM p UNION ALL
-SELECT id, 'replay' FROM (SELECT id, row_number() OVER (ORDER BY sha256('3:' || id::VARCHAR), id) AS k FROM r) WHERE k <= (SELECT (count(*) * 0.2 / 0.8)::INT FROM p)""")
+SELECT id, 'replay' FROM (SELECT id, row_number() OVER (ORDER BY sha256('3:' || id::VARCHAR), id) AS k FROM r) WHERE k <= (SELECT floor(count(*) * 0.2 / (1 - 0.2))::BIGINT FROM p)""")
 def w15(spark, sf):
     t = traces(spark, sf)
     return T.replay_mix(t.where("collection_mode = 'policy'").selectExpr("ord AS id"), t.where("collection_mode = 'independent'").selectExpr("ord AS id"), 0.2, 3)
