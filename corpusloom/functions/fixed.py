@@ -18,6 +18,11 @@ NOTICE = ("<ENVIRONMENT_NOTICE>", "</ENVIRONMENT_NOTICE>")
 CONTEXT_MARKERS = (*HELP, *REVIEW, *NOTICE)
 CONTROL_MARKER = r"(?i)</?(?:ASK|VERIFY|ACCEPT|TEACHER_HELP|TEACHER_REVIEW|ENVIRONMENT_NOTICE)>"
 
+# fixed values: policies of traces and the reason that names the first
+INTERACTION_POLICY = "hsp"
+RELAY_POLICY = "relay_call"
+OTHER_POLICY_REASON = "non_hsp"
+
 # fixed values: sample types with their weights, in order
 SAMPLE_WEIGHTS = {
     "normal": 0.45,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as X
-from ..functions.fixed import CONTEXT_MARKERS
+from ..functions.fixed import CONTEXT_MARKERS, INTERACTION_POLICY, OTHER_POLICY_REASON
 from .protocol import segment_errors
 
 COUNTERS = ("ask_count", "verify_count", "accept_count", "invalid_accept_count", "invalid_protocol_count", "denied_action_count")
@@ -19,6 +19,10 @@ def _n(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(0))
 
 
+def _interactive(traces: DataFrame) -> DataFrame:
+    return traces.where(F.col("interaction_policy") == INTERACTION_POLICY)
+
+
 def utility(budget: float = 192.0, cost: float = 0.15, invalid: float = 0.1, denied: float = 0.05) -> Column:
     """Score less the costs of teacher tokens, invalid accepts and denied actions."""
     if budget <= 0:
@@ -63,7 +67,7 @@ def replay_reject_reason(min_score: float = 1.0, max_tokens: int | None = None,
     spoken = F.array_join(F.transform(F.filter(seg, lambda s: lossy(s) & (s["source"] == "student")), lambda s: s["text"]), "")
     counts_differ = reduce(lambda a, b: a | b, [X.occurrences(spoken, t) != _n(c) for t, c in (("<ASK>", "ask_count"), ("<VERIFY>", "verify_count"), ("<ACCEPT>", "accept_count"))])
     rules = [
-        (~F.col("interaction_policy").eqNullSafe(F.lit("hsp")), F.lit("non_hsp")),
+        (~F.col("interaction_policy").eqNullSafe(F.lit(INTERACTION_POLICY)), F.lit(OTHER_POLICY_REASON)),
         (F.lit(train_only) & ~F.col("data_role").eqNullSafe(F.lit("train")), F.lit("non_train_provenance")),
         (F.coalesce("collection_error", F.lit("")) != "", F.lit("collection_error")),
         (_n("invalid_protocol_count") > 0, F.lit("forged_environment_marker")),
@@ -109,9 +113,9 @@ def dense_index(keys: DataFrame, key: str, name: str) -> DataFrame:
 
 def run_summary(traces: DataFrame) -> DataFrame:
     """One row: examples, mean score, tokens, action totals and rates, event errors and truncations."""
-    hsp = traces.where("interaction_policy = 'hsp'")
+    own = _interactive(traces)
     events = lambda test: F.sum(F.coalesce(F.size(F.filter("events", lambda e: F.coalesce(test(e), F.lit(False)))), F.lit(0)))
-    return hsp.agg(
+    return own.agg(
         F.count("*").alias("examples"),
         F.avg(F.coalesce("score", F.lit(0.0))).alias("mean_score"),
         F.sum(_n("teacher_tokens_used")).alias("teacher_tokens_total"),
@@ -135,7 +139,7 @@ GROUPS = {
 
 def subset_metrics(traces: DataFrame) -> DataFrame:
     """Six overlapping groups in one pass: count, fraction, mean score, mean tokens."""
-    hsp = traces.where("interaction_policy = 'hsp'")
+    own = _interactive(traces)
     parts = []
     for name, test in GROUPS.items():
         p = F.expr(test)
@@ -143,13 +147,13 @@ def subset_metrics(traces: DataFrame) -> DataFrame:
             F.lit(name).alias("grp"), F.count_if(p).alias("n"), (F.count_if(p) / F.count("*")).alias("fraction"),
             F.avg(F.when(p, F.coalesce("score", F.lit(0.0)))).alias("mean_score"), F.avg(F.when(p, _n("teacher_tokens_used"))).alias("mean_tokens"),
         ))
-    return hsp.agg(F.array(*parts).alias("g")).select(F.inline("g"))
+    return own.agg(F.array(*parts).alias("g")).select(F.inline("g"))
 
 
 def paired_comparison(traces: DataFrame, budget: float = 192.0, cost: float = 0.15, key: str = "question", base: str = "independent") -> DataFrame:
     """Each mode against the independent run on equal (question, sample_index), by means of each key first."""
     u = F.coalesce("score", F.lit(0.0)) - cost * _n("teacher_tokens_used") / budget
-    by = traces.where("interaction_policy = 'hsp'").groupBy(key, "sample_index", "collection_mode").agg(
+    by = _interactive(traces).groupBy(key, "sample_index", "collection_mode").agg(
         F.avg(F.coalesce("score", F.lit(0.0))).alias("s"), F.avg(u).alias("u"), F.bool_or(_n("ask_count") + _n("verify_count") > 0).alias("acts")
     )
     left = by.where(F.col("collection_mode") == base).select(key, "sample_index", F.col("s").alias("s0"), F.col("u").alias("u0"))
@@ -165,7 +169,7 @@ def paired_comparison(traces: DataFrame, budget: float = 192.0, cost: float = 0.
 
 def verify_trust(traces: DataFrame) -> DataFrame:
     """Counts over verify events: reviews, explicit accepts, implicit adoptions."""
-    e = traces.where("interaction_policy = 'hsp'").select(F.explode("events").alias("e")).where("e.action = 'verify'")
+    e = _interactive(traces).select(F.explode("events").alias("e")).where("e.action = 'verify'")
     yes = lambda f: F.count_if(F.coalesce(F.col(f"e.{f}"), F.lit(False)))
     return e.agg(F.count("*").alias("review_events"), yes("accepted").alias("explicit_accepts"), yes("implicit_adoption_without_accept").alias("implicit_adoptions"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.fixed import INTERACTION_POLICY, OTHER_POLICY_REASON, RELAY_POLICY
 from ..operators import protocol as P
 from ..operators import traces as T
 from .base import Registry, table
@@ -15,7 +16,7 @@ QUERIES, SQL = query.queries, query.sql
 #: One trace an event. Both engines read these expressions; {..} differ between them.
 FIELDS = """
   event_id AS ord, concat('q', user_id % 40) AS question, CAST(event_id % 3 AS INT) AS sample_index, {k} AS k,
-  CASE WHEN event_type = 'error' AND {k} < 20 THEN 'relay_call' ELSE 'hsp' END AS interaction_policy,
+  CASE WHEN event_type = 'error' AND {k} < 20 THEN '{relay}' ELSE '{own}' END AS interaction_policy,
   CASE event_type WHEN 'view' THEN 'independent' WHEN 'purchase' THEN 'force_ask_first' WHEN 'signup' THEN 'force_verify_after_draft' ELSE 'policy' END AS collection_mode,
   CASE WHEN {k} < 85 THEN 'train' ELSE 'eval' END AS data_role,
   CASE WHEN {k} = 13 THEN 'timeout' END AS collection_error,
@@ -28,6 +29,7 @@ FIELDS = """
   CASE WHEN {k} = 11 THEN 1 ELSE 0 END AS invalid_protocol_count,
   CASE WHEN {k} % 10 = 9 THEN 1 ELSE 0 END AS denied_action_count"""
 
+FIELDS = FIELDS.replace("{relay}", RELAY_POLICY).replace("{own}", INTERACTION_POLICY)
 BASE = "base AS (SELECT {} FROM events)".format(FIELDS.replace("{k}", "CAST(props::JSON->>'k' AS INT)"))
 
 EVENT = """struct_pack(action := {a}, error := CASE WHEN k = 17 THEN 'http' END, accepted := {acc}, feedback_truncated := k % 8 = 3,
@@ -89,7 +91,7 @@ COUNTERS = T.COUNTERS
 
 
 @query("a5_run_summary", f"""
-WITH {TRACES}, h AS (SELECT * FROM traces WHERE interaction_policy = 'hsp')
+WITH {TRACES}, h AS (SELECT * FROM traces WHERE interaction_policy = '{INTERACTION_POLICY}')
 SELECT count(*) AS examples, avg(coalesce(score, 0.0))::DOUBLE AS mean_score, sum(teacher_tokens_used)::BIGINT AS teacher_tokens_total, avg(teacher_tokens_used) AS teacher_tokens_mean,
 {', '.join(f'sum({c})::BIGINT AS {c}_total, sum({c}) / count(*) AS {c}_rate' for c in COUNTERS)},
 sum(len(list_filter(events, lambda e: coalesce(e.error <> '', false))))::BIGINT AS event_error_count,
@@ -98,7 +100,7 @@ def a5(spark, sf):
     return T.run_summary(traces(spark, sf))
 
 
-@query("a6_subset_metrics", f"WITH {TRACES}, h AS (SELECT *, coalesce(score, 0.0)::DOUBLE AS s FROM traces WHERE interaction_policy = 'hsp')\n" + " UNION ALL ".join(
+@query("a6_subset_metrics", f"WITH {TRACES}, h AS (SELECT *, coalesce(score, 0.0)::DOUBLE AS s FROM traces WHERE interaction_policy = '{INTERACTION_POLICY}')\n" + " UNION ALL ".join(
     f"SELECT '{g}' AS grp, count(*) FILTER ({t}) AS n, count(*) FILTER ({t}) / count(*) AS fraction, avg(s) FILTER ({t}) AS mean_score, avg(teacher_tokens_used) FILTER ({t}) AS mean_tokens FROM h"
     for g, t in T.GROUPS.items()))
 def a6(spark, sf):
@@ -106,7 +108,7 @@ def a6(spark, sf):
 
 
 @query("a7_verify_trust", f"""
-WITH {TRACES}, e AS (SELECT unnest(events) AS e FROM traces WHERE interaction_policy = 'hsp')
+WITH {TRACES}, e AS (SELECT unnest(events) AS e FROM traces WHERE interaction_policy = '{INTERACTION_POLICY}')
 SELECT count(*) AS review_events, count(*) FILTER (e.accepted) AS explicit_accepts, count(*) FILTER (e.implicit_adoption_without_accept) AS implicit_adoptions FROM e WHERE e.action = 'verify'""")
 def a7(spark, sf):
     return T.verify_trust(traces(spark, sf))
@@ -114,7 +116,7 @@ def a7(spark, sf):
 
 @query("j4_paired_comparison", f"""
 WITH {TRACES}, b AS (SELECT question, sample_index, collection_mode, avg(coalesce(score, 0.0))::DOUBLE AS s, avg(coalesce(score, 0.0)::DOUBLE - 0.15 * teacher_tokens_used / 192.0) AS u,
- bool_or(ask_count + verify_count > 0) AS acts FROM traces WHERE interaction_policy = 'hsp' GROUP BY ALL)
+ bool_or(ask_count + verify_count > 0) AS acts FROM traces WHERE interaction_policy = '{INTERACTION_POLICY}' GROUP BY ALL)
 SELECT m.collection_mode, count(*) AS paired_examples, avg(m.s - i.s) AS mean_score_delta, avg(m.u - i.u) AS mean_utility_delta,
  count(*) FILTER (i.s <= 0 AND m.s > 0) AS rescued_failures, count(*) FILTER (i.s > 0 AND m.acts) AS interactions_on_independent_successes
 FROM b m JOIN b i ON m.question = i.question AND m.sample_index = i.sample_index AND i.collection_mode = 'independent' AND m.collection_mode <> 'independent' GROUP BY 1""")
@@ -126,7 +128,7 @@ UTILITY = "coalesce(score, 0.0)::DOUBLE - 0.15 * (teacher_tokens_used / 192.0) -
 KIND = """CASE WHEN ask_count = 0 AND verify_count = 0 THEN 'independent_success' WHEN ask_count > 0 AND verify_count > 0 THEN 'mixed_interaction_success'
  WHEN ask_count > 0 THEN 'ask_success' WHEN accept_count > 0 THEN 'verify_accept_success' ELSE 'verify_without_accept_success' END"""
 #: Each trace has one verify event at most, so that its rules can be written out.
-REASON = """CASE WHEN interaction_policy <> 'hsp' THEN 'non_hsp' WHEN data_role <> 'train' THEN 'non_train_provenance' WHEN collection_error IS NOT NULL THEN 'collection_error'
+REASON = f"""CASE WHEN interaction_policy <> '{INTERACTION_POLICY}' THEN '{OTHER_POLICY_REASON}' WHEN data_role <> 'train' THEN 'non_train_provenance' WHEN collection_error IS NOT NULL THEN 'collection_error'
  WHEN invalid_protocol_count > 0 THEN 'forged_environment_marker' WHEN coalesce(score, 0) < 1 THEN 'below_min_score' WHEN teacher_tokens_used > 150 THEN 'above_teacher_token_limit'
  WHEN invalid_accept_count > 0 OR denied_action_count > 0 THEN 'invalid_action' WHEN k = 17 AND len(events) > 0 THEN 'event_error'
  WHEN verify_count = 1 AND accept_count = 0 AND k % 12 = 4 THEN 'implicit_adoption_without_accept'
