@@ -74,3 +74,19 @@ def template(text: str) -> Column:
         col = F.col(value[0].strip()).cast("string")
         parts += [F.lit(before), F.trim(col) if "trim" in (v.strip() for v in value[1:]) else col]
     return F.concat(*parts, F.lit(rest))
+
+
+def read_yaml(path: str) -> dict:
+    """A YAML file whose top is a mapping."""
+    import yaml
+
+    with open(path, encoding="utf-8") as f:
+        tree = yaml.safe_load(f)
+    if not isinstance(tree, dict):
+        raise ValueError(f"{path} holds no mapping")
+    return tree
+
+
+def shared_slots(a: Column, b: Column) -> Column:
+    """Slots that two jobs would both use, sorted."""
+    return F.array_sort(F.array_intersect(a, b))

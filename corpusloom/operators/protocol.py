@@ -204,3 +204,27 @@ def probe_prefix(segments: Column, token: str) -> Column:
         return F.when(a["found"], a).otherwise(F.struct(F.concat(a["text"], part).alias("text"), hit.alias("found")))
 
     return F.aggregate(segments, zero, step, lambda a: F.when(a["found"], a["text"]))
+
+
+def trainable_after_cut(rows: DataFrame, labels: str, most: int) -> DataFrame:
+    """Rows that keep a trained token within the first `most`."""
+    return rows.where(F.exists(F.slice(labels, 1, most), lambda t: t != -100))
+
+
+def policy_mask(length: Column, foreign: Column) -> Column:
+    """1 for each of `length` tokens but those within a foreign [start, end) span."""
+    at = F.when(length > 0, F.sequence(F.lit(0), (length - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.when(F.exists(foreign, lambda s: (i >= s["start"]) & (i < s["end"])), 0).otherwise(1))
+
+
+def split_tokens(tokens: DataFrame, unknown: int) -> DataFrame:
+    """(token, ids) rows of control tokens that a tokenizer does not know as one id of their own."""
+    return tokens.where((F.size("ids") != 1) | (F.get("ids", F.lit(0)) == unknown))
+
+
+def smoke_report(traces: DataFrame, action: str, least_tokens: int = 1) -> DataFrame:
+    """One row: rollouts, how many took the action, spent tokens, kept the protocol; ok if all did."""
+    taken, spent = F.col(f"{action}_count") > 0, F.col("teacher_tokens_used") >= least_tokens
+    clean = (F.size(segment_errors(F.col("segments"))) == 0) & F.coalesce(F.col("collection_error") == "", F.lit(True))
+    out = traces.agg(F.count("*").alias("rollouts"), F.count_if(taken).alias("took_action"), F.count_if(spent).alias("spent_tokens"), F.count_if(clean).alias("clean"))
+    return out.withColumn("ok", (F.col("rollouts") > 0) & (F.least("took_action", "spent_tokens", "clean") == F.col("rollouts")))

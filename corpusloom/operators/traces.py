@@ -188,19 +188,21 @@ def replay_mix(protocol: DataFrame, replay: DataFrame, fraction: float, seed, id
 def annotate_review(events: Column, gold: Column, final: Column, boxed=X.last_boxed_flat) -> Column:
     """events with tentative, feedback and final correctness, and adoption without an accept.
 
-    A feedback without a boxed answer is right if its verdict agrees with the tentative answer; no verdict: null.
+    A feedback without a boxed answer is right if its verdict agrees with the tentative answer; without a
+    verdict or a tentative answer that stays null. Events that are no reviews, or failed, stay as they are.
     """
     same = lambda a, b: F.when(a.isNotNull(), X.normalize_answer(a) == X.normalize_answer(b))
+    yes = lambda x: F.coalesce(x, F.lit(False))
 
     def one(e: Column) -> Column:
         tentative, proposed = boxed(e["student_before_feedback"]), boxed(e["teacher_context_text"])
         t, p = same(tentative, gold), same(proposed, gold)
         said = F.lower(e["teacher_context_text"])
-        verdict = F.when(F.contains(said, F.lit("verdict: correct")), F.coalesce(t, F.lit(False))).when(F.contains(said, F.lit("verdict: incorrect")), ~F.coalesce(t, F.lit(False)))
-        review = (e["action"] == "verify") & F.coalesce(e["error"] == "", F.lit(True))
-        adopted = ~F.coalesce(e["accepted"], F.lit(False)) & F.coalesce(same(boxed(final), proposed), F.lit(False)) & ~F.coalesce(same(tentative, proposed), F.lit(False))
-        e = e.withField("tentative_answer_correct", t).withField("feedback_answer_correct", p)
-        e = e.withField("feedback_is_correct", F.when(review, F.coalesce(p, verdict)))
-        return e.withField("implicit_adoption_without_accept", adopted)
+        verdict = F.when(F.contains(said, F.lit("verdict: correct")), t).when(F.contains(said, F.lit("verdict: incorrect")), ~t)
+        review = (e["action"] == "verify") & (F.coalesce(e["error"], F.lit("")) == "")
+        adopted = ~yes(e["accepted"]) & yes(same(boxed(final), proposed)) & ~yes(same(tentative, proposed))
+        for name, value in (("tentative_answer_correct", t), ("feedback_answer_correct", p), ("feedback_is_correct", F.coalesce(p, verdict)), ("implicit_adoption_without_accept", adopted)):
+            e = e.withField(name, F.when(review, value).otherwise(e[name]))
+        return e
 
     return F.transform(events, one)

@@ -312,3 +312,44 @@ def m5(spark, sf):
 
     rows = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("prompt"))
     return D.run_dialogues(rows, student, teacher, D.Rules(), D.relay).select("id", "response", "ask_count", "teacher_tokens_used", "status")
+
+
+@query("f24_annotate_review", """
+WITH d AS (SELECT doc_id, doc_id % 3 AS t, doc_id % 4 AS p, doc_id % 2 = 0 AS acc, doc_id % 5 AS f FROM documents)
+SELECT doc_id, CASE WHEN t = 2 THEN NULL ELSE t = 0 END AS tentative_answer_correct, CASE WHEN p >= 2 THEN NULL ELSE p = 0 END AS feedback_answer_correct,
+ CASE WHEN p < 2 THEN p = 0 WHEN t = 2 THEN NULL WHEN p = 2 THEN t = 0 ELSE t <> 0 END AS feedback_is_correct,
+ NOT acc AND p < 2 AND f < 2 AND f = p AND NOT (t < 2 AND t = p) AS implicit_adoption_without_accept FROM d""")
+def f24(spark, sf):
+    """Tentative, proposed and final answers by doc_id; 7 is right, 8 is wrong."""
+    n = F.col("doc_id")
+    box = lambda k: F.when(k == 0, "\\boxed{7}").when(k == 1, "\\boxed{8}")
+    shown = F.coalesce(box(n % 4), F.when(n % 4 == 2, "Verdict: correct").otherwise("Verdict: incorrect"))
+    none = F.lit(None).cast("boolean")
+    event = F.struct(
+        F.lit("verify").alias("action"), F.lit(None).cast("string").alias("error"), (n % 2 == 0).alias("accepted"), F.coalesce(box(n % 3), F.lit("none yet")).alias("student_before_feedback"),
+        shown.alias("teacher_context_text"), *[none.alias(c) for c in ("tentative_answer_correct", "feedback_answer_correct", "feedback_is_correct", "implicit_adoption_without_accept")],
+    )
+    final = F.coalesce(box(n % 5), F.lit("no answer"))
+    e = T.annotate_review(F.array(event), F.lit("7"), final)[0]
+    cols = ("tentative_answer_correct", "feedback_answer_correct", "feedback_is_correct", "implicit_adoption_without_accept")
+    return table(spark, sf, "documents").select("doc_id", *[e[c].alias(c) for c in cols])
+
+
+@query("m9_policy_mask", """
+SELECT doc_id, list_transform(range(0, doc_id % 30), lambda i: CASE WHEN (i >= 3 AND i < 7) OR (i >= 20 AND i < 22) THEN 0 ELSE 1 END) AS mask FROM documents""")
+def m9(spark, sf):
+    spans = F.expr("array(named_struct('start', 3, 'end', 7), named_struct('start', 20, 'end', 22))")
+    return table(spark, sf, "documents").select("doc_id", P.policy_mask(F.col("doc_id") % 30, spans).alias("mask"))
+
+
+@query("m11_smoke_report", f"""
+WITH {TRACES}, s AS (SELECT * FROM traces WHERE collection_mode = 'force_ask_first')
+SELECT count(*) AS rollouts, count(*) FILTER (ask_count > 0) AS took_action, count(*) FILTER (teacher_tokens_used >= 1) AS spent_tokens, count(*) FILTER (k % 31 <> 5 AND collection_error IS NULL) AS clean, false AS ok FROM s""")
+def m11(spark, sf):
+    return P.smoke_report(traces(spark, sf).where("collection_mode = 'force_ask_first'"), "ask")
+
+
+@query("p10_trainable", "SELECT doc_id FROM documents WHERE doc_id % 6 < 4")
+def p10(spark, sf):
+    d = table(spark, sf, "documents").withColumn("labels", F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.when(i >= F.col("doc_id") % 6, i).otherwise(-100)))
+    return P.trainable_after_cut(d, "labels", 4).select("doc_id")

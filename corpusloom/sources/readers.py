@@ -123,3 +123,17 @@ for _name in ("amc", "aime24", "aime25", "minerva"):
     def _plain(spark, path):
         rows = read_jsonl(spark, path, "problem string, question string, answer string")
         return rows.select(F.coalesce("question", "problem").alias("question"), "answer")
+
+
+def read_committed(spark: SparkSession, path: str, schema: str, committed: int) -> DataFrame:
+    """The first `committed` rows of a JSON-lines file that a stopped job left; fewer are an error.
+
+    The rows are numbered by file order (one file is read in order of its splits).
+    """
+    from ..operators.batches import numbered
+
+    lines = spark.read.text(path).where(F.trim("value") != "").withColumn("at", F.monotonically_increasing_id())
+    rows = numbered(lines, ["at"]).where(F.col("ord") < committed)
+    if rows.count() < committed:
+        raise ValueError(f"{path} holds fewer rows than the {committed} committed ones")
+    return rows.select("ord", F.from_json("value", schema).alias("r")).select("ord", "r.*")

@@ -90,3 +90,24 @@ def test_streams_resume(spark):
     w, ws = scratch_path(spark, "w"), scratch_path(spark, "ws")
     ingest.drain(ingest.windowed_counts(stream(), "ts", "1 hour", "10 minutes", "action"), w, ws)
     assert sum(r["n"] for r in rows(spark.read.parquet(w))) == 5  # the last window is still open
+
+
+def test_committed_prefix(spark, tmp_path):
+    (tmp_path / "p.jsonl").write_text('{"a": 5}\n{"a": 6}\n\n{"a": 7}\n')
+    got = rows(readers.read_committed(spark, f"{tmp_path}/p.jsonl", "a long", 2))
+    assert [(r["ord"], r["a"]) for r in sorted(got, key=lambda r: r["ord"])] == [(0, 5), (1, 6)]
+    with pytest.raises(ValueError):
+        readers.read_committed(spark, f"{tmp_path}/p.jsonl", "a long", 9)
+
+
+def test_yaml_and_tokens(spark, tmp_path):
+    from corpusloom.functions.config import read_yaml
+    from corpusloom.operators.protocol import split_tokens
+
+    (tmp_path / "a.yaml").write_text("a:\n  b: 1\n")
+    assert read_yaml(f"{tmp_path}/a.yaml") == {"a": {"b": 1}}
+    (tmp_path / "b.yaml").write_text("- 1\n")
+    with pytest.raises(ValueError):
+        read_yaml(f"{tmp_path}/b.yaml")
+    t = spark.createDataFrame([("<ASK>", [7]), ("<X>", [1, 2]), ("<U>", [0])], "token string, ids array<int>")
+    assert sorted(r["token"] for r in rows(split_tokens(t, 0))) == ["<U>", "<X>"]
