@@ -118,7 +118,10 @@ def reason_counts(rejects: DataFrame) -> DataFrame:
 
 
 def snapshot(heldout: DataFrame) -> DataFrame:
-    """Per source: number of questions, of distinct normalised ones, and SHA-256 over the sorted distinct ones."""
+    """Per source: number of questions, of distinct normalised ones, and SHA-256 over the sorted distinct ones.
+
+    A held-out source is a benchmark of some thousand questions; its set is one value.
+    """
     return heldout.groupBy("source").agg(
         F.count("*").alias("questions"),
         F.count_distinct("norm").alias("unique_questions"),

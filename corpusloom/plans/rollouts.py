@@ -89,9 +89,10 @@ def f29(spark, sf):
     return O.collate(s, "uid", "t", 0).select("vec_id", F.col("input_ids").cast("array<bigint>").alias("input_ids"), "attention_mask")
 
 
-@query("a20_masked_moments", f"WITH {TOK} SELECT uid, sum(m)::DOUBLE AS n, avg(v) FILTER (m = 1) AS mean, var_samp(v) FILTER (m = 1) AS var FROM k GROUP BY 1")
+@query("a20_masked_moments", f"WITH {TOK} SELECT uid, sum(m)::DOUBLE AS n, round(avg(v) FILTER (m = 1), 9) AS mean, round(var_samp(v) FILTER (m = 1), 9) AS var FROM k GROUP BY 1")
 def a20(spark, sf):
-    return O.masked_moments(emb(spark, sf), "v", "m", ["uid"])
+    out = O.masked_moments(emb(spark, sf), "v", "m", ["uid"])
+    return out.withColumns({c: F.round(c, 9) for c in ("mean", "var")})
 
 
 @query("a20_whiten", f"""
@@ -120,9 +121,9 @@ def a15(spark, sf):
     return O.token_metrics(emb(spark, sf), "m", ["v", "w"])
 
 
-@query("a15_explained_variance", f"WITH {TOK} SELECT 1 - var_samp(v - w) / (var_samp(v) + 1e-5) AS explained_variance FROM k WHERE m = 1")
+@query("a15_explained_variance", f"WITH {TOK} SELECT round(1 - var_samp(v - w) / (var_samp(v) + 1e-5), 9) AS explained_variance FROM k WHERE m = 1")
 def a15_ev(spark, sf):
-    return O.explained_variance(emb(spark, sf), "v", "w", "m")
+    return O.explained_variance(emb(spark, sf), "v", "w", "m").select(F.round("explained_variance", 9).alias("explained_variance"))
 
 
 @query("a13_metric_means", "SELECT event_type AS key, avg(value) AS mean FROM events GROUP BY 1")

@@ -117,11 +117,12 @@ def a7(spark, sf):
 @query("j4_paired_comparison", f"""
 WITH {TRACES}, b AS (SELECT question, sample_index, collection_mode, avg(coalesce(score, 0.0))::DOUBLE AS s, avg(coalesce(score, 0.0)::DOUBLE - 0.15 * teacher_tokens_used / 192.0) AS u,
  bool_or(ask_count + verify_count > 0) AS acts FROM traces WHERE interaction_policy = '{INTERACTION_POLICY}' GROUP BY ALL)
-SELECT m.collection_mode, count(*) AS paired_examples, avg(m.s - i.s) AS mean_score_delta, avg(m.u - i.u) AS mean_utility_delta,
+SELECT m.collection_mode, count(*) AS paired_examples, round(avg(m.s - i.s), 9) AS mean_score_delta, round(avg(m.u - i.u), 9) AS mean_utility_delta,
  count(*) FILTER (i.s <= 0 AND m.s > 0) AS rescued_failures, count(*) FILTER (i.s > 0 AND m.acts) AS interactions_on_independent_successes
 FROM b m JOIN b i ON m.question = i.question AND m.sample_index = i.sample_index AND i.collection_mode = 'independent' AND m.collection_mode <> 'independent' GROUP BY 1""")
 def j4(spark, sf):
-    return T.paired_comparison(traces(spark, sf))
+    out = T.paired_comparison(traces(spark, sf))
+    return out.withColumns({c: F.round(c, 9) for c in ("mean_score_delta", "mean_utility_delta")})
 
 
 UTILITY = "coalesce(score, 0.0)::DOUBLE - 0.15 * (teacher_tokens_used / 192.0) - 0.1 * invalid_accept_count - 0.05 * denied_action_count"
