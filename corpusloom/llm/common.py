@@ -1,14 +1,14 @@
-"""Shared helpers: staging through the cluster's shared folder and connected components."""
+"""Shared helpers: words, A-Z case, connected components; staging comes from the core."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import Staged, shared_root, stage
+
+__all__ = ["UPPER", "WORD", "Staged", "ascii_lower", "connected_components", "shared_root", "stage", "table"]
+
 #: Python's bytes.split() and this class agree: ASCII space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -19,56 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_ROOTS: dict[str, str] = {}
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    A local session without that setting gets a temporary folder; a cluster session without it is an
-    error, since no machine-local folder would be visible to the others.
-    """
-    app = spark.sparkContext.applicationId
-    if app not in _ROOTS:
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if not base:
-            if not spark.sparkContext.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            base = tempfile.mkdtemp(prefix="corpusloom-")
-        _ROOTS[app] = f"{base.rstrip('/')}/corpusloom-{uuid.uuid4().hex}"
-        atexit.register(_delete, spark, _ROOTS[app])
-    return _ROOTS[app]
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        sc = spark.sparkContext
-        where = sc._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # noqa: BLE001  the session has ended; the folder's owner clears it
-        pass
-
-
-class Staged:
-    """A table written to the shared folder, so that a lost executor costs no recomputation."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-        self.df = spark.read.parquet(path)
-
-    def drop(self) -> None:
-        _delete(self.spark, self.path)
-
-
-def stage(df: DataFrame, name: str) -> Staged:
-    """Write df once as Parquet in the shared folder and read it back: this cuts the lineage."""
-    spark = df.sparkSession
-    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:8]}"
-    df.write.option("compression", "zstd").parquet(path)
-    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner remove the shuffle files behind it
-    return Staged(spark, path)
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. Pure ASCII texts take the faster built-in; the results are equal."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(
@@ -84,7 +34,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> Staged:
     adaptive execution may split at a hub. No group is gathered anywhere.
     """
     cur = stage(edges.select("u", "v").where("u <> v").distinct(), "edges")
-    before = None
     for _ in range(max_rounds):
         e = cur.df
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -95,12 +44,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> Staged:
         small = down.join(low, "u").select(F.col("v").alias("a"), F.col("u").alias("b"), "m")
         small = small.select(F.explode(F.array(F.col("a"), F.col("b"))).alias("u"), F.col("m").alias("v"))
         new = stage(small.where("u <> v").distinct(), "edges")
-        now = new.df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         cur.drop()
         cur = new
-        if before == (now.n, now.h):
+        # done when all edges are stars: one centre a node, and no centre hangs on another node
+        n, nodes = cur.df.agg(F.count("*"), F.count_distinct("u")).first()
+        if n == nodes and cur.df.join(cur.df.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             break
-        before = (now.n, now.h)
     else:
         raise RuntimeError("connected components did not settle")
     e = cur.df

@@ -3,11 +3,13 @@
 Lines are parted by \\n and compared without white space at their ends. Equal lines collapse first by an
 aggregation with map-side combine. Each distinct line then gets a MinHash signature over its character
 shingles (SHINGLE characters), and BANDS bands of ROWS values make it meet its candidates; at a similarity
-of 0.8 a pair misses all bands with probability under 3e-4. In a bucket a line meets the few most
-frequent lines (the centres), every candidate pair's exact Jaccard similarity is computed, and links of at
-least `threshold` form components. Where a large bucket then still holds several components, further
-centres follow, so that no pair of two components stays untested; never all pairs of a component. Of each
-component one occurrence stays, that with the smallest (doc_id, line number).
+of 0.8 a pair misses all bands with probability under 2e-3, at 0.85 under 2e-4. In a bucket every line meets
+the most frequent one (its centre), candidate pairs' exact Jaccard similarity is computed, and those of at
+least `threshold` link. Where lines of a larger bucket then do not hang on its centre, its lines are dealt
+to tasks by pairs of blocks of BLOCK lines, and each task tests the pairs that nothing links yet, first by
+their signatures (LEAST_EQUAL equal values, which a similarity of 0.8 misses with probability under 1e-3),
+then exactly; pairs within a component are not tested. All links form components, and of each component one
+occurrence stays, that with the smallest (doc_id, line number).
 
 Defined cases: blank lines always stay, and a null text stays null (it has no lines); lines shorter than a
 shingle meet only equal lines; rows with one doc_id count as one document, a null doc_id comes after all
@@ -17,6 +19,7 @@ others; repeated rows get equal results; an empty table gives an empty result; o
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,11 +31,15 @@ from pyspark.sql.functions import pandas_udf
 from .common import connected_components, stage, table
 
 SHINGLE = 8
-BANDS, ROWS = 16, 4
-CENTRES = 8
+BANDS, ROWS = 12, 4
+CENTRES = 1
+BLOCK = 2048
+LEAST_EQUAL = 0.6
 THRESHOLD = 0.8
 #: Up to this many line numbers are broadcast to narrow a scan; beyond it the join is shuffled.
 BROADCAST_ROWS = 2_000_000
+#: The same for rows of a hash and a place (about 40 MB).
+NARROW_ROWS = 500_000
 
 _M = 0x9E3779B97F4A7C15
 
@@ -59,55 +66,76 @@ def shingle_hashes(lines: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np.n
         return _mix(h[at]), counts
 
 
-def band_keys(lines: list[str], k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """(line index, band keys) of the lines that have a shingle.
+def signatures(lines: list[str], k: int = SHINGLE, size: int = BANDS * ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line index, signatures, which are there) of the lines that have a shingle.
 
-    Lines with few shingles get one minimum for each of bands * rows hash functions. In the others a shingle
-    falls to one of as many bins by its hash and each bin has its minimum; an empty bin takes that of
-    another bin, which a hash of its number and of the attempt names.
+    Every shingle falls to one of `size` bins by its hash, and each bin has its minimum. Where most bins are
+    filled these make a signature (the second half); an empty bin takes the minimum of another, which a hash
+    of its number and of the attempt names. Lines that leave more bins empty have few distinct shingles and
+    get the minima of `size` hash functions instead (the first half). In between a line has both, so
+    that two lines of nearly equal sets always share a kind: what a line has depends on its set alone.
     """
-    size = bands * rows
     h, counts = shingle_hashes(lines, k)
     who = np.flatnonzero(counts)
     n = counts[who]
+    most = np.iinfo(np.uint64).max
+    sig = np.zeros((len(who), 2 * size), np.uint64)
     if not len(who):
-        return who, np.zeros((0, bands), np.int64)
-    sig = np.full((len(who), size), np.iinfo(np.uint64).max, np.uint64)
+        return who, sig, np.zeros((0, 2), bool)
     owner = np.repeat(np.arange(len(who)), n)
-    few = n < 4 * size
     with np.errstate(over="ignore"):
-        short = few[owner]
+        flat = np.full(len(who) * size, most, np.uint64)
+        np.minimum.at(flat, owner * size + ((h >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)).astype(np.int64), _mix(h))
+        bins = flat.reshape(-1, size)
+        empty = bins == most
+        filled = size - empty.sum(axis=1)
+        there = np.column_stack([filled < 0.92 * size, filled >= 0.75 * size])
+        few = there[:, 0]
         if few.any():
-            hs, starts = h[short], np.cumsum(n[few]) - n[few]
+            hs, starts = h[few[owner]], np.cumsum(n[few]) - n[few]
             rng = np.random.default_rng(5)
             for j, a in enumerate(rng.integers(1, 1 << 62, size, dtype=np.uint64)):
                 sig[few, j] = np.minimum.reduceat((hs ^ a) * (a | np.uint64(1)), starts)
-        if not few.all():
-            hl = h[~short]
-            flat = np.full(len(who) * size, np.iinfo(np.uint64).max, np.uint64)
-            np.minimum.at(flat, owner[~short] * size + ((hl >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)).astype(np.int64), _mix(hl))
-            long_ = np.flatnonzero(~few)
-            part = flat.reshape(-1, size)[long_]
-            empty = part == np.iinfo(np.uint64).max
-            r, b = np.nonzero(empty)
-            for attempt in range(1, 1000):
-                if not len(r):
-                    break
-                donor = (_mix((b + size * attempt).astype(np.uint64)) % np.uint64(size)).astype(np.int64)
-                ok = ~empty[r, donor]
-                part[r[ok], b[ok]] = part[r[ok], donor[ok]]
-                r, b = r[~ok], b[~ok]
-            sig[long_] = part
-        key = np.repeat(np.arange(bands, dtype=np.uint64)[None, :] * np.uint64(_M), len(who), 0)
-        for j in range(rows):
-            key = _mix(key ^ sig[:, j::rows][:, :bands])
-    return who, key.view(np.int64)
+        rich = np.flatnonzero(there[:, 1])
+        part, hole = bins[rich], empty[rich]
+        r, b = np.nonzero(hole)
+        for attempt in range(1, 1000):
+            if not len(r):
+                break
+            donor = (_mix((b + size * attempt).astype(np.uint64)) % np.uint64(size)).astype(np.int64)
+            ok = ~hole[r, donor]
+            part[r[ok], b[ok]] = part[r[ok], donor[ok]]
+            r, b = r[~ok], b[~ok]
+        sig[rich, size:] = part
+    return who, sig, there
+
+
+def band_keys(lines: list[str], k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """(line index, band key), `bands` of them for each signature of a line that has a shingle."""
+    who, sig, there = signatures(lines, k, bands * rows)
+    owners, keys = [], []
+    with np.errstate(over="ignore"):
+        for kind in (0, 1):
+            at = np.flatnonzero(there[:, kind])
+            own = sig[at, kind * bands * rows :][:, : bands * rows]
+            key = np.repeat((np.arange(bands, dtype=np.uint64)[None, :] + np.uint64(kind * bands)) * np.uint64(_M), len(at), 0)
+            for j in range(rows):
+                key = _mix(key ^ own[:, j::rows])
+            owners.append(np.repeat(who[at], bands))
+            keys.append(key.ravel())
+    return np.concatenate(owners), np.concatenate(keys).view(np.int64)
+
+
+def shingles(line: str, k: int = SHINGLE) -> set[str]:
+    """Its k-character substrings; a line shorter than k is one shingle."""
+    return {line[i : i + k] for i in range(max(1, len(line) - k + 1))}
 
 
 def jaccard(a: str, b: str, k: int = SHINGLE) -> float:
-    """Similarity of the sets of k-character shingles; a line shorter than k is one shingle."""
-    x = {a[i : i + k] for i in range(max(1, len(a) - k + 1))}
-    y = {b[i : i + k] for i in range(max(1, len(b) - k + 1))}
+    return _share(shingles(a, k), shingles(b, k))
+
+
+def _share(x: set, y: set) -> float:
     both = len(x & y)
     return both / (len(x) + len(y) - both)
 
@@ -115,7 +143,77 @@ def jaccard(a: str, b: str, k: int = SHINGLE) -> float:
 def _similar(threshold: float):
     @pandas_udf("boolean")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([jaccard(x, y) >= threshold for x, y in zip(a, b)], dtype="bool")
+        out, last, own = [], None, set()
+        for x, y in zip(a, b):  # rows come in the order of a
+            if x != last:
+                last, own = x, shingles(x)
+            out.append(_share(own, shingles(y)) >= threshold)
+        return pd.Series(out, dtype="bool")
+
+    return run
+
+
+def _agreement(sig: np.ndarray, there: np.ndarray, x: int, rest: np.ndarray) -> np.ndarray:
+    """Share of equal values between x and the rest, by a kind of signature that both have."""
+    size = sig.shape[1] // 2
+    out = np.zeros(len(rest))
+    for kind in (0, 1):
+        if there[x, kind]:
+            cols = slice(kind * size, (kind + 1) * size)
+            out = np.maximum(out, (sig[rest, cols] == sig[x, cols]).mean(axis=1) * there[rest, kind])
+    return out
+
+
+def link_block(lines: list[str], sig: np.ndarray, there: np.ndarray, labels: list[int], sides: list[int], threshold: float) -> list[tuple[int, int]]:
+    """Positions of pairs that link two components; where there are two sides, pairs across them only."""
+    label, side, one_side = np.array(labels), np.array(sides), len(set(sides)) == 1
+    sets: dict[int, set] = {}
+    found = []
+    for x in range(len(lines) - 1):
+        open_ = label[x + 1 :] != label[x]
+        if not one_side:
+            open_ &= side[x + 1 :] != side[x]
+        if not open_.any():
+            continue
+        rest = np.flatnonzero(open_) + x + 1
+        for y in rest[_agreement(sig, there, x, rest) >= LEAST_EQUAL]:
+            if label[y] != label[x]:
+                for i in (x, y):
+                    if i not in sets:
+                        sets[i] = shingles(lines[i])
+                if _share(sets[x], sets[y]) >= threshold:
+                    label[label == label[y]] = label[x]
+                    found.append((x, int(y)))
+    return found
+
+
+def _link_blocks(threshold: float):
+    def pack(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+        cols = list(zip(*rows)) or [(), ()]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["u", "v"])
+
+    def settle(group: list[tuple]) -> list[tuple[int, int]]:
+        group.sort(key=lambda r: (r[3], r[4]))
+        sig, there = np.array([r[7] for r in group]), np.array([r[8] for r in group])
+        found = link_block([r[6] for r in group], sig, there, [r[5] for r in group], [r[3] for r in group], threshold)
+        return [(group[x][4], group[y][4]) for x, y in found]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple] = []
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                lines = b.column("line").to_pylist()
+                _, sig, there = signatures(lines)  # every line here has a shingle
+                out: list[tuple[int, int]] = []
+                for row in zip(*(b.column(c).to_pylist() for c in ("key", "i", "j", "side", "lid", "root")), lines, sig, there):
+                    if group and group[0][:3] != row[:3]:
+                        out += settle(group)
+                        group = []
+                    group.append(row)
+                yield pack(out)
+        if group:
+            yield pack(settle(group))
 
     return run
 
@@ -124,10 +222,10 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         lids, ns = b.column("lid").to_numpy(), b.column("n").to_numpy()
         lines = b.column("line").to_pylist()
-        for at in range(0, len(lines), 2000):
-            who, keys = band_keys(lines[at : at + 2000])
-            who = np.repeat(who + at, keys.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(-ns[who]), pa.array(lids[who])], ["key", "less", "lid"])
+        for at in range(0, len(lines), 500):
+            who, keys = band_keys(lines[at : at + 500])
+            who = who + at
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(-ns[who]), pa.array(lids[who])], ["key", "less", "lid"])
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,33 +270,39 @@ def similar_lines(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     met = stage(rows.mapInArrow(_meet, "key long, rank long, a long, b long"), "buckets").df
     large = met.where("rank >= 0").selectExpr("key", "rank", "a AS lid")
 
-    def verify(pairs: DataFrame, name: str):
-        pairs = stage(pairs.distinct(), name).df
-        need = stage(pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct(), "needed").df
-        if need.count() <= BROADCAST_ROWS:
-            need = F.broadcast(need)
-        texts = stage(lines.join(need, "lid", "left_semi").select("lid", "line"), "compared").df
-        both = pairs.join(texts.select(F.col("lid").alias("a"), F.col("line").alias("la")), "a")
-        both = both.join(texts.select(F.col("lid").alias("b"), F.col("line").alias("lb")), "b")
-        return stage(both.where(_similar(threshold)("la", "lb")).select(F.col("a").alias("u"), F.col("b").alias("v")), "links").df
-
-    parts = connected_components(verify(met.where("rank < 0").select("a", "b"), "candidates"))
-    done, more = CENTRES, 4 * CENTRES
-    while True:
-        labels = parts.df.withColumnRenamed("node", "lid")
-        named = large.where("rank >= 0").join(labels, "lid", "left").select("key", "rank", "lid", F.coalesce("root", "lid").alias("root"))
-        spread = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("rank").alias("top"))
-        open_ = stage(named.join(spread.where(F.col("lo") != F.col("hi")).where(F.col("top") > done).select("key"), "key"), "open").df
-        if open_.isEmpty():
-            return parts.df
-        centres = open_.where((F.col("rank") >= done) & (F.col("rank") < done + more))
-        centres = centres.selectExpr("key", "rank AS r2", "lid AS l2", "root AS root2")
-        pairs = open_.join(centres, "key").where("rank > r2 AND root <> root2")
-        pairs = pairs.select(F.least("lid", "l2").alias("a"), F.greatest("lid", "l2").alias("b"))
-        links = verify(pairs, "candidates")
-        before = parts
-        parts = connected_components(links.unionByName(before.df.select(F.col("node").alias("u"), F.col("root").alias("v"))))
-        done, more = done + more, 4 * more
+    def texts(ids: DataFrame) -> DataFrame:
+        """Lines of the given lids."""
+        need = stage(ids.distinct(), "needed").df
+        need = F.broadcast(need) if need.count() <= BROADCAST_ROWS else need
+        return stage(lines.join(need, "lid", "left_semi").select("lid", "line"), "compared").df
+
+    pairs = stage(met.where("rank < 0").select("a", "b").distinct(), "candidates").df
+    text = texts(pairs.select(F.explode(F.array("a", "b")).alias("lid")))
+    both = pairs.join(text.select(F.col("lid").alias("b"), F.col("line").alias("lb")), "b")
+    both = both.join(text.select(F.col("lid").alias("a"), F.col("line").alias("la")), "a")
+    links = stage(both.where(_similar(threshold)("la", "lb")).select(F.col("a").alias("u"), F.col("b").alias("v")), "links").df
+
+    centre = large.where("rank = 0").select("key", F.col("lid").alias("centre"))
+    named = large.join(centre, "key")
+    tied = links.select(F.col("u").alias("lo"), F.col("v").alias("hi"), F.lit(True).alias("tied"))
+    named = named.withColumn("lo", F.least("lid", "centre")).withColumn("hi", F.greatest("lid", "centre")).join(tied, ["lo", "hi"], "left")
+    named = named.withColumn("root", F.when(F.col("tied"), F.col("centre")).otherwise(F.col("lid"))).select("key", "rank", "lid", "root")
+    named = stage(named, "members").df
+    members = F.sum(F.xxhash64("lid").cast("decimal(20,0)")).alias("members")
+    spread = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("rank").alias("top"), members)
+    once = spread.where("lo <> hi").groupBy("members", "top").agg(F.min("key").alias("key")).select("key", "top")
+    open_ = stage(named.join(once, "key"), "open").df  # of buckets with the same lines one is enough
+    mine, other = F.floor(F.col("rank") / BLOCK), F.col("other")
+    dealt = open_.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("top") / BLOCK))))
+    dealt = dealt.select("key", F.least(mine, other).alias("i"), F.greatest(mine, other).alias("j"), mine.alias("side"), "lid", "root")
+    dealt = dealt.join(texts(open_.select("lid")), "lid").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    more = dealt.select("key", "i", "j", "side", "lid", "root", "line").mapInArrow(_link_blocks(threshold), "u long, v long")
+    return connected_components(links.unionByName(more)).df
+
+
+def _bounded(rows: DataFrame) -> DataFrame:
+    """rows, to be broadcast if they are few (staged rows: the count reads file footers)."""
+    return F.broadcast(rows) if rows.count() <= NARROW_ROWS else rows
 
 
 def _document_key() -> Column:
@@ -206,26 +310,31 @@ def _document_key() -> Column:
 
 
 def _line(raw: Column) -> Column:
-    return F.regexp_replace(raw, r"^[\s]+|[\s]+$", "")
+    """The line without white space at its ends; the slower trim runs only where a blank other than a space stands there."""
+    flat = F.trim(raw)
+    other = reduce(lambda a, b: a | b, [t for c in "\t\n\x0b\f\r" for t in (flat.startswith(c), flat.endswith(c))])
+    return F.when(other, F.btrim(flat, F.lit(" \t\n\x0b\f\r"))).otherwise(flat)
 
 
 def line_decisions(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(document key, numbers of the lines that go) of documents that lose a line."""
     none = F.lit("10000000000000000000").cast("decimal(20,0)")
     place = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), none) * F.lit("1000000000000").cast("decimal(13,0)")
-    raw = docs.where(F.col("text").isNotNull()).select("doc_id", _document_key().alias("dkey"), F.posexplode(F.split("text", "\n")).alias("no", "raw"))
+    parts = docs.where(F.col("text").isNotNull()).select("doc_id", _document_key().alias("dkey"), F.split("text", "\n").alias("parts"))
+    raw = parts.select("doc_id", "dkey", F.posexplode("parts").alias("no", "raw"))  # the key is made once a document
     lines = raw.select("dkey", "no", (place + F.col("no").cast("decimal(12,0)")).cast("decimal(38,0)").alias("place"), _line(F.col("raw")).alias("line")).where("line <> ''")
     found = lines.groupBy("line").agg(F.count("*").alias("n"), F.min("place").alias("place"))
     found = found.select(F.monotonically_increasing_id().alias("lid"), "line", F.unhex(F.md5("line")).alias("h"), "n", "place")
     found = stage(found, "lines").df
     parts = similar_lines(found.select("lid", "line", "n"), threshold)
-    named = found.select("lid", "h", "n", "place").join(parts.withColumnRenamed("node", "lid"), "lid", "left")
-    joined = named.where("root is not null")
+    parts = _bounded(parts.withColumnRenamed("node", "lid"))
+    joined = found.select("lid", "h", "place").join(parts, "lid")
     keeps = joined.groupBy("root").agg(F.min("place").alias("keep"))
-    rules = joined.join(keeps, "root").select("h", "keep")
-    rules = stage(rules.unionByName(named.where("root is null and n > 1").select("h", F.col("place").alias("keep"))), "rules").df
+    alone = found.where("n > 1").select("lid", "h", F.col("place").alias("keep")).join(parts, "lid", "left_anti")
+    rules = joined.join(keeps, "root").select("h", "keep").unionByName(alone.select("h", "keep"))
+    rules = stage(rules, "rules").df
     seen = lines.select("dkey", "no", "place", F.unhex(F.md5("line")).alias("h"))
-    gone = seen.join(rules, "h").where(F.col("place") != F.col("keep"))
+    gone = seen.join(_bounded(rules), "h").where(F.col("place") != F.col("keep"))
     return stage(gone.groupBy("dkey").agg(F.collect_set("no").alias("gone")), "gone").df
 
 

@@ -1,3 +1,4 @@
+import random
 from collections import defaultdict
 
 import numpy as np
@@ -161,15 +162,29 @@ def test_lines_against_all_pairs(spark):
     assert set(out[0]) == {*docs.columns, "__cl_lines", "__cl_gone"}
 
 
-def test_bucket_rounds_reach_every_component(spark, monkeypatch):
+def test_blocks_reach_every_component(spark, monkeypatch):
     """With one band for all lines, one bucket holds several components larger than the first centres."""
-    monkeypatch.setattr(line_dedup, "CENTRES", 2)
     monkeypatch.setattr(line_dedup, "_bands", lambda batches: (one for b in batches for one in [same_bucket(b)]))
     bases = [chr(97 + k) * 3 + f"{k} " + " ".join(f"{chr(97 + k)}{j}w" for j in range(30)) for k in range(6)]
     rows = [(i, f"{bases[i % 6]} {'z' * (i // 6)}") for i in range(36)]
     lines = spark.createDataFrame([(i, t, 1) for i, t in rows], "lid long, line string, n long")
-    roots = {r["node"]: r["root"] for r in collected(line_dedup.similar_lines(lines))}
-    assert roots == {i: i % 6 for i in range(36)}
+    for block in (2048, 5):
+        monkeypatch.setattr(line_dedup, "BLOCK", block)
+        roots = {r["node"]: r["root"] for r in collected(line_dedup.similar_lines(lines))}
+        assert roots == {i: i % 6 for i in range(36)}
+
+
+def test_signatures_agree_at_every_length():
+    """Lines of 0.8 similarity and more meet in a band, whatever the number of their shingles."""
+    rng = random.Random(9)
+    missed = 0
+    for n in range(30, 330, 3):
+        a = "".join(rng.choice("abcdefghij ") for _ in range(n))
+        for b in (a + "x" * (n // 12), a[: n // 2] + "#" + a[n // 2 + 1 :] if n > 90 else a + "!"):
+            who, keys = line_dedup.band_keys([a, b])
+            assert line_dedup.jaccard(a, b) >= 0.8
+            missed += not set(keys[who == 0]) & set(keys[who == 1])
+    assert missed <= 1
 
 
 def same_bucket(b):
