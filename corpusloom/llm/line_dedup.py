@@ -18,6 +18,7 @@ others; repeated rows get equal results; an empty table gives an empty result; o
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -126,16 +127,31 @@ def band_keys(lines: list[str], k: int = SHINGLE, bands: int = BANDS, rows: int
     return np.concatenate(owners), np.concatenate(keys).view(np.int64)
 
 
-def shingles(line: str, k: int = SHINGLE) -> set[str]:
-    """Its k-character substrings; a line shorter than k is one shingle."""
-    return {line[i : i + k] for i in range(max(1, len(line) - k + 1))}
+def shingle_sets(lines: list[str], k: int = SHINGLE) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each line; a line shorter than k is one shingle."""
+    h, counts = shingle_hashes(lines, k)
+    ends = np.cumsum(counts)
+    out = []
+    for line, n, end in zip(lines, counts.tolist(), ends.tolist()):
+        own = np.sort(h[end - n : end]) if n else np.array([zlib.crc32(line.encode())], np.uint64)
+        out.append(own[np.append(True, own[1:] != own[:-1])])
+    return out
 
 
-def jaccard(a: str, b: str, k: int = SHINGLE) -> float:
-    return _share(shingles(a, k), shingles(b, k))
+def overlap(x: np.ndarray, y: np.ndarray) -> float:
+    """Jaccard similarity of two sorted distinct arrays."""
+    if len(x) > len(y):
+        x, y = y, x
+    if len(x) < 0.5 * len(y):  # far below any threshold in use
+        return len(x) / len(y)
+    at = np.searchsorted(y, x)
+    both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+    return both / (len(x) + len(y) - both)
 
 
-def _share(x: set, y: set) -> float:
+def jaccard(a: str, b: str, k: int = SHINGLE) -> float:
+    """Plain form, for tests: substrings instead of their hashes."""
+    x, y = ({t[i : i + k] for i in range(max(1, len(t) - k + 1))} for t in (a, b))
     both = len(x & y)
     return both / (len(x) + len(y) - both)
 
@@ -143,11 +159,13 @@ def _share(x: set, y: set) -> float:
 def _similar(threshold: float):
     @pandas_udf("boolean")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        out, last, own = [], None, set()
-        for x, y in zip(a, b):  # rows come in the order of a
-            if x != last:
-                last, own = x, shingles(x)
-            out.append(_share(own, shingles(y)) >= threshold)
+        out: list[bool] = []
+        left, right = a.tolist(), b.tolist()
+        for at in range(0, len(left), 500):
+            names = list(dict.fromkeys(left[at : at + 500]))  # rows come in the order of a: each centre is split once
+            sets = dict(zip(names, shingle_sets(names)))
+            others = shingle_sets(right[at : at + 500])
+            out += [overlap(sets[x], y) >= threshold for x, y in zip(left[at : at + 500], others)]
         return pd.Series(out, dtype="bool")
 
     return run
@@ -167,7 +185,7 @@ def _agreement(sig: np.ndarray, there: np.ndarray, x: int, rest: np.ndarray) ->
 def link_block(lines: list[str], sig: np.ndarray, there: np.ndarray, labels: list[int], sides: list[int], threshold: float) -> list[tuple[int, int]]:
     """Positions of pairs that link two components; where there are two sides, pairs across them only."""
     label, side, one_side = np.array(labels), np.array(sides), len(set(sides)) == 1
-    sets: dict[int, set] = {}
+    sets = shingle_sets(lines)
     found = []
     for x in range(len(lines) - 1):
         open_ = label[x + 1 :] != label[x]
@@ -177,13 +195,9 @@ def link_block(lines: list[str], sig: np.ndarray, there: np.ndarray, labels: lis
             continue
         rest = np.flatnonzero(open_) + x + 1
         for y in rest[_agreement(sig, there, x, rest) >= LEAST_EQUAL]:
-            if label[y] != label[x]:
-                for i in (x, y):
-                    if i not in sets:
-                        sets[i] = shingles(lines[i])
-                if _share(sets[x], sets[y]) >= threshold:
-                    label[label == label[y]] = label[x]
-                    found.append((x, int(y)))
+            if label[y] != label[x] and overlap(sets[x], sets[y]) >= threshold:
+                label[label == label[y]] = label[x]
+                found.append((x, int(y)))
     return found
 
 
@@ -231,7 +245,8 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by key: pairs with the bucket's centres, and the members of buckets that have more lines.
 
-    What crosses a batch is the open bucket's key, its count and its first lines: bounded at any size.
+    Within a batch the most frequent line of a bucket comes first. What crosses a batch is the open bucket's
+    key, its count and its first lines: bounded at any size.
     """
     names = ["key", "rank", "a", "b"]
     key, count, first = 0, 0, np.zeros(0, np.int64)
@@ -239,8 +254,10 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         old = len(first)
-        keys = np.append(np.full(old, key), batch.column("key").to_numpy())
-        lids = np.append(first, batch.column("lid").to_numpy())
+        own = [batch.column(c).to_numpy() for c in ("lid", "less", "key")]
+        order = np.lexsort(own)
+        keys = np.append(np.full(old, key), own[2][order])
+        lids = np.append(first, own[0][order])
         at = np.arange(len(keys))
         start = np.maximum.accumulate(np.where(np.append(True, keys[1:] != keys[:-1]), at, 0))
         rank = at - start
@@ -266,7 +283,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def similar_lines(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """lines: staged (lid, line, n), one row a distinct line. Gives (node, root) of lines that have a link."""
     rows = lines.mapInArrow(_bands, "key long, less long, lid long")
-    rows = rows.repartition("key").sortWithinPartitions("key", "less", "lid")
+    rows = rows.repartition("key").sortWithinPartitions("key")
     met = stage(rows.mapInArrow(_meet, "key long, rank long, a long, b long"), "buckets").df
     large = met.where("rank >= 0").selectExpr("key", "rank", "a AS lid")
 
@@ -305,10 +322,6 @@ def _bounded(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= NARROW_ROWS else rows
 
 
-def _document_key() -> Column:
-    return F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("text"))))
-
-
 def _line(raw: Column) -> Column:
     """The line without white space at its ends; the slower trim runs only where a blank other than a space stands there."""
     flat = F.trim(raw)
@@ -316,37 +329,47 @@ def _line(raw: Column) -> Column:
     return F.when(other, F.btrim(flat, F.lit(" \t\n\x0b\f\r"))).otherwise(flat)
 
 
-def line_decisions(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(document key, numbers of the lines that go) of documents that lose a line."""
+def _place() -> Column:
+    """The order of occurrences as one number: doc_id (null after all others), then line number."""
     none = F.lit("10000000000000000000").cast("decimal(20,0)")
-    place = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), none) * F.lit("1000000000000").cast("decimal(13,0)")
-    parts = docs.where(F.col("text").isNotNull()).select("doc_id", _document_key().alias("dkey"), F.split("text", "\n").alias("parts"))
-    raw = parts.select("doc_id", "dkey", F.posexplode("parts").alias("no", "raw"))  # the key is made once a document
-    lines = raw.select("dkey", "no", (place + F.col("no").cast("decimal(12,0)")).cast("decimal(38,0)").alias("place"), _line(F.col("raw")).alias("line")).where("line <> ''")
-    found = lines.groupBy("line").agg(F.count("*").alias("n"), F.min("place").alias("place"))
+    doc = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), none) * F.lit("1000000000000").cast("decimal(13,0)")
+    return (doc + F.col("no").cast("decimal(12,0)")).cast("decimal(38,0)")
+
+
+def line_decisions(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, text hash, numbers of the lines that go) of documents that lose a line."""
+    parts = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("th"), F.split("text", "\n").alias("parts"))
+    raw = parts.select("doc_id", "th", F.posexplode("parts").alias("no", "raw"))  # the hash is made once a document
+    lines = raw.select("doc_id", "th", "no", _line(F.col("raw")).alias("line")).where("line <> ''")
+    found = lines.select("line", _place().alias("place")).groupBy("line").agg(F.count("*").alias("n"), F.min("place").alias("place"))
     found = found.select(F.monotonically_increasing_id().alias("lid"), "line", F.unhex(F.md5("line")).alias("h"), "n", "place")
     found = stage(found, "lines").df
-    parts = similar_lines(found.select("lid", "line", "n"), threshold)
-    parts = _bounded(parts.withColumnRenamed("node", "lid"))
+    parts = _bounded(similar_lines(found.select("lid", "line", "n"), threshold).withColumnRenamed("node", "lid"))
     joined = found.select("lid", "h", "place").join(parts, "lid")
     keeps = joined.groupBy("root").agg(F.min("place").alias("keep"))
     alone = found.where("n > 1").select("lid", "h", F.col("place").alias("keep")).join(parts, "lid", "left_anti")
     rules = joined.join(keeps, "root").select("h", "keep").unionByName(alone.select("h", "keep"))
     rules = stage(rules, "rules").df
-    seen = lines.select("dkey", "no", "place", F.unhex(F.md5("line")).alias("h"))
-    gone = seen.join(_bounded(rules), "h").where(F.col("place") != F.col("keep"))
-    return stage(gone.groupBy("dkey").agg(F.collect_set("no").alias("gone")), "gone").df
+    seen = lines.select("doc_id", "th", "no", F.unhex(F.md5("line")).alias("h"))
+    gone = seen.join(_bounded(rules), "h").where(_place() != F.col("keep"))
+    return stage(gone.groupBy("doc_id", "th").agg(F.collect_set("no").alias("gone")), "gone").df
 
 
 def deduplicate_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, all columns, with the lines that stay as text; adds __cl_lines and __cl_gone."""
-    gone = line_decisions(docs, threshold).withColumnRenamed("dkey", "__cl_key").withColumnRenamed("gone", "__cl_no")
-    out = docs.withColumn("__cl_key", _document_key()).join(gone, "__cl_key", "left")
+    gone = line_decisions(docs, threshold)
+    few, numbers = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()
+    gone = gone.select(F.col("doc_id").alias("__cl_id"), F.col("th").alias("__cl_th"), F.col("gone").alias("__cl_no"))
+    if few <= NARROW_ROWS and numbers <= 8 * NARROW_ROWS:
+        gone = F.broadcast(gone)
+    out = docs.withColumn("__cl_hash", F.xxhash64("text"))
+    out = out.join(gone, (out["__cl_hash"] == gone["__cl_th"]) & out["doc_id"].eqNullSafe(gone["__cl_id"]), "left")
     parts = F.split("text", "\n")
     kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("__cl_no"), i)), "\n")
     size = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(parts)).cast("long")
     out = out.withColumn("__cl_lines", size).withColumn("__cl_gone", F.when(F.col("__cl_no").isNull(), F.lit(0)).otherwise(F.size("__cl_no")).cast("long"))
-    return out.withColumn("text", F.when(F.col("__cl_no").isNull(), F.col("text")).otherwise(kept)).drop("__cl_key", "__cl_no")
+    text = F.when(F.col("__cl_no").isNull(), F.col("text")).otherwise(kept)
+    return out.withColumn("text", text).drop("__cl_id", "__cl_th", "__cl_no", "__cl_hash")
 
 
 def rewritten_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
