@@ -58,13 +58,23 @@ def shingle_hashes(lines: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np.n
     counts = np.maximum(sizes - k + 1, 0)
     if not counts.sum():
         return np.zeros(0, np.uint64), counts
-    h = np.zeros(len(c) - k + 1, np.uint64)
     with np.errstate(over="ignore"):
-        for j in range(k):
-            h = h * np.uint64(_M) + c[j : len(c) - k + 1 + j]
-        first = np.cumsum(sizes) - sizes
-        at = np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-        return _mix(h[at]), counts
+        if k & (k - 1) == 0:  # a polynomial of k terms by doubling
+            h, step, m = c, 1, np.uint64(_M)
+            while step < k:
+                h = h[:-step] * m + h[step:]
+                m, step = m * m, step * 2
+        else:
+            h = np.zeros(len(c) - k + 1, np.uint64)
+            for j in range(k):
+                h = h * np.uint64(_M) + c[j : len(c) - k + 1 + j]
+        inside = np.ones(len(h) + k - 1, bool)  # shingles that do not run over a line's end
+        ends = np.cumsum(sizes)
+        for j in range(1, k):
+            inside[ends[sizes >= j] - j] = False
+        h = h[inside[: len(h)]]
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+        return h ^ (h >> np.uint64(29)), counts
 
 
 def signatures(lines: list[str], k: int = SHINGLE, size: int = BANDS * ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,17 +96,18 @@ def signatures(lines: list[str], k: int = SHINGLE, size: int = BANDS * ROWS) ->
     owner = np.repeat(np.arange(len(who)), n)
     with np.errstate(over="ignore"):
         flat = np.full(len(who) * size, most, np.uint64)
-        np.minimum.at(flat, owner * size + ((h >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)).astype(np.int64), _mix(h))
+        bin_ = ((h >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)).view(np.int64)
+        np.minimum.at(flat, owner * size + bin_, h * np.uint64(_M))
         bins = flat.reshape(-1, size)
         empty = bins == most
         filled = size - empty.sum(axis=1)
         there = np.column_stack([filled < 0.92 * size, filled >= 0.75 * size])
         few = there[:, 0]
         if few.any():
-            hs, starts = h[few[owner]], np.cumsum(n[few]) - n[few]
+            hs, starts = (h[few[owner]] >> np.uint64(16)).astype(np.uint32), np.cumsum(n[few]) - n[few]
             rng = np.random.default_rng(5)
-            for j, a in enumerate(rng.integers(1, 1 << 62, size, dtype=np.uint64)):
-                sig[few, j] = np.minimum.reduceat((hs ^ a) * (a | np.uint64(1)), starts)
+            for j, (a, b) in enumerate(rng.integers(1, 1 << 31, (size, 2), dtype=np.uint32)):
+                sig[few, j] = np.minimum.reduceat((hs ^ a) * (b * np.uint32(2) + np.uint32(1)), starts)
         rich = np.flatnonzero(there[:, 1])
         part, hole = bins[rich], empty[rich]
         r, b = np.nonzero(hole)
@@ -234,19 +245,18 @@ def _link_blocks(threshold: float):
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        lids, ns = b.column("lid").to_numpy(), b.column("n").to_numpy()
-        lines = b.column("line").to_pylist()
+        lids, lines = b.column("lid").to_numpy(), b.column("line").to_pylist()
         for at in range(0, len(lines), 500):
             who, keys = band_keys(lines[at : at + 500])
             who = who + at
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(-ns[who]), pa.array(lids[who])], ["key", "less", "lid"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(lids[who])], ["key", "lid"])
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by key: pairs with the bucket's centres, and the members of buckets that have more lines.
 
-    Within a batch the most frequent line of a bucket comes first. What crosses a batch is the open bucket's
-    key, its count and its first lines: bounded at any size.
+    Within a batch the most frequent line of a bucket comes first, as the order of line numbers has it. What
+    crosses a batch is the open bucket's key, its count and its first lines: bounded at any size.
     """
     names = ["key", "rank", "a", "b"]
     key, count, first = 0, 0, np.zeros(0, np.int64)
@@ -254,9 +264,9 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         old = len(first)
-        own = [batch.column(c).to_numpy() for c in ("lid", "less", "key")]
+        own = [batch.column(c).to_numpy() for c in ("lid", "key")]
         order = np.lexsort(own)
-        keys = np.append(np.full(old, key), own[2][order])
+        keys = np.append(np.full(old, key), own[1][order])
         lids = np.append(first, own[0][order])
         at = np.arange(len(keys))
         start = np.maximum.accumulate(np.where(np.append(True, keys[1:] != keys[:-1]), at, 0))
@@ -281,8 +291,8 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def similar_lines(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """lines: staged (lid, line, n), one row a distinct line. Gives (node, root) of lines that have a link."""
-    rows = lines.mapInArrow(_bands, "key long, less long, lid long")
+    """lines: staged (lid, line), one row a distinct line. Gives (node, root) of lines that have a link."""
+    rows = lines.mapInArrow(_bands, "key long, lid long")
     rows = rows.repartition("key").sortWithinPartitions("key")
     met = stage(rows.mapInArrow(_meet, "key long, rank long, a long, b long"), "buckets").df
     large = met.where("rank >= 0").selectExpr("key", "rank", "a AS lid")
@@ -342,9 +352,12 @@ def line_decisions(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     raw = parts.select("doc_id", "th", F.posexplode("parts").alias("no", "raw"))  # the hash is made once a document
     lines = raw.select("doc_id", "th", "no", _line(F.col("raw")).alias("line")).where("line <> ''")
     found = lines.select("line", _place().alias("place")).groupBy("line").agg(F.count("*").alias("n"), F.min("place").alias("place"))
-    found = found.select(F.monotonically_increasing_id().alias("lid"), "line", F.unhex(F.md5("line")).alias("h"), "n", "place")
+    # numbers in falling order of frequency (by powers of two), so that a bucket's first line is a frequent one
+    rare = F.lit(63).cast("long") - F.floor(F.log2("n")).cast("long")
+    lid = F.shiftleft(rare, 53).bitwiseOR(F.monotonically_increasing_id())
+    found = found.select(lid.alias("lid"), "line", F.unhex(F.md5("line")).alias("h"), "n", "place")
     found = stage(found, "lines").df
-    parts = _bounded(similar_lines(found.select("lid", "line", "n"), threshold).withColumnRenamed("node", "lid"))
+    parts = _bounded(similar_lines(found.select("lid", "line"), threshold).withColumnRenamed("node", "lid"))
     joined = found.select("lid", "h", "place").join(parts, "lid")
     keeps = joined.groupBy("root").agg(F.min("place").alias("keep"))
     alone = found.where("n > 1").select("lid", "h", F.col("place").alias("keep")).join(parts, "lid", "left_anti")
