@@ -339,6 +339,11 @@ def _line(raw: Column) -> Column:
     return F.when(other, F.btrim(flat, F.lit(" \t\n\x0b\f\r"))).otherwise(flat)
 
 
+def _hash() -> tuple[Column, Column]:
+    """128 bits of a line: XXH64 under two seeds."""
+    return F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), F.col("line")).alias("h2")
+
+
 def _place() -> Column:
     """The order of occurrences as one number: doc_id (null after all others), then line number."""
     none = F.lit("10000000000000000000").cast("decimal(20,0)")
@@ -355,16 +360,16 @@ def line_decisions(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # numbers in falling order of frequency (by powers of two), so that a bucket's first line is a frequent one
     rare = F.lit(63).cast("long") - F.floor(F.log2("n")).cast("long")
     lid = F.shiftleft(rare, 53).bitwiseOR(F.monotonically_increasing_id())
-    found = found.select(lid.alias("lid"), "line", F.unhex(F.md5("line")).alias("h"), "n", "place")
+    found = found.select(lid.alias("lid"), "line", *_hash(), "n", "place")
     found = stage(found, "lines").df
     parts = _bounded(similar_lines(found.select("lid", "line"), threshold).withColumnRenamed("node", "lid"))
-    joined = found.select("lid", "h", "place").join(parts, "lid")
+    joined = found.select("lid", "h1", "h2", "place").join(parts, "lid")
     keeps = joined.groupBy("root").agg(F.min("place").alias("keep"))
-    alone = found.where("n > 1").select("lid", "h", F.col("place").alias("keep")).join(parts, "lid", "left_anti")
-    rules = joined.join(keeps, "root").select("h", "keep").unionByName(alone.select("h", "keep"))
+    alone = found.where("n > 1").select("lid", "h1", "h2", F.col("place").alias("keep")).join(parts, "lid", "left_anti")
+    rules = joined.join(keeps, "root").select("h1", "h2", "keep").unionByName(alone.select("h1", "h2", "keep"))
     rules = stage(rules, "rules").df
-    seen = lines.select("doc_id", "th", "no", F.unhex(F.md5("line")).alias("h"))
-    gone = seen.join(_bounded(rules), "h").where(_place() != F.col("keep"))
+    seen = lines.select("doc_id", "th", "no", *_hash())
+    gone = seen.join(_bounded(rules), ["h1", "h2"]).where(_place() != F.col("keep"))
     return stage(gone.groupBy("doc_id", "th").agg(F.collect_set("no").alias("gone")), "gone").df
 
 
