@@ -107,16 +107,20 @@ class Model:
         return run
 
 
-def fit_arrays(x: list[dict[int, float]], change: list[dict[int, float]], y: np.ndarray, size: int, l2: float, fair: float, steps: int):
-    """Minimise mean logistic loss + l2 |w|^2 + fair * mean (change . w)^2 by Adam, deterministically."""
+def _entries(ks, vs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and value of every entry of two list columns (Arrow), without Python objects for them."""
+    ks, vs = ks.combine_chunks(), vs.combine_chunks()
+    lengths = np.diff(np.asarray(ks.offsets))
+    return np.repeat(np.arange(len(ks), dtype=np.int32), lengths), np.asarray(ks.flatten()), np.asarray(vs.flatten())
 
-    def coo(rows):
-        r = np.array([i for i, d in enumerate(rows) for _ in d], np.int64)
-        c = np.array([k for d in rows for k in d], np.int64)
-        v = np.array([v for d in rows for v in d.values()], float)
-        return r, c, v
 
-    (r, c, v), (r2, c2, v2) = coo(x), coo(change)
+def fit_arrays(x: tuple, change: tuple, y: np.ndarray, size: int, l2: float, fair: float, steps: int):
+    """Minimise mean logistic loss + l2 |w|^2 + fair * mean (change . w)^2 by Adam, deterministically.
+
+    x, change: entries (row, column, value) of the counts and of what the swaps change in them.
+    """
+    (r, c, v), (r2, c2, v2) = x, change
+    swapped = len(np.unique(r2))
     n, w, b = len(y), np.zeros(size), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     m, s = np.zeros(size + 1), np.zeros(size + 1)
     for t in range(1, steps + 1):
@@ -124,8 +128,8 @@ def fit_arrays(x: list[dict[int, float]], change: list[dict[int, float]], y: np.
         e = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / n
         g = np.bincount(c, v * e[r], size) + 2 * l2 * w
         if len(r2):
-            d = np.bincount(r2, v2 * w[c2], len(change))
-            g += np.bincount(c2, v2 * d[r2], size) * (2 * fair / max(1, sum(map(bool, change))))
+            d = np.bincount(r2, v2 * w[c2], n)
+            g += np.bincount(c2, v2 * d[r2], size) * (2 * fair / max(1, swapped))
         grad = np.append(g, e.sum())
         m, s = 0.9 * m + 0.1 * grad, 0.999 * s + 0.001 * grad**2
         move = 0.1 * (1 - t / steps * 0.9) * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-9)
@@ -192,10 +196,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
             cols = list(zip(*out)) or [[], [], [], []]
             yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"], "k": cols[0], "v": cols[1], "dk": cols[2], "dv": cols[3]})
 
-    data = rows.mapInPandas(encode, "doc_id long, toxic int, k array<int>, v array<double>, dk array<int>, dv array<double>").collect()
-    data.sort(key=lambda r: (r.doc_id, r.k, r.v))
-    x, change = [dict(zip(r.k, r.v)) for r in data], [dict(zip(r.dk, r.dv)) for r in data]
-    w, bias = fit_arrays(x, change, np.array([r.toxic for r in data], float), len(names), l2, fair, steps)
+    data = rows.mapInPandas(encode, "doc_id long, toxic int, k array<int>, v array<double>, dk array<int>, dv array<double>").toArrow()
+    data = data.take(np.lexsort([[len(k) for k in data["k"]], data["doc_id"].to_numpy()]))
+    y = data["toxic"].to_numpy().astype(float)
+    w, bias = fit_arrays(_entries(data["k"], data["v"]), _entries(data["dk"], data["dv"]), y, len(names), l2, fair, steps)
     return Model(bias, {name: float(v) for name, v in zip(names, w) if abs(v) > 1e-3})
 
 
