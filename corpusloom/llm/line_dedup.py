@@ -19,7 +19,7 @@ others; repeated rows get equal results; an empty table gives an empty result; o
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -51,8 +51,13 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingle_hashes(lines: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all k-character shingles of all lines, and how many each line has (0 if too short)."""
+def shingle_hashes(lines: list[str], k: int | Callable = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all k-character shingles of all lines, and how many each line has (0 if too short).
+
+    Where k is a function it gives both, for texts of another kind of shingle.
+    """
+    if callable(k):
+        return k(lines)
     sizes = np.array([len(x) for x in lines], np.int64)
     c = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
     counts = np.maximum(sizes - k + 1, 0)
@@ -77,7 +82,7 @@ def shingle_hashes(lines: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np.n
         return h ^ (h >> np.uint64(29)), counts
 
 
-def signatures(lines: list[str], k: int = SHINGLE, size: int = BANDS * ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def signatures(lines: list[str], k: int | Callable = SHINGLE, size: int = BANDS * ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(line index, signatures, which are there) of the lines that have a shingle.
 
     Every shingle falls to one of `size` bins by its hash, and each bin has its minimum. Where most bins are
@@ -122,7 +127,7 @@ def signatures(lines: list[str], k: int = SHINGLE, size: int = BANDS * ROWS) ->
     return who, sig, there
 
 
-def band_keys(lines: list[str], k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
+def band_keys(lines: list[str], k: int | Callable = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
     """(line index, band key), `bands` of them for each signature of a line that has a shingle."""
     who, sig, there = signatures(lines, k, bands * rows)
     owners, keys = [], []
@@ -138,7 +143,7 @@ def band_keys(lines: list[str], k: int = SHINGLE, bands: int = BANDS, rows: int
     return np.concatenate(owners), np.concatenate(keys).view(np.int64)
 
 
-def shingle_sets(lines: list[str], k: int = SHINGLE) -> list[np.ndarray]:
+def shingle_sets(lines: list[str], k: int | Callable = SHINGLE) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each line; a line shorter than k is one shingle."""
     h, counts = shingle_hashes(lines, k)
     ends = np.cumsum(counts)
@@ -167,15 +172,15 @@ def jaccard(a: str, b: str, k: int = SHINGLE) -> float:
     return both / (len(x) + len(y) - both)
 
 
-def _similar(threshold: float):
+def _similar(threshold: float, k: int | Callable):
     @pandas_udf("boolean")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         out: list[bool] = []
         left, right = a.tolist(), b.tolist()
         for at in range(0, len(left), 500):
             names = list(dict.fromkeys(left[at : at + 500]))  # rows come in the order of a: each centre is split once
-            sets = dict(zip(names, shingle_sets(names)))
-            others = shingle_sets(right[at : at + 500])
+            sets = dict(zip(names, shingle_sets(names, k)))
+            others = shingle_sets(right[at : at + 500], k)
             out += [overlap(sets[x], y) >= threshold for x, y in zip(left[at : at + 500], others)]
         return pd.Series(out, dtype="bool")
 
@@ -193,10 +198,10 @@ def _agreement(sig: np.ndarray, there: np.ndarray, x: int, rest: np.ndarray) ->
     return out
 
 
-def link_block(lines: list[str], sig: np.ndarray, there: np.ndarray, labels: list[int], sides: list[int], threshold: float) -> list[tuple[int, int]]:
+def link_block(lines: list[str], sig: np.ndarray, there: np.ndarray, labels: list[int], sides: list[int], threshold: float, k: int | Callable = SHINGLE) -> list[tuple[int, int]]:
     """Positions of pairs that link two components; where there are two sides, pairs across them only."""
     label, side, one_side = np.array(labels), np.array(sides), len(set(sides)) == 1
-    sets = shingle_sets(lines)
+    sets = shingle_sets(lines, k)
     found = []
     for x in range(len(lines) - 1):
         open_ = label[x + 1 :] != label[x]
@@ -212,7 +217,7 @@ def link_block(lines: list[str], sig: np.ndarray, there: np.ndarray, labels: lis
     return found
 
 
-def _link_blocks(threshold: float):
+def _link_blocks(threshold: float, k: int | Callable):
     def pack(rows: list[tuple[int, int]]) -> pa.RecordBatch:
         cols = list(zip(*rows)) or [(), ()]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["u", "v"])
@@ -220,7 +225,7 @@ def _link_blocks(threshold: float):
     def settle(group: list[tuple]) -> list[tuple[int, int]]:
         group.sort(key=lambda r: (r[3], r[4]))
         sig, there = np.array([r[7] for r in group]), np.array([r[8] for r in group])
-        found = link_block([r[6] for r in group], sig, there, [r[5] for r in group], [r[3] for r in group], threshold)
+        found = link_block([r[6] for r in group], sig, there, [r[5] for r in group], [r[3] for r in group], threshold, k)
         return [(group[x][4], group[y][4]) for x, y in found]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +234,7 @@ def _link_blocks(threshold: float):
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
                 lines = b.column("line").to_pylist()
-                _, sig, there = signatures(lines)  # every line here has a shingle
+                _, sig, there = signatures(lines, k)  # every line here has a shingle
                 out: list[tuple[int, int]] = []
                 for row in zip(*(b.column(c).to_pylist() for c in ("key", "i", "j", "side", "lid", "root")), lines, sig, there):
                     if group and group[0][:3] != row[:3]:
@@ -243,13 +248,16 @@ def _link_blocks(threshold: float):
     return run
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        lids, lines = b.column("lid").to_numpy(), b.column("line").to_pylist()
-        for at in range(0, len(lines), 500):
-            who, keys = band_keys(lines[at : at + 500])
-            who = who + at
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(lids[who])], ["key", "lid"])
+def _bands(k: int | Callable):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lids, lines = b.column("lid").to_numpy(), b.column("line").to_pylist()
+            for at in range(0, len(lines), 500):
+                who, keys = band_keys(lines[at : at + 500], k)
+                who = who + at
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(lids[who])], ["key", "lid"])
+
+    return run
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,9 +298,9 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out]).astype(np.int64)) for i in range(4)], names)
 
 
-def similar_lines(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def similar_lines(lines: DataFrame, threshold: float = THRESHOLD, k: int | Callable = SHINGLE) -> DataFrame:
     """lines: staged (lid, line), one row a distinct line. Gives (node, root) of lines that have a link."""
-    rows = lines.mapInArrow(_bands, "key long, lid long")
+    rows = lines.mapInArrow(_bands(k), "key long, lid long")
     rows = rows.repartition("key").sortWithinPartitions("key")
     met = stage(rows.mapInArrow(_meet, "key long, rank long, a long, b long"), "buckets").df
     large = met.where("rank >= 0").selectExpr("key", "rank", "a AS lid")
@@ -307,7 +315,7 @@ def similar_lines(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     text = texts(pairs.select(F.explode(F.array("a", "b")).alias("lid")))
     both = pairs.join(text.select(F.col("lid").alias("b"), F.col("line").alias("lb")), "b")
     both = both.join(text.select(F.col("lid").alias("a"), F.col("line").alias("la")), "a")
-    links = stage(both.where(_similar(threshold)("la", "lb")).select(F.col("a").alias("u"), F.col("b").alias("v")), "links").df
+    links = stage(both.where(_similar(threshold, k)("la", "lb")).select(F.col("a").alias("u"), F.col("b").alias("v")), "links").df
 
     centre = large.where("rank = 0").select("key", F.col("lid").alias("centre"))
     named = large.join(centre, "key")
@@ -323,7 +331,7 @@ def similar_lines(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     dealt = open_.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("top") / BLOCK))))
     dealt = dealt.select("key", F.least(mine, other).alias("i"), F.greatest(mine, other).alias("j"), mine.alias("side"), "lid", "root")
     dealt = dealt.join(texts(open_.select("lid")), "lid").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = dealt.select("key", "i", "j", "side", "lid", "root", "line").mapInArrow(_link_blocks(threshold), "u long, v long")
+    more = dealt.select("key", "i", "j", "side", "lid", "root", "line").mapInArrow(_link_blocks(threshold, k), "u long, v long")
     return connected_components(links.unionByName(more)).df
 
 

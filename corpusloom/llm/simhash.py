@@ -11,6 +11,11 @@ further splits where a leaf is large, and a spanning forest leaves it: never all
 Defined cases: a null or empty text has fingerprint zero and links like any other; fewer words than a
 shingle has make one shingle of the whole sequence; a null doc_id never becomes a component's id unless
 nothing else is there. Repeated rows get equal results. Other columns are ignored or carried along.
+
+`deduplicate_similar` serves the pipeline: documents link where the Jaccard similarity of their five-word
+shingles is at least 0.8. Fingerprints of such pairs differ in up to about 20 of 64 bits, a radius at which
+balls part nothing (unrelated ones differ by 32, standard deviation 4). Its candidates therefore come from
+MinHash bands, as in line_dedup, and every link is checked exactly. Texts without a word are equal.
 """
 
 from __future__ import annotations
@@ -26,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from .common import connected_components, stage, table
+from .line_dedup import similar_lines
 
 #: Fingerprints in the sample that the routing tree is fitted on, at most.
 SAMPLE = 20_000
@@ -33,18 +39,25 @@ SAMPLE = 20_000
 LEAF = 4096
 
 
+def word_sequence(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def shingle_hashes(words: list[bytes], width: int) -> list[int]:
+    """XXH64 of every `width` words in a row, or of the whole sequence if it has fewer."""
+    h = xxhash.xxh64_intdigest
+    joined = b" ".join(words)
+    if len(words) <= width:
+        return [h(joined, 42)]
+    starts = [0, *accumulate(len(w) + 1 for w in words)]
+    return [h(joined[a : b - 1], 42) for a, b in zip(starts, starts[width:])]
+
+
 def fingerprint(text: str | None, width: int = 3) -> int:
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    words = word_sequence(text)
     if not words:
         return 0
-    h = xxhash.xxh64_intdigest
-    joined = b" ".join(words)
-    n = len(words)
-    if n <= width:
-        hashes = [h(joined, 42)]
-    else:
-        starts = [0, *accumulate(len(w) + 1 for w in words)]
-        hashes = [h(joined[a : b - 1], 42) for a, b in zip(starts, starts[width:])]
+    hashes = shingle_hashes(words, width)
     counts = np.zeros(64, np.int64)
     every = np.array(hashes, np.uint64)
     for k in range(0, len(every), 8192):
@@ -184,15 +197,19 @@ def deduplicate(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
 
     Between rows with one doc_id the smaller (fingerprint, text hash) stays; of equal rows one.
     """
-    names = docs.columns
     base = docs.select("doc_id", F.xxhash64("text").alias("th"), fingerprint_udf(width)("text").alias("fp"))
     base = stage(base, "fingerprints").df
     me = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "th")
     fps = stage(base.groupBy("fp").agg(F.min(me).alias("low"), F.count("*").alias("n")), "distinct").df
     parts = fingerprint_components(fps, radius).df
     named = fps.join(parts, fps.fp == parts.node, "left").select("low", "n", F.coalesce("root", "fp").alias("root"))
-    stay = named.groupBy("root").agg(F.min("low").alias("low")).select("low.doc_id", "low.th")
-    stay = stage(stay.select(F.col("doc_id").alias("__cl_id"), F.col("th").alias("__cl_th")), "keepers").df
+    return _kept(docs, base, named.groupBy("root").agg(F.min("low").alias("low")))
+
+
+def _kept(docs: DataFrame, base: DataFrame, stay: DataFrame) -> DataFrame:
+    """The rows of docs that stay (low: doc_id, th) names, equal ones once. base: doc_id, th of all rows, staged."""
+    names = docs.columns
+    stay = stage(stay.select(F.col("low.doc_id").alias("__cl_id"), F.col("low.th").alias("__cl_th")), "keepers").df
     out = docs.withColumn("__cl_hash", F.xxhash64("text"))
     out = out.join(stay, out.doc_id.eqNullSafe(stay["__cl_id"]) & (out["__cl_hash"] == stay["__cl_th"]), "left_semi")
     twice = base.groupBy("doc_id", "th").count().where("count > 1").select(F.col("doc_id").alias("__cl_id"), F.col("th").alias("__cl_th"))
@@ -201,6 +218,43 @@ def deduplicate(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     return out.select(*names)
 
 
+def _sequence_udf():
+    @pandas_udf("binary")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([xxhash.xxh3_128_digest(b" ".join(word_sequence(t))) for t in texts], dtype="object")
+
+    return run
+
+
+def _word_shingles(width: int) -> Callable:
+    def run(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        every = [shingle_hashes(words, width) if words else [] for words in map(word_sequence, texts)]
+        return np.array([h for own in every for h in own], np.uint64), np.array([len(own) for own in every], np.int64)
+
+    return run
+
+
+def deduplicate_similar(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
+    """The rows of docs without near-duplicates: of each component of similar texts the row with the smallest doc_id.
+
+    Between rows with one doc_id the smaller text hash stays; of equal rows one.
+    """
+    base = docs.select("doc_id", F.xxhash64("text").alias("th"), _sequence_udf()("text").alias("words"))
+    base = stage(base, "sequences").df
+    me = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    kinds = base.groupBy("words").agg(F.min(me).alias("low"), F.count("*").alias("n"))
+    # numbers in falling order of frequency (by powers of two), so that a bucket's first text is a frequent one
+    rare = F.lit(63).cast("long") - F.floor(F.log2("n")).cast("long")
+    kinds = stage(kinds.select(F.shiftleft(rare, 53).bitwiseOR(F.monotonically_increasing_id()).alias("lid"), "low"), "distinct").df
+    named = kinds.select("lid", F.col("low.doc_id").alias("__cl_id"), F.col("low.th").alias("__cl_th"))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).alias("line"))
+    texts = texts.join(named, texts.doc_id.eqNullSafe(named["__cl_id"]) & (texts.th == named["__cl_th"]))
+    texts = stage(texts.dropDuplicates(["lid"]).select("lid", "line"), "texts").df
+    parts = similar_lines(texts, threshold, _word_shingles(width)).withColumnRenamed("node", "lid")
+    roots = kinds.join(parts, "lid", "left").select("low", F.coalesce("root", "lid").alias("root"))
+    return _kept(docs, base, roots.groupBy("root").agg(F.min("low").alias("low")))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_groups(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -1,5 +1,6 @@
 """Each stage of the pipeline against a plain version on that stage's own input."""
 
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -76,3 +77,33 @@ def test_stages(spark, sf, tmp_path):
 def test_run_is_the_stages_in_order(spark, sf):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "simhash_near_dedup", "mixing", "packing"]
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_near_dedup_against_all_pairs(spark):
+    """Copies with replaced words at a five-word Jaccard similarity of 0.75 to 1, none of them equal."""
+    rng = random.Random(11)
+    texts, share = [], []
+    for n, most in [(100, 4), (300, 10), (1000, 30)] * 20:
+        base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        texts.append(base)
+        for edits in (most // 2, most):
+            copy = list(base)
+            for at in rng.sample(range(n), edits):
+                copy[at] = f"v{rng.randrange(10**6)}"
+            texts.append(copy)
+    hub = [f"h{k}" for k in range(200)]
+    texts += [[*hub[: k % 7], f"x{k}", *hub[k % 7 :]] for k in range(60)]  # one large group
+    texts += [[], [], ["one"], ["ONE"], ["one", "two"]]
+    grams = [{tuple(w.lower() for w in t[i : i + 5]) for i in range(max(1, len(t) - 4))} for t in texts]
+    forest = Forest()
+    for i, a in enumerate(grams):
+        for j in range(i):
+            both = len(a & grams[j])
+            similarity = both / (len(a) + len(grams[j]) - both)
+            if similarity >= 0.8:
+                forest.join(i, j)
+                share.append(similarity)
+    assert sum(s < 0.95 for s in share) > 60
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = sorted(r["doc_id"] for r in collected(corpus_pipeline.dedup_near(spark, docs, "")))
+    assert got == [i for i in range(len(texts)) if forest.find(i) == i]
