@@ -114,6 +114,24 @@ def test_text_scores_find_their_copies(spark):
     assert hits >= 0.9 * sum(map(len, want.values())) and hits > 3
 
 
+def test_altered_texts_are_found(spark):
+    """Words inserted mid-text or replaced, against every offset at the thresholds that define a match."""
+    rng, rows, want = random.Random(5), [], set()
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9)))
+    for k in range(60):
+        base = [word() for _ in range(rng.randint(150, 600))]
+        half = len(base) // 2
+        copy = [base[:half] + [word() for _ in range(5 - 2 * (k % 2))] + base[half:], [word() if rng.random() < 0.12 else w for w in base]][k % 3 == 2]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+        x, y = (chroma.integers(chroma.text_frames(t)) for _, t in rows[-2:])
+        if any(n >= 8 and e <= 0.25 for n, e in (chroma.bit_error(x, y, o) for o in range(-len(y) + 8, len(x) - 7))):
+            want.add(2 * k)
+    media = spark.createDataFrame(rows, "id long, media string")
+    found = {m["query_id"] for r in collected(chroma.align(media, every=2)) for m in r["matches"] if m["query_id"] == r["id"] - 1}
+    print(f"recall {len(want & found)} of {len(want)}")
+    assert len(want) > 50 and len(want & found) >= 0.9 * len(want)
+
+
 # -- 4: pages ------------------------------------------------------------------------------------------
 
 PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style><script>var x = "</p><article>no</article>";</script></head>
