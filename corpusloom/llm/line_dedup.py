@@ -3,7 +3,7 @@
 Lines are parted by \\n and compared without white space at their ends. Equal lines collapse first by an
 aggregation with map-side combine. Each distinct line then gets a MinHash signature over its character
 shingles (SHINGLE characters), and BANDS bands of ROWS values make it meet its candidates; at a similarity
-of 0.8 a pair misses all bands with probability under 2e-3, at 0.85 under 2e-4. In a bucket every line meets
+of 0.8 a pair misses all bands with probability under 3e-4, at 0.85 under 1e-5. In a bucket every line meets
 the most frequent one (its centre), candidate pairs' exact Jaccard similarity is computed, and those of at
 least `threshold` link. Where lines of a larger bucket then do not hang on its centre, its lines are dealt
 to tasks by pairs of blocks of BLOCK lines, and each task tests the pairs that nothing links yet, first by
@@ -32,7 +32,7 @@ from pyspark.sql.functions import pandas_udf
 from .common import connected_components, stage, table
 
 SHINGLE = 8
-BANDS, ROWS = 12, 4
+BANDS, ROWS = 16, 4
 CENTRES = 1
 BLOCK = 2048
 LEAST_EQUAL = 0.6

@@ -216,3 +216,9 @@ def test_empty_tables(spark):
     assert simhash.near_groups(docs).count() == 0
     assert simhash.deduplicate(docs).count() == 0
     assert line_dedup.deduplicate_lines(docs).count() == 0
+
+
+def test_bands_miss_few_pairs():
+    assert (1 - 0.8**line_dedup.ROWS) ** line_dedup.BANDS < 3e-4
+    _, keys = line_dedup.band_keys(["a line that is long enough for its shingles to fill most of the bins of a signature"])
+    assert len(keys) % 16 == 0
