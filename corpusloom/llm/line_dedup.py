@@ -5,15 +5,19 @@ aggregation with map-side combine. Each distinct line then gets a MinHash signat
 shingles (SHINGLE characters), and BANDS bands of ROWS values make it meet its candidates; at a similarity
 of 0.8 a pair misses all bands with probability under 3e-4, at 0.85 under 1e-5. In a bucket every line meets
 the most frequent one (its centre), candidate pairs' exact Jaccard similarity is computed, and those of at
-least `threshold` link. Where lines of a larger bucket then do not hang on its centre, its lines are dealt
-to tasks by pairs of blocks of BLOCK lines, and each task tests the pairs that nothing links yet, first by
-their signatures (LEAST_EQUAL equal values, which a similarity of 0.8 misses with probability under 1e-3),
-then exactly; pairs within a component are not tested. All links form components, and of each component one
-occurrence stays, that with the smallest (doc_id, line number).
+least `threshold` link. The components of these links go back to the buckets. Where a bucket's lines then
+lie in several components, they are dealt to tasks by pairs of blocks of BLOCK lines, and each task tests the
+pairs that nothing links yet: bitmaps of the shingles bound the symmetric difference from below, which loses
+no pair, and what passes is tested exactly. Such a bucket costs the square of its lines in the number of
+those bounds (some nanoseconds each), spread over tasks. All links form components, and of each component
+one occurrence stays, that with the smallest (doc_id, line number).
+
+Band keys travel packed: a task parts its keys by their highest bits into BUCKETS or more binary rows.
 
 Defined cases: blank lines always stay, and a null text stays null (it has no lines); lines shorter than a
 shingle meet only equal lines; rows with one doc_id count as one document, a null doc_id comes after all
-others; repeated rows get equal results; an empty table gives an empty result; other columns are kept.
+others; repeated rows get equal results; very long lines are shingled whole; an empty table gives an empty
+result; other columns are kept.
 """
 
 from __future__ import annotations
@@ -33,9 +37,9 @@ from .common import connected_components, stage, table
 
 SHINGLE = 8
 BANDS, ROWS = 16, 4
-CENTRES = 1
 BLOCK = 2048
-LEAST_EQUAL = 0.6
+#: Packed rows that a bucket of keys should have at most, the least number of buckets, and keys sorted at once.
+PACKED, BUCKETS, CHUNK = 1 << 20, 256, 1 << 22
 THRESHOLD = 0.8
 #: Up to this many line numbers are broadcast to narrow a scan; beyond it the join is shuffled.
 BROADCAST_ROWS = 2_000_000
@@ -154,12 +158,12 @@ def shingle_sets(lines: list[str], k: int | Callable = SHINGLE) -> list[np.ndarr
     return out
 
 
-def overlap(x: np.ndarray, y: np.ndarray) -> float:
-    """Jaccard similarity of two sorted distinct arrays."""
+def overlap(x: np.ndarray, y: np.ndarray, least: float = 0.0) -> float:
+    """Jaccard similarity of two sorted distinct arrays; 0 where their sizes alone keep it under `least`."""
     if len(x) > len(y):
         x, y = y, x
-    if len(x) < 0.5 * len(y):  # far below any threshold in use
-        return len(x) / len(y)
+    if len(x) < least * len(y) - 1e-9:
+        return 0.0
     at = np.searchsorted(y, x)
     both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
     return both / (len(x) + len(y) - both)
@@ -181,37 +185,44 @@ def _similar(threshold: float, k: int | Callable):
             names = list(dict.fromkeys(left[at : at + 500]))  # rows come in the order of a: each centre is split once
             sets = dict(zip(names, shingle_sets(names, k)))
             others = shingle_sets(right[at : at + 500], k)
-            out += [overlap(sets[x], y) >= threshold for x, y in zip(left[at : at + 500], others)]
+            out += [overlap(sets[x], y, threshold) >= threshold for x, y in zip(left[at : at + 500], others)]
         return pd.Series(out, dtype="bool")
 
     return run
 
 
-def _agreement(sig: np.ndarray, there: np.ndarray, x: int, rest: np.ndarray) -> np.ndarray:
-    """Share of equal values between x and the rest, by a kind of signature that both have."""
-    size = sig.shape[1] // 2
-    out = np.zeros(len(rest))
-    for kind in (0, 1):
-        if there[x, kind]:
-            cols = slice(kind * size, (kind + 1) * size)
-            out = np.maximum(out, (sig[rest, cols] == sig[x, cols]).mean(axis=1) * there[rest, kind])
+def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of 64-bit words for each set: bit (element modulo their number) is 1."""
+    most = max(map(len, sets), default=0)
+    bits = 1024 if most <= 400 else 4096 if most <= 1600 else 16384
+    out = np.zeros((len(sets), bits // 64), np.uint64)
+    who, every = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets)
+    at = every % np.uint64(bits)
+    np.bitwise_or.at(out, (who, (at >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (at & np.uint64(63)))
     return out
 
 
-def link_block(lines: list[str], sig: np.ndarray, there: np.ndarray, labels: list[int], sides: list[int], threshold: float, k: int | Callable = SHINGLE) -> list[tuple[int, int]]:
-    """Positions of pairs that link two components; where there are two sides, pairs across them only."""
-    label, side, one_side = np.array(labels), np.array(sides), len(set(sides)) == 1
+def link_block(lines: list[str], labels: list[int], sides: list[int], threshold: float, k: int | Callable = SHINGLE) -> list[tuple[int, int]]:
+    """Positions of pairs that link two components; where there are two sides, pairs across them only.
+
+    The symmetric difference of two sets is at least the number of differing bits of their bitmaps, and at a
+    similarity of t at most (1 - t) / (1 + t) of the sum of their sizes.
+    """
+    label, side, one_side = np.unique(labels, return_inverse=True)[1], np.array(sides), len(set(sides)) == 1
     sets = shingle_sets(lines, k)
+    sizes, maps, share = np.array([len(x) for x in sets]), bitmaps(sets), (1 - threshold) / (1 + threshold)
     found = []
     for x in range(len(lines) - 1):
         open_ = label[x + 1 :] != label[x]
         if not one_side:
             open_ &= side[x + 1 :] != side[x]
-        if not open_.any():
-            continue
+        open_ &= np.minimum(sizes[x + 1 :], sizes[x]) >= threshold * np.maximum(sizes[x + 1 :], sizes[x]) - 1e-9
         rest = np.flatnonzero(open_) + x + 1
-        for y in rest[_agreement(sig, there, x, rest) >= LEAST_EQUAL]:
-            if label[y] != label[x] and overlap(sets[x], sets[y]) >= threshold:
+        if not len(rest):
+            continue
+        differ = np.bitwise_count(maps[rest] ^ maps[x]).sum(axis=1, dtype=np.int64)
+        for y in rest[differ <= share * (sizes[rest] + sizes[x]) + 1e-9]:
+            if label[y] != label[x] and overlap(sets[x], sets[y], threshold) >= threshold:
                 label[label == label[y]] = label[x]
                 found.append((x, int(y)))
     return found
@@ -224,85 +235,147 @@ def _link_blocks(threshold: float, k: int | Callable):
 
     def settle(group: list[tuple]) -> list[tuple[int, int]]:
         group.sort(key=lambda r: (r[3], r[4]))
-        sig, there = np.array([r[7] for r in group]), np.array([r[8] for r in group])
-        found = link_block([r[6] for r in group], sig, there, [r[5] for r in group], [r[3] for r in group], threshold, k)
-        return [(group[x][4], group[y][4]) for x, y in found]
+        roots = [r[5] for r in group]
+        found = link_block([r[6] for r in group], roots, [r[3] for r in group], threshold, k)
+        return [(roots[x], roots[y]) for x, y in found]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500)
-                lines = b.column("line").to_pylist()
-                _, sig, there = signatures(lines, k)  # every line here has a shingle
-                out: list[tuple[int, int]] = []
-                for row in zip(*(b.column(c).to_pylist() for c in ("key", "i", "j", "side", "lid", "root")), lines, sig, there):
-                    if group and group[0][:3] != row[:3]:
-                        out += settle(group)
-                        group = []
-                    group.append(row)
-                yield pack(out)
+        for b in batches:
+            out: list[tuple[int, int]] = []
+            for row in zip(*(b.column(c).to_pylist() for c in ("key", "i", "j", "side", "lid", "root", "line"))):
+                if group and group[0][:3] != row[:3]:
+                    out += settle(group)
+                    group = []
+                group.append(row)
+            yield pack(out)
         if group:
             yield pack(settle(group))
 
     return run
 
 
-def _bands(k: int | Callable):
+def _packed(x: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """A binary value of 64-bit integers for each range between two cuts."""
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
+
+
+def _bands(k: int | Callable, bands: int, rows: int, bits: int):
+    """Band keys and line numbers, packed by the `bits` highest bits of the keys."""
+
+    def pack(keys: list[np.ndarray], lids: list[np.ndarray]) -> pa.RecordBatch:
+        key, lid = np.concatenate(keys), np.concatenate(lids)
+        bucket = (key.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        bucket = bucket[order]
+        first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        cuts = np.append(first, len(key))
+        return pa.RecordBatch.from_arrays([pa.array(bucket[first]), _packed(key[order], cuts), _packed(lid[order], cuts)], ["bucket", "keys", "lids"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[list, list] = ([], [])
+        size = 0
         for b in batches:
-            lids, lines = b.column("lid").to_numpy(), b.column("line").to_pylist()
+            own, lines = b.column("lid").to_numpy(), b.column("line").to_pylist()
             for at in range(0, len(lines), 500):
-                who, keys = band_keys(lines[at : at + 500], k)
-                who = who + at
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(lids[who])], ["key", "lid"])
+                who, keys = band_keys(lines[at : at + 500], k, bands, rows)
+                held[0].append(keys)
+                held[1].append(own[who + at])
+                size += len(keys)
+                if size >= PACKED:
+                    yield pack(*held)
+                    held, size = ([], []), 0
+        if size:
+            yield pack(*held)
 
     return run
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key: pairs with the bucket's centres, and the members of buckets that have more lines.
+class Meeting:
+    """Keys and line numbers of one bucket, in portions: pairs with each key's centre, and members of keys with over two lines.
 
-    Within a batch the most frequent line of a bucket comes first, as the order of line numbers has it. What
-    crosses a batch is the open bucket's key, its count and its first lines: bounded at any size.
+    The centre is the most frequent line of the first portion with that key, as the order of line numbers has
+    it. What goes on to the next portion is a key's count and its first two lines, so that a key with very many
+    lines takes no more memory than any other.
     """
+
+    def __init__(self):
+        self.keys = None
+
+    def feed(self, keys: np.ndarray, lids: np.ndarray, last: bool) -> list[np.ndarray]:
+        """Columns key, rank (-1 for a pair), a, b."""
+        order = np.argsort(keys)
+        k = keys[order]
+        if last and self.keys is None:  # the usual case: a key that stands alone meets nothing
+            twice = np.append(k[1:] == k[:-1], False) | np.append(False, k[1:] == k[:-1])
+            order = order[twice]
+        order = order[np.lexsort((lids[order], keys[order]))]
+        k, own = keys[order], lids[order]
+        starts = np.flatnonzero(np.append(len(k) > 0, k[1:] != k[:-1]))
+        counts = np.diff(np.append(starts, len(k)))
+        group = np.repeat(np.arange(len(starts)), counts)
+        names, one = k[starts], own[starts]
+        two = np.where(counts > 1, own[np.minimum(starts + 1, max(0, len(own) - 1))], -1)
+        before = np.zeros(len(starts), np.int64)
+        if self.keys is not None and len(names):
+            at = np.minimum(np.searchsorted(self.keys, names), len(self.keys) - 1)
+            hit = self.keys[at] == names
+            before = np.where(hit, self.counts[at], 0)
+            two = np.where(before > 1, self.two[at], np.where(before == 1, one, two))
+            one = np.where(before > 0, self.one[at], one)
+        rank = np.arange(len(k)) - starts[group] + before[group]
+        pair = rank > 0
+        centre = one[group]
+        large = before + counts > 2
+        late1, late2 = large & (before > 0) & (before < 3), large & (before == 2)
+        members = large[group]
+        out = [
+            (k[pair], np.full(int(pair.sum()), -1), np.minimum(centre, own)[pair], np.maximum(centre, own)[pair]),
+            (k[members], rank[members], own[members], own[members]),
+            (names[late1], np.zeros(int(late1.sum()), np.int64), one[late1], one[late1]),
+            (names[late2], np.ones(int(late2.sum()), np.int64), two[late2], two[late2]),
+        ]
+        if not last:
+            new = [names, before + counts, one, two]
+            if self.keys is not None:
+                stay = ~np.isin(self.keys, names)
+                new = [np.concatenate([o[stay], n]) for o, n in zip((self.keys, self.counts, self.one, self.two), new)]
+            order = np.argsort(new[0])
+            self.keys, self.counts, self.one, self.two = (x[order] for x in new)
+        return [np.concatenate([o[i] for o in out]).astype(np.int64) for i in range(4)]
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed rows in the order of their buckets: pairs with centres, and members of keys that have more lines."""
     names = ["key", "rank", "a", "b"]
-    key, count, first = 0, 0, np.zeros(0, np.int64)
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        old = len(first)
-        own = [batch.column(c).to_numpy() for c in ("lid", "key")]
-        order = np.lexsort(own)
-        keys = np.append(np.full(old, key), own[1][order])
-        lids = np.append(first, own[0][order])
-        at = np.arange(len(keys))
-        start = np.maximum.accumulate(np.where(np.append(True, keys[1:] != keys[:-1]), at, 0))
-        rank = at - start
-        if old:  # the open bucket's lines between its first ones and this batch are not here any more
-            rank[old:] += np.where(start[old:] == 0, count - old, 0)
-        fresh = at >= old
-        out = []
-        for c in range(CENTRES):
-            later = np.flatnonzero(fresh & (rank > c))
-            centre, own = lids[start[later] + c], lids[later]
-            out.append((keys[later], np.full(len(later), -1), np.minimum(centre, own), np.maximum(centre, own)))
-        # the line of rank CENTRES + 1 shows that a bucket is large; its earlier lines then follow
-        large = np.flatnonzero(fresh & (rank > CENTRES))
-        out.append((keys[large], rank[large], lids[large], lids[large]))
-        for i in np.flatnonzero(fresh & (rank == CENTRES + 1)):
-            own = lids[start[i] : start[i] + CENTRES + 1]
-            out.append((np.full(len(own), keys[i]), np.arange(len(own)), own, own))
-        key, count = keys[-1], int(rank[-1]) + 1
-        first = lids[start[-1] :][: CENTRES + 1]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out]).astype(np.int64)) for i in range(4)], names)
-
-
-def similar_lines(lines: DataFrame, threshold: float = THRESHOLD, k: int | Callable = SHINGLE) -> DataFrame:
+    bucket, meeting, keys, lids, size = None, Meeting(), [], [], 0
+
+    def feed(last: bool) -> pa.RecordBatch:
+        cols = meeting.feed(np.concatenate(keys), np.concatenate(lids), last)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
+
+    for b in batches:
+        for own, key, lid in zip(b.column("bucket").to_pylist(), b.column("keys"), b.column("lids")):
+            if keys and own != bucket:
+                yield feed(True)
+                meeting, keys, lids, size = Meeting(), [], [], 0
+            elif size >= CHUNK:
+                yield feed(False)
+                keys, lids, size = [], [], 0
+            bucket = own
+            keys.append(np.frombuffer(key.as_buffer(), np.int64))
+            lids.append(np.frombuffer(lid.as_buffer(), np.int64))
+            size += len(keys[-1])
+    if keys:
+        yield feed(True)
+
+
+def similar_lines(lines: DataFrame, threshold: float = THRESHOLD, k: int | Callable = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """lines: staged (lid, line), one row a distinct line. Gives (node, root) of lines that have a link."""
-    rows = lines.mapInArrow(_bands(k), "key long, lid long")
-    rows = rows.repartition("key").sortWithinPartitions("key")
-    met = stage(rows.mapInArrow(_meet, "key long, rank long, a long, b long"), "buckets").df
+    bits = min(16, max(BUCKETS, 2 * bands * lines.count() // PACKED).bit_length())
+    sent = lines.select("lid", "line").mapInArrow(_bands(k, bands, rows, bits), "bucket int, keys binary, lids binary")
+    sent = sent.repartition("bucket").sortWithinPartitions("bucket")
+    met = stage(sent.mapInArrow(_meet, "key long, rank long, a long, b long"), "buckets").df
     large = met.where("rank >= 0").selectExpr("key", "rank", "a AS lid")
 
     def texts(ids: DataFrame) -> DataFrame:
@@ -315,24 +388,28 @@ def similar_lines(lines: DataFrame, threshold: float = THRESHOLD, k: int | Calla
     text = texts(pairs.select(F.explode(F.array("a", "b")).alias("lid")))
     both = pairs.join(text.select(F.col("lid").alias("b"), F.col("line").alias("lb")), "b")
     both = both.join(text.select(F.col("lid").alias("a"), F.col("line").alias("la")), "a")
-    links = stage(both.where(_similar(threshold, k)("la", "lb")).select(F.col("a").alias("u"), F.col("b").alias("v")), "links").df
-
-    centre = large.where("rank = 0").select("key", F.col("lid").alias("centre"))
-    named = large.join(centre, "key")
-    tied = links.select(F.col("u").alias("lo"), F.col("v").alias("hi"), F.lit(True).alias("tied"))
-    named = named.withColumn("lo", F.least("lid", "centre")).withColumn("hi", F.greatest("lid", "centre")).join(tied, ["lo", "hi"], "left")
-    named = named.withColumn("root", F.when(F.col("tied"), F.col("centre")).otherwise(F.col("lid"))).select("key", "rank", "lid", "root")
-    named = stage(named, "members").df
+    links = both.where(_similar(threshold, k)("la", "lb")).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    parts = connected_components(links).df
+
+    named = large.join(_bounded(parts.withColumnRenamed("node", "lid")), "lid", "left")
+    named = stage(named.select("key", "rank", "lid", F.coalesce("root", "lid").alias("root")), "members").df
     members = F.sum(F.xxhash64("lid").cast("decimal(20,0)")).alias("members")
     spread = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("rank").alias("top"), members)
     once = spread.where("lo <> hi").groupBy("members", "top").agg(F.min("key").alias("key")).select("key", "top")
-    open_ = stage(named.join(once, "key"), "open").df  # of buckets with the same lines one is enough
+    once = stage(once, "once").df
+    open_ = stage(named.join(_bounded(once), "key"), "open").df  # of buckets with the same lines one is enough
     mine, other = F.floor(F.col("rank") / BLOCK), F.col("other")
     dealt = open_.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("top") / BLOCK))))
     dealt = dealt.select("key", F.least(mine, other).alias("i"), F.greatest(mine, other).alias("j"), mine.alias("side"), "lid", "root")
     dealt = dealt.join(texts(open_.select("lid")), "lid").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     more = dealt.select("key", "i", "j", "side", "lid", "root", "line").mapInArrow(_link_blocks(threshold, k), "u long, v long")
-    return connected_components(links.unionByName(more)).df
+    more = stage(more, "links").df
+    if more.isEmpty():
+        return parts
+    joined = connected_components(more).df.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    known = parts.join(_bounded(joined), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    fresh = joined.join(parts, joined["root"] == parts["node"], "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root"))
+    return stage(known.unionByName(fresh), "components").df
 
 
 def _bounded(rows: DataFrame) -> DataFrame:
@@ -359,7 +436,7 @@ def _place() -> Column:
     return (doc + F.col("no").cast("decimal(12,0)")).cast("decimal(38,0)")
 
 
-def line_decisions(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def line_decisions(docs: DataFrame, threshold: float = THRESHOLD, **banding) -> DataFrame:
     """(doc_id, text hash, numbers of the lines that go) of documents that lose a line."""
     parts = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("th"), F.split("text", "\n").alias("parts"))
     raw = parts.select("doc_id", "th", F.posexplode("parts").alias("no", "raw"))  # the hash is made once a document
@@ -367,12 +444,12 @@ def line_decisions(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     found = lines.select("line", _place().alias("place")).groupBy("line").agg(F.count("*").alias("n"), F.min("place").alias("place"))
     # numbers in falling order of frequency (by powers of two), so that a bucket's first line is a frequent one
     rare = F.lit(63).cast("long") - F.floor(F.log2("n")).cast("long")
-    lid = F.shiftleft(rare, 53).bitwiseOR(F.monotonically_increasing_id())
+    lid = F.shiftleft(rare, 57).bitwiseOR(F.monotonically_increasing_id())
     found = found.select(lid.alias("lid"), "line", *_hash(), "n", "place")
     found = stage(found, "lines").df
-    parts = _bounded(similar_lines(found.select("lid", "line"), threshold).withColumnRenamed("node", "lid"))
+    parts = _bounded(similar_lines(found.select("lid", "line"), threshold, **banding).withColumnRenamed("node", "lid"))
     joined = found.select("lid", "h1", "h2", "place").join(parts, "lid")
-    keeps = joined.groupBy("root").agg(F.min("place").alias("keep"))
+    keeps = _bounded(stage(joined.groupBy("root").agg(F.min("place").alias("keep")), "keeps").df)
     alone = found.where("n > 1").select("lid", "h1", "h2", F.col("place").alias("keep")).join(parts, "lid", "left_anti")
     rules = joined.join(keeps, "root").select("h1", "h2", "keep").unionByName(alone.select("h1", "h2", "keep"))
     rules = stage(rules, "rules").df
@@ -381,9 +458,13 @@ def line_decisions(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return stage(gone.groupBy("doc_id", "th").agg(F.collect_set("no").alias("gone")), "gone").df
 
 
-def deduplicate_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, all columns, with the lines that stay as text; adds __cl_lines and __cl_gone."""
-    gone = line_decisions(docs, threshold)
+def deduplicate_lines(docs: DataFrame, threshold: float = THRESHOLD, **banding) -> DataFrame:
+    """The rows of docs, all columns, with the lines that stay as text; adds __cl_lines and __cl_gone.
+
+    banding: bands and rows of the signatures. At a similarity of s a pair misses every band with probability
+    (1 - s^rows)^bands; more rows mean fewer chance candidates, for tables of over about a billion lines.
+    """
+    gone = line_decisions(docs, threshold, **banding)
     few, numbers = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()
     gone = gone.select(F.col("doc_id").alias("__cl_id"), F.col("th").alias("__cl_th"), F.col("gone").alias("__cl_no"))
     if few <= NARROW_ROWS and numbers <= 8 * NARROW_ROWS:

@@ -245,7 +245,7 @@ def deduplicate_similar(docs: DataFrame, width: int = 5, threshold: float = 0.8)
     kinds = base.groupBy("words").agg(F.min(me).alias("low"), F.count("*").alias("n"))
     # numbers in falling order of frequency (by powers of two), so that a bucket's first text is a frequent one
     rare = F.lit(63).cast("long") - F.floor(F.log2("n")).cast("long")
-    kinds = stage(kinds.select(F.shiftleft(rare, 53).bitwiseOR(F.monotonically_increasing_id()).alias("lid"), "low"), "distinct").df
+    kinds = stage(kinds.select(F.shiftleft(rare, 57).bitwiseOR(F.monotonically_increasing_id()).alias("lid"), "low"), "distinct").df
     named = kinds.select("lid", F.col("low.doc_id").alias("__cl_id"), F.col("low.th").alias("__cl_th"))
     texts = docs.select("doc_id", F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).alias("line"))
     texts = texts.join(named, texts.doc_id.eqNullSafe(named["__cl_id"]) & (texts.th == named["__cl_th"]))

@@ -164,7 +164,7 @@ def test_lines_against_all_pairs(spark):
 
 def test_blocks_reach_every_component(spark, monkeypatch):
     """With one band for all lines, one bucket holds several components larger than the first centres."""
-    monkeypatch.setattr(line_dedup, "_bands", lambda batches: (one for b in batches for one in [same_bucket(b)]))
+    monkeypatch.setattr(line_dedup, "band_keys", lambda lines, *_: (np.arange(len(lines)), np.full(len(lines), 1, np.int64)))
     bases = [chr(97 + k) * 3 + f"{k} " + " ".join(f"{chr(97 + k)}{j}w" for j in range(30)) for k in range(6)]
     rows = [(i, f"{bases[i % 6]} {'z' * (i // 6)}") for i in range(36)]
     lines = spark.createDataFrame([(i, t, 1) for i, t in rows], "lid long, line string, n long")
@@ -187,27 +187,43 @@ def test_signatures_agree_at_every_length():
     assert missed <= 1
 
 
-def same_bucket(b):
+@pytest.mark.parametrize("chunk", [1, 7, 60])
+def test_meet_is_the_same_however_rows_are_batched(monkeypatch, chunk):
     import pyarrow as pa
 
-    n = b.num_rows
-    return pa.RecordBatch.from_arrays([pa.array([1] * n, pa.int64()), b.column("lid")], ["key", "lid"])
-
-
-@pytest.mark.parametrize("k", [3, 60])
-def test_meet_is_the_same_however_rows_are_batched(k):
-    import pyarrow as pa
-
-    keys = sorted([1] * 30 + [2] + [3] * 2 + [4] * 12)
-    rows = [pa.array(keys), pa.array(range(len(keys)))]
-    whole = pa.RecordBatch.from_arrays(rows, ["key", "lid"])
+    keys = np.array([1] * 30 + [2] + [3] * 2 + [4] * 12 + [-5] * 3, np.int64)
+    lids = np.arange(len(keys))
 
     def run(size):
-        parts = [whole.slice(i, size) for i in range(0, len(keys), size)]
-        return sorted(tuple(r.values()) for b in line_dedup._meet(iter(parts)) for r in b.to_pylist())
-
-    assert run(k) == run(1000)
-    assert {r[1] for r in run(1000) if r[0] == 4} == {-1, *range(12)}
+        rows = []
+        for bucket in (0, 1):
+            own = np.flatnonzero((keys < 0) == bool(bucket))
+            rows += [(bucket, keys[own[i : i + size]].tobytes(), lids[own[i : i + size]].tobytes()) for i in range(0, len(own), size)]
+        cols = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))]
+        whole = pa.RecordBatch.from_arrays(cols, ["bucket", "keys", "lids"])
+        return sorted(tuple(r.values()) for b in line_dedup._meet(iter([whole.slice(0, 2), whole.slice(2)])) for r in b.to_pylist())
+
+    want = run(1000)
+    assert {r[1] for r in want if r[0] == 4} == {-1, *range(12)} and not [r for r in want if r[0] == 2]
+    assert [r for r in want if r[0] == 3] == [(3, -1, 31, 32)]
+    monkeypatch.setattr(line_dedup, "CHUNK", chunk)
+    for size in (1, 3, 5):
+        assert run(size) == want
+
+
+def test_bitmaps_bound_the_symmetric_difference():
+    rng = np.random.default_rng(6)
+    for n in (5, 300, 1000, 5000):
+        sets = [np.unique(rng.integers(0, 2 * n, n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(12)]
+        maps = line_dedup.bitmaps(sets)
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                assert np.bitwise_count(maps[i] ^ maps[j]).sum() <= len(np.setxor1d(a, b))
+
+
+def test_overlap_is_exact_at_any_threshold():
+    x, y = np.arange(10, dtype=np.uint64), np.arange(40, dtype=np.uint64)
+    assert line_dedup.overlap(x, y) == 0.25 and line_dedup.overlap(y, x, 0.2) == 0.25 and line_dedup.overlap(x, y, 0.3) == 0.0
 
 
 def test_empty_tables(spark):
