@@ -10,12 +10,18 @@ at the anchor, and the reversed prefixes that end there. Multikey quicksort orde
 depth, blind tries the groups that still agree there. Common prefix lengths of both orders then tell for
 every offset whether another context has the same window.
 
-An anchor with over HOT distinct contexts is settled by counting hashes of its windows with map-side
-combine instead, so that no task holds an unbounded group; the result is the same.
-
-Defined cases: a null text is the empty text; texts under `span` bytes lose nothing; rows with one text,
-with or without the same doc_id, are copies of each other; an empty table gives an empty result; other
-columns are ignored.
+An anchor with over HOT distinct contexts is dealt again: its windows part by ranges of their offset from
+the anchor, each context is cut to each range, and what the windows of a range have in common (more than
+the anchor) joins the key. Equal cuts fall together by their bytes with map-side combine, and each smaller
+group is sorted in the same way; at one offset a range, equal cuts are all that is left. So no task holds
+an unbounded group. Anchors and contexts that very many documents share meet their partners by a broadcast
+of at most PARTS keys, all others by a shuffled join.
+
+Defined cases: a null text is the empty text; texts under `span` bytes lose nothing; very long texts are
+read in overlapping portions of _BATCH bytes, with equal results; rows with one text, with or without the
+same doc_id, are copies of each other; ties do not arise, as strings are judged, not rows; an empty table
+gives an empty result; other columns are ignored. In the text column, bytes that a cut leaves as no valid
+UTF-8 become U+FFFD; kept_sha256 is of the bytes themselves.
 """
 
 from __future__ import annotations
@@ -34,7 +40,9 @@ from .common import stage, table
 SPAN = 400
 GRAM = 64
 SHALLOW = 64
-HOT = 20_000
+HOT = 8192
+#: A key with more than this part of all rows is heavy: there are at most PARTS of them.
+PARTS = 4096
 #: Up to this many rows are broadcast to narrow a scan of texts; beyond it the join is shuffled.
 BROADCAST_ROWS = 2_000_000
 _BATCH = 4 << 20
@@ -232,7 +240,12 @@ def _list_anchors(span: int, gram: int):
             texts, cids = b.column("bytes").to_pylist(), b.column("cid")
             for who, _, parts in _portions(texts, span):
                 k, _, _, _, h = window_anchors(parts, span, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), cids.take(pa.array(who[k]))], ["h", "cid"])
+                k, h = who[k], h.view(np.int64)
+                order = np.lexsort((h, k))
+                k, h = k[order], h[order]
+                at = np.flatnonzero(np.append(len(k) > 0, (k[1:] != k[:-1]) | (h[1:] != h[:-1])))
+                n = np.diff(np.append(at, len(k)))
+                yield pa.RecordBatch.from_arrays([pa.array(h[at]), cids.take(pa.array(k[at])), pa.array(n)], ["h", "cid", "n"])
 
     return run
 
@@ -307,50 +320,95 @@ def _judge(span: int, gram: int):
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     for b in batches:
         rows = []
-        for cid, data, spans in zip(b.column("cid").to_pylist(), b.column("bytes").to_pylist(), b.column("spans").to_pylist()):
+        for doc_id, data, spans in zip(b.column("doc_id").to_pylist(), b.column("bytes").to_pylist(), b.column("spans").to_pylist()):
             merged: list[list[int]] = []
             for s in sorted((x["a"], x["b"]) for x in spans):
                 if merged and s[0] <= merged[-1][1]:
                     merged[-1][1] = max(merged[-1][1], s[1])
                 else:
                     merged.append(list(s))
-            digest, at = hashlib.sha256(), 0
-            for lo, hi in merged:
-                digest.update(data[at:lo])
-                at = hi
-            digest.update(data[at:])
-            rows.append((cid, sum(hi - lo for lo, hi in merged), len(merged), digest.hexdigest()))
-        cols = list(zip(*rows)) or [()] * 4
-        types = [pa.binary(), pa.int64(), pa.int64(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["cid", "n_removed", "n_spans", "kept_sha256"])
+            cuts = [0, *(x for m in merged for x in m), len(data)]
+            kept = b"".join(data[lo:hi] for lo, hi in zip(cuts[::2], cuts[1::2]))
+            rows.append((doc_id, len(data), len(data) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")))
+        cols = list(zip(*rows)) or [()] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
 
 # -- the operator --------------------------------------------------------------------------------------
 
 
+_OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
+
+
 def _only(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """rows with (left_semi) or without (left_anti) the few ids, broadcast where their count is bounded."""
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, ids.columns, how)
 
 
-def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+def _meet(rows: DataFrame, side: DataFrame, heavy: DataFrame, on: list[str]) -> DataFrame:
+    """rows joined with side. heavy: staged keys with over a PARTS-th of the rows, so at most PARTS of them."""
+    heavy = F.broadcast(heavy)
+    return rows.join(F.broadcast(side.join(heavy, on, "left_semi")), on).unionByName(rows.join(heavy, on, "left_anti").join(side, on))
+
+
+def _ranges(contexts: DataFrame, span: int, width: int) -> DataFrame:
+    """Contexts cut to each range of `width` offsets of their windows from the anchor, under finer keys.
+
+    h2: the anchor with the bytes that all windows of the range hold; off2: the anchor's place in the cut;
+    w: the cut's first window. Equal windows stand at equal offsets, so they come under equal keys.
+    """
+    low, high = F.col("off") - (F.octet_length("ctx") - span), F.col("off")
+    part = F.explode(F.sequence(F.floor(low / width), F.floor(high / width))).alias("part")
+    c = contexts.select("h", "off", "ctxd", "n", "ctx", low.alias("low"), part)
+    first, last = F.col("part") * width, (F.col("part") + 1) * width - 1
+    c = c.withColumn("w", (F.col("off") - F.least(last, F.col("off"))).cast("int"))
+    until = F.col("off") - F.greatest(first, F.col("low")) + span
+    shared = F.substring("ctx", (F.col("off") - first + 1).cast("int"), (first - last + span).cast("int"))
+    return c.select(
+        "h", "off", "ctxd", "n", "w", F.xxhash64("h", "part", shared).alias("h2"), (F.col("off") - F.col("w")).alias("off2"),
+        F.substring("ctx", F.col("w") + 1, (until - F.col("w")).cast("int")).alias("ctx"),
+    ).withColumn("ctxd2", F.substring(F.unhex(F.sha2("ctx", 256)), 1, 16))
+
+
+def _repeated(distinct: DataFrame, span: int, gram: int, hot: int, width: int) -> DataFrame:
+    """distinct: staged (h, off, ctxd, ctx, n). (h, off, ctxd, w0, w1): the windows that another place has as well."""
+    crowded = stage(distinct.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > hot).select("h"), "crowded").df
+    calm = _only(distinct, crowded, "left_anti")
+    calm = calm.repartition("h").sortWithinPartitions("h").select("h", "off", "ctxd", "ctx", "n")
+    found = calm.mapInArrow(_judge(span, gram), "h long, off int, ctxd binary, w0 int, w1 int")
+    if crowded.isEmpty():
+        return found
+    pieces = stage(_ranges(_only(distinct, crowded, "left_semi"), span, width), "pieces").df
+    finer = pieces.groupBy(F.col("h2").alias("h"), F.col("off2").alias("off"), F.col("ctxd2").alias("ctxd"), "ctx").agg(F.sum("n").alias("n"))
+    finer = stage(_repeated(stage(finer, "distinct").df, span, gram, hot, max(1, width // 16)), "repeated").df
+    finer = finer.select(F.col("h").alias("h2"), F.col("off").alias("off2"), F.col("ctxd").alias("ctxd2"), "w0", "w1")
+    back = pieces.select("h", "off", "ctxd", "w", "h2", "off2", "ctxd2").join(finer, ["h2", "off2", "ctxd2"])
+    return found.unionByName(back.select("h", "off", "ctxd", (F.col("w") + F.col("w0")).alias("w0"), (F.col("w") + F.col("w1")).alias("w1")))
+
+
+def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int = HOT, parts: int = PARTS) -> DataFrame:
+    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, text (what stays)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     whole = docs.select("doc_id", F.unhex(F.sha2(text, 256)).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
-    whole = whole.withColumn("cid", F.substring("digest", 1, 16))
-    base = stage(whole.select("doc_id", "digest", "cid", "n_bytes"), "digests").df
+    whole = whole.withColumn("cid", F.substring("digest", 1, 16)).withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    base = stage(whole.select("doc_id", "cid", "key", "n_bytes"), "digests").df
     classes = base.where(F.col("n_bytes") >= span).groupBy("cid").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"))
-    multi = stage(classes.where("copies > 1").select("cid", "rep"), "copies").df
-    others = base.join(multi, "cid").where(~F.col("doc_id").eqNullSafe(F.col("rep"))).select("cid", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"))
-    others = stage(others.distinct(), "others").df
-    texts = whole.where(F.col("n_bytes") >= span).withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    texts = _only(texts, others, "left_anti").select("cid", F.col("text").cast("binary").alias("bytes"))
-
-    anchors = stage(texts.mapInArrow(_list_anchors(span, gram), "h long, cid binary"), "anchors").df
-    again = anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    suspects = anchors.join(again, "h").groupBy("cid").agg(F.collect_set("h").alias("hs"))
+    multi = stage(classes.where("copies > 1").select("cid", "copies", "rep"), "copies").df
+    rows = base.count()
+    copied = _meet(base.select("doc_id", "cid", "key"), multi, stage(multi.where(F.col("copies") > rows // parts).select("cid"), "heavy").df, ["cid"])
+    copied = stage(copied.select("cid", "key", (~F.col("doc_id").eqNullSafe(F.col("rep"))).alias("other")).distinct(), "copied").df
+    texts = whole.where(F.col("n_bytes") >= span)
+    texts = _only(texts, copied.where("other").select("cid", "key"), "left_anti").select("cid", F.col("text").cast("binary").alias("bytes"))
+
+    anchors = stage(texts.mapInArrow(_list_anchors(span, gram), "h long, cid binary, n long"), "anchors").df
+    again = anchors.groupBy("h").agg(F.sum("n").alias("n"), F.count("*").alias("m")).where("n > 1")
+    again = stage(again.select("h", "m"), "again").df
+    heavy = stage(again.where(F.col("m") > anchors.count() // parts).select("h"), "heavy").df
+    suspects = _meet(anchors.select("h", "cid"), again.select("h"), heavy, ["h"]).groupBy("cid").agg(F.collect_set("h").alias("hs"))
     suspects = stage(suspects, "suspects").df
     open_texts = _only(texts, suspects.select("cid"), "left_semi").join(suspects, "cid")
     places = open_texts.mapInArrow(_cut_contexts(span, gram), "h long, off int, ctxd binary, cid binary, first long, n long, ctx binary")
@@ -358,35 +416,31 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int
 
     distinct = places.where("ctx is not null").groupBy("h", "off", "ctxd", "ctx").agg(F.sum("n").alias("n"))
     distinct = stage(distinct, "distinct").df
-    crowded = stage(distinct.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > hot).select("h"), "crowded").df
-    calm = _only(distinct, crowded, "left_anti")
-    calm = calm.repartition("h").sortWithinPartitions("h").select("h", "off", "ctxd", "ctx", "n")
-    found = calm.mapInArrow(_judge(span, gram), "h long, off int, ctxd binary, w0 int, w1 int")
-    if not crowded.isEmpty():
-        dense = _only(distinct, crowded, "left_semi")
-        dense = dense.select("h", "off", "ctxd", "n", "ctx", F.posexplode(F.sequence(F.lit(0), F.octet_length("ctx") - span)).alias("w", "unused"))
-        dense = dense.select("h", "off", "ctxd", "n", "w", (F.col("off") - F.col("w")).alias("a"), F.sha2(F.expr(f"substring(ctx, w + 1, {span})"), 256).alias("sha"))
-        dense = stage(dense, "windows").df
-        twice = dense.groupBy("h", "a", "sha").agg(F.sum("n").alias("m")).where("m > 1").select("h", "a", "sha")
-        found = found.unionByName(dense.join(twice, ["h", "a", "sha"]).select("h", "off", "ctxd", F.col("w").alias("w0"), F.col("w").alias("w1")))
-    found = stage(found, "repeated").df
-    spans = places.select("h", "off", "ctxd", "cid", "first").join(found, ["h", "off", "ctxd"])
+    found = stage(_repeated(distinct, span, gram, hot, 16), "repeated").df
+    window = F.struct(F.col("w0").alias("a"), F.col("w1").alias("b"))
+    found = found.groupBy("h", "off", "ctxd").agg(F.collect_set(window).alias("ws"))  # within one context: bounded
+    on = ["h", "off", "ctxd"]
+    heavy = stage(distinct.where(F.col("n") > places.count() // parts).select(*on).distinct(), "heavy").df
+    spans = _meet(places.select(*on, "cid", "first"), found, heavy, on)
     spans = spans.join(multi.select("cid"), "cid", "left_anti")
-    spans = spans.groupBy("cid").agg(F.collect_list(F.struct((F.col("first") + F.col("w0")).alias("a"), (F.col("first") + F.col("w1") + span).alias("b"))).alias("spans"))
-    spans = stage(spans, "spans").df
-    cut = _only(texts, spans.select("cid"), "left_semi").join(spans, "cid")
-    cut = stage(cut.mapInArrow(_finish, "cid binary, n_removed long, n_spans long, kept_sha256 string"), "cut").df
-
-    gone = multi.select("cid", F.lit(True).alias("copied"))
-    out = base.join(cut, "cid", "left").join(gone, "cid", "left")
-    copied = F.coalesce("copied", F.lit(False))
-    return out.select(
+    shift = F.transform("ws", lambda x: F.struct((F.col("first") + x["a"]).alias("a"), (F.col("first") + x["b"] + span).alias("b")))
+    spans = stage(spans.groupBy("cid").agg(F.flatten(F.collect_list(shift)).alias("spans")), "spans").df
+
+    cut = _only(whole, spans.select("cid"), "left_semi").join(spans, "cid")
+    cut = cut.select("doc_id", F.col("text").cast("binary").alias("bytes"), "spans").mapInArrow(_finish, _OUT)
+    rest = _only(whole, spans.select("cid"), "left_anti")
+    gone = copied.select("cid", "key").distinct().withColumn("gone", F.lit(True))
+    rest = rest.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, ["cid", "key"], "left")
+    gone, nothing = F.coalesce("gone", F.lit(False)), F.lit(0).cast("long")
+    rest = rest.select(
         "doc_id",
         "n_bytes",
-        F.when(copied, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(copied, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(copied, F.lit(hashlib.sha256().hexdigest())).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("digest")))).alias("kept_sha256"),
+        F.when(gone, F.col("n_bytes")).otherwise(nothing).alias("n_removed"),
+        F.when(gone, nothing + 1).otherwise(nothing).alias("n_spans"),
+        F.when(gone, F.lit(hashlib.sha256().hexdigest())).otherwise(F.lower(F.hex("digest"))).alias("kept_sha256"),
+        F.when(gone, F.lit("")).otherwise(F.col("text")).alias("text"),
     )
+    return cut.unionByName(rest)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,8 +69,8 @@ def test_windows_of_contexts():
             assert {w for a, b in got[k] for w in range(a, b + 1)} == want
 
 
-@pytest.mark.parametrize("hot", [20_000, 1])
-def test_against_all_windows(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "parts"), [(S.HOT, S.PARTS), (1, 10), (6, 40)])
+def test_against_all_windows(spark, hot, parts):
     rng = random.Random(5)
     words = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(2, 7))) for _ in range(400)]
 
@@ -88,9 +88,11 @@ def test_against_all_windows(spark, monkeypatch, hot):
     docs = spark.createDataFrame(rows, "doc_id long, text string, h int, cid string").repartition(3)
     rows = collected(docs)
     want = sorted(zip((str(r["doc_id"]) for r in rows), plain([r["text"] for r in rows], 400)))
-    got = S.remove_repeats(docs, hot=hot)
-    got = sorted((str(r["doc_id"]), (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"])) for r in collected(got))
+    out = collected(S.remove_repeats(docs, hot=hot, parts=parts))
+    got = sorted((str(r["doc_id"]), (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"])) for r in out)
     assert got == want
+    assert all(r["n_removed"] in (0, r["n_bytes"]) or len(r["text"].encode()) <= r["n_bytes"] - r["n_removed"] + 6 * r["n_spans"] for r in out)
+    assert not any(passage in r["text"] for r in out)
 
 
 def test_long_texts_are_cut_with_overlap(spark, monkeypatch):
