@@ -1,16 +1,19 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to blocks, one line each, in page order. Scripts, styles, forms and elements that say
-what they are (nav, header, footer, aside, or a class, id or role such as ad, cookie, comment, sidebar)
-leave at once. Over the remaining lines the text lengths of `width` neighbouring lines are summed; where
-the sum surges over the threshold a region begins, and where it dives to zero text it ends. Within a page
-that marks its article (article or main), the lines of the marked element are what the distribution is
-taken over and short lines at its edges belong to the region, since nothing but boilerplate may be
-dropped; without such a mark, the surge and dive points decide, and link-heavy lines count as empty.
+what they are (nav, footer, aside, or a class, id or role such as ad, cookie, comments, sidebar) leave at
+once. What is left of a line's length without its links is its weight; within a page that marks its article
+(article or main) lines outside the mark weigh nothing. The weights of `width` neighbouring lines are
+summed: where the sum surges over the threshold a region begins, where it dives to nothing it ends, and
+the lines between stay, link-heavy ones among them included. So `width` or more lines of links in a row end
+a region wherever they stand. A marked article's region reaches back to the first line after the last dive,
+and a quarter of the threshold is enough for it. Where no sum surges, the region with the highest one stays.
 
 Defined cases: null and empty pages, and pages without text, give the empty string; unclosed elements and
-comments reach to the end of what holds them; repeated rows are treated row by row; an empty table gives
-an empty result; other columns are ignored.
+comments reach to the end of what holds them, an unclosed head ends with the first element that is none of
+its own; tags without an end go up to the next tag; very long pages take time in proportion to their
+length; of regions with equally high sums the first stays; repeated rows (and null or repeated page_ids)
+are treated row by row; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,32 +27,58 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 
+# a quoted value ends at its quote; one that holds a tag's opening is read for some kilobytes only, so that no
+# text is scanned over and over
+_ATTRS = r"(?:[^<>\"']++|\"(?:[^\"<]*+|[^\"]{0,8192}+)\"|'(?:[^'<]*+|[^']{0,8192}+)'){0,400}+"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|math|iframe|textarea|select|object|canvas|title)\b[^>]*>.*?(?:</(?P=raw)\s*[^>]*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*)>",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^<>]*>?"
+    rf"|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|select|object|canvas|title)\b{_ATTRS}>.*?(?:</(?P=raw)\s*[^<>]*>|\Z)"
+    rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/<>]*)(?P<attrs>{_ATTRS}(?=>)|[^<>]*)(?:>|(?=<)|\Z)",
     re.S | re.I,
 )
 _INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark math mi mn mo mrow msub msup mfrac q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_DROP = frozenset("nav header footer aside form menu dialog button fieldset head".split())
+_DROP = frozenset("nav header footer aside form menu dialog button fieldset".split())
+#: An article inside one of these (a form around the page, a menu that is never closed) is an article.
+_LOOSE = frozenset("nav header form menu".split())
 _KEEP = frozenset(("article", "main"))
-_NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay"
-    r"|comments?|replies|disqus|side-?bar|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|toolbar|share|sharing|social"
-    r"|related|recommend\w*|newsletter|subscribe|signup|login|search|pagination|pager|widget|skip-?link|copyright)(?:$|[\s_-])",
-    re.I,
+#: Tags that hold text themselves: a name that may be a subject (search, related) says nothing about them.
+_TEXT = frozenset("p li td th dt dd blockquote pre figure figcaption".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Parts of a class or id that tell boilerplate: of any element, and of elements that hold others only.
+_ALWAYS = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promoted promotion banner cookie cookies consent gdpr notice notices"
+    " alert popup modal overlay newsletter subscribe subscription share sharing social breadcrumb breadcrumbs copyright disqus".split()
 )
+_HOLDERS = frozenset(
+    "comment comments reply replies sidebar side menu nav navbar navigation footer header masthead toolbar related recommend recommended recommendations signup login"
+    " search pagination pager widget widgets skiplink".split()
+)
+#: Parts that may stand beside those: with any other word ("related-work") a name is no boilerplate.
+_BESIDE = frozenset(
+    "area articles bar block body bottom box button buttons container content fixed form global group inner item items label left link links list main message page panel"
+    " post posts primary right row secondary section site slot sticky text thread title top unit user wrap wrapper the".split()
+)
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _CLOSED_BY = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
 
 
-def _boilerplate(tag: str, attrs: str) -> bool:
-    if tag in _DROP:
+def _named(value: str, telling: frozenset) -> bool:
+    """Whether a class or id is made of telling parts and what may stand beside them."""
+    for name in value.split():
+        parts = [p.lower() for p in _PART.findall(name)]
+        if any(p in telling for p in parts) and all(p in telling or p in _BESIDE or p.isdigit() for p in parts):
+            return True
+    return False
+
+
+def _boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
+    if tag in _DROP and not (tag == "header" and in_article):  # an article's own header holds its title
         return True
     if not attrs or attrs.isspace():
         return False
@@ -60,13 +89,18 @@ def _boilerplate(tag: str, attrs: str) -> bool:
         return True
     if found.get("role", "").lower() in _ROLES:
         return True
-    return any(_NAMED.search(found.get(k, "")) for k in ("class", "id"))
+    if tag in _HEADINGS:
+        return False
+    telling = _ALWAYS if tag in _TEXT else _ALWAYS | _HOLDERS
+    if in_article:
+        telling -= {"header", "title"}
+    return any(_named(found.get(k, ""), telling) for k in ("class", "id"))
 
 
 def blocks(page: str) -> list[tuple[str, bool, int]]:
     """(text, within article or main, characters inside links) of every block that is not boilerplate."""
     out: list[tuple[str, bool, int]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, dropped, kept, of open non-inline elements
+    stack: list[tuple[str, int, bool]] = []  # of open elements that are not inline: tag, dropped (1: unless an article begins), kept
     runs: list[str] = []
     linked = links = 0
 
@@ -102,9 +136,9 @@ def blocks(page: str) -> list[tuple[str, bool, int]]:
                 links = 0 if end else 1
             elif tag == "br":
                 runs.append(" ")
-            if not end and tag == "span" and _boilerplate(tag, m["attrs"]):
+            if not end and tag == "span" and _boilerplate(tag, m["attrs"], bool(stack) and stack[-1][2]):
                 flush()
-                stack.append((tag, True, bool(stack) and stack[-1][2]))
+                stack.append((tag, 2, bool(stack) and stack[-1][2]))
             elif end and stack and stack[-1][0] == tag:
                 stack.pop()
             continue
@@ -126,42 +160,52 @@ def blocks(page: str) -> list[tuple[str, bool, int]]:
                         break
             elif tag not in ("p",) and stack and stack[-1][0] == "p":
                 stack.pop()
-            dropped = bool(stack) and stack[-1][1] or _boilerplate(tag, m["attrs"])
-            kept = bool(stack) and stack[-1][2] or tag in _KEEP
-            stack.append((tag, dropped, kept))
+            dropped, kept = stack[-1][1:] if stack else (0, False)
+            if _boilerplate(tag, m["attrs"], kept):
+                dropped = max(dropped, 1 if tag in _LOOSE else 2)
+            elif tag in _KEEP and dropped == 1:
+                dropped = 0
+            stack.append((tag, dropped, kept or tag in _KEEP))
     take(page[at:])
     flush()
     return out
 
 
-def regions(lengths: list[int], width: int, threshold: int) -> list[tuple[int, int]]:
-    """[surge, dive) ranges of lines: the window sum rises over threshold, later falls to no text."""
-    n, sums = len(lengths), [0]
-    for x in lengths:
+def regions(weights: list[int], width: int, threshold: int, back: bool = False) -> list[tuple[int, int]]:
+    """[surge, dive) ranges of lines: the window sum rises over threshold, later falls to nothing.
+
+    back: a region begins at the first line with weight after the last dive. Without any surge, the lines
+    between two dives around the highest sum are the region.
+    """
+    n, sums = len(weights), [0]
+    for x in weights:
         sums.append(sums[-1] + x)
     window = [sums[min(n, i + width)] - sums[i] for i in range(n)]
-    found, i = [], 0
+    found, best, i = [], (0, 0, 0), 0
     while i < n:
-        if window[i] > threshold and lengths[i]:
-            j = i
-            while j < n and window[j]:
-                j += 1
-            found.append((i, j))
-            i = j
-        else:
+        if not window[i] or not weights[i]:
             i += 1
-    return found
+            continue
+        end = i
+        while end < n and window[end]:
+            end += 1
+        surge = next((j for j in range(i, end) if window[j] > threshold and weights[j]), None)
+        if surge is not None:
+            found.append((i if back else surge, end))
+        else:
+            best = max(best, (max(window[i:end]), -i, end))
+        i = end
+    return found or ([(-best[1], best[2])] if best[0] else [])
 
 
 def extract(page: str | None, width: int = 3, threshold: int = 86) -> str:
     rows = blocks(page or "")
-    marked = [r for r in rows if r[1]]
-    if marked:  # the mark bounds the distribution; its surge and dive are its first and last text
-        rows = [(t, k, 0) for t, k, _ in marked]
-        threshold = 0
-    lengths = [0 if 2 * linked > len(t) else len(t) for t, _, linked in rows]
-    kept = [t for a, b in regions(lengths, width, threshold) for (t, _, _), n in zip(rows[a:b], lengths[a:b]) if n]
-    return "\n\n".join(kept)
+    marked = any(r[1] for r in rows)
+    weights = [len(t) - min(linked, len(t)) if kept or not marked else 0 for t, kept, linked in rows]
+    if not any(weights):  # nothing but links
+        weights = [len(t) if kept or not marked else 0 for t, kept, _ in rows]
+    spans = regions(weights, width, threshold // 4 if marked else threshold, marked)
+    return "\n\n".join(t for a, b in spans for t, kept, _ in rows[a:b] if kept or not marked)
 
 
 def extract_pages(pages: DataFrame, width: int = 3, threshold: int = 86) -> DataFrame:
