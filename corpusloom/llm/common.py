@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import Staged, shared_root, stage
 
-__all__ = ["UPPER", "WORD", "Staged", "ascii_lower", "connected_components", "shared_root", "stage", "table"]
+__all__ = ["UPPER", "WORD", "Staged", "ascii_lower", "connected_components", "meet", "shared_root", "stage", "table"]
 
 #: Python's bytes.split() and this class agree: ASCII space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,6 +26,15 @@ def ascii_lower(text: Column) -> Column:
     )
 
 
+def meet(rows: DataFrame, side: DataFrame, heavy: DataFrame, on: list[str]) -> DataFrame:
+    """rows joined with side. heavy: staged keys that each have over a p-th of the rows, so p of them at most.
+
+    Those meet by a broadcast, so that no task takes a heavy key's rows; all others by a shuffled join.
+    """
+    heavy = F.broadcast(heavy)
+    return rows.join(F.broadcast(side.join(heavy, on, "left_semi")), on).unionByName(rows.join(heavy, on, "left_anti").join(side, on))
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> Staged:
     """Smallest reachable node of every node that has an edge, by alternating large and small stars.
 

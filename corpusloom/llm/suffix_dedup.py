@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import meet, stage, table
 
 SPAN = 400
 GRAM = 64
@@ -349,12 +349,6 @@ def _only(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, ids.columns, how)
 
 
-def _meet(rows: DataFrame, side: DataFrame, heavy: DataFrame, on: list[str]) -> DataFrame:
-    """rows joined with side. heavy: staged keys with over a PARTS-th of the rows, so at most PARTS of them."""
-    heavy = F.broadcast(heavy)
-    return rows.join(F.broadcast(side.join(heavy, on, "left_semi")), on).unionByName(rows.join(heavy, on, "left_anti").join(side, on))
-
-
 def _ranges(contexts: DataFrame, span: int, width: int) -> DataFrame:
     """Contexts cut to each range of `width` offsets of their windows from the anchor, under finer keys.
 
@@ -399,7 +393,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int
     classes = base.where(F.col("n_bytes") >= span).groupBy("cid").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"))
     multi = stage(classes.where("copies > 1").select("cid", "copies", "rep"), "copies").df
     rows = base.count()
-    copied = _meet(base.select("doc_id", "cid", "key"), multi, stage(multi.where(F.col("copies") > rows // parts).select("cid"), "heavy").df, ["cid"])
+    copied = meet(base.select("doc_id", "cid", "key"), multi, stage(multi.where(F.col("copies") > rows // parts).select("cid"), "heavy").df, ["cid"])
     copied = stage(copied.select("cid", "key", (~F.col("doc_id").eqNullSafe(F.col("rep"))).alias("other")).distinct(), "copied").df
     texts = whole.where(F.col("n_bytes") >= span)
     texts = _only(texts, copied.where("other").select("cid", "key"), "left_anti").select("cid", F.col("text").cast("binary").alias("bytes"))
@@ -408,7 +402,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int
     again = anchors.groupBy("h").agg(F.sum("n").alias("n"), F.count("*").alias("m")).where("n > 1")
     again = stage(again.select("h", "m"), "again").df
     heavy = stage(again.where(F.col("m") > anchors.count() // parts).select("h"), "heavy").df
-    suspects = _meet(anchors.select("h", "cid"), again.select("h"), heavy, ["h"]).groupBy("cid").agg(F.collect_set("h").alias("hs"))
+    suspects = meet(anchors.select("h", "cid"), again.select("h"), heavy, ["h"]).groupBy("cid").agg(F.collect_set("h").alias("hs"))
     suspects = stage(suspects, "suspects").df
     open_texts = _only(texts, suspects.select("cid"), "left_semi").join(suspects, "cid")
     places = open_texts.mapInArrow(_cut_contexts(span, gram), "h long, off int, ctxd binary, cid binary, first long, n long, ctx binary")
@@ -421,7 +415,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int
     found = found.groupBy("h", "off", "ctxd").agg(F.collect_set(window).alias("ws"))  # within one context: bounded
     on = ["h", "off", "ctxd"]
     heavy = stage(distinct.where(F.col("n") > places.count() // parts).select(*on).distinct(), "heavy").df
-    spans = _meet(places.select(*on, "cid", "first"), found, heavy, on)
+    spans = meet(places.select(*on, "cid", "first"), found, heavy, on)
     spans = spans.join(multi.select("cid"), "cid", "left_anti")
     shift = F.transform("ws", lambda x: F.struct((F.col("first") + x["a"]).alias("a"), (F.col("first") + x["b"] + span).alias("b")))
     spans = stage(spans.groupBy("cid").agg(F.flatten(F.collect_list(shift)).alias("spans")), "spans").df
