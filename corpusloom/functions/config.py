@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -64,6 +64,11 @@ def assign_round_robin(names: list[str], slots: list) -> dict:
     return {n: slots[k % len(slots)] for k, n in enumerate(names)}
 
 
+def run_table(runs: DataFrame, slots: list) -> DataFrame:
+    """runs (with ord) and the slot that each takes in turn."""
+    return runs.withColumn("slot", F.element_at(F.array(*[F.lit(s) for s in slots]), (F.pmod("ord", F.lit(len(slots))) + 1).cast("int")))
+
+
 def template(text: str) -> Column:
     """A prompt template with {{ column }} places as a Column."""
     parts, rest = [], text

@@ -1,4 +1,4 @@
-"""Text functions from Column to Column. All are native but `nfkc_casefold` and `last_boxed`."""
+"""Text functions from Column to Column. All are native but `last_boxed` and, for texts beyond ASCII, `casefold`."""
 
 from __future__ import annotations
 
@@ -37,9 +37,10 @@ def nfkc_casefold(x: pd.Series) -> pd.Series:
     return x.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
 
 
-def casefold_latin(x: Column) -> Column:
-    """Case folding without a UDF, right where only ß differs from lower case (and NFKC changes nothing)."""
-    return F.replace(F.lower(x), _s("ß"), _s("ss"))
+def casefold(x: Column) -> Column:
+    """NFKC and full case folding. ASCII texts are lower-cased natively; only others go to the UDF."""
+    ascii_ = F.octet_length(x) == F.char_length(x)
+    return F.when(ascii_, F.lower(x)).otherwise(nfkc_casefold(F.when(~ascii_, x)))
 
 
 def _compact(x: Column) -> Column:
@@ -47,18 +48,15 @@ def _compact(x: Column) -> Column:
     return F.btrim(F.regexp_replace(x, r"\s*([{}()\[\],.=+\-*/^])\s*", "$1"))
 
 
-def normalize_question(x: Column, fold=casefold_latin) -> Column:
-    """Comparable form of a question: instruction lines dropped, case folded, white space compacted.
-
-    fold: casefold_latin keeps the plan native; nfkc_casefold is right for any text.
-    """
-    x = F.regexp_replace(x, r"(?i)\\n(?=(?:please|solve|remember|the last line))", "\n")
+def normalize_question(x: Column) -> Column:
+    """Comparable form of a question: NFKC and case folding, instruction lines dropped, white space compacted."""
+    x = casefold(F.regexp_replace(x, r"(?i)\\n(?=(?:please|solve|remember|the last line))", "\n"))
     lines = F.filter(F.split(x, r"\r\n|[\n\x0b\f\r\x1c-\x1e\x85\u2028\u2029]"), lambda line: ~line.rlike(INSTRUCTION_LINE))
-    return _compact(fold(F.array_join(lines, " ")))
+    return _compact(F.array_join(lines, " "))
 
 
-def problem_fingerprint(x: Column, fold=casefold_latin) -> Column:
-    return F.sha2(_compact(fold(x)), 256)
+def problem_fingerprint(x: Column) -> Column:
+    return F.sha2(_compact(casefold(x)), 256)
 
 
 def char_ngrams(x: Column, size: int = 5) -> Column:
@@ -92,6 +90,11 @@ def last_boxed(x: pd.Series) -> pd.Series:
     return x.map(balanced_boxed)
 
 
+@pandas_udf(StringType())
+def last_boxed_any_case(x: pd.Series) -> pd.Series:
+    return x.map(lambda t: balanced_boxed(t, True))
+
+
 def last_boxed_flat(x: Column) -> Column:
     """last_boxed where boxes hold no braces: native."""
     return trim_u(F.try_element_at(F.regexp_extract_all(x, _s(r"\\boxed\s*\{([^{}]*)\}"), F.lit(1)), F.lit(-1)))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..scratch import stage
+
 
 def select_known(rows: DataFrame, names: list[str]) -> DataFrame:
     """The named columns that exist; unknown names are ignored."""
@@ -21,13 +23,18 @@ def pop(rows: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
 
 
 def numbered(rows: DataFrame, by: list, name: str = "ord") -> DataFrame:
-    """rows with their place (from 0) in a total order, numbered by ranges and not in one task."""
-    ranged = rows.repartitionByRange(*by).withColumn("__p", F.spark_partition_id())
+    """rows with their place (from 0) in a total order, numbered by ranges and not in one task.
+
+    The ranges are made once: the sorted rows are staged with their range and their place within it, so that
+    the counts of the ranges (one row each) and the rows never come from two different samplings.
+    """
+    ranged = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__m", F.monotonically_increasing_id())
+    ranged = stage(ranged, "ranges").df.withColumn("__p", F.shiftright("__m", 33))
     parts = ranged.groupBy("__p").agg(F.count("*").alias("__n"))
     before = F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1))
-    parts = parts.select("__p", F.coalesce(before, F.lit(0)).alias("__b"))
-    own = F.row_number().over(W.partitionBy("__p").orderBy(*by)) - 1
-    return ranged.withColumn("__k", own).join(parts, "__p").withColumn(name, F.col("__k") + F.col("__b")).drop("__p", "__k", "__b")
+    parts = parts.select("__p", F.coalesce(before, F.lit(0)).alias("__b"))  # as many rows as ranges
+    place = F.col("__b") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
+    return ranged.join(F.broadcast(parts), "__p").withColumn(name, place).drop("__p", "__m", "__b")
 
 
 def take(rows: DataFrame, ordinals: list[int] | None = None, start: int = 0, stop: int | None = None, step: int = 1, mask: Column | None = None) -> DataFrame:
@@ -159,10 +166,10 @@ def karmarkar_karp(lengths: list[int], k: int, equal: bool) -> list[list[int]]:
 
 
 def least_loaded(lengths: list[int], k: int, equal: bool = False) -> list[list[int]]:
-    """Longest first, each to the part with the smallest sum."""
+    """In the order of input, each to the part with the smallest sum."""
     parts: list[list[int]] = [[] for _ in range(k)]
     heap = [(0, j) for j in range(k)]
-    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+    for i in range(len(lengths)):
         total, j = heapq.heappop(heap)
         parts[j].append(i)
         if not equal or len(parts[j]) * k < len(lengths):

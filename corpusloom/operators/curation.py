@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as X
+from ..scratch import stage
 
 
 def normalize_records(raw: DataFrame, boxed=X.last_boxed) -> DataFrame:
@@ -52,39 +57,98 @@ def first_of_duplicates(records: DataFrame, by: str = "norm", order: Column | No
     return records.join(first, by).withColumn("duplicate_of", F.when(name != F.col("first_id"), F.col("first_id"))).drop("first_id")
 
 
+WORDS = 16
+#: Texts whose grams set the order of the prefix filter (any order gives the same pairs, a good one fewer candidates).
+ORDER_SAMPLE = 2000
+
+
 def gram_sets(rows: DataFrame, id_col: str, text_col: str, size: int = 5) -> DataFrame:
-    return rows.select(F.col(id_col).alias("id"), X.char_ngrams(F.col(text_col), size).alias("grams")).withColumn("n", F.size("grams"))
+    """Staged (id, grams, n): 64-bit hashes of the distinct substrings of `size` characters, sorted; the whole text if it is no longer."""
+
+    def one(text: str | None) -> np.ndarray:
+        c = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+        wide = size if len(c) > size else max(1, len(c))
+        h = np.full(max(1, len(c) - wide + 1), wide, np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(min(wide, len(c))):
+                h = (h ^ c[k : k + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(29)
+        return np.unique(h.view(np.int64))
+
+    def run(batches):
+        for b in batches:
+            sets = [one(t) for t in b.column("text").to_pylist()]
+            grams = pa.ListArray.from_arrays(np.cumsum([0, *map(len, sets)]).astype(np.int32), np.concatenate([np.zeros(0, np.int64), *sets]))
+            yield pa.RecordBatch.from_arrays([b.column("id"), grams, pa.array([len(x) for x in sets], pa.int32())], ["id", "grams", "n"])
+
+    kind = rows.schema[id_col].dataType.simpleString()
+    return stage(rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, grams array<bigint>, n int"), "grams").df
 
 
 def similarity_join(left: DataFrame, right: DataFrame | None, threshold: float = 0.85) -> DataFrame:
-    """Pairs with Jaccard similarity of gram sets >= threshold: left_id, right_id, overlap, similarity.
+    """Pairs with Jaccard similarity of gram sets >= threshold: left_id, right_id, overlap, similarity (6 decimals).
 
-    left, right: (id, grams, n); with right None the pairs lie within left, smaller id first. Prefix filter:
-    grams are ordered rarest first, and a pair of that similarity shares one of the first
-    n - ceil(t n) + 1 grams of each side. Only those are joined; sizes prune further; overlaps are then exact.
+    left, right: staged (id, grams, n); with right None the pairs lie within left, smaller id first. A pair of
+    that similarity shares one of the first n - ceil(t n) + 1 grams of each side in any one order; grams that a
+    sample of texts holds often come last in it. Prefixes meet by gram and by a range of sizes that both may
+    have; their places, their sizes and bitmaps (each differing bit is a gram that one side lacks) rule out
+    pairs at once, and the overlaps of the rest are exact.
     """
     own = right is None
     right = left if own else right
-    every = left.select("grams") if own else left.select("grams").unionAll(right.select("grams"))
-    freq = every.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
-
-    def prefix(rows: DataFrame) -> DataFrame:
-        keep = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
-        g = rows.select("id", "n", F.explode("grams").alias("gram")).join(freq, "gram")
-        order = W.partitionBy("id").orderBy("df", "gram")
-        return g.withColumn("k", F.row_number().over(order)).where(F.col("k") <= keep).select("id", "n", "gram")
-
-    a = prefix(left).select("gram", F.col("id").alias("left_id"), F.col("n").alias("ln"))
-    b = (prefix(right) if not own else a.withColumnsRenamed({"left_id": "id", "ln": "n"})).select("gram", F.col("id").alias("right_id"), F.col("n").alias("rn"))
-    pairs = a.join(b, "gram").where((F.least("ln", "rn") >= F.greatest("ln", "rn") * threshold - 1e-9))
+    every = left.select("id", "grams") if own else left.select("id", "grams").unionAll(right.select("id", "grams"))
+    seen = every.orderBy(F.xxhash64("id"), "id").limit(ORDER_SAMPLE).select(F.explode("grams").alias("gram")).groupBy("gram").count()
+    seen = seen.where("count > 1").toArrow()  # at most half the sampled texts' grams
+    order = np.argsort(seen["gram"].to_numpy())
+    known, often = seen["gram"].to_numpy()[order], seen["count"].to_numpy()[order]
+    table = left.sparkSession.sparkContext.broadcast((known, often))
+    step = -math.log(threshold) * (1 + 1e-9) if threshold < 1 else 1.0  # sizes of a pair differ by one range at most
+
+    def signatures(batches):
+        names, times = table.value
+        for b in batches:
+            prefixes, places, maps = [], [], np.zeros((b.num_rows, WORDS), np.uint64)
+            for k, (grams, n) in enumerate(zip(b.column("grams"), b.column("n").to_pylist())):
+                g = np.asarray(grams.values)
+                count = np.zeros(len(g), np.int64)
+                if len(names):
+                    at = np.minimum(np.searchsorted(names, g), len(names) - 1)
+                    count = np.where(names[at] == g, times[at], 0)
+                keep = n - math.ceil(threshold * n - 1e-9) + 1
+                first = np.lexsort((g, count))[:keep]
+                prefixes.append(g[first])
+                places.append(np.arange(len(first), dtype=np.int32))
+                bit = g.view(np.uint64) % np.uint64(64 * WORDS)
+                np.bitwise_xor.at(maps[k], (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+            cuts = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(cuts, np.concatenate([np.zeros(0, t), *x])) for t, x in ((np.int64, prefixes), (np.int32, places))]
+            words = [pa.array(maps[:, w].view(np.int64)) for w in range(WORDS)]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n"), *lists, *words], ["id", "n", "gram", "at", *(f"m{w}" for w in range(WORDS))])
+
+    def prefix(rows: DataFrame, side: str) -> DataFrame:
+        words = [f"m{w}" for w in range(WORDS)]
+        schema = f"id {rows.schema['id'].dataType.simpleString()}, n int, gram array<bigint>, at array<int>, " + ", ".join(f"{w} long" for w in words)
+        p = rows.mapInArrow(signatures, schema)
+        p = p.select("id", "n", F.explode(F.arrays_zip("gram", "at")).alias("g"), F.floor(F.log("n") / step).cast("int").alias("range"), *words)
+        return p.select(F.col("g.gram").alias("gram"), "range", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "n", *words)], F.col("g.at").alias(f"{side}_at"))
+
+    a, b = stage(prefix(left, "l"), "prefixes").df, None
+    b = a.withColumnsRenamed({c: "r" + c[1:] for c in a.columns if c.startswith("l_")}) if own else stage(prefix(right, "r"), "prefixes").df
+    b = b.withColumn("range", F.explode(F.array(F.col("range") - 1, F.col("range"), F.col("range") + 1)))
+    ln, rn = F.col("l_n"), F.col("r_n")
+    least = F.ceil((ln + rn) * (threshold / (1 + threshold)) - 1e-9)
+    reach = F.least(ln - F.col("l_at"), rn - F.col("r_at"))
+    differ = sum((F.bit_count(F.col(f"l_m{w}").bitwiseXOR(F.col(f"r_m{w}"))) for w in range(1, WORDS)), F.bit_count(F.col("l_m0").bitwiseXOR(F.col("r_m0"))))
+    pairs = a.join(b, ["gram", "range"]).where(F.least(ln, rn) >= F.greatest(ln, rn) * threshold - 1e-9)
+    pairs = pairs.where((F.least("l_at", "r_at") + reach >= least) & (differ <= ln + rn - 2 * least))
     if own:
-        pairs = pairs.where("left_id < right_id")
-    pairs = pairs.select("left_id", "right_id").distinct()
+        pairs = pairs.where("l_id < r_id")
+    pairs = stage(pairs.select(F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id")).distinct(), "candidates").df
     both = pairs.join(left.select(F.col("id").alias("left_id"), F.col("grams").alias("lg")), "left_id")
     both = both.join(right.select(F.col("id").alias("right_id"), F.col("grams").alias("rg")), "right_id")
     both = both.withColumn("overlap", F.size(F.array_intersect("lg", "rg")))
     both = both.withColumn("similarity", F.col("overlap") / (F.size("lg") + F.size("rg") - F.col("overlap")))
-    return both.where(F.col("similarity") >= threshold).select("left_id", "right_id", "overlap", "similarity")
+    return both.where(F.col("similarity") >= threshold).select("left_id", "right_id", "overlap", F.round("similarity", 6).alias("similarity"))
 
 
 def near_contamination(pairs: DataFrame) -> DataFrame:
@@ -120,10 +184,21 @@ def reason_counts(rejects: DataFrame) -> DataFrame:
 def snapshot(heldout: DataFrame) -> DataFrame:
     """Per source: number of questions, of distinct normalised ones, and SHA-256 over the sorted distinct ones.
 
-    A held-out source is a benchmark of some thousand questions; its set is one value.
+    A held-out source is a benchmark of some thousand questions; its set is one value. Empty ones do not count.
     """
+    named = F.when(F.col("norm") != "", F.col("norm"))
     return heldout.groupBy("source").agg(
         F.count("*").alias("questions"),
-        F.count_distinct("norm").alias("unique_questions"),
-        F.sha2(F.array_join(F.array_sort(F.collect_set("norm")), "\n"), 256).alias("sha256"),
+        F.count_distinct(named).alias("unique_questions"),
+        F.sha2(F.array_join(F.array_sort(F.collect_set(named)), "\n"), 256).alias("sha256"),
     )
+
+
+def combined_hash(heldout: DataFrame) -> DataFrame:
+    """One row: SHA-256 over the JSON text {source: [sorted distinct normalised questions]} of all sources."""
+    quoted = lambda x: F.regexp_extract(F.to_json(F.array(x)), r"(?s)^\[(.*)\]$", 1)
+    named = F.when(F.col("norm") != "", F.col("norm"))
+    one = heldout.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_set(named)), quoted), ", ").alias("own"))
+    one = one.select(F.struct("source", F.concat(quoted(F.col("source")), F.lit(": ["), "own", F.lit("]")).alias("text")).alias("s"))
+    every = F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["text"]), ", ")
+    return one.agg(F.sha2(F.concat(F.lit("{"), every, F.lit("}")), 256).alias("combined"))

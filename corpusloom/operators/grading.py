@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 
 from ..functions import text as X
 from ..functions.fixed import DIFFICULTY_BINS
+from .batches import numbered
 from .curation import hash_rank
 
 
@@ -35,13 +36,16 @@ def band(rates: DataFrame, low: float, high: float, rate: str = "solve_rate") ->
 
 
 def stratify(rows: DataFrame, seed, cap: int | None = None, rate: str = "solve_rate", id_col: str = "id") -> DataFrame:
-    """At most `cap` rows a bin in hash order; by default as many as the smallest non-empty bin has."""
-    binned = rows.withColumn("bin", X.difficulty_bin(F.col(rate))).where("bin IS NOT NULL").withColumn("h", hash_rank(seed, F.col(id_col)))
-    ranked = binned.withColumn("k", F.row_number().over(W.partitionBy("bin").orderBy("h", id_col)))
-    if cap is None:
-        least = binned.groupBy("bin").count().agg(F.min("count").alias("least"))
-        return ranked.join(F.broadcast(least), F.col("k") <= F.col("least")).drop("h", "k", "least")  # one row
-    return ranked.where(F.col("k") <= cap).drop("h", "k")
+    """At most `cap` rows a bin in hash order; by default as many as the smallest non-empty bin has.
+
+    The rows are numbered by ranges of (bin, hash), so that no bin is sorted in one task.
+    """
+    binned = rows.withColumn("bin", X.difficulty_bin(F.col(rate))).where("bin IS NOT NULL").withColumn("__h", hash_rank(seed, F.col(id_col)))
+    placed = numbered(binned, ["bin", "__h", id_col], "__o")
+    bins = placed.groupBy("bin").agg(F.min("__o").alias("__first"), F.count("*").alias("__n"))  # six rows at most
+    least = F.lit(cap) if cap is not None else F.min("__n").over(W.partitionBy(F.lit(1)))
+    bins = bins.select("bin", "__first", least.alias("__cap"))
+    return placed.join(F.broadcast(bins), "bin").where(F.col("__o") - F.col("__first") < F.col("__cap")).drop("__h", "__o", "__first", "__cap")
 
 
 def trim_to_mean(rows: DataFrame, target: float, rate: str = "solve_rate", id_col: str = "id") -> DataFrame:
@@ -49,9 +53,10 @@ def trim_to_mean(rows: DataFrame, target: float, rate: str = "solve_rate", id_co
 
     Rows are ordered by rate, then id; a running sum from the kept end finds how many stay. The order is
     global, so sums are taken over distinct rates first and only those (few: rates are fractions of a
-    sample count) are accumulated in one place.
+    sample count) are accumulated in one place; rows are numbered by ranges.
     """
-    steps = rows.groupBy(F.col(rate).alias("r")).agg(F.count("*").alias("n"))
+    placed = numbered(rows, [rate, id_col], "__o")
+    steps = placed.groupBy(F.col(rate).alias("r")).agg(F.count("*").alias("n"), F.min("__o").alias("first"))
     up = W.orderBy("r").rowsBetween(W.unboundedPreceding, -1)
     down = W.orderBy(F.desc("r")).rowsBetween(W.unboundedPreceding, -1)
     total = steps.agg((F.sum(F.col("r") * F.col("n")) / F.sum("n")).alias("mean"))
@@ -70,11 +75,11 @@ def trim_to_mean(rows: DataFrame, target: float, rate: str = "solve_rate", id_co
         return F.greatest(F.lit(0), F.least(F.col("n"), free)).cast("long")
 
     s = s.withColumn("take", F.when(above, room("n_up", "s_up")).when(F.col("mean") < target, room("n_down", "s_down")).otherwise(F.col("n")))
-    s = s.select("r", "take", above.alias("above"))
-    joined = rows.join(s, rows[rate] == s["r"])
-    place = F.row_number().over(W.partitionBy("r").orderBy(id_col))
-    back = F.row_number().over(W.partitionBy("r").orderBy(F.desc(id_col)))
-    return joined.withColumn("k", F.when(F.col("above"), place).otherwise(back)).where("k <= take").drop("r", "take", "above", "k")
+    s = s.select("r", "take", "n", "first", above.alias("above"))
+    joined = placed.join(s, placed[rate] == s["r"])
+    place = F.col("__o") - F.col("first")
+    kept = F.when(F.col("above"), place < F.col("take")).otherwise(F.col("n") - place <= F.col("take"))
+    return joined.where(kept).drop("r", "take", "n", "first", "above", "__o")
 
 
 def recheck_merge(results: DataFrame, judgements: DataFrame, key: str = "id") -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..scratch import stage
+
 
 def _d(x) -> Column:
     return F.lit(float(x))
@@ -275,6 +277,12 @@ def adaptive_kl(observed: Column, start: float, target: float, horizon: float, s
     return F.aggregate(pairs, _d(start), lambda c, x: c * (1 + F.greatest(_d(-0.2), F.least(_d(0.2), x["d"] / target - 1)) * x["n"] / horizon))
 
 
+def within_tokens(rows: DataFrame, text: str, most: int, tokens=None) -> DataFrame:
+    """Rows of at most `most` tokens. tokens: a tokenizer as Column to Column; by default words are counted."""
+    count = tokens or (lambda x: F.regexp_count(x, F.lit(r"[^\s]+")))
+    return rows.where(count(F.col(text)) <= most)
+
+
 def rank_stats(rows: DataFrame, group: str, rank: str, hits: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
     """Per group: hit counts, least, most, and the upper median (the element at n // 2 of the sorted ranks).
 
@@ -304,12 +312,13 @@ def refill(batches, group: str, score: str, low: float, high: float, size: int,
 
     batches: an iterator of DataFrames; running out of tries before the batch is full is an error.
     """
-    kept = None
+    kept, rows = None, 0
     for n, batch in enumerate(batches):
         if n >= most_tries:
             break
-        good = group_filter(batch, group, score, low, high)
+        good = stage(group_filter(batch, group, score, low, high), "refill").df
+        rows += good.count()
         kept = good if kept is None else kept.unionByName(good)
-        if kept.count() >= size:
+        if rows >= size:
             return kept.orderBy(order).limit(size)
     raise RuntimeError(f"not enough groups between {low} and {high} in {most_tries} tries")

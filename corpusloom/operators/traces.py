@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from ..functions import text as X
 from ..functions.fixed import CONTEXT_MARKERS, INTERACTION_POLICY, OTHER_POLICY_REASON
+from .batches import numbered
 from .protocol import segment_errors
 
 COUNTERS = ("ask_count", "verify_count", "accept_count", "invalid_accept_count", "invalid_protocol_count", "denied_action_count")
@@ -103,12 +104,7 @@ def best_per_problem(candidates: DataFrame, k: int, key: str = "question") -> Da
 
 def dense_index(keys: DataFrame, key: str, name: str) -> DataFrame:
     """Distinct keys with their place (from 0) in global order, without sorting them in one task."""
-    ranged = keys.repartitionByRange(key).withColumn("__p", F.spark_partition_id())
-    parts = ranged.groupBy("__p").agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1))
-    parts = parts.select("__p", F.coalesce(before, F.lit(0)).alias("__b"))
-    own = F.row_number().over(W.partitionBy("__p").orderBy(key)) - 1
-    return ranged.withColumn("__k", own).join(parts, "__p").withColumn(name, F.col("__k") + F.col("__b")).drop("__p", "__k", "__b")
+    return numbered(keys, [key], name)
 
 
 def run_summary(traces: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import curation as C
+from ..scratch import stage
+from ..sources import sinks as K
 from .base import Registry, compact_sql, norm_sql, table, trim_sql
 
 query = Registry()
@@ -23,9 +25,10 @@ def heldout(spark, sf):
 
 
 def records(spark, sf):
+    """Staged, so that texts are normalised once."""
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source", "text")
     leak = table(spark, sf, "benchmark").where("item_id % 5 = 0").select((F.col("item_id") + 10000000).alias("id"), F.lit("leak").alias("source"), "text")
-    return docs.unionByName(leak).withColumn("norm", X.normalize_question(F.col("text")))
+    return stage(docs.unionByName(leak).select("id", "source", X.normalize_question(F.col("text")).alias("norm")), "records").df
 
 
 SLICE = f"""
@@ -79,29 +82,47 @@ def j3(spark, sf):
 
 
 GRAMS = f"""
-r AS (SELECT min(id) AS id, norm FROM ({RECORDS}) GROUP BY norm),
+m AS (SELECT id, norm FROM ({RECORDS})), r AS (SELECT min(id) AS id, norm FROM m GROUP BY norm),
 g AS (SELECT DISTINCT id, unnest(CASE WHEN length(norm) <= 5 THEN [norm] ELSE list_transform(range(1, length(norm) - 3), lambda i: substr(norm, i, 5)) END) AS gram FROM r),
 n AS (SELECT id, count(*) AS n FROM g GROUP BY id)"""
+PAIRS = f"""{GRAMS},
+o AS (SELECT a.id AS left_id, b.id AS right_id, count(*) AS overlap FROM g a JOIN g b ON a.gram = b.gram AND a.id < b.id
+      JOIN n na ON na.id = a.id JOIN n nb ON nb.id = b.id WHERE least(na.n, nb.n) >= 0.85 * greatest(na.n, nb.n) - 1e-9 GROUP BY 1, 2),
+p AS (SELECT left_id, right_id, overlap::INT AS overlap, round(overlap / (na.n + nb.n - overlap), 6) AS similarity
+      FROM o JOIN n na ON na.id = left_id JOIN n nb ON nb.id = right_id WHERE overlap / (na.n + nb.n - overlap) >= 0.85)"""
 
 
-def _grams(spark, sf):
-    return C.gram_sets(records(spark, sf).groupBy("norm").agg(F.min("id").alias("id")), "id", "norm")
+def _classes(spark, sf):
+    """Grams of the distinct texts (id: the smallest of a text), and every record's class."""
+    rows = records(spark, sf)
+    classes = stage(rows.groupBy("norm").agg(F.min("id").alias("class_id")), "classes").df
+    return C.gram_sets(classes, "class_id", "norm"), rows.select("id", "norm").join(classes, "norm").select("id", "class_id")
 
 
-@query("f3_gram_counts", f"WITH {GRAMS} SELECT id, n::INT AS n FROM n")
+@query("f3_gram_counts", f"WITH {GRAMS} SELECT m.id, n::INT AS n FROM m JOIN r USING (norm) JOIN n ON n.id = r.id")
 def f3(spark, sf):
-    return _grams(spark, sf).select("id", "n")
+    grams, members = _classes(spark, sf)
+    return members.join(grams.select(F.col("id").alias("class_id"), "n"), "class_id").select("id", "n")
+
+
+@query("f4_similar_texts", f"WITH {PAIRS} SELECT * FROM p")
+def f4(spark, sf):
+    """Pairs of distinct texts (named by their classes) with overlap and similarity."""
+    return C.similarity_join(_classes(spark, sf)[0], None, 0.85)
 
 
 @query("j2_near_duplicates", f"""
-WITH {GRAMS},
-o AS (SELECT a.id AS left_id, b.id AS right_id, count(*) AS overlap FROM g a JOIN g b ON a.gram = b.gram AND a.id < b.id
-      JOIN n na ON na.id = a.id JOIN n nb ON nb.id = b.id WHERE least(na.n, nb.n) >= 0.85 * greatest(na.n, nb.n) - 1e-9 GROUP BY 1, 2)
-SELECT left_id, right_id, overlap::INT AS overlap, overlap / (na.n + nb.n - overlap) AS similarity
-FROM o JOIN n na ON na.id = left_id JOIN n nb ON nb.id = right_id WHERE overlap / (na.n + nb.n - overlap) >= 0.85""")
+WITH {PAIRS}, q AS (SELECT left_id AS c, right_id AS d FROM p UNION ALL SELECT right_id, left_id FROM p),
+l AS (SELECT c, count(*) AS links, list(d ORDER BY d) AS partners FROM q GROUP BY c)
+SELECT m.id, r.id AS class_id, coalesce(links, 0) AS links, coalesce(partners, []::BIGINT[]) AS partners FROM m JOIN r USING (norm) LEFT JOIN l ON l.c = r.id""")
 def j2(spark, sf):
-    """Set-similarity self-join of documents by prefix filter."""
-    return C.similarity_join(_grams(spark, sf), None, 0.85)
+    """Every record with its class of equal texts, and the classes that are similar to it."""
+    grams, members = _classes(spark, sf)
+    pairs = stage(C.similarity_join(grams, None, 0.85).select("left_id", "right_id"), "similar").df
+    both = pairs.unionByName(pairs.select(F.col("right_id").alias("left_id"), F.col("left_id").alias("right_id")))
+    links = both.groupBy(F.col("left_id").alias("class_id")).agg(F.count("*").alias("links"), F.array_sort(F.collect_list("right_id")).alias("partners"))
+    none = F.array().cast("array<bigint>")
+    return members.join(links, "class_id", "left").select("id", "class_id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("partners", none).alias("partners"))
 
 
 @query("j2_near_contamination", f"""
@@ -109,13 +130,15 @@ WITH {GRAMS}, b AS (SELECT item_id, {norm_sql("text || ' copy'")} AS norm FROM b
 bg AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, length(norm) - 3), lambda i: substr(norm, i, 5))) AS gram FROM b),
 bn AS (SELECT item_id, count(*) AS n FROM bg GROUP BY 1),
 o AS (SELECT g.id AS left_id, item_id AS right_id, count(*) AS overlap FROM g JOIN bg USING (gram) GROUP BY 1, 2),
-q AS (SELECT left_id, right_id, overlap, overlap / (n.n + bn.n - overlap) AS similarity FROM o JOIN n ON n.id = left_id JOIN bn ON bn.item_id = right_id)
-SELECT left_id, right_id AS match_id, similarity FROM q WHERE similarity >= 0.85
-QUALIFY row_number() OVER (PARTITION BY left_id ORDER BY overlap DESC, right_id) = 1""")
+q AS (SELECT left_id, right_id, overlap, overlap / (n.n + bn.n - overlap) AS similarity FROM o JOIN n ON n.id = left_id JOIN bn ON bn.item_id = right_id),
+t AS (SELECT left_id, right_id AS match_id, similarity FROM q WHERE similarity >= 0.85 QUALIFY row_number() OVER (PARTITION BY left_id ORDER BY overlap DESC, right_id) = 1)
+SELECT m.id, match_id, round(similarity, 6) AS similarity FROM m JOIN r USING (norm) JOIN t ON t.left_id = r.id""")
 def j2_heldout(spark, sf):
-    """Records against slightly changed held-out texts: the qualifying candidate of highest overlap."""
+    """Every record that is near a slightly changed held-out text, with the qualifying candidate of highest overlap."""
+    grams, members = _classes(spark, sf)
     b = table(spark, sf, "benchmark").select("item_id", X.normalize_question(F.concat("text", F.lit(" copy"))).alias("norm"))
-    return C.near_contamination(C.similarity_join(_grams(spark, sf), C.gram_sets(b, "item_id", "norm"), 0.85))
+    near = C.near_contamination(C.similarity_join(grams, C.gram_sets(b, "item_id", "norm"), 0.85))
+    return members.join(near.withColumnRenamed("left_id", "class_id"), "class_id").select("id", "match_id", "similarity")
 
 
 @query("w3_hash_split", """
@@ -132,16 +155,31 @@ def k5(spark, sf):
     return C.snapshot(heldout(spark, sf))
 
 
+@query("k5_combined_hash", f"""
+WITH h AS ({BENCH}), s AS (SELECT source, array_to_string(list_transform(list_sort(list(DISTINCT norm)), lambda x: to_json(x)::VARCHAR), ', ') AS own FROM h WHERE norm <> '' GROUP BY source)
+SELECT sha256('{{' || string_agg(to_json(source)::VARCHAR || ': [' || own || ']', ', ' ORDER BY source) || '}}') AS combined FROM s""")
+def k5_combined(spark, sf):
+    return C.combined_hash(heldout(spark, sf))
+
+
 @query("k6_manifest", f"""
-WITH h AS ({BENCH}), r AS ({RECORDS})
-SELECT count(*) AS source_rows, count(DISTINCT norm) AS unique_rows, count(*) FILTER (norm IN (SELECT norm FROM h)) AS contaminated,
-       (SELECT count(*) FROM h) AS heldout_rows FROM r""")
+WITH h AS ({BENCH}), r AS ({RECORDS}),
+c AS (SELECT count(*) AS source_rows, count(DISTINCT norm) AS unique_rows, count(*) FILTER (norm IN (SELECT norm FROM h)) AS contaminated, (SELECT count(*) FROM h) AS heldout_rows FROM r)
+SELECT to_json(c)::VARCHAR AS manifest FROM c""")
 def k6(spark, sf):
     h = heldout(spark, sf)
     sides = h.select("norm").distinct().withColumn("hit", F.lit(1))
     rows = records(spark, sf).join(sides, "norm", "left")
     counts = rows.agg(F.count("*").alias("source_rows"), F.count_distinct("norm").alias("unique_rows"), F.count("hit").alias("contaminated"))
-    return counts.withColumn("heldout_rows", F.lit(h.count()).cast("long"))
+    return K.manifest(counts.withColumn("heldout_rows", F.lit(h.count()).cast("long")))
+
+
+@query("f1_normal_forms", """
+SELECT k, norm FROM (VALUES (0, 'full fi 1 ss'), (1, 'a b=c'), (2, 'what is x?'), (3, 'keep me')) v(k, norm)""")
+def f1(spark, sf):
+    """Compatibility forms, full case folding, punctuation and instruction lines, against literal results."""
+    rows = [(0, "Ｆｕｌｌ ﬁ ① ẞ"), (1, "  A\u00a0\tB  = C "), (2, "What is X?\nPlease reason step by step"), (3, "Ｐlease reason step by step\u2028Keep me")]
+    return spark.createDataFrame(rows, "k int, raw string").select("k", X.normalize_question(F.col("raw")).alias("norm"))
 
 
 @query("s8_category_scan", f"""

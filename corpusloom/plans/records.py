@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..operators import batches as B
 from ..scratch import scratch_path, stage
@@ -15,10 +16,10 @@ query = Registry()
 QUERIES, SQL = query.queries, query.sql
 
 
-@query("s1_k1_jsonl_round_trip", "SELECT doc_id, text, lang FROM documents WHERE doc_id % 2 = 0")
+@query("s1_k1_jsonl_round_trip", "SELECT doc_id, text, lang FROM documents")
 def s1(spark, sf):
     path = scratch_path(spark, "jsonl")
-    K.write_jsonl(table(spark, sf, "documents").where("doc_id % 2 = 0").select("doc_id", "text", "lang"), path)
+    K.write_jsonl(table(spark, sf, "documents").select("doc_id", "text", "lang"), path)
     return S.read_jsonl(spark, path, "doc_id long, text string, lang string")
 
 
@@ -39,13 +40,12 @@ def s7(spark, sf):
     return B.concat(parts).groupBy("source").agg(F.count("*").alias("n"))
 
 
-@query("s12_answer_handler", "SELECT doc_id, left(text, 40) AS question, source AS answer FROM documents")
+@query("s12_answer_handler", "SELECT text AS question, source AS answer FROM documents")
 def s12(spark, sf):
     path = scratch_path(spark, "gsm")
     d = table(spark, sf, "documents")
-    K.write_jsonl(d.select("doc_id", F.left("text", F.lit(40)).alias("question"), F.concat(F.lit("work #### "), "source").alias("answer")), path)
-    rows = S.read_jsonl(spark, path, "doc_id long, question string, answer string")
-    return rows.select("doc_id", "question", F.element_at(F.split("answer", "#### "), -1).alias("answer"))
+    K.write_jsonl(d.select(F.col("text").alias("question"), F.concat(F.lit("work #### "), "source").alias("answer")), path)
+    return S.dataset(spark, "gsm8k", path)
 
 
 @query("s13_multiple_choice", """
@@ -76,7 +76,7 @@ ORD = "o AS (SELECT s_suppkey, s_acctbal, row_number() OVER (ORDER BY s_suppkey)
 
 
 def suppliers(spark, sf):
-    return stage(B.numbered(table(spark, sf, "supplier").select("s_suppkey", "s_acctbal"), ["s_suppkey"]), "numbered").df
+    return B.numbered(table(spark, sf, "supplier").select("s_suppkey", "s_acctbal"), ["s_suppkey"])
 
 
 @query("p12_take_slice", f"WITH {ORD} SELECT s_suppkey, ord FROM o WHERE ord >= 3 AND ord < 60 AND (ord - 3) % 4 = 0")
@@ -143,37 +143,91 @@ def u15(spark, sf):
 
 
 @query("u3_u4_set_operations", """
-WITH w AS (SELECT doc_id, list_distinct(string_split(lower(left(text, 200)), ' ')) AS a, list_distinct(string_split(lower(right(text, 200)), ' ')) AS b FROM documents)
+WITH w AS (SELECT doc_id, list_distinct(string_split(lower(split_part(text, chr(10), 1)), ' ')) AS a, list_distinct(string_split(lower(substr(text, length(split_part(text, chr(10), 1)) + 2)), ' ')) AS b FROM documents)
 SELECT doc_id, len(list_intersect(a, b))::INT AS both_n, len(list_distinct(list_concat(a, b)))::INT AS either_n, len(list_filter(a, lambda x: NOT list_contains(b, x)))::INT AS only_n FROM w""")
 def u3(spark, sf):
+    """Words of the first line against those of all further lines."""
     words = lambda c: F.array_distinct(F.split(F.lower(c), " "))
-    d = table(spark, sf, "documents").select("doc_id", words(F.left("text", F.lit(200))).alias("a"), words(F.right("text", F.lit(200))).alias("b"))
+    first = F.substring_index("text", "\n", 1)
+    d = table(spark, sf, "documents").select("doc_id", words(first).alias("a"), words(F.substring("text", F.char_length(first) + 2, F.char_length("text"))).alias("b"))
     return d.select("doc_id", F.size(F.array_intersect("a", "b")).alias("both_n"), F.size(F.array_union("a", "b")).alias("either_n"), F.size(F.array_except("a", "b")).alias("only_n"))
 
 
-@query("u18_collate", "SELECT label, list(vec_id ORDER BY vec_id) AS vec_ids FROM embeddings GROUP BY 1")
+@query("u18_collate", "SELECT ord // 32 AS row, list(vec_id ORDER BY ord) AS vec_id FROM (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS ord FROM embeddings) GROUP BY 1")
 def u18(spark, sf):
-    return table(spark, sf, "embeddings").groupBy("label").agg(F.array_sort(F.collect_list("vec_id")).alias("vec_ids"))
+    """Batches of 32 rows to one, their values as lists."""
+    return B.fold(B.numbered(table(spark, sf, "embeddings").select("vec_id"), ["vec_id"]), 32, "vec_id")
 
 
-@query("u10_balanced_partitions")
-def u10(spark, sf):
-    """Karmarkar-Karp over batches of 64 documents, four parts of equal size."""
+BATCHES = "d AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY doc_id) - 1 AS ord FROM documents), b AS (SELECT ord // 64 AS batch, ord % 64 AS place, n_chars FROM d), n AS (SELECT batch, count(*) AS n, sum(n_chars)::BIGINT AS chars, max(n_chars) AS most FROM b GROUP BY 1)"
+
+
+def batches(spark, sf):
     d = B.numbered(table(spark, sf, "documents").select("doc_id", "n_chars"), ["doc_id"])
-    d = d.withColumn("batch", F.floor(F.col("ord") / 64))
-    full = d.join(d.groupBy("batch").count().where("count = 64").select("batch"), "batch", "left_semi")
-    return B.balance(full, "batch", "n_chars", 4)
+    return d.withColumn("batch", F.floor(F.col("ord") / 64)).drop("doc_id")
+
+
+def balanced(spark, sf, method=B.karmarkar_karp):
+    """Batches of 64 documents in four parts, of equal size where the batch divides; the last batch may not."""
+    d = batches(spark, sf)
+    whole = F.count(F.lit(1)).over(W.partitionBy("batch")) % 4 == 0
+    d = stage(d.withColumn("whole", whole), "batches").df
+    parts = [B.balance(d.where(F.col("whole") == equal), "batch", "n_chars", 4, equal, method) for equal in (True, False)]
+    return stage(parts[0].unionByName(parts[1]), "parts").df
+
+
+def invariants(parted):
+    """Per batch: rows, sum, and whether every row comes once, sizes are right and sums are near each other."""
+    own = parted.groupBy("batch", "part").agg(F.count("*").alias("size"), F.sum("n_chars").alias("s"))
+    own = own.groupBy("batch").agg(F.max("size").alias("big"), F.min("size").alias("small"), F.max("s").alias("high"), F.min("s").alias("low"), F.count("*").alias("parts"))
+    every = parted.groupBy("batch").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"), F.max("n_chars").alias("most"), F.count_distinct("ord").alias("rows"))
+    both = every.join(own, "batch")
+    sizes = (F.col("n") % 4 != 0) | (F.col("big") == F.col("small"))
+    return both.select("batch", "n", "chars", (F.col("rows") == F.col("n")).alias("once"), sizes.alias("sizes_ok"), (F.col("high") - F.col("low") <= F.col("most")).alias("near"))
+
+
+PARTED = f"WITH {BATCHES} SELECT batch, n, chars, true AS once, true AS sizes_ok, true AS near FROM n"
+
 
+@query("u10_balanced_partitions", PARTED)
+def u10(spark, sf):
+    """Largest differencing (invariants; tests compare small batches with all partitions)."""
+    return invariants(balanced(spark, sf))
+
+
+@query("u11_least_loaded", f"WITH {BATCHES} SELECT batch, n, chars, true AS once FROM n")
+def u11(spark, sf):
+    return invariants(balanced(spark, sf, B.least_loaded)).select("batch", "n", "chars", "once")
 
-@query("a22_imbalance")
+
+@query("a22_imbalance", f"""
+WITH {BATCHES}, k AS (SELECT b.batch, floor(place * 4 / n) AS block, sum(n_chars) AS s FROM b JOIN n USING (batch) GROUP BY ALL)
+SELECT batch, min(s)::BIGINT AS min_before, max(s)::BIGINT AS max_before, (max(s) - min(s))::BIGINT AS diff_before, true AS better FROM k GROUP BY 1""")
 def a22(spark, sf):
-    return B.imbalance(u10(spark, sf), "batch", "n_chars", 4)
+    out = B.imbalance(balanced(spark, sf), "batch", "n_chars", 4)
+    return out.select("batch", "min_before", "max_before", "diff_before", (F.col("diff_after") <= F.col("diff_before")).alias("better"))
 
 
-@query("u12_token_batches")
+@query("u12_token_batches", f"WITH {BATCHES} SELECT batch, n, chars, least(n, greatest(1, ceil(chars / 40000)))::BIGINT AS parts, true AS once, true AS falling FROM n")
 def u12(spark, sf):
-    d = B.numbered(table(spark, sf, "documents").select("doc_id", "n_chars"), ["doc_id"]).withColumn("batch", F.floor(F.col("ord") / 64))
-    return B.token_batches(d, "batch", "n_chars", 40_000)
+    parted = stage(B.token_batches(batches(spark, sf), "batch", "n_chars", 40_000), "parts").df
+    own = parted.groupBy("batch", "part").agg(F.sum(F.col("n_chars").cast("long") * F.col("n_chars")).alias("squares"))
+    drop = F.lag("squares").over(W.partitionBy("batch").orderBy("part")) - F.col("squares")
+    own = own.withColumn("drop", drop).groupBy("batch").agg(F.count("*").alias("parts"), F.coalesce(F.min(F.col("drop") >= 0), F.lit(True)).alias("falling"))
+    every = parted.groupBy("batch").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"), (F.count_distinct("ord") == F.count("*")).alias("once"))
+    return every.join(own, "batch").select("batch", "n", "chars", "parts", "once", "falling")
+
+
+@query("u7_unpad", f"WITH {ORD} SELECT s_suppkey, ord FROM o")
+def u7_unpad(spark, sf):
+    return B.unpad(B.pad_to(suppliers(spark, sf), 7)).select("s_suppkey", "ord")
+
+
+@query("w16_restore", f"WITH {ORD} SELECT s_suppkey, ord FROM o")
+def w16(spark, sf):
+    s = suppliers(spark, sf)
+    turned = s.join(F.broadcast(s.agg(F.count("*").alias("n")))).select("ord", (F.col("n") - 1 - F.col("ord")).alias("pos"))
+    return B.restore(B.reorder(s, turned)).select("s_suppkey", "ord")
 
 
 # -- streams -------------------------------------------------------------------------------------------
@@ -198,7 +252,7 @@ def t1(spark, sf):
     """Started twice with one checkpoint: the second start finds nothing new, so that no row comes twice."""
     out, state = scratch_path(spark, "t1"), scratch_path(spark, "t1-state")
     for _ in range(2):
-        T.drain(_stream(spark, sf).select("event_id", "value"), out, state)
+        T.drain(_stream(spark, sf).select("event_id", "value"), out, state, request={"table": "events", "columns": ["event_id", "value"]})
     return spark.read.parquet(out)
 
 
@@ -216,14 +270,10 @@ SELECT a.user_id, count(*) AS n_events, count(*) FILTER (a.action = 'ask') AS as
  count(*) FILTER (p.action = 'accept' AND p.before = 'verify') AS accepts, count(*) FILTER (p.action = 'accept' AND coalesce(p.before, '') <> 'verify') AS invalid_accepts
 FROM a LEFT JOIN p USING (user_id, event_id) GROUP BY 1""")
 def t4(spark, sf):
-    name = "t4_" + scratch_path(spark, "q").rsplit("-", 1)[1]
     out, state = scratch_path(spark, "t4"), scratch_path(spark, "t4-state")
     stream = T.request_state(_stream(spark, sf).select("user_id", "event_id", F.expr(ACTION).alias("action")))
 
-    def batch(rows, epoch):  # updates replace what a key had before
-        rows.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{out}/e={epoch}")
-
-    stream.writeStream.queryName(name).outputMode("update").foreachBatch(batch).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    T.drain_updates(stream, out, state)
     rows = spark.read.parquet(out)
     last = rows.groupBy("user_id").agg(F.max_by(F.struct("n_events", "asks", "verifies", "accepts", "invalid_accepts"), "epoch").alias("r"))
     return last.select("user_id", "r.*")
@@ -231,7 +281,7 @@ def t4(spark, sf):
 
 @query("t6_windowed_counts", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING max(ts) IS NOT NULL")
 def t6(spark, sf):
-    """The batch form of the windowed stream (equal rows once the stream is closed)."""
-    rows = table(spark, sf, "events")
-    w = F.window("ts", "1 hour")
-    return rows.groupBy(w, "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
+    """The windowed stream in update mode: of each window the last count stays."""
+    out, state = scratch_path(spark, "t6"), scratch_path(spark, "t6-state")
+    T.drain_updates(T.windowed_counts(_stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 hour", "10 minutes", "event_type"), out, state)
+    return spark.read.parquet(out).groupBy(F.col("start").cast("timestamp_ntz").alias("start"), "event_type").agg(F.max_by("n", "epoch").alias("n"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import curation, grading, records, rollouts, traces
+from . import curation, grading, interfaces, records, rollouts, traces
 
-MODULES = (curation, grading, traces, records, rollouts)
+MODULES = (curation, grading, traces, records, rollouts, interfaces)
 
 
 def queries():

@@ -173,15 +173,15 @@ def a11(spark, sf):
 
 @query("f30_kl", f"""
 WITH {EMB}, z AS (SELECT vec_id, list_zip(v, w) AS z FROM e)
-SELECT vec_id, list_transform(z, lambda x: round(x[1] - x[2], 6)) AS kl, list_transform(z, lambda x: round(abs(x[1] - x[2]), 6)) AS abs, list_transform(z, lambda x: round(0.5 * (x[1] - x[2]) * (x[1] - x[2]), 6)) AS mse,
+SELECT vec_id, list_transform(z, lambda x: x[1] - x[2]) AS kl, list_transform(z, lambda x: abs(x[1] - x[2])) AS abs, list_transform(z, lambda x: 0.5 * (x[1] - x[2]) * (x[1] - x[2])) AS mse,
        list_transform(z, lambda x: round(greatest(-10.0, least(10.0, exp(x[2] - x[1]) - (x[2] - x[1]) - 1)), 6)) AS low_var_kl FROM z""")
 def f30(spark, sf):
-    return emb(spark, sf).select("vec_id", *[rounded(O.kl(F.col("v"), F.col("w"), k)).alias(k) for k in ("kl", "abs", "mse", "low_var_kl")])
+    return emb(spark, sf).select("vec_id", *[O.kl(F.col("v"), F.col("w"), k).alias(k) for k in ("kl", "abs", "mse")], rounded(O.kl(F.col("v"), F.col("w"), "low_var_kl")).alias("low_var_kl"))
 
 
-@query("f31_shaped_rewards", f"WITH {EMB}, z AS (SELECT vec_id, list_zip(v, w, m) AS z FROM e) SELECT vec_id, list_transform(z, lambda x: round(x[1] - 0.1 * (x[2] * x[3]), 6)) AS rewards FROM z")
+@query("f31_shaped_rewards", f"WITH {EMB}, z AS (SELECT vec_id, list_zip(v, w, m) AS z FROM e) SELECT vec_id, list_transform(z, lambda x: x[1] - 0.1 * (x[2] * x[3])) AS rewards FROM z")
 def f31(spark, sf):
-    return emb(spark, sf).select("vec_id", rounded(O.shaped_rewards(F.col("v"), F.col("w"), F.col("m"), 0.1)).alias("rewards"))
+    return emb(spark, sf).select("vec_id", O.shaped_rewards(F.col("v"), F.col("w"), F.col("m"), 0.1).alias("rewards"))
 
 
 @query("f32_policy_loss", f"""
@@ -194,9 +194,9 @@ def f32(spark, sf):
 
 @query("f33_value_loss", f"""
 WITH {EMB}, z AS (SELECT vec_id, list_transform(list_zip(v, w), lambda x: [x[1], greatest(x[2] - 0.1, least(x[2] + 0.1, x[1])), x[1] * 2]) AS z FROM e)
-SELECT vec_id, list_transform(z, lambda x: round(0.5 * greatest((x[1] - x[3]) ** 2, (x[2] - x[3]) ** 2), 6)) AS loss FROM z""")
+SELECT vec_id, list_transform(z, lambda x: 0.5 * greatest((x[1] - x[3]) * (x[1] - x[3]), (x[2] - x[3]) * (x[2] - x[3]))) AS loss FROM z""")
 def f33(spark, sf):
-    return emb(spark, sf).select("vec_id", rounded(O.value_loss(F.col("v"), F.col("w"), F.transform("v", lambda t: t * 2), 0.1)).alias("loss"))
+    return emb(spark, sf).select("vec_id", O.value_loss(F.col("v"), F.col("w"), F.transform("v", lambda t: t * 2), 0.1).alias("loss"))
 
 
 @query("f34_adaptive_kl", f"""
@@ -211,7 +211,7 @@ def f34(spark, sf):
 
 #: Each document as a response: calls and a boxed answer are appended by rule.
 RESP = r"""r AS (SELECT doc_id, source AS prompt, n_chars, (n_chars % 50)::VARCHAR AS truth,
- '<think>' || left(text, 80) || CASE WHEN doc_id % 3 = 0 THEN ' <call>' || (doc_id * 7)::VARCHAR || '</call> <call> 12 </call>' ELSE '' END || '</think> ' ||
+ '<think>' || text || CASE WHEN doc_id % 3 = 0 THEN ' <call>' || (doc_id * 7)::VARCHAR || '</call> <call> 12 </call>' ELSE '' END || '</think> ' ||
  CASE WHEN doc_id % 5 = 4 THEN 'Answer: ' || (n_chars % 50)::VARCHAR || ' units.' ELSE 'So \boxed{' || (n_chars % (CASE WHEN doc_id % 4 = 0 THEN 50 ELSE 10 END))::VARCHAR || '}' END AS response FROM documents)"""
 _BOX = r"trim(regexp_extract_all(response, '\\boxed\s*\{([^{}]*)\}', 1)[-1])"
 _CALLS = r"coalesce(list_sum(list_transform(regexp_extract_all(response, '<call>\s*(\d+)\s*</call>', 1), lambda x: least(x::BIGINT, 4096))), 0)"
@@ -223,7 +223,7 @@ def responses(spark, sf):
     call = F.when(F.col("doc_id") % 3 == 0, cat(t(" <call>"), (F.col("doc_id") * 7).cast("string"), t("</call> <call> 12 </call>"))).otherwise(t(""))
     given = (n % F.when(F.col("doc_id") % 4 == 0, 50).otherwise(10)).cast("string")
     end = F.when(F.col("doc_id") % 5 == 4, cat(t("Answer: "), (n % 50).cast("string"), t(" units."))).otherwise(cat(t("So \\boxed{"), given, t("}")))
-    return d.select("doc_id", F.col("source").alias("prompt"), "n_chars", (n % 50).cast("string").alias("truth"), cat(t("<think>"), F.left("text", t(80)), call, t("</think> "), end).alias("response"))
+    return d.select("doc_id", F.col("source").alias("prompt"), "n_chars", (n % 50).cast("string").alias("truth"), cat(t("<think>"), "text", call, t("</think> "), end).alias("response"))
 
 
 @query("f20_math_reward", f"WITH {RESP}, s AS (SELECT doc_id, coalesce({_BOX} = truth, false)::INT::DOUBLE AS accuracy, regexp_full_match(response, '(?s)<think>.*</think>.*\\\\boxed\\{{.*\\}}.*')::INT::DOUBLE AS format FROM r) SELECT *, 0.9 * accuracy + 0.1 * format AS overall FROM s")
@@ -322,14 +322,14 @@ def f36(spark, sf):
     return s.select("s_suppkey", m["a"].alias("a"), m["b"].alias("b"), m["c"].alias("c"))
 
 
-@query("p13_templates", "SELECT doc_id, 'Q: ' || trim(left(text, 50)) || chr(10) || 'lang=' || lang || '!' AS prompt FROM documents")
+@query("p13_templates", "SELECT doc_id, 'Q: ' || trim(text) || chr(10) || 'lang=' || lang || '!' AS prompt FROM documents")
 def p13(spark, sf):
     from ..functions.config import template
 
-    return table(spark, sf, "documents").withColumn("head", F.left("text", F.lit(50))).select("doc_id", template("Q: {{ head | trim }}\nlang={{ lang }}!").alias("prompt"))
+    return table(spark, sf, "documents").select("doc_id", template("Q: {{ text | trim }}\nlang={{ lang }}!").alias("prompt"))
 
 
 @query("p9_token_filter", "SELECT doc_id FROM documents WHERE len(regexp_extract_all(text, '[^\\s]+')) <= 200")
 def p9(spark, sf):
     """Over-long prompts go; the tokenizer's stand-in counts words."""
-    return table(spark, sf, "documents").where(F.regexp_count("text", F.lit(r"[^\s]+")) <= 200).select("doc_id")
+    return O.within_tokens(table(spark, sf, "documents"), "text", 200).select("doc_id")

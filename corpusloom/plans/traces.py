@@ -177,15 +177,15 @@ def m1(spark, sf):
 # -- protocol examples ---------------------------------------------------------------------------------
 
 #: Documents as problems: question = first line, gold answer = number of characters, solution = second line.
-PROBLEMS = """problems AS (SELECT doc_id AS id, left(string_split(text, chr(10))[1], 60) AS question, CASE WHEN doc_id % 3 = 0 THEN n_chars::VARCHAR WHEN doc_id % 3 = 1 THEN n_chars::VARCHAR || ',5' ELSE 'x' || n_chars::VARCHAR END AS gold_answer,
- 'Count the letters.' || chr(10) || 'So \\boxed{' || n_chars::VARCHAR || '}' AS gold_solution FROM documents WHERE doc_id % 2 = 0)"""
+PROBLEMS = """problems AS (SELECT doc_id AS id, string_split(text, chr(10))[1] AS question, CASE WHEN doc_id % 3 = 0 THEN n_chars::VARCHAR WHEN doc_id % 3 = 1 THEN n_chars::VARCHAR || ',5' ELSE 'x' || n_chars::VARCHAR END AS gold_answer,
+ 'Count the letters.' || chr(10) || 'So \\boxed{' || n_chars::VARCHAR || '}' AS gold_solution FROM documents)"""
 
 
 def problems(spark, sf):
-    d = table(spark, sf, "documents").where("doc_id % 2 = 0")
+    d = table(spark, sf, "documents")
     n = F.col("n_chars").cast("string")
     gold = F.when(F.col("doc_id") % 3 == 0, n).when(F.col("doc_id") % 3 == 1, F.concat(n, F.lit(",5"))).otherwise(F.concat(F.lit("x"), n))
-    question = F.left(F.element_at(F.split("text", "\n"), 1), F.lit(60))
+    question = F.element_at(F.split("text", "\n"), 1)
     return d.select(F.col("doc_id").alias("id"), question.alias("question"), gold.alias("gold_answer"), F.concat(F.lit("Count the letters.\nSo \\boxed{"), n, F.lit("}")).alias("gold_solution"))
 
 
@@ -301,7 +301,7 @@ def m3(spark, sf):
     return out.select("id", "ask_count", "verify_count", "accept_count", "denied_action_count", "teacher_tokens_used", F.size("segments").alias("n_segments"), errors.alias("n_errors"))
 
 
-@query("m5_relay")
+@query("m5_relay", "SELECT item_id AS id, 'please <call>4</call>helpdone' AS response, 1::BIGINT AS ask_count, 4::BIGINT AS teacher_tokens_used, 'done' AS status FROM benchmark")
 def m5(spark, sf):
     from ..operators import dialogues as D
 

@@ -25,6 +25,20 @@ def with_retries(call: Callable, most: int = 6, sleep: Callable = time.sleep):
     return None
 
 
+def load_page(path: str) -> dict:
+    """A page's JSON, from any file system that the path names."""
+    from pyarrow import fs
+
+    where, inner = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
+    with where.open_input_stream(inner) as f:
+        return json.loads(f.read())
+
+
+def total_rows(path: str) -> int:
+    """How many rows the source has in all, as any of its pages says."""
+    return int(load_page(path)["num_rows_total"])
+
+
 class Page(InputPartition):
     def __init__(self, path: str):
         self.path = path
@@ -40,11 +54,8 @@ class PagedReader(DataSourceReader):
         return [Page(p) for p in self.pages if p]
 
     def read(self, partition):
-        def load():
-            with open(partition.path, encoding="utf-8") as f:
-                return json.load(f)
-
-        for k, row in enumerate(with_retries(load, self.retries)["rows"]):
+        page = with_retries(lambda: load_page(partition.path), self.retries)
+        for k, row in enumerate(page["rows"]):
             inner = row.get("row", row)
             yield tuple(row.get("row_idx", k) if n == "row_idx" else inner.get(n) for n in self.names)
 

@@ -50,12 +50,13 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
     return (r.schema(schema) if schema else r).csv(path)
 
 
-def read_dataset(spark: SparkSession, path: str) -> DataFrame:
-    """A dataset by its extension; 'path@split' keeps the rows of that split."""
+def read_dataset(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
+    """A dataset by its extension; 'path@split' keeps the rows of that split, `most` limits their number."""
     path, _, split = path.partition("@")
     kind = {"jsonl": "json", "json": "json", "parquet": "parquet", "csv": "csv", "orc": "orc"}.get(path.rsplit(".", 1)[-1], "parquet")
     rows = spark.read.option("header", True).format(kind).load(path)
-    return rows.where(F.col("split") == split) if split else rows
+    rows = rows.where(F.col("split") == split) if split else rows
+    return rows if most is None else rows.limit(most)
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:

@@ -39,7 +39,26 @@ def load_batch(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     return spark.read.parquet(f"{path}/columns"), json.loads(meta)
 
 
+LOGGERS = {}
+
+
+def logger(name: str):
+    """Register a metrics logger: a function of (spark, step, metrics, path)."""
+
+    def add(f):
+        LOGGERS[name] = f
+        return f
+
+    return add
+
+
+@logger("parquet")
 def log_metrics(spark: SparkSession, step: int, metrics: dict[str, float], path: str) -> None:
     """Append (step, key, value) rows to a metrics table."""
     rows = [(step, k, float(v)) for k, v in sorted(metrics.items())]
     spark.createDataFrame(rows, "step long, key string, value double").coalesce(1).write.mode("append").parquet(path)
+
+
+@logger("console")
+def print_metrics(spark: SparkSession, step: int, metrics: dict[str, float], path: str = "") -> None:
+    print(f"step {step}", *(f"{k}={v}" for k, v in sorted(metrics.items())))

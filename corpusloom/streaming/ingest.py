@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,23 +30,55 @@ def windowed_counts(stream: DataFrame, ts: str, window: str, late: str, by: str)
     return stream.withWatermark(ts, late).groupBy(w, by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), by, "n")
 
 
-def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
+def same_request(spark: SparkSession, path: str, request: dict) -> None:
+    """Keep the request of a stream's first start beside its checkpoint; a resume with another one is an error."""
+    text = json.dumps(request, sort_keys=True)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        held = spark.read.text(path, wholetext=True).first()[0].strip()
+        if held != text:
+            raise ValueError(f"resumed with {text}, begun with {held}")
+    else:
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+
+
+def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", request: dict | None = None) -> None:
     """Process all that is there once, into Parquet with exactly-once commits, and stop."""
+    if request is not None:
+        same_request(stream.sparkSession, f"{checkpoint}-request", request)
     stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path).awaitTermination()
 
 
+def drain_updates(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Updates of an aggregating stream into Parquet, one folder an epoch; of each key the last epoch's row holds."""
+
+    def batch(rows: DataFrame, epoch: int) -> None:
+        rows.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{path}/e={epoch}")
+
+    stream.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def take_until(stream: DataFrame, most: int, path: str, checkpoint: str) -> int:
-    """Batches into Parquet until `most` rows are kept; the batch that reaches it is cut, later ones are skipped."""
-    kept = [0]
+    """Batches into Parquet until `most` rows are kept; the batch that reaches it is cut, later ones are skipped.
+
+    What is kept is counted from the epochs written before, so that a restart goes on from there.
+    """
+    spark, schema = stream.sparkSession, stream.schema
+
+    def kept(before: int | None = None) -> int:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+            return 0
+        rows = spark.read.schema(f"{schema.simpleString()[7:-1].replace(':', ' ')}, epoch long").parquet(path)
+        return (rows if before is None else rows.where(F.col("epoch") < before)).count()
 
     def batch(rows: DataFrame, epoch: int) -> None:
-        if kept[0] < most:
-            part = rows.limit(most - kept[0])
-            part.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
-            kept[0] += rows.sparkSession.read.parquet(f"{path}/epoch={epoch}").count()
+        room = most - kept(epoch)
+        if room > 0:
+            rows.limit(room).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return kept[0]
+    return kept()
 
 
 REQUEST_SCHEMA = "user_id long, n_events long, asks long, verifies long, accepts long, invalid_accepts long"

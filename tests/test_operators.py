@@ -3,6 +3,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from corpusloom.functions import text as X
 from corpusloom.operators import batches, curation, dialogues, grading, protocol, rewards, rollouts, traces
@@ -273,3 +274,35 @@ def test_dialogue_paths():
         dialogues.Rules(mode="force_ask_first", most_interactions=0)
     with pytest.raises(ValueError):
         dialogues.play([(1, "Q")], lambda p, n: [], lambda p, n: [], dialogues.Rules())
+
+
+def test_similarity_join_against_all_pairs(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcde") for _ in range(rng.randint(2, 6))) for _ in range(60)]
+    base = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 90))) for _ in range(40)]
+    texts = base + [t + " end" for t in base] + [t[: len(t) // 2] + "#" + t[len(t) // 2 :] for t in base] + ["", "ab", "abcde", "abcdef"]
+    grams = lambda t: {t[i : i + 5] for i in range(len(t) - 4)} if len(t) > 5 else {t}
+    sets = [grams(t) for t in texts]
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.85}
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    got = rows(curation.similarity_join(curation.gram_sets(df, "i", "t"), None, 0.85))
+    assert {(r["left_id"], r["right_id"]) for r in got} == want and len(want) > 40
+    assert all(r["overlap"] == len(sets[r["left_id"]] & sets[r["right_id"]]) for r in got)
+    cross = rows(curation.similarity_join(curation.gram_sets(df.where("i < 40"), "i", "t"), curation.gram_sets(df.where("i >= 40"), "i", "t"), 0.85))
+    assert {(r["left_id"], r["right_id"]) for r in cross} == {(i, j) for i, j in want if i < 40 <= j}
+
+
+def test_numbered_is_one_order_over_wide_rows_and_many_partitions(spark):
+    """Ordinal and payload used together; ranges come from one sampling."""
+    from corpusloom.operators.batches import numbered
+    from corpusloom.operators.traces import dense_index
+
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        rows = spark.range(60_000).select(F.xxhash64("id").alias("k"), "id", F.repeat(F.sha2(F.col("id").cast("string"), 256), 3).alias("wide"))
+        got = numbered(rows, ["k"]).withColumn("next", F.lead("k").over(W.orderBy("ord")))
+        n, distinct, low, high, wrong, wide = got.agg(F.count("*"), F.count_distinct("ord"), F.min("ord"), F.max("ord"), F.count_if(F.col("next") < F.col("k")), F.count_distinct("wide")).first()
+        assert (n, distinct, low, high, wrong, wide) == (60_000, 60_000, 0, 59_999, 0, 60_000)
+        assert dense_index(rows.select("k").distinct(), "k", "i").agg(F.count_distinct("i"), F.max("i")).first()[:] == (60_000, 59_999)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
