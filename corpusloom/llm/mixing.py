@@ -7,11 +7,14 @@ epoch) and then the fractional rest in key order. With `cut` the document at the
 part, so that each source meets its whole-word budget exactly; without it that document is taken whole
 if at least half of it is within the budget.
 
-A source is never gathered: keys fall into `bins` ranges, sizes are pre-aggregated by (source, bin), the
-running sum goes over those few sums, and only the rows of one (source, bin) are sorted together.
+A source is never gathered: keys fall into ranges, sizes are pre-aggregated by (source, bin), the running
+sum goes over those few sums, and only the rows of one (source, bin) are sorted together. A range spans
+1 / bins of the key's natural logarithm. A quality only shifts that logarithm, and its density is 1/e at most,
+so no bin expects over 1 / (e bins) of a source's rows whatever their qualities.
 
 Defined cases: a null text has size 0 and is never taken; a null source is a source of its own and comes
-last; equal keys fall back to doc_id and the text's hash, and only rows equal in both may change places;
+last; a null doc_id draws by its text; equal keys fall back to doc_id and the text's hash, and only rows
+equal in both may change places; very long texts are counted whole;
 a table whose sizes are all 0 (or an empty one) has targets 0. Other columns do not matter.
 """
 
@@ -25,7 +28,7 @@ from .common import WORD, stage, table
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
-BINS = 4096
+BINS = 2048
 SEED = "mix-1"
 
 
@@ -35,9 +38,10 @@ def quality(text: Column) -> Column:
     return F.coalesce(F.lit(0.1) + F.lit(0.9) * letters / F.greatest(F.char_length(text), F.lit(1)), F.lit(0.1))
 
 
-def uniform(doc_id: Column, seed: str) -> Column:
-    """In (0, 1): 52 bits of SHA-256 over seed and id, which any SQL engine can recompute."""
-    digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))), 256)
+def uniform(doc_id: Column, text: Column, seed: str) -> Column:
+    """In (0, 1): 52 bits of SHA-256 over seed and id (or the text's digest), which any SQL engine can recompute."""
+    name = F.coalesce(doc_id.cast("string"), F.concat(F.lit("null:"), F.sha2(F.coalesce(text, F.lit("")), 256)))
+    digest = F.sha2(F.concat(F.lit(f"{seed}:"), name), 256)
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
@@ -65,9 +69,9 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, most: int = MAX_EPOCHS)
 def sizes(docs: DataFrame, seed: str = SEED, bins: int = BINS) -> DataFrame:
     """doc_id, source, text hash, size, sampling key and its bin of every row."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    key = -F.log(uniform(F.col("doc_id"), seed)) / quality(F.col("text"))
+    key = -F.log(uniform(F.col("doc_id"), F.col("text"), seed)) / quality(F.col("text"))
     rows = docs.select("doc_id", "source", F.xxhash64("text").alias("th"), size.alias("size"), key.alias("key"))
-    return rows.withColumn("bin", F.floor((1 - F.exp(-F.col("key"))) * bins).cast("int"))
+    return rows.withColumn("bin", F.floor(F.log("key") * bins).cast("int"))
 
 
 def select_mix(docs: DataFrame, weights=WEIGHTS, most: int = MAX_EPOCHS, seed: str = SEED, bins: int = BINS, cut: bool = True) -> DataFrame:
@@ -102,14 +106,25 @@ def select_mix(docs: DataFrame, weights=WEIGHTS, most: int = MAX_EPOCHS, seed: s
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the rows of docs, each as often as it is taken, whole documents only."""
+    """The mix itself: the rows of docs, each as often as it is taken, whole documents only.
+
+    Rows equal in doc_id, text and source share what the mix takes of them all.
+    """
     names = docs.columns
-    take = select_mix(docs, cut=False, **options).where("copies > 0")
-    take = take.groupBy("doc_id", "th").agg(F.max("copies").alias("__cl_n"))
-    take = take.select(F.col("doc_id").alias("__cl_id"), F.col("th").alias("__cl_th"), "__cl_n")
+    take = select_mix(docs, cut=False, **options).groupBy("doc_id", "th", "source")
+    take = stage(take.agg(F.sum("copies").alias("__cl_n"), F.count("*").alias("__cl_m")).where("__cl_n > 0"), "taken").df
+    take = take.withColumnsRenamed({"doc_id": "__cl_id", "th": "__cl_th", "source": "__cl_source"})
     out = docs.withColumn("__cl_hash", F.xxhash64("text"))
-    out = out.join(take, out.doc_id.eqNullSafe(take["__cl_id"]) & (out["__cl_hash"] == take["__cl_th"]))
-    return out.withColumn("__cl_copy", F.explode(F.sequence(F.lit(1), F.col("__cl_n")))).select(*names)
+    same = out.doc_id.eqNullSafe(take["__cl_id"]) & (out["__cl_hash"] == take["__cl_th"]) & out.source.eqNullSafe(take["__cl_source"])
+    out = out.join(take, same)
+    if take.where("__cl_m > 1").isEmpty():
+        out = out.withColumn("__cl_k", F.lit(0))
+    else:  # number the rows of a repeated one; they are few, or the same row over and over
+        place = F.row_number().over(W.partitionBy("__cl_id", "__cl_th", "__cl_source").orderBy(F.lit(1))) - 1
+        out = out.where("__cl_m = 1").withColumn("__cl_k", F.lit(0)).unionByName(out.where("__cl_m > 1").withColumn("__cl_k", place))
+    own = F.floor((F.col("__cl_n") - F.col("__cl_k") + F.col("__cl_m") - 1) / F.col("__cl_m")).cast("int")
+    out = out.withColumn("__cl_own", own).where("__cl_own > 0")
+    return out.withColumn("__cl_copy", F.explode(F.sequence(F.lit(1), F.col("__cl_own")))).select(*names)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +134,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = """
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-         (('0x' || substr(sha256('mix-1:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u,
+         (('0x' || substr(sha256('mix-1:' || coalesce(doc_id::VARCHAR, 'null:' || sha256(coalesce(text, '')))), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u,
          coalesce(0.1 + 0.9 * length(regexp_replace(text, '[^\\p{L}]+', '', 'g')) / greatest(length(text), 1), 0.1) AS q
   FROM documents),
 s AS (
