@@ -66,14 +66,14 @@ LABELLED = (
     ("https://forum.linux.example.net/en/315", 0), ("http://history.example.com/es/612", 0),
     ("https://music.example.org/fr/163", 0), ("https://www.theatre.example.net/en/820", 0),
     ("http://health.example.com/en/498", 0), ("https://m.football.example.net/de/442", 0),
-    ("https://thenoria.example.com/fr/438", 0), ("http://www.theranes.example.net/en/25", 0),
-    ("https://blog.thinderon.example.net/es/797", 0), ("http://thertine.example.net/en/960", 0),
-    ("https://www.thonther.example.com/en/687", 0), ("http://m.thestin.example.net/de/235.html", 0),
-    ("https://thatone.example.net/fr/229", 0), ("https://blog.ithere.example.com/en/790", 0),
-    ("http://www.tionther.example.net/es/304", 0), ("https://m.hething.example.com/en/542", 0),
-    ("https://stinger.example.net/en/10", 0), ("http://blog.anderou.example.net/de/925", 0),
-    ("https://www.rething.example.com/es/969", 0), ("https://natble.example.net/fr/518", 0),
-    ("http://blog.edition.example.com/en/814", 0), ("https://www.thornet.example.net/en/175", 0),
+    ("https://recipes.family.example.com/fr/438", 0), ("http://www.bookshop.example.net/en/25", 0),
+    ("https://blog.mountains.example.net/es/797", 0), ("http://school.example.net/en/960", 0),
+    ("https://www.citynews.example.com/en/687", 0), ("http://m.transport.example.net/de/235.html", 0),
+    ("https://parliament.example.net/fr/229", 0), ("https://blog.photography.example.com/en/790", 0),
+    ("http://www.medicine.example.net/es/304", 0), ("https://m.orchestra.example.com/en/542", 0),
+    ("https://software.example.net/en/10", 0), ("http://blog.economy.example.net/de/925", 0),
+    ("https://www.architecture.example.com/es/969", 0), ("https://astronomy.example.net/fr/518", 0),
+    ("http://blog.literature.example.com/en/814", 0), ("https://www.farmers-market.example.net/en/175", 0),
 )
 
 HOST_PATH = "://([^/?#]*)([^?#]*)"
