@@ -6,8 +6,8 @@ twin is made by swapping identity terms for their partners, and the squared chan
 swap causes is added to the loss, so that a neutral mention of any group does not raise the score.
 
 Labels come only from rows with crc32(doc_id as text) mod 4 <> 2. The fit uses at most `sample` labelled
-documents (chosen by a hash of doc_id) and at most `features` features (chosen by chi-squared over that
-sample, plus all identity terms); scoring reads every document whole. labels, lang, source and doc_id are
+documents (chosen by a hash of doc_id) and all features of that sample whose chi-squared reaches
+LEAST_CHI, plus all identity terms; scoring reads every document whole. labels, lang, source and doc_id are
 never inputs of a score.
 
 Defined cases: a null or empty text has no words and gets the intercept's score; labels other than 0 and 1
@@ -31,7 +31,6 @@ from pyspark.sql.functions import pandas_udf
 from .common import stage, table
 
 SAMPLE = 20_000
-FEATURES = 4096
 CAP = 3
 THRESHOLD = 0.3
 
@@ -49,7 +48,8 @@ PARTNERS = (
 )
 SWAP = {a: b for x in PARTNERS for a, b in (x, x[::-1])}
 PREFIXES = range(3, 9)
-LEAST_CHI = 6.6
+#: Chi-squared of one degree of freedom at p = 0.001: what a feature of the sample must reach.
+LEAST_CHI = 10.83
 #: Words whose features a worker remembers.
 REMEMBERED = 1_000_000
 
@@ -137,7 +137,7 @@ def fit_arrays(x: tuple, change: tuple, y: np.ndarray, size: int, l2: float, fai
     return w, b
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES, l2: float = 2e-4, fair: float = 5.0, steps: int = 400) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least_chi: float = LEAST_CHI, l2: float = 2e-4, fair: float = 5.0, steps: int = 400) -> Model:
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & trainable(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -175,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
     a = F.col("pos").cast("double")
     expect = F.col("n") * (pos / n)
     chi = (a - expect) * (a - expect) / (expect * (1 - pos / n) * (1 - F.col("n") / (n + 1.0)))
-    top = counts.where("n >= 3").select("word", chi.alias("chi")).where(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "word").limit(features).collect()
+    top = counts.select("word", chi.alias("chi")).where(F.col("chi") >= least_chi).collect()
     names = sorted({t.word for t in top} | set(SWAP))
     at = {w: k for k, w in enumerate(names)}
 
@@ -200,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
     data = data.take(np.lexsort([[len(k) for k in data["k"]], data["doc_id"].to_numpy()]))
     y = data["toxic"].to_numpy().astype(float)
     w, bias = fit_arrays(_entries(data["k"], data["v"]), _entries(data["dk"], data["dv"]), y, len(names), l2, fair, steps)
-    return Model(bias, {name: float(v) for name, v in zip(names, w) if abs(v) > 1e-3})
+    return Model(bias, {name: float(v) for name, v in zip(names, w)})
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
