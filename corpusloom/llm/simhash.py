@@ -5,7 +5,9 @@ shingles' XXH64 hashes. Documents link where fingerprints differ in at most `rad
 is what links reach. Distinct fingerprints (not documents) are routed down a tree of vantage points that
 is fitted on a bounded sample. Each lands in one home leaf. A fingerprint just outside a ball also visits
 its inside, which the triangle bound makes sufficient: pairs that a sphere parts differ by at most
-`radius` in their distance to its centre. In a leaf all pairs of members and visitors are compared, with
+`radius` in their distance to its centre. A leaf that holds too much gets a tree of its own, fitted on a
+sample of the leaf, and its rows stream through that tree from several partitions; this repeats until leaves
+are small or nothing parts them. In a leaf all pairs of members and visitors are compared, with
 further splits where a leaf is large, and a spanning forest leaves it: never all pairs of a group.
 
 Defined cases: a null or empty text has fingerprint zero and links like any other; fewer words than a
@@ -20,6 +22,7 @@ MinHash bands, as in line_dedup, and every link is checked exactly. Texts withou
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from itertools import accumulate
 
@@ -35,8 +38,12 @@ from .line_dedup import similar_lines
 
 #: Fingerprints in the sample that the routing tree is fitted on, at most.
 SAMPLE = 20_000
-#: Members that a leaf should have; larger leaves are split again where they are searched.
+#: Members that a leaf should have; leaves with over four times as many are parted by trees of their own.
 LEAF = 4096
+#: Fingerprints in the sample of one leaf, about.
+LEAF_SAMPLE = 2000
+#: Rows of a leaf that one partition streams through the leaf's tree, about.
+SPREAD = 500_000
 
 
 def word_sequence(text: str | None) -> list[bytes]:
@@ -110,9 +117,12 @@ def build_tree(points: np.ndarray, leaves: int, radius: int, seed: int = 7):
     return grow(points, leaves)
 
 
-def route(tree, points: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(leaf, indices, is home) for all points: each is at home once and visits where pairs may cross."""
-    todo = [(tree, np.arange(len(points)), np.ones(len(points), bool))]
+def route(tree, points: np.ndarray, radius: int, own: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(leaf, indices, is home) for all points: each is at home once and visits where pairs may cross.
+
+    own: which points are at home in the tree; the others only visit. Default: all.
+    """
+    todo = [(tree, np.arange(len(points)), np.ones(len(points), bool) if own is None else own)]
     while todo:
         node, at, home = todo.pop()
         if not len(at):
@@ -159,6 +169,51 @@ def spanning_links(members: np.ndarray, visitors: np.ndarray, radius: int) -> li
     return [(int(points[i]), int(points[label[i]])) for i in moved]
 
 
+def part_leaves(sent: DataFrame, radius: int, leaf: int, seed: int) -> DataFrame | None:
+    """sent with large leaves parted by trees of their own; None if no leaf is large and can be parted.
+
+    sent: staged (leaf, fp, home). No leaf is gathered: a bounded sample of each fits its tree, and its rows
+    follow the tree through SPREAD-sized partitions, in a stream.
+    """
+    sizes = sent.groupBy("leaf").agg(F.count("*").alias("n"), F.count_if("home").alias("members")).where(F.col("members") > 4 * leaf)
+    sizes = stage(sizes, "sizes").df
+    if sizes.isEmpty():
+        return None
+    lot = F.pmod(F.xxhash64("fp", F.lit(seed)), F.col("members"))
+    drawn = sent.where("home").join(sizes, "leaf").where(lot < LEAF_SAMPLE)
+
+    def fit(b: pd.DataFrame) -> pd.DataFrame:
+        points = np.sort(b["fp"].to_numpy(np.int64).view(np.uint64))
+        tree = build_tree(points, -(-int(b["members"].iloc[0]) // leaf), radius)
+        rows = [(b["leaf"].iloc[0], b["n"].iloc[0], pickle.dumps(tree))] if isinstance(tree, tuple) else []
+        return pd.DataFrame(rows, columns=["leaf", "n", "tree"])
+
+    trees = stage(drawn.groupBy("leaf").applyInPandas(fit, "leaf string, n long, tree binary"), "trees").df
+    if trees.isEmpty():
+        return None
+    shares = F.floor(F.col("n") / SPREAD).cast("int")
+    points = sent.join(trees.select("leaf", "n"), "leaf")
+    points = points.select("leaf", F.pmod(F.xxhash64("fp"), shares + 1).cast("int").alias("share"), "fp", "home", F.lit(None).cast("binary").alias("tree"))
+    heads = trees.select("leaf", F.explode(F.sequence(F.lit(0), shares)).alias("share"), F.lit(0).cast("long").alias("fp"), F.lit(False).alias("home"), "tree")
+    rows = points.unionByName(heads).repartition("leaf", "share").sortWithinPartitions("leaf", "share", F.col("tree").isNull())
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name = tree = None
+        for b in batches:
+            fps, home = b["fp"].to_numpy(np.int64).view(np.uint64), b["home"].to_numpy(bool)
+            heads = np.flatnonzero(b["tree"].notna())
+            for a, e in zip([-1, *heads], [*heads, len(b)]):
+                if a >= 0:
+                    name, tree = b["leaf"].iloc[a], pickle.loads(b["tree"].iloc[a])
+                part, own = fps[a + 1 : e], home[a + 1 : e]
+                if len(part):
+                    for k, at, mine in route(tree, part, radius, own):
+                        yield pd.DataFrame({"leaf": f"{name}.{k}", "fp": part[at].view(np.int64), "home": mine})
+
+    parted = rows.mapInPandas(send, "leaf string, fp long, home boolean")
+    return stage(parted.unionByName(sent.join(trees, "leaf", "left_anti")), "leaves").df
+
+
 def fingerprint_components(fps: DataFrame, radius: int = 2, leaf: int = LEAF, sample: int = SAMPLE):
     """Staged (node, root) over distinct fingerprints (column fp, long, unique) that have a link."""
     total = fps.count()
@@ -171,14 +226,17 @@ def fingerprint_components(fps: DataFrame, radius: int = 2, leaf: int = LEAF, sa
         for b in batches:
             points = b["fp"].to_numpy(np.int64).view(np.uint64)
             for k, at, home in route(tree, points, radius):
-                yield pd.DataFrame({"leaf": k, "fp": points[at].view(np.int64), "home": home})
+                yield pd.DataFrame({"leaf": str(k), "fp": points[at].view(np.int64), "home": home})
 
     def search(b: pd.DataFrame) -> pd.DataFrame:
         points, home = b["fp"].to_numpy(np.int64).view(np.uint64), b["home"].to_numpy(bool)
         found = spanning_links(points[home], points[~home], radius)
         return pd.DataFrame(np.array(found, np.uint64).reshape(-1, 2).view(np.int64), columns=["u", "v"])
 
-    sent = fps.select("fp").mapInPandas(send, "leaf int, fp long, home boolean")
+    sent = stage(fps.select("fp").mapInPandas(send, "leaf string, fp long, home boolean"), "leaves").df
+    seed = 1
+    while (finer := part_leaves(sent, radius, leaf, seed)) is not None:
+        sent, seed = finer, seed + 1
     return connected_components(sent.groupBy("leaf").applyInPandas(search, "u long, v long"))
 
 

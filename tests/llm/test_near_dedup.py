@@ -120,6 +120,26 @@ def test_vantage_points_find_every_pair():
     assert {int(p): forest.find(int(p)) for p in points} == {int(p): want.find(int(p)) for p in points}
 
 
+@pytest.mark.parametrize("spread", [40, 500_000])
+def test_leaves_get_trees_of_their_own(spark, monkeypatch, spread):
+    """A tree fitted on a few fingerprints leaves large leaves, which further trees part; links are those of all pairs."""
+    monkeypatch.setattr(simhash, "SPREAD", spread)
+    monkeypatch.setattr(simhash, "LEAF_SAMPLE", 100)
+    rounds, part = [], simhash.part_leaves
+    monkeypatch.setattr(simhash, "part_leaves", lambda sent, *a: rounds.append(sent.select("leaf").distinct().count()) or part(sent, *a))
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 63, 150, dtype=np.uint64)
+    points = np.unique(np.concatenate([base ^ np.uint64(sum(1 << int(b) for b in rng.integers(0, 64, k))) for k in (0, 1, 2, 3, 4) for _ in range(3)]))
+    want = Forest()
+    for i, p in enumerate(points):
+        for q in points[:i][np.bitwise_count(points[:i] ^ p) <= 2].view(np.int64):
+            want.join(int(p.view(np.int64)), int(q))
+    fps = spark.createDataFrame([(int(p),) for p in points.view(np.int64)], "fp long")
+    got = {r["node"]: r["root"] for r in collected(simhash.fingerprint_components(fps, leaf=20, sample=30).df)}
+    assert got == {p: want.find(p) for p in map(int, points.view(np.int64)) if p in want.up}
+    assert len(rounds) >= 2 and rounds[-1] > rounds[0]
+
+
 def test_large_leaf_is_split(monkeypatch):
     monkeypatch.setattr(simhash, "LEAF", 50)
     rng = np.random.default_rng(2)
