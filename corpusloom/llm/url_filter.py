@@ -6,7 +6,7 @@ path starts with the rule's path; of several the longest wins. Where no rule fit
 grams of host and path hash to BUCKETS integer weights, and the sum decides.
 
 The weights are fitted on the small labelled table below (bounded by its length, in plain Python, on
-the driver) and rounded to integers, so that every engine gives the same verdict.
+the driver; its ordinary hosts outnumber the bad ones, as on the web) and rounded to integers, so that every engine gives the same verdict.
 
 Defined cases: a null url, or one without "://", has empty host and path and is judged by the model's
 intercept; ties of the score (sum 0) are allowed; repeated rows are judged row by row; an empty table
@@ -76,6 +76,29 @@ LABELLED = (
     ("http://blog.literature.example.com/en/814", 0), ("https://www.farmers-market.example.net/en/175", 0),
 )
 
+#: Ordinary names. They and the bad ones take turns in the frames (scheme, subdomain, top-level domain, language path) that
+#: hosts of both kinds share, so that frames alone say nothing and what is unknown is not blocked.
+ORDINARY = (
+    "philosophy", "bakery", "carpentry", "botany", "airport", "cinema", "marathon", "planetarium", "translators", "dentists",
+    "gallery", "archaeology", "hiking", "chess-club", "poetry", "embassy", "ministry", "hospital", "kindergarten", "aquarium",
+    "vineyard", "orchard", "book-fair", "city-library", "town-hall", "swimming", "knitting", "pottery", "volcano", "ocean-research",
+    "harbour", "lighthouse", "electronics", "mathematics", "statistics", "linguistics", "dictionary", "open-source", "developers", "journalists",
+    "village", "river-trust", "bird-watching", "wildlife", "forestry", "agriculture", "engineering", "robotics", "physics", "biology",
+    "opera", "dance-school", "violin", "painters", "sculpture", "furniture", "kitchen", "grocery", "pharmacy", "nursing",
+)
+FRAMES = tuple(
+    f"{scheme}://{sub}{{}}.example.{top}/{lang}/"
+    for scheme in ("http", "https") for sub in ("", "www.", "m.", "blog.") for top in ("com", "net", "org") for lang in ("en", "de", "fr", "es")
+)
+
+
+def framed_urls() -> tuple[tuple[str, int], ...]:
+    """Three rows a name, bad names of the table and ordinary ones alike, over all frames in turn."""
+    bad = dict.fromkeys(_split(u)[0].partition(".example.")[0].removeprefix("www.").removeprefix("m.") for u, y in LABELLED if y)
+    rows = ((name, k, y) for names, y in ((tuple(bad), 1), (ORDINARY, 0)) for k, name in enumerate(names * 3))
+    return tuple((f"{FRAMES[(37 * k) % len(FRAMES)].format(name)}{k}", y) for name, k, y in rows)
+
+
 HOST_PATH = "://([^/?#]*)([^?#]*)"
 
 
@@ -98,21 +121,25 @@ def _features(host: str, path: str) -> list[int]:
 
 
 @lru_cache(1)
-def weights(labelled=LABELLED, epochs: int = 60, rate: float = 0.1, decay: float = 1e-3) -> tuple[int, tuple[int, ...]]:
-    """Intercept and bucket weights, in millionths, by stochastic gradient descent in a fixed order."""
+def weights(labelled: tuple | None = None, epochs: int = 200, rate: float = 0.1, decay: float = 1e-3) -> tuple[int, tuple[int, ...]]:
+    """Intercept and bucket weights, in millionths, by stochastic gradient descent in a fixed order.
+
+    Both labels weigh the same in all, so that the ordinary rows' number only says what to ignore.
+    """
     w, bias = [0.0] * BUCKETS, 0.0
-    rows = [(_features(*_split(u)), y) for u, y in labelled]
+    rows = [(_features(*_split(u)), y) for u, y in labelled or LABELLED + framed_urls()]
+    bad = sum(y for _, y in rows)
+    weigh = {0: len(rows) / 2 / max(1, len(rows) - bad), 1: len(rows) / 2 / max(1, bad)}
     order = sorted(range(len(rows)), key=lambda k: k * 7919 % len(rows))
     for epoch in range(epochs):
         step = rate / (1 + epoch / 20)
         for k in order:
             grams, y = rows[k]
             z = bias + sum(w[g] for g in grams) / 4
-            error = 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - y
+            error = weigh[y] * (1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - y)
             bias -= step * error
             for g in grams:
                 w[g] -= step * (error / 4 + decay * w[g])
-    # as few weights as carry the decision: rare, tiny ones would only add noise
     return round(bias * 4 * SCALE), tuple(round(x * SCALE) for x in w)
 
 
