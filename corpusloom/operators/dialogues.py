@@ -8,6 +8,7 @@ A student is a function (prompts, limits) -> texts, a teacher (prompts, limits)
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Generator, Iterator
 from dataclasses import dataclass, field
 
@@ -185,13 +186,30 @@ def dialogue(id_: int, prompt: str, rules: Rules) -> Generator[tuple, object, Re
                 return r
             event["observation_status"] = "delivered_environment_notice"
             continue
-        shown = text if rules.tokens(text) <= free else rules.cut(text, free)
+        shown = fitted(r.text, action, text, rules)
         r.say("teacher", wrap(action, shown))
         event.update(teacher_context_text=shown, feedback_truncated=shown != text, observation_status="delivered_teacher_observation")
         if action == "verify":
             review = event
 
 
+def fitted(context: str, action: str, text: str, rules: Rules) -> str:
+    """The longest beginning of a teacher's text that leaves context and observation within the budget.
+
+    profile 'eval' counts the whole of each candidate, since tokens of parts need not add up; 'train' cuts to what is free.
+    """
+    if rules.profile == "train":
+        free = max(0, rules.most_tokens - rules.tokens(context) - rules.tokens(wrap(action, "")))
+        return text if rules.tokens(text) <= free else rules.cut(text, free)
+
+    def over(shown: str) -> bool:
+        return rules.tokens(context + wrap(action, shown)) > rules.most_tokens
+
+    if not over(text):
+        return text
+    return rules.cut(text, bisect_left(range(rules.tokens(text)), True, key=lambda n: over(rules.cut(text, n + 1))))
+
+
 def relay(id_: int, prompt: str, rules: Rules) -> Generator[tuple, object, Record]:
     """The plain relay: after <call>N</call> the teacher writes on for up to N tokens."""
     r = Record(id_)

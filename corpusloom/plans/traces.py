@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.fixed import INTERACTION_POLICY, OTHER_POLICY_REASON, RELAY_POLICY
 from ..operators import protocol as P
 from ..operators import traces as T
+from ..operators.dialogues import wrap
 from .base import Registry, table
 
 query = Registry()
@@ -301,6 +303,26 @@ def m3(spark, sf):
     return out.select("id", "ask_count", "verify_count", "accept_count", "denied_action_count", "teacher_tokens_used", F.size("segments").alias("n_segments"), errors.alias("n_errors"))
 
 
+@query("m8_fitted_feedback", f"""
+SELECT doc_id, left(text, n) AS shown_eval, left(text, n) AS shown_train, length(text) > n AS truncated
+FROM (SELECT doc_id, text, greatest(0, 2048 - {len(wrap("ask", ""))} - length(coalesce(source, ''))) AS n FROM documents)""")
+def m8(spark, sf):
+    """Whole documents as feedback after their source as context; characters stand for tokens."""
+    from ..operators import dialogues as D
+
+    def shown(profile):
+        rules = D.Rules(profile=profile)
+
+        @F.pandas_udf("string")
+        def cut(contexts: pd.Series, texts: pd.Series) -> pd.Series:
+            return pd.Series([None if t is None else D.fitted(c, "ask", t, rules) for c, t in zip(contexts, texts)], dtype="object")
+
+        return cut(F.coalesce("source", F.lit("")), "text")
+
+    out = table(spark, sf, "documents").select("doc_id", "text", shown("eval").alias("shown_eval"), shown("train").alias("shown_train"))
+    return out.select("doc_id", "shown_eval", "shown_train", (F.char_length("text") > F.char_length("shown_eval")).alias("truncated"))
+
+
 @query("m5_relay", "SELECT item_id AS id, 'please <call>4</call>helpdone' AS response, 1::BIGINT AS ask_count, 4::BIGINT AS teacher_tokens_used, 'done' AS status FROM benchmark")
 def m5(spark, sf):
     from ..operators import dialogues as D

@@ -306,3 +306,17 @@ def test_numbered_is_one_order_over_wide_rows_and_many_partitions(spark):
         assert dense_index(rows.select("k").distinct(), "k", "i").agg(F.count_distinct("i"), F.max("i")).first()[:] == (60_000, 59_999)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_feedback_fits_the_budget_whatever_tokens_count():
+    """Tokens of parts need not add up: here every started run of four characters is one."""
+    from corpusloom.operators import dialogues as D
+
+    rules = D.Rules(most_tokens=20, tokens=lambda t: -(-len(t) // 4), cut=lambda t, n: t[: 4 * n])
+    for context in ("", "abc", "abcdefg"):
+        for size in range(60):
+            text = "x" * size
+            fit = [n for n in range(size // 4 + 2) if rules.tokens(context + D.wrap("ask", rules.cut(text, n))) <= 20]
+            want = text if rules.tokens(context + D.wrap("ask", text)) <= 20 else rules.cut(text, max(fit, default=0))
+            assert D.fitted(context, "ask", text, rules) == want
+    assert D.fitted("c" * 99, "ask", "text", D.Rules(profile="train", most_tokens=50)) == ""
