@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -81,12 +81,16 @@ def template(text: str) -> Column:
     return F.concat(*parts, F.lit(rest))
 
 
-def read_yaml(path: str) -> dict:
-    """A YAML file whose top is a mapping."""
+def read_yaml(path: str, spark: SparkSession | None = None) -> dict:
+    """A YAML file whose top is a mapping; with a session, from any path that Spark reads."""
     import yaml
 
-    with open(path, encoding="utf-8") as f:
-        tree = yaml.safe_load(f)
+    if spark is not None:
+        text = spark.read.text(path, wholetext=True).first()[0]
+    else:
+        with open(path, encoding="utf-8") as f:
+            text = f.read()
+    tree = yaml.safe_load(text)
     if not isinstance(tree, dict):
         raise ValueError(f"{path} holds no mapping")
     return tree

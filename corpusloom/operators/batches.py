@@ -65,6 +65,11 @@ def concat(batches: list[DataFrame]) -> DataFrame:
     return out
 
 
+def concat_with_meta(batches: list[tuple[DataFrame, dict]]) -> tuple[DataFrame, dict]:
+    """The rows of all batches, and what the first batch says about itself."""
+    return concat([rows for rows, _ in batches]), dict(batches[0][1])
+
+
 def repeat(rows: DataFrame, n: int, interleave: bool = True) -> DataFrame:
     """Every row n times; `place` numbers them row by row (interleaved) or copy by copy (tiled)."""
     copies = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))

@@ -277,6 +277,24 @@ def run_dialogues(requests: DataFrame, student: Callable, teacher: Callable, rul
     return requests.select("id", "prompt").mapInPandas(run, SCHEMA)
 
 
+def training_rollouts(requests: DataFrame, student: Callable, teacher: Callable, rules: Rules, length: int, script: Callable = dialogue) -> DataFrame:
+    """run_dialogues for training: every row also has policy_mask, of `length` places.
+
+    A place is 1 for a token that the student wrote of its own accord, 0 for teachers, notices, forced tags and padding.
+    """
+
+    def mask(r: Record) -> list[int]:
+        own = [int(s["loss"]) for s in r.segments for _ in range(rules.tokens(s["text"]))][:length]
+        return own + [0] * (length - len(own))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            done = play(list(zip(b["id"].tolist(), b["prompt"].tolist())), student, teacher, rules, script)
+            yield pd.DataFrame([r.row() | {"policy_mask": mask(r)} for r in done], columns=[*(c.strip().split()[0] for c in _columns()), "policy_mask"])
+
+    return requests.select("id", "prompt").mapInPandas(run, f"{SCHEMA}, policy_mask array<int>")
+
+
 def _columns() -> list[str]:
     out, depth, cur = [], 0, ""
     for ch in SCHEMA:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import importlib.util
+import json
 import os
 
 from pyspark.sql import functions as F
@@ -239,12 +241,20 @@ TREE = {"data": {"path": "x", "limits": {"most": 5}}, "trainer": {"gpus": [0, 1]
 
 @query("f35_flatten", "SELECT * FROM (VALUES ('data.path', '\"x\"'), ('data.limits.most', '5'), ('trainer.gpus', '[0, 1]'), ('empty', '{}')) v(path, value)")
 def f35(spark, sf):
-    import json
-
     flat = G.flatten(G.unflatten(G.flatten(TREE)))
     return spark.createDataFrame([(k, json.dumps(v)) for k, v in flat.items()], "path string, value string")
 
 
+if importlib.util.find_spec("yaml"):
+
+    @query("s18_yaml_mapping", "SELECT * FROM (VALUES ('data.path', '\"x\"'), ('data.limits.most', '5'), ('trainer.gpus', '[0, 1]')) v(path, value)")
+    def s18(spark, sf):
+        """A YAML file as dotted paths."""
+        text = "data:\n  path: x\n  limits: {most: 5}\ntrainer:\n  gpus: [0, 1]\n"
+        tree = G.read_yaml(_file(spark, text, "yaml"), spark)
+        return spark.createDataFrame([(k, json.dumps(v)) for k, v in G.flatten(tree).items()], "path string, value string")
+
+
 @query("p18_p19_rules", "SELECT * FROM (VALUES ('rule', 'most'), ('rule', 'seed'), ('column', 'nothing')) v(kind, name)")
 def p19(spark, sf):
     """Rules over dotted paths that do not hold, and needed columns that are missing."""

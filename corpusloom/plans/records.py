@@ -40,6 +40,14 @@ def s7(spark, sf):
     return B.concat(parts).groupBy("source").agg(F.count("*").alias("n"))
 
 
+@query("u2_first_meta", "SELECT key, n, 'nation' AS meta FROM (SELECT n_nationkey::BIGINT AS key, count(*) AS n FROM (SELECT n_nationkey FROM nation UNION ALL SELECT r_regionkey FROM region) GROUP BY 1)")
+def u2(spark, sf):
+    """Batches with equal columns and different descriptions: all rows, the first description."""
+    batches = [(table(spark, sf, t).select(F.col(f"{t[0]}_{t}key").cast("long").alias("key")), {"table": t}) for t in ("nation", "region")]
+    rows, meta = B.concat_with_meta(batches)
+    return rows.groupBy("key").agg(F.count("*").alias("n")).withColumn("meta", F.lit(meta["table"]))
+
+
 @query("s12_answer_handler", "SELECT text AS question, source AS answer FROM documents")
 def s12(spark, sf):
     path = scratch_path(spark, "gsm")

@@ -303,6 +303,28 @@ def m3(spark, sf):
     return out.select("id", "ask_count", "verify_count", "accept_count", "denied_action_count", "teacher_tokens_used", F.size("segments").alias("n_segments"), errors.alias("n_errors"))
 
 
+def _ones(said: str, value: int = 1) -> str:
+    return f"list_transform(range({len(said)}), lambda i: {value})"
+
+
+M4_LENGTH = 320
+M4_HELP = (_ones("First step. <ASK>16</ASK>"), _ones(wrap("ask", "Try halves."), 0), _ones("Draft \\boxed{1}. <VERIFY>32</VERIFY>"))
+M4_REVIEW = (_ones(wrap("verify", "Verdict: incorrect. \\boxed{2}"), 0), _ones("<ACCEPT>\nSo \\boxed{2}."))
+
+
+@query("m4_training_rollouts", f"""
+WITH d AS (SELECT item_id AS id, length(text) % 2 = 1 AS asks FROM benchmark),
+m AS (SELECT id, asks, flatten(CASE WHEN asks THEN [{", ".join(M4_HELP + M4_REVIEW)}] ELSE [{", ".join((_ones("Draft \\boxed{1}. <VERIFY>0</VERIFY>"), *M4_REVIEW))}] END) AS own FROM d)
+SELECT id, asks::BIGINT AS ask_count, 1::BIGINT AS verify_count, list_concat(own, list_transform(range({M4_LENGTH} - len(own)), lambda i: 0))::INT[] AS policy_mask FROM m""")
+def m4(spark, sf):
+    """The turn loop with the training profile; characters stand for tokens."""
+    from ..operators import dialogues as D
+
+    rows = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("prompt"))
+    out = D.training_rollouts(rows, D.stub_student, D.stub_teacher, D.Rules(profile="train", most_tokens=M4_LENGTH), M4_LENGTH)
+    return out.select("id", "ask_count", "verify_count", "policy_mask")
+
+
 @query("m8_fitted_feedback", f"""
 SELECT doc_id, left(text, n) AS shown_eval, left(text, n) AS shown_train, length(text) > n AS truncated
 FROM (SELECT doc_id, text, greatest(0, 2048 - {len(wrap("ask", ""))} - length(coalesce(source, ''))) AS n FROM documents)""")
