@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 _ROOTS: dict[str, str] = {}
 
+#: Spark removes the shuffle files of a query when it ends; they serve nothing once its result is written.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_root(spark: SparkSession) -> str:
     """A folder of this application below spark.checkpoint.dir.
@@ -57,6 +60,13 @@ def stage(df: DataFrame, name: str) -> Staged:
     """Write df once as Parquet in the shared folder and read it back: this cuts the lineage."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner remove the shuffle files behind it
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     return Staged(spark, path)
