@@ -320,3 +320,36 @@ def test_feedback_fits_the_budget_whatever_tokens_count():
             want = text if rules.tokens(context + D.wrap("ask", text)) <= 20 else rules.cut(text, max(fit, default=0))
             assert D.fitted(context, "ask", text, rules) == want
     assert D.fitted("c" * 99, "ask", "text", D.Rules(profile="train", most_tokens=50)) == ""
+
+
+def test_training_rollouts_mask_what_the_student_did_not_write(spark):
+    from corpusloom.operators import dialogues as D
+
+    asked = spark.createDataFrame([(1, "Q"), (2, "Qu")], "id long, prompt string")
+    rules = D.Rules(mode="force_verify_after_draft", profile="train", most_tokens=400)
+    student = lambda prompts, limits: ["<ACCEPT> b" if "TEACHER" in p else "a" * len(p) for p in prompts]
+    for length in (8, 400):
+        got = {r["id"]: r for r in rows(D.training_rollouts(asked, student, D.stub_teacher, rules, length))}
+        for k in (1, 2):
+            own = [s["loss"] for s in got[k]["segments"] for _ in s["text"]][:length]
+            assert len(got[k]["policy_mask"]) == length and got[k]["policy_mask"] == [int(x) for x in own] + [0] * (length - len(own))
+            assert got[k]["policy_mask"][: k + 1] == [1] * k + [0]  # the draft, then the forced tag
+    assert D.training_rollouts(asked.where("false"), student, D.stub_teacher, rules, 8).count() == 0
+
+
+def test_first_description_wins(spark):
+    a, b = spark.createDataFrame([(1,)], "k int"), spark.createDataFrame([(2, "x")], "k int, s string")
+    both, meta = batches.concat_with_meta([(a, {"of": "a"}), (b, {"of": "b", "more": 1})])
+    assert sorted((r["k"], r["s"]) for r in rows(both)) == [(1, None), (2, "x")] and meta == {"of": "a"}
+
+
+def test_staging_leaves_the_session_as_it_was(spark):
+    from corpusloom.scratch import CLEANUP, stage
+
+    before = spark.conf.get(CLEANUP, None)
+    assert stage(spark.range(10).repartition(3), "t").df.count() == 10 and spark.conf.get(CLEANUP, None) == before
+    spark.conf.set(CLEANUP, "false")
+    with pytest.raises(Exception, match="stop here"):
+        stage(spark.range(1).select(F.raise_error(F.lit("stop here"))), "t")
+    assert spark.conf.get(CLEANUP, None) == "false"
+    spark.conf.unset(CLEANUP)
