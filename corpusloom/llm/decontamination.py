@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stage, table
-from .terms import TERM_BYTES, query_blocks, terms
+from .terms import portions, query_blocks, terms
 
 WINDOW = 10
 #: Text of the tests that a task holds at once, and text of the corpus in a shard.
@@ -277,18 +277,15 @@ class Judge:
             yield from settle()
 
     def _long(self, text: bytes) -> tuple[int, np.ndarray, np.ndarray]:
-        text = text.translate(TERM_BYTES)
-        at, n, spans, items = 0, 0, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        n, spans, items = 0, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         carry = np.zeros(0, np.uint32)
-        while at < len(text):
-            end = text.find(b" ", at + PORTION)
-            end = len(text) if end < 0 else end
-            ids = np.concatenate([carry, self.tests.numbers(text[at:end].split())])
+        for words in portions(text, PORTION):
+            ids = np.concatenate([carry, self.tests.numbers(words)])
             for covered, own in self._shard([ids]):
                 spans.append(_spans(covered, n - len(carry)))
                 items.append(own)
-            n += len(ids) - len(carry)
-            carry, at = ids[len(ids) - min(len(ids), self.tests.window - 1) :], end
+            n += len(words)
+            carry = ids[len(ids) - min(len(ids), self.tests.window - 1) :]
         return n, _merged(np.concatenate(spans)) if sum(map(len, spans)) else spans[0], np.unique(np.concatenate(items))
 
 

@@ -15,14 +15,24 @@ def terms(text: bytes) -> list[bytes]:
     return text.translate(TERM_BYTES).split()
 
 
-def query_blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[int | None, bytes]]]:
-    """Rows (item_id, text in UTF-8, null: empty) in portions of about block_bytes; the driver holds one at a time."""
+def portions(text: bytes, size: int) -> Iterator[list[bytes]]:
+    """The terms of a UTF-8 text in lists of about `size` bytes of text each; a term is never cut."""
+    at, text = 0, text.translate(TERM_BYTES)
+    while at < len(text):
+        end = text.find(b" ", at + size)
+        end = len(text) if end < 0 else end
+        yield text[at:end].split()
+        at = end
+
+
+def query_blocks(items: DataFrame, block_bytes: int, block_rows: int = 200_000) -> Iterator[list[tuple[int | None, bytes]]]:
+    """Rows (item_id, text in UTF-8, null: empty) in portions of about block_bytes and at most block_rows; the driver holds one at a time."""
     held: list[tuple[int | None, bytes]] = []
     size = 0
     for r in items.select("item_id", "text").toLocalIterator():
         held.append((r.item_id, (r.text or "").encode("utf-8", "surrogatepass")))
         size += len(held[-1][1])
-        if size >= block_bytes:
+        if size >= block_bytes or len(held) >= block_rows:
             yield held
             held, size = [], 0
     if held:
