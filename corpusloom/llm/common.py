@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import Staged, shared_root, stage
 
-__all__ = ["UPPER", "WORD", "Staged", "ascii_lower", "connected_components", "meet", "shared_root", "stage", "table"]
+__all__ = ["UPPER", "WORD", "Staged", "ascii_lower", "connected_components", "free_names", "meet", "shared_root", "stage", "table"]
 
 #: Python's bytes.split() and this class agree: ASCII space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,6 +26,14 @@ def ascii_lower(text: Column) -> Column:
     )
 
 
+def free_names(rows: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores more as it takes for none of them to be a column of rows."""
+    taken, more = {c.lower() for c in rows.columns}, ""
+    while any((n + more).lower() in taken for n in names):
+        more += "_"
+    return [n + more for n in names]
+
+
 def meet(rows: DataFrame, side: DataFrame, heavy: DataFrame, on: list[str]) -> DataFrame:
     """rows joined with side. heavy: staged keys that each have over a p-th of the rows, so p of them at most.
 

@@ -32,8 +32,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
-from .common import connected_components, stage, table
+from .common import connected_components, free_names, stage, table
 
 SHINGLE = 8
 BANDS, ROWS = 16, 4
@@ -458,33 +459,49 @@ def line_decisions(docs: DataFrame, threshold: float = THRESHOLD, **banding) ->
     return stage(gone.groupBy("doc_id", "th").agg(F.collect_set("no").alias("gone")), "gone").df
 
 
-def deduplicate_lines(docs: DataFrame, threshold: float = THRESHOLD, **banding) -> DataFrame:
-    """The rows of docs, all columns, with the lines that stay as text; adds __cl_lines and __cl_gone.
+@pandas_udf(StringType())
+def _without(texts: pd.Series, gone: pd.Series) -> pd.Series:
+    """Texts without the lines of these numbers, in one pass over a text; null where no number is given."""
+    out = []
+    for text, numbers in zip(texts, gone):
+        if text is None or numbers is None:
+            out.append(None)
+            continue
+        lines = text.split("\n")
+        stay = np.ones(len(lines), bool)
+        stay[numbers] = False
+        out.append("\n".join([lines[k] for k in np.flatnonzero(stay)]))
+    return pd.Series(out, dtype="object")
+
+
+def deduplicate_lines(docs: DataFrame, threshold: float = THRESHOLD, n_lines: str = "__cl_lines", n_gone: str = "__cl_gone", **banding) -> DataFrame:
+    """The rows of docs, all columns, with the lines that stay as text; adds their numbers of lines and of lost lines.
 
     banding: bands and rows of the signatures. At a similarity of s a pair misses every band with probability
     (1 - s^rows)^bands; more rows mean fewer chance candidates, for tables of over about a billion lines.
     """
     gone = line_decisions(docs, threshold, **banding)
     few, numbers = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()
-    gone = gone.select(F.col("doc_id").alias("__cl_id"), F.col("th").alias("__cl_th"), F.col("gone").alias("__cl_no"))
+    own, th, no, hash_ = free_names(docs, "__cl_id", "__cl_th", "__cl_no", "__cl_hash")
+    gone = gone.select(F.col("doc_id").alias(own), F.col("th").alias(th), F.col("gone").alias(no))
     if few <= NARROW_ROWS and numbers <= 8 * NARROW_ROWS:
         gone = F.broadcast(gone)
-    out = docs.withColumn("__cl_hash", F.xxhash64("text"))
-    out = out.join(gone, (out["__cl_hash"] == gone["__cl_th"]) & out["doc_id"].eqNullSafe(gone["__cl_id"]), "left")
-    parts = F.split("text", "\n")
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("__cl_no"), i)), "\n")
-    size = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(parts)).cast("long")
-    out = out.withColumn("__cl_lines", size).withColumn("__cl_gone", F.when(F.col("__cl_no").isNull(), F.lit(0)).otherwise(F.size("__cl_no")).cast("long"))
-    text = F.when(F.col("__cl_no").isNull(), F.col("text")).otherwise(kept)
-    return out.withColumn("text", text).drop("__cl_id", "__cl_th", "__cl_no", "__cl_hash")
+    out = docs.withColumn(hash_, F.xxhash64("text"))
+    out = out.join(gone, (out[hash_] == gone[th]) & out["doc_id"].eqNullSafe(gone[own]), "left")
+    loses = F.col(no).isNotNull()
+    size = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n"))).cast("long")
+    out = out.withColumn(n_lines, size).withColumn(n_gone, F.when(loses, F.size(no)).otherwise(F.lit(0)).cast("long"))
+    text = F.when(loses, _without(F.when(loses, F.col("text")), F.col(no))).otherwise(F.col("text"))
+    return out.withColumn("text", text).drop(own, th, no, hash_)
 
 
 def rewritten_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows and columns of docs with the lines that stay; a column n_chars follows the text."""
-    out = deduplicate_lines(docs, threshold).select(*docs.columns)
+    n_lines, n_gone = free_names(docs, "__cl_lines", "__cl_gone")
+    out = deduplicate_lines(docs, threshold, n_lines, n_gone).drop(n_lines, n_gone)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = deduplicate_lines(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.col("__cl_lines").alias("n_lines"), F.col("__cl_gone").alias("n_removed"), "text")
+    out = deduplicate_lines(table(spark, sf_dir, "documents"), n_lines="n_lines", n_gone="n_removed")
+    return out.select("doc_id", "n_lines", "n_removed", "text")

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WORD, stage, table
+from .common import WORD, free_names, stage, table
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -110,21 +110,21 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     Rows equal in doc_id, text and source share what the mix takes of them all.
     """
-    names = docs.columns
+    n, m, k, own, copy, hash_, id_, th, source = free_names(docs, *(f"__cl_{x}" for x in ("n", "m", "k", "own", "copy", "hash", "id", "th", "source")))
     take = select_mix(docs, cut=False, **options).groupBy("doc_id", "th", "source")
-    take = stage(take.agg(F.sum("copies").alias("__cl_n"), F.count("*").alias("__cl_m")).where("__cl_n > 0"), "taken").df
-    take = take.withColumnsRenamed({"doc_id": "__cl_id", "th": "__cl_th", "source": "__cl_source"})
-    out = docs.withColumn("__cl_hash", F.xxhash64("text"))
-    same = out.doc_id.eqNullSafe(take["__cl_id"]) & (out["__cl_hash"] == take["__cl_th"]) & out.source.eqNullSafe(take["__cl_source"])
+    take = stage(take.agg(F.sum("copies").alias(n), F.count("*").alias(m)).where(F.col(n) > 0), "taken").df
+    take = take.withColumnsRenamed({"doc_id": id_, "th": th, "source": source})
+    out = docs.withColumn(hash_, F.xxhash64("text"))
+    same = out["doc_id"].eqNullSafe(take[id_]) & (out[hash_] == take[th]) & out["source"].eqNullSafe(take[source])
     out = out.join(take, same)
-    if take.where("__cl_m > 1").isEmpty():
-        out = out.withColumn("__cl_k", F.lit(0))
+    if take.where(F.col(m) > 1).isEmpty():
+        out = out.withColumn(k, F.lit(0))
     else:  # number the rows of a repeated one; they are few, or the same row over and over
-        place = F.row_number().over(W.partitionBy("__cl_id", "__cl_th", "__cl_source").orderBy(F.lit(1))) - 1
-        out = out.where("__cl_m = 1").withColumn("__cl_k", F.lit(0)).unionByName(out.where("__cl_m > 1").withColumn("__cl_k", place))
-    own = F.floor((F.col("__cl_n") - F.col("__cl_k") + F.col("__cl_m") - 1) / F.col("__cl_m")).cast("int")
-    out = out.withColumn("__cl_own", own).where("__cl_own > 0")
-    return out.withColumn("__cl_copy", F.explode(F.sequence(F.lit(1), F.col("__cl_own")))).select(*names)
+        place = F.row_number().over(W.partitionBy(id_, th, source).orderBy(F.lit(1))) - 1
+        out = out.where(F.col(m) == 1).withColumn(k, F.lit(0)).unionByName(out.where(F.col(m) > 1).withColumn(k, place))
+    times = F.floor((F.col(n) - F.col(k) + F.col(m) - 1) / F.col(m)).cast("int")
+    out = out.withColumn(own, times).where(F.col(own) > 0)
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(own)))).select(*docs.columns)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -172,21 +172,18 @@ def pack(docs: DataFrame, size: int = 1024, open_windows: int = 32, merge: int =
             packer.emit(rest, leftover=True)
         yield packer.batch()
 
-    def join(rows):
-        import pandas as pd
-
-        rows = rows.sort_values(["sequence_id", "offset"])
-        packer = Packer(size, 1, (1 << 62) + (int(rows["sequence_id"].iloc[0]) >> 36 << 20))
-        for r in rows.itertuples():
-            ids = np.frombuffer(r.ids, "<u4")
-            packer.held.append([(None if pd.isna(r.doc_id) else int(r.doc_id), int(r.start), ids, int(r.doc_tokens))])
+    def join(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("sequence_id", "ascending"), ("offset", "ascending")]).to_pylist()
+        packer = Packer(size, 1, (1 << 62) + (rows[0]["sequence_id"] >> 36 << 20))
+        for r in rows:
+            packer.held.append([(r["doc_id"], r["start"], np.frombuffer(r["ids"], "<u4"), r["doc_tokens"])])
         packer.finish(packer.merge())
-        return packer.batch().to_pandas().astype({"doc_id": "Int64"})
+        return pa.Table.from_batches([packer.batch()])
 
-    first = stage(docs.select("doc_id", "text").mapInArrow(fill, SCHEMA), "pieces").df
+    first = stage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(fill, SCHEMA), "pieces").df
     left = first.where("ids is not null")
     group = F.shiftright("sequence_id", 36)
-    merged = left.groupBy(F.floor(group / merge)).applyInPandas(join, SCHEMA)
+    merged = left.groupBy(F.floor(group / merge)).applyInArrow(join, SCHEMA)
     return first.where("ids is null").drop("ids").unionByName(merged.drop("ids"))
 
 

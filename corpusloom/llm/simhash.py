@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import connected_components, stage, table
+from .common import connected_components, free_names, stage, table
 from .line_dedup import similar_lines
 
 #: Fingerprints in the sample that the routing tree is fitted on, at most.
@@ -266,14 +266,13 @@ def deduplicate(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
 
 def _kept(docs: DataFrame, base: DataFrame, stay: DataFrame) -> DataFrame:
     """The rows of docs that stay (low: doc_id, th) names, equal ones once. base: doc_id, th of all rows, staged."""
-    names = docs.columns
-    stay = stage(stay.select(F.col("low.doc_id").alias("__cl_id"), F.col("low.th").alias("__cl_th")), "keepers").df
-    out = docs.withColumn("__cl_hash", F.xxhash64("text"))
-    out = out.join(stay, out.doc_id.eqNullSafe(stay["__cl_id"]) & (out["__cl_hash"] == stay["__cl_th"]), "left_semi")
-    twice = base.groupBy("doc_id", "th").count().where("count > 1").select(F.col("doc_id").alias("__cl_id"), F.col("th").alias("__cl_th"))
-    if not twice.isEmpty():
-        out = out.dropDuplicates(["doc_id", "__cl_hash"])
-    return out.select(*names)
+    own, th_, hash_ = free_names(docs, "__cl_id", "__cl_th", "__cl_hash")
+    stay = stage(stay.select(F.col("low.doc_id").alias(own), F.col("low.th").alias(th_)), "keepers").df
+    out = docs.withColumn(hash_, F.xxhash64("text"))
+    out = out.join(stay, out["doc_id"].eqNullSafe(stay[own]) & (out[hash_] == stay[th_]), "left_semi")
+    if not base.groupBy("doc_id", "th").count().where("count > 1").isEmpty():
+        out = out.dropDuplicates(["doc_id", hash_])
+    return out.drop(hash_)
 
 
 def _sequence_udf():

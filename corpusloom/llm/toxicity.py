@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import stage, table
+from .common import free_names, stage, table
 
 SAMPLE = 20_000
 CAP = 3
@@ -213,8 +213,8 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 def clean_documents(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs that the model does not call toxic, with all their columns."""
-    names = docs.columns
-    return docs.withColumn("__cl_score", model.udf()(F.col("text"))).where(F.col("__cl_score") < THRESHOLD).select(*names)
+    (score,) = free_names(docs, "__cl_score")
+    return docs.withColumn(score, model.udf()(F.col("text"))).where(F.col(score) < THRESHOLD).drop(score)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
