@@ -1,16 +1,20 @@
-"""A paged source replayed from files: one partition a page, with retries and backoff.
+"""A paged source, in batches and as a stream whose offsets are pages, with retries and backoff.
 
-Each page file is JSON {"rows": [...], "num_rows_total": n}, as a rows API serves it. Reading stops by page:
-an empty page, a short page or the total is the end, as the driver's listing of pages settles.
+A page is JSON {"rows": [...], "num_rows_total": n}, as a rows API serves it: from a service (an http address,
+asked for offset and length) or replayed from a folder that holds page=0, page=1 and so on. The end is the first
+empty page, the first short one or the total; pages before it are full. Where no page tells the total, the
+last page is found by doubling and halving, so that the driver fetches a logarithm of their number only. Pages
+are read by tasks, one each. A page that turns out short before the end is an error, never a silent gap.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
 from collections.abc import Callable
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 
 def with_retries(call: Callable, most: int = 6, sleep: Callable = time.sleep):
@@ -21,7 +25,8 @@ def with_retries(call: Callable, most: int = 6, sleep: Callable = time.sleep):
         except (TimeoutError, ConnectionError, BlockingIOError) as e:
             if n == most - 1:
                 raise
-            sleep(getattr(e, "retry_after", None) or min(2 ** (n + 1), 60))
+            wait = getattr(e, "retry_after", None)
+            sleep(min(2 ** (n + 1), 60) if wait is None else wait)
     return None
 
 
@@ -39,29 +44,163 @@ def total_rows(path: str) -> int:
     return int(load_page(path)["num_rows_total"])
 
 
+def ask_service(url: str, offset: int, length: int) -> dict:
+    """A page from a service; what may pass (429, 5xx, timeouts) is a ConnectionError with the wait it asks for."""
+    from urllib.error import HTTPError, URLError
+    from urllib.request import urlopen
+
+    try:
+        with urlopen(f"{url}{'&' if '?' in url else '?'}offset={offset}&length={length}", timeout=60) as reply:
+            return json.loads(reply.read())
+    except HTTPError as e:
+        if e.code != 429 and e.code < 500:
+            raise
+        passing = ConnectionError(f"{e.code} from {url}")
+        said = (e.headers.get("Retry-After") or "").strip()
+        passing.retry_after = float(said) if said.replace(".", "", 1).isdigit() else None
+        raise passing from e
+    except URLError as e:
+        raise ConnectionError(f"no reply from {url}: {e.reason}") from e
+
+
+def page_in_folder(folder: str, page: int) -> dict:
+    """The page in folder/page=<number>, or an empty one."""
+    from pyarrow import fs
+
+    where, inner = fs.FileSystem.from_uri(folder) if ":" in folder else (fs.LocalFileSystem(), folder)
+    files = where.get_file_info(fs.FileSelector(f"{inner}/page={page}", allow_not_found=True))
+    for f in sorted(f.path for f in files if f.is_file and not f.base_name.startswith(("_", "."))):
+        with where.open_input_stream(f) as data:
+            return json.loads(data.read())
+    return {"rows": []}
+
+
+class Source:
+    """Where pages come from: options url, size (rows a page), retries, backoff (factor of the waits)."""
+
+    def __init__(self, options: dict):
+        self.url, self.size = options["url"].rstrip("/"), int(options.get("size", "100"))
+        self.retries, self.factor = int(options.get("retries", "6")), float(options.get("backoff", "1"))
+
+    def page(self, k: int) -> dict:
+        call = (lambda: ask_service(self.url, k * self.size, self.size)) if self.url.startswith("http") else (lambda: page_in_folder(self.url, k))
+        return with_retries(call, self.retries, lambda s: time.sleep(s * self.factor))
+
+    def total(self) -> int | None:
+        said = self.page(0).get("num_rows_total")
+        return said if isinstance(said, int) else None
+
+    def page_count(self) -> int:
+        def rows(k: int) -> int:
+            return len(self.page(k).get("rows") or [])
+
+        if (first := rows(0)) < self.size:
+            return int(first > 0)
+        low, high = 0, 1  # low is full; the end lies at high or before
+        if (total := self.total()) is not None:
+            last = -(-total // self.size) - 1
+            if last <= 0 or rows(last):
+                return max(last, 0) + 1
+            high = last
+        else:
+            while rows(high) == self.size:
+                low, high = high, high * 2
+        while high - low > 1:
+            mid = (low + high) // 2
+            low, high = (mid, high) if rows(mid) == self.size else (low, mid)
+        return high + int(rows(high) > 0)
+
+
 class Page(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    """A page by its file, or `count` pages from a number on; end: the number of all pages."""
+
+    def __init__(self, path: str | None, number: int = 0, count: int = 1, end: int = 1):
+        self.path, self.number, self.count, self.end = path, number, count, end
+
+
+def _tasks(low: int, high: int, end: int, options: dict) -> list[Page]:
+    """Pages low to high - 1, dealt to tasks of `task` neighbours (an option, 1 by default)."""
+    step = max(1, int(options.get("task", "1")))
+    return [Page(None, k, min(step, high - k), end) for k in range(low, high, step)]
+
+
+def _tuples(page: dict, names: list[str], first: int):
+    for k, row in enumerate(page.get("rows") or []):
+        inner = row.get("row", row)
+        yield tuple(row.get("row_idx", first + k) if n == "row_idx" else inner.get(n) for n in names)
 
 
 class PagedReader(DataSourceReader):
+    """All pages, by the option pages (their files) or url."""
+
     def __init__(self, schema, options):
-        self.names = [f.name for f in schema.fields]
-        self.pages = options["pages"].split("|")
+        self.names, self.options = [f.name for f in schema.fields], dict(options)
         self.retries = int(options.get("retries", "6"))
 
     def partitions(self):
-        return [Page(p) for p in self.pages if p]
+        if "pages" in self.options:
+            return [Page(p) for p in self.options["pages"].split("|") if p]
+        n = Source(self.options).page_count()
+        return _tasks(0, n, n, self.options)
 
     def read(self, partition):
-        page = with_retries(lambda: load_page(partition.path), self.retries)
-        for k, row in enumerate(page["rows"]):
-            inner = row.get("row", row)
-            yield tuple(row.get("row_idx", k) if n == "row_idx" else inner.get(n) for n in self.names)
+        if partition.path is None:
+            yield from read_pages(Source(self.options), partition, self.names)
+        else:
+            yield from _tuples(with_retries(lambda: load_page(partition.path), self.retries), self.names, 0)
+
+
+def read_pages(source: Source, some: Page, names: list[str]):
+    for k in range(some.number, some.number + some.count):
+        found = source.page(k)
+        if len(found.get("rows") or []) < source.size and k < some.end - 1:
+            raise ValueError(f"page {k} is short, but it is not the last one")
+        yield from _tuples(found, names, k * source.size)
+
+
+class PagedStream(DataSourceStreamReader):
+    """Offsets are (page, request): a checkpoint of another request is refused. Option batch: pages a batch at most.
+
+    A reader that goes on after a clean stop is not told its place before its first batch, which then takes
+    what is left.
+    """
+
+    def __init__(self, schema, options):
+        self.names, self.options, self.source = [f.name for f in schema.fields], dict(options), Source(options)
+        asked = {k: v for k, v in self.options.items() if k.lower() in ("url", "size", "request")}
+        self.request = hashlib.sha256(json.dumps(asked, sort_keys=True).encode()).hexdigest()[:16]
+        self.at, self.end, self.most = None, None, int(options.get("batch", "0"))
+
+    def _offset(self, page: int) -> dict:
+        return {"page": page, "request": self.request}
+
+    def initialOffset(self):
+        self.at = 0
+        return self._offset(0)
+
+    def latestOffset(self):
+        if self.end is None:
+            self.end = self.source.page_count()
+        return self._offset(self.end if self.at is None or not self.most else min(self.end, self.at + self.most))
+
+    def partitions(self, start, end):
+        for known in (start, end):
+            if known["request"] != self.request:
+                raise ValueError("the checkpoint belongs to another request")
+        self.at = max(self.at or 0, end["page"])
+        if self.end is None:
+            self.end = self.source.page_count()
+        return _tasks(start["page"], end["page"], self.end, self.options)
+
+    def read(self, partition):
+        yield from read_pages(self.source, partition, self.names)
+
+    def commit(self, end):
+        self.at = max(self.at or 0, end["page"])
 
 
 class PagedSource(DataSource):
-    """spark.dataSource.register(PagedSource); spark.read.format("pages").schema(s).option("pages", "a|b").load()"""
+    """spark.dataSource.register(PagedSource); then format("pages") in spark.read or spark.readStream."""
 
     @classmethod
     def name(cls):
@@ -72,3 +211,38 @@ class PagedSource(DataSource):
 
     def reader(self, schema):
         return PagedReader(schema, self.options)
+
+    def streamReader(self, schema):
+        return PagedStream(schema, self.options)
+
+
+def write_pages(rows, path: str, size: int, by: str | None = None) -> None:
+    """rows (with ord from 0) as a folder of pages, as PagedSource replays it.
+
+    by: a column with few values; rows lie in its order, and each value has a folder <by>=<value> of pages.
+    """
+    from pyspark.sql import functions as F
+
+    keys = [by] if by else []
+    total = rows.groupBy(*keys).agg(F.count("*").alias("num_rows_total"), F.min("ord").alias("first"))
+    placed = (rows.join(total, by) if by else rows.join(F.broadcast(total))).withColumn("ord", F.col("ord") - F.col("first"))
+    item = F.struct(F.col("ord").alias("row_idx"), F.struct(*[c for c in rows.columns if c not in ("ord", by)]).alias("row"))
+    pages = placed.groupBy(*keys, F.floor(F.col("ord") / size).alias("page"), "num_rows_total").agg(F.collect_list(item).alias("rows"))
+    in_order = F.array_sort("rows", lambda a, b: F.signum(a["row_idx"] - b["row_idx"]).cast("int"))
+    texts = pages.select(*keys, "page", F.to_json(F.struct(in_order.alias("rows"), "num_rows_total"), {"ignoreNullFields": "false"}).alias("value"))
+    texts.write.partitionBy(*keys, "page").text(path)
+
+
+def count_sets(spark, sets: list[tuple[str, str]], options: dict | None = None):
+    """(name, n): the total that a page of each set (name, url) says, each asked by a task of its own."""
+    given = dict(options or {})
+
+    def ask(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            n = [Source({**given, "url": url}).total() for url in b.column("url").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("name"), pa.array(n, pa.int64())], ["name", "n"])
+
+    rows = spark.createDataFrame(sets, "name string, url string").repartition(max(1, len(sets)))
+    return rows.mapInArrow(ask, "name string, n long")

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.commits import CommittedTable, committed
+
 
 def events_stream(spark: SparkSession, path: str, schema, per_trigger: int | None = None) -> DataFrame:
     r = spark.readStream.schema(schema)
@@ -59,28 +61,39 @@ def drain_updates(stream: DataFrame, path: str, checkpoint: str) -> None:
 
 
 def take_until(stream: DataFrame, most: int, path: str, checkpoint: str) -> int:
-    """Batches into Parquet until `most` rows are kept; the batch that reaches it is cut, later ones are skipped.
+    """Batches into a committed table until `most` rows are kept; the batch that reaches it is cut, later ones are skipped.
 
-    What is kept is counted from the epochs written before, so that a restart goes on from there.
+    What is kept is in the manifests, so that neither a batch nor a restart reads former rows again.
     """
-    spark, schema = stream.sparkSession, stream.schema
 
-    def kept(before: int | None = None) -> int:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
-            return 0
-        rows = spark.read.schema(f"{schema.simpleString()[7:-1].replace(':', ' ')}, epoch long").parquet(path)
-        return (rows if before is None else rows.where(F.col("epoch") < before)).count()
+    def kept() -> int:
+        return sum(p["rows"] for p in committed(path))
 
     def batch(rows: DataFrame, epoch: int) -> None:
-        room = most - kept(epoch)
-        if room > 0:
-            rows.limit(room).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        if (room := most - kept()) > 0:
+            rows.limit(room).write.format("committed").mode("append").option("path", path).option("commit", epoch).save()
 
+    stream.sparkSession.dataSource.register(CommittedTable)
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return kept()
 
 
+def collect_pages(stream: DataFrame, path: str, checkpoint: str, request: dict) -> None:
+    """All pages of a paged source into a committed table, batch by batch; started again, it goes on with the next page.
+
+    A failure ends the call with its error. What was committed stays, the batch that failed is read again.
+    """
+    spark = stream.sparkSession
+    same_request(spark, f"{checkpoint}-request", request)
+    spark.dataSource.register(CommittedTable)
+    sink = stream.writeStream.format("committed").option("path", path).option("checkpointLocation", checkpoint)
+    query = sink.trigger(processingTime="0 seconds").start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+
+
 REQUEST_SCHEMA = "user_id long, n_events long, asks long, verifies long, accepts long, invalid_accepts long"
 
 
