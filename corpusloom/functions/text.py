@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import reduce
 
@@ -65,24 +66,23 @@ def char_ngrams(x: Column, size: int = 5) -> Column:
     return F.when(F.char_length(x) <= size, F.array(x)).otherwise(grams)
 
 
+_BOX = {False: re.compile(r"\\boxed\s*\{|[{}]"), True: re.compile(r"\\boxed\s*\{|[{}]", re.IGNORECASE)}
+
+
 def balanced_boxed(text: str | None, ignore_case: bool = False) -> str | None:
-    """What the last \\boxed{...} with balanced braces holds, stripped."""
+    """What the last \\boxed{...} with balanced braces holds, stripped. One pass: open braces wait for their closing ones."""
     if text is None:
         return None
-    hay, found, at = text.lower() if ignore_case else text, None, 0
-    while (at := hay.find("\\boxed", at)) >= 0:
-        at += len("\\boxed")
-        rest = hay[at:]
-        lead = len(rest) - len(rest.lstrip())
-        if rest[lead : lead + 1] != "{":
-            continue
-        depth = 0
-        for k in range(at + lead, len(text)):
-            depth += (text[k] == "{") - (text[k] == "}")
-            if depth == 0:
-                found = text[at + lead + 1 : k].strip()
-                break
-    return found
+    waiting: list[tuple[int, bool]] = []
+    best, found = -1, None
+    for m in _BOX[ignore_case].finditer(text):
+        if m[0] != "}":
+            waiting.append((m.end(), len(m[0]) > 1))
+        elif waiting:
+            start, boxed = waiting.pop()
+            if boxed and start > best:
+                best, found = start, (start, m.start())
+    return None if found is None else text[found[0] : found[1]].strip()
 
 
 @pandas_udf(StringType())

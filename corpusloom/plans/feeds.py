@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import iterate as I
 from ..operators.batches import numbered
 from ..scratch import scratch_path
 from ..sources import commits, pages
 from ..streaming import ingest as T
+from ..streaming import requests as Q
+from . import records
 from .base import Registry, compact_sql, table
 
 query = Registry()
@@ -43,7 +46,7 @@ def s6_stream(spark, sf):
     path, reader = _paged_documents(spark, sf, size)
     n = -(-table(spark, sf, "documents").count() // size)
     out, state, request = scratch_path(spark, "collected"), scratch_path(spark, "collected-state"), {"url": path, "size": size}
-    stream = lambda: reader.option("batch", -(-n // 3)).load()
+    stream = lambda: reader.option("batch", -(-n // 3)).option("checkpoint", state).load()
     gone = f"{path}/page={n * 3 // 5}"
     _rename(spark, gone, f"{path}/_away")
     try:
@@ -98,3 +101,50 @@ def s10_sets(spark, sf):
     pages.write_pages(d, root, 40, by="source")
     names = [r.source for r in d.select("source").distinct().collect()]  # sources are few
     return pages.count_sets(spark, [(name, f"{root}/source={name}") for name in names]).select(F.col("name").alias("source"), "n")
+
+
+# -- resumable iterators -------------------------------------------------------------------------------
+
+SIZE, EPOCHS, SEED = 32, 2, 7
+
+
+def _shuffled_sql(epoch: int) -> str:
+    """doc_id and its place in an epoch, by the rounds of the keyed bijection."""
+    rows = "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS x, count(*) OVER () AS n FROM documents"
+    for k, a, b, c, e in I.round_keys(SEED, epoch):
+        rows = f"SELECT doc_id, n, CASE WHEN 2 * ((f * f + {e}) % {I.PRIME}) >= {I.PRIME} THEN y ELSE x END AS x FROM (SELECT *, ({a} * (greatest(x, y) % {I.PRIME}) + {c} * ((greatest(x, y) >> 31) % {I.PRIME}) + {b}) % {I.PRIME} AS f FROM (SELECT *, (({k} % n) - x + n) % n AS y FROM ({rows})))"
+    return f"SELECT doc_id, {epoch} AS epoch, x // {SIZE} AS batch, x AS place FROM ({rows}) WHERE x // {SIZE} < n // {SIZE}"
+
+
+@query("t5_w19_resumed_batches", " UNION ALL ".join(_shuffled_sql(e) for e in range(EPOCHS)))
+def t5(spark, sf):
+    """Two epochs in four portions, by three iterators: each goes on from the position that the one before it saved."""
+    rows = numbered(table(spark, sf, "documents").select("doc_id"), ["doc_id"])
+    state, parts = None, []
+    for k in (5, 20):
+        it = I.BatchIterator(rows, SIZE, EPOCHS, SEED, state)
+        parts.append(it.take(k))
+        state = it.state()
+    it = I.BatchIterator(rows, SIZE, EPOCHS, SEED, state)
+    parts += [it.take(1), it.take(1 << 40)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("doc_id", "epoch", "batch", "place")
+
+
+# -- requests ------------------------------------------------------------------------------------------
+
+
+@query("t4_open_requests", records.SQL["t4_request_state"])
+def t4_open(spark, sf):
+    """Counts of each request by a stateful processor with timers, the events in four files and out of their order."""
+    path, out, state = (scratch_path(spark, x) for x in ("events", "requests", "requests-state"))
+    e = table(spark, sf, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), F.expr(records.ACTION).alias("action"))
+    top = e.agg(F.max("event_id")).first()[0] or 0
+    e.withColumn("part", F.floor(F.col("event_id") * 4 / (top + 1))).repartition("part").sortWithinPartitions(F.desc("event_id")).write.partitionBy("part").parquet(path)
+    Q.with_rocks(spark)
+    stream = T.events_stream(spark, path, "event_id long, user_id long, ts timestamp, action string, part int", 1)
+    T.drain_updates(Q.request_totals(stream, late="40 days"), out, state)
+    rows = spark.read.parquet(out)
+    return rows.groupBy("user_id").agg(F.max_by(F.struct("n_events", "asks", "verifies", "accepts", "invalid_accepts"), "epoch").alias("r")).select("user_id", "r.*")

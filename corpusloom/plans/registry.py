@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import curation, feeds, grading, interfaces, records, rollouts, traces
+from . import curation, feeds, grading, interfaces, measures, records, rollouts, traces
 
-MODULES = (curation, grading, traces, records, rollouts, interfaces, feeds)
+MODULES = (curation, grading, traces, records, rollouts, interfaces, feeds, measures)
 
 
 def queries():

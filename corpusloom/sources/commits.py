@@ -87,7 +87,8 @@ class _Writer:
         if known and self.exclusive and not stream:
             raise FileExistsError(f"a table exists at {self.path}")
         self.tried = "commit" in options  # a commit's own number: tried again, it counts once
-        self.next = f"{int(options['commit']) if self.tried else len(known):09d}.json"
+        number = int(options["commit"]) if self.tried else max((int(n.split(".")[0]) for n in known), default=-1) + 1
+        self.next = f"{number:09d}.json"
 
     def write(self, iterator) -> Written:
         where, inner = file_system(self.path)

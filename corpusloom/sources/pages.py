@@ -75,6 +75,13 @@ def page_in_folder(folder: str, page: int) -> dict:
     return {"rows": []}
 
 
+def _exists(path: str) -> bool:
+    from pyarrow import fs
+
+    where, inner = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
+    return any(f.is_file for f in where.get_file_info(fs.FileSelector(f"{inner}/offsets", allow_not_found=True)))
+
+
 class Source:
     """Where pages come from: options url, size (rows a page), retries, backoff (factor of the waits)."""
 
@@ -159,23 +166,24 @@ def read_pages(source: Source, some: Page, names: list[str]):
 
 
 class PagedStream(DataSourceStreamReader):
-    """Offsets are (page, request): a checkpoint of another request is refused. Option batch: pages a batch at most.
+    """Offsets are (page, request): a checkpoint of another request is refused.
 
-    A reader that goes on after a clean stop is not told its place before its first batch, which then takes
-    what is left.
+    Option batch: pages a batch at most. Spark asks for the latest offset before it tells a reader its place, so the
+    limit needs option checkpoint, the stream's folder: without one there the place is 0. A reader that goes on
+    after a clean stop learns its place with its first batch, which takes what is left.
     """
 
     def __init__(self, schema, options):
         self.names, self.options, self.source = [f.name for f in schema.fields], dict(options), Source(options)
         asked = {k: v for k, v in self.options.items() if k.lower() in ("url", "size", "request")}
         self.request = hashlib.sha256(json.dumps(asked, sort_keys=True).encode()).hexdigest()[:16]
-        self.at, self.end, self.most = None, None, int(options.get("batch", "0"))
+        self.end, self.most = None, int(options.get("batch", "0"))
+        self.at = 0 if "checkpoint" in self.options and not _exists(self.options["checkpoint"]) else None
 
     def _offset(self, page: int) -> dict:
         return {"page": page, "request": self.request}
 
     def initialOffset(self):
-        self.at = 0
         return self._offset(0)
 
     def latestOffset(self):
