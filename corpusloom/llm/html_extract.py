@@ -2,18 +2,22 @@
 
 Markup is stripped to blocks, one line each, in page order. Scripts, styles, forms and elements that say
 what they are (nav, footer, aside, or a class, id or role such as ad, cookie, comments, sidebar) leave at
-once. What is left of a line's length without its links is its weight; within a page that marks its article
-(article or main) lines outside the mark weigh nothing. The weights of `width` neighbouring lines are
-summed: where the sum surges over the threshold a region begins, where it dives to nothing it ends, and
-the lines between stay, link-heavy ones among them included. So `width` or more lines of links in a row end
-a region wherever they stand. A marked article's region reaches back to the first line after the last dive,
-and a quarter of the threshold is enough for it. Where no sum surges, the region with the highest one stays.
+once; a name that may be a subject as well (share, promotion, related, search) only tells where its element
+holds mostly links or nothing like a sentence. A page that marks its article (article or main) gives all other
+blocks within the mark, lists of links and short ones among them. On any other page a line's weight is its
+length without its links, and the weights of `width` neighbouring lines are summed: where the sum surges over the
+threshold there is a region, which reaches back to the first line after the last dive to nothing and on to
+the next dive, and all lines between stay. So `width` or more lines of links in a row end a region. Where no
+sum surges, the region with the highest one stays.
+
+Markup is read in one pass, as browsers read it: an attribute's quoted value goes up to its quote, whatever and
+however much it holds; a quote that never closes is a character like others.
 
 Defined cases: null and empty pages, and pages without text, give the empty string; unclosed elements and
 comments reach to the end of what holds them, an unclosed head ends with the first element that is none of
 its own; tags without an end go up to the next tag; very long pages take time in proportion to their
-length; of regions with equally high sums the first stays; repeated rows (and null or repeated page_ids)
-are treated row by row; an empty table gives an empty result; other columns are ignored.
+length; of regions with equally high sums the first stays; a mark without text counts as none; repeated rows (and null
+or repeated page_ids) are treated row by row; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,15 +31,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 
-# a quoted value ends at its quote; one that holds a tag's opening is read for some kilobytes only, so that no
-# text is scanned over and over
-_ATTRS = r"(?:[^<>\"']++|\"(?:[^\"<]*+|[^\"]{0,8192}+)\"|'(?:[^'<]*+|[^']{0,8192}+)'){0,400}+"
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^<>]*>?"
-    rf"|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|select|object|canvas|title)\b{_ATTRS}>.*?(?:</(?P=raw)\s*[^<>]*>|\Z)"
-    rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/<>]*)(?P<attrs>{_ATTRS}(?=>)|[^<>]*)(?:>|(?=<)|\Z)",
-    re.S | re.I,
-)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*)")
+_PLAIN = re.compile(r"[^<>\"']*")
+_DECLARED = re.compile(r"<[!?][^<>]*>?")
+_TAIL = re.compile(r"[^<>]*>?")
+_RAW = frozenset("script style noscript template svg iframe textarea select object canvas title".split())
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in _RAW}
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark math mi mn mo mrow msub msup mfrac q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split()
 )
@@ -49,13 +50,15 @@ _TEXT = frozenset("p li td th dt dd blockquote pre figure figcaption".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Parts of a class or id that tell boilerplate: of any element, and of elements that hold others only.
 _ALWAYS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promoted promotion banner cookie cookies consent gdpr notice notices"
-    " alert popup modal overlay newsletter subscribe subscription share sharing social breadcrumb breadcrumbs copyright disqus".split()
-)
-_HOLDERS = frozenset(
-    "comment comments reply replies sidebar side menu nav navbar navigation footer header masthead toolbar related recommend recommended recommendations signup login"
-    " search pagination pager widget widgets skiplink".split()
+    "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promoted banner cookie cookies consent gdpr notice notices"
+    " popup modal overlay newsletter breadcrumb breadcrumbs copyright disqus".split()
 )
+_HOLDERS = frozenset("comment comments sidebar menu nav navbar navigation footer header masthead toolbar signup login pagination pager widget widgets skiplink".split())
+#: The same, where the element is mostly links or holds nothing like a sentence.
+_MAYBE = frozenset("share sharing social promotion promotions alert subscribe subscription".split())
+_MAYBE_HOLDERS = frozenset("reply replies side related recommend recommended recommendations search".split())
+#: What tells of an article that it is another's comment or an advert.
+_NO_ARTICLE = frozenset("comment comments ad ads advert advertisement sponsored promoted".split())
 #: Parts that may stand beside those: with any other word ("related-work") a name is no boilerplate.
 _BESIDE = frozenset(
     "area articles bar block body bottom box button buttons container content fixed form global group inner item items label left link links list main message page panel"
@@ -68,77 +71,147 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _CLOSED_BY = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
 
 
-def _named(value: str, telling: frozenset) -> bool:
+def _named(value: str, telling: frozenset, beside: frozenset = _BESIDE) -> bool:
     """Whether a class or id is made of telling parts and what may stand beside them."""
     for name in value.split():
         parts = [p.lower() for p in _PART.findall(name)]
-        if any(p in telling for p in parts) and all(p in telling or p in _BESIDE or p.isdigit() for p in parts):
+        if any(p in telling for p in parts) and all(p in telling or p in beside or p.isdigit() for p in parts):
             return True
     return False
 
 
-def _boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
+def _boilerplate(tag: str, attrs: str, in_article: bool) -> int:
+    """2: boilerplate; 1: so if its content agrees; 0: none."""
     if tag in _DROP and not (tag == "header" and in_article):  # an article's own header holds its title
-        return True
+        return 2
     if not attrs or attrs.isspace():
-        return False
-    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
-    if tag in _KEEP or tag in ("body", "html"):
-        return found.get("role", "").lower() in _ROLES
-    if "hidden" in found or found.get("aria-hidden") == "true" or _HIDDEN.search(found.get("style", "")):
-        return True
-    if found.get("role", "").lower() in _ROLES:
-        return True
+        return 0
+    found: dict[str, str] = {}
+    for m in _ATTR.finditer(attrs):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    names = [found.get(k, "") for k in ("class", "id")]
+    if tag in ("main", "body", "html"):
+        return 2 * (found.get("role", "").lower() in _ROLES)
+    if "hidden" in found or found.get("aria-hidden") == "true" or _HIDDEN.search(found.get("style", "")) or found.get("role", "").lower() in _ROLES:
+        return 2
+    if tag == "article":
+        return 2 * any(_named(x, _NO_ARTICLE) for x in names)
     if tag in _HEADINGS:
-        return False
-    telling = _ALWAYS if tag in _TEXT else _ALWAYS | _HOLDERS
+        return 0
+    sure, maybe = (_ALWAYS, _MAYBE) if tag in _TEXT else (_ALWAYS | _HOLDERS, _MAYBE | _MAYBE_HOLDERS)
     if in_article:
-        telling -= {"header", "title"}
-    return any(_named(found.get(k, ""), telling) for k in ("class", "id"))
+        sure -= {"header"}
+    if any(_named(x, sure, _BESIDE | maybe) for x in names):
+        return 2
+    return int(any(_named(x, maybe) for x in names))
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, bool, str]]:
+    """(text before, tag or "", whether it ends an element, attributes) from start to end, in one pass.
+
+    A tag "" stands for a comment, a declaration, an element of raw text with its content, or the page's end.
+    """
+    at, size, quotes = 0, len(page), {}
+    text: list[str] = []
+
+    def closing(quote: str, start: int) -> int:
+        known = quotes.get(quote, 0)
+        if 0 <= known < start:
+            known = quotes[quote] = page.find(quote, start)  # -1: none is left, which holds from there on
+        return known
+
+    while at < size:
+        low = page.find("<", at)
+        if low < 0:
+            break
+        text.append(page[at:low])
+        at = low
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            at = size if end < 0 else end + 3
+        elif page.startswith("<![CDATA[", at):
+            end = page.find("]]>", at)
+            at = size if end < 0 else end + 3
+        elif m := _DECLARED.match(page, at):
+            at = m.end()
+        elif m := _NAME.match(page, at):
+            tag, start = m[2].lower(), m.end()
+            at = start
+            while True:
+                at = _PLAIN.match(page, at).end()
+                if at >= size or page[at] in "<>":
+                    break
+                k = at - 1
+                while page[k].isspace():
+                    k -= 1
+                end = closing(page[at], at + 1) if page[k] == "=" else -1
+                at = end + 1 if end >= 0 else at + 1
+            attrs = page[start:at]
+            at += at < size and page[at] == ">"
+            if tag in _RAW and not m[1] and not (tag == "svg" and attrs.endswith("/")):
+                end = _RAW_END[tag].search(page, at)
+                at = size if end is None else _TAIL.match(page, end.end()).end()
+                yield "".join(text), "", False, "raw"
+            else:
+                yield "".join(text), tag, bool(m[1]), attrs
+            text = []
+            continue
+        else:
+            text.append("<")
+            at += 1
+            continue
+        yield "".join(text), "", False, ""
+        text = []
+    yield "".join(text) + page[at:], "", False, ""
+
+
+def _sentence(text: str) -> bool:
+    return len(text) >= 40 or text.rstrip("\"')»”’")[-1:] in tuple(".!?…:;。")
 
 
 def blocks(page: str) -> list[tuple[str, bool, int]]:
     """(text, within article or main, characters inside links) of every block that is not boilerplate."""
-    out: list[tuple[str, bool, int]] = []
-    stack: list[tuple[str, int, bool]] = []  # of open elements that are not inline: tag, dropped (1: unless an article begins), kept
+    out: list[tuple[str, bool, int, int]] = []
+    stack: list[tuple[str, int, bool, int]] = []  # of open elements that are not inline: tag, dropped (1: unless an article begins), kept, doubtful
+    doubts = [-1]  # of each doubtful element the one around it; number 0 stands for none
     runs: list[str] = []
     linked = links = 0
 
+    def top() -> tuple[str, int, bool, int]:
+        return stack[-1] if stack else ("", 0, False, 0)
+
     def flush() -> None:
         nonlocal linked
         if runs:
             text = " ".join("".join(runs).split())
             if text:
-                out.append((text, bool(stack) and stack[-1][2], linked))
+                out.append((text, top()[2], linked, top()[3]))
             runs.clear()
         linked = 0
 
-    def take(raw: str) -> None:
-        nonlocal linked
-        if raw and not (stack and stack[-1][1]):
+    def push(tag: str, dropped: int, kept: bool, sort: int) -> None:
+        if sort == 1:
+            doubts.append(top()[3])
+        stack.append((tag, dropped, kept, len(doubts) - 1 if sort == 1 else top()[3]))
+
+    for raw, tag, end, attrs in tokens(page):
+        if raw and not top()[1]:
             text = html.unescape(raw)
             runs.append(text)
             if links:
                 linked += len(text.strip())
-
-    at = 0
-    for m in _TOKEN.finditer(page):
-        take(page[at : m.start()])
-        at = m.end()
-        tag = m["tag"]
-        if tag is None:
-            if m["raw"]:
+        if not tag:
+            if attrs:
                 runs.append(" ")
             continue
-        tag, end = tag.lower(), bool(m["end"])
         if tag in _INLINE:
             if tag == "a":
                 links = 0 if end else 1
             elif tag == "br":
                 runs.append(" ")
-            if not end and tag == "span" and _boilerplate(tag, m["attrs"], bool(stack) and stack[-1][2]):
+            if not end and tag == "span" and (sort := _boilerplate(tag, attrs, top()[2])) == 2:
                 flush()
-                stack.append((tag, 2, bool(stack) and stack[-1][2]))
+                push(tag, 2, top()[2], sort)
             elif end and stack and stack[-1][0] == tag:
                 stack.pop()
             continue
@@ -148,7 +221,7 @@ def blocks(page: str) -> list[tuple[str, bool, int]]:
                 if stack[k][0] == tag:
                     del stack[k:]
                     break
-        elif tag not in _VOID and not m["attrs"].endswith("/"):
+        elif tag not in _VOID and not attrs.endswith("/"):
             if tag == "p" and stack and stack[-1][0] == "p":
                 stack.pop()
             elif tag in _CLOSED_BY:
@@ -160,15 +233,25 @@ def blocks(page: str) -> list[tuple[str, bool, int]]:
                         break
             elif tag not in ("p",) and stack and stack[-1][0] == "p":
                 stack.pop()
-            dropped, kept = stack[-1][1:] if stack else (0, False)
-            if _boilerplate(tag, m["attrs"], kept):
+            _, dropped, kept, _ = top()
+            sort = _boilerplate(tag, attrs, kept)
+            if sort == 2:
                 dropped = max(dropped, 1 if tag in _LOOSE else 2)
             elif tag in _KEEP and dropped == 1:
                 dropped = 0
-            stack.append((tag, dropped, kept or tag in _KEEP))
-    take(page[at:])
+            push(tag, dropped, kept or tag in _KEEP, sort)
     flush()
-    return out
+
+    size, inside, said = ([0] * len(doubts) for _ in range(3))
+    for text, _, n, k in out:
+        size[k], inside[k], said[k] = size[k] + len(text), inside[k] + n, said[k] + _sentence(text)
+    for k in range(len(doubts) - 1, 0, -1):
+        up = doubts[k]
+        size[up], inside[up], said[up] = size[up] + size[k], inside[up] + inside[k], said[up] + said[k]
+    gone = [False] * len(doubts)
+    for k in range(1, len(doubts)):
+        gone[k] = gone[doubts[k]] or 2 * inside[k] > size[k] or not said[k]
+    return [(text, kept, n) for text, kept, n, k in out if not gone[k]]
 
 
 def regions(weights: list[int], width: int, threshold: int, back: bool = False) -> list[tuple[int, int]]:
@@ -200,12 +283,14 @@ def regions(weights: list[int], width: int, threshold: int, back: bool = False)
 
 def extract(page: str | None, width: int = 3, threshold: int = 86) -> str:
     rows = blocks(page or "")
-    marked = any(r[1] for r in rows)
-    weights = [len(t) - min(linked, len(t)) if kept or not marked else 0 for t, kept, linked in rows]
+    marked = [t for t, kept, _ in rows if kept]
+    if marked:
+        return "\n\n".join(marked)
+    weights = [len(t) - min(linked, len(t)) for t, _, linked in rows]
     if not any(weights):  # nothing but links
-        weights = [len(t) if kept or not marked else 0 for t, kept, _ in rows]
-    spans = regions(weights, width, threshold // 4 if marked else threshold, marked)
-    return "\n\n".join(t for a, b in spans for t, kept, _ in rows[a:b] if kept or not marked)
+        weights = [len(t) for t, _, _ in rows]
+    spans = regions(weights, width, threshold, back=True)
+    return "\n\n".join(t for a, b in spans for t, _, _ in rows[a:b])
 
 
 def extract_pages(pages: DataFrame, width: int = 3, threshold: int = 86) -> DataFrame:

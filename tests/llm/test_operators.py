@@ -170,15 +170,69 @@ def test_extract():
 
 def test_regions_decide():
     link = "<li><a href=x>some link text</a>"
-    page = f"<main><h1>Title</h1><p>{'Body text. ' * 9}<ul>{link * 4}</ul><p>{'More body text. ' * 9}</main>"
+    page = f"<div><h1>Title</h1><p>{'Body text. ' * 9}<ul>{link * 4}</ul><p>{'More body text. ' * 9}</div>"
     kept = html_extract.extract(page)
     assert kept.startswith("Title\n\nBody") and "More body" in kept and "link" not in kept  # a run of links is a dive
     assert "some link text" in html_extract.extract(page.replace(link * 4, link))  # one link between texts is none
+    assert html_extract.extract(page.replace("div>", "main>")).count("some link text") == 4  # a marked article loses nothing
     assert html_extract.extract("<div><p>A short page.</p></div>") == "A short page."
+    assert html_extract.extract("<div><h2>A title</h2><p>Two short.</p><p>Lines here.</p></div>") == "A title\n\nTwo short.\n\nLines here."
     assert html_extract.extract("<p><a href=x>only a link</a>") == "only a link"
+    assert html_extract.extract("<main></main><div><p>A short page.</p></div>") == "A short page."
     assert html_extract.regions([5, 0, 0, 9, 9], 2, 86) == [(3, 5)] and html_extract.regions([0, 0], 2, 86) == []
 
 
+def test_nothing_of_an_article_is_lost():
+    refs = "".join(f"<li><a href=r{k}>Reference {k}</a></li>" for k in range(5))
+    page = f"<article><h1>T</h1><p>{'Long text. ' * 30}</p><h2>References</h2><ol>{refs}</ol><p>Short end.</p></article>"
+    kept = html_extract.extract(page).split("\n\n")
+    assert kept[0] == "T" and kept[2:] == ["References", *(f"Reference {k}" for k in range(5)), "Short end."]
+    page = '<article><p class="share">Share of the market grew.</p><section id="promotion"><p>Prose on promotion.</p></section><div class="share"><a href=x>Tweet</a></div><div class=related><a href=y>More</a> of it</div><p>End</article>'
+    assert html_extract.extract(page) == "Share of the market grew.\n\nProse on promotion.\n\nEnd"
+    for value in ("<b>y</b>" * 2000, "x > y " * 4000, "</article><p>" * 3000):
+        assert html_extract.extract(f"<article><p title=\"{value}\" data-x='{value}'>One</p></article>") == "One"
+    many = " ".join(f"a{k}='p > q'" for k in range(2000))
+    assert html_extract.extract(f"<article><p {many}>One</p></article>") == "One"
+    assert html_extract.extract('<article><p title="never closed>One</p><p>Two</p></article>') == "One\n\nTwo"
+
+
+def built_page(rng):
+    """A page and its article's blocks, put together from parts whose meaning is known."""
+    words = ["alpha", "be&amp;ta", "&lt;b&gt;", "gam&#109;a", "x&nbsp;y", "<b>bold</b>", "<i>it</i>al", "<a href='u?a=1&b=2'>link</a>", "d<wbr>elta", "1 < 2", "\n line"]
+    plain = ["alpha", "be&ta", "<b>", "gamma", "x y", "bold", "ital", "link", "delta", "1 < 2", "line"]
+    odd = ["", ' title="a > b"', " data-x='<p>no</p>'", ' class="lead text"', " hidden-by=me", ' id="related-work"', " onclick='if (a < b) go(\"x\")'"]
+    junk = ["<nav><ul><li><a href=x>Home</a></ul></nav>", "<aside><p>Side text, long enough to be a block of its own.</p></aside>", "<script>if (a<b) document.write('<p>no</p>')</script>", "<style>p>b{}</style>",
+            '<div class="ad">Buy these shoes now, they are cheap and good.</div>', "<form><label>Name</label><input></form>", "<!-- <p>no</p> -->", '<div id="cookie-banner"><p>We use cookies on this page.</p></div>',
+            '<section class="comments"><div><p>Nice article, I liked it a lot.</p></div></section>', '<ul class="share"><li><a href=x>Post</a><li><a href=y>Mail</a></ul>', "<svg><text>no</text></svg>", "<div hidden>unseen</div>", "<footer>End</footer>"]
+
+    def text():
+        at = [rng.randrange(len(words)) for _ in range(rng.randint(1, 12))]
+        return " ".join(words[k] for k in at), " ".join(" ".join(plain[k] for k in at).split())
+
+    out, blocks = [], []
+    for _ in range(rng.randint(1, 9)):
+        kind = rng.choice(["p", "h2", "blockquote", "li", "open", "div", "junk"])
+        if kind == "junk":
+            out.append(rng.choice(junk[:-1]))
+            continue
+        inner, said = text()
+        blocks.append(said)
+        end = "" if kind == "open" else "</p>" if kind == "p" else f"</{kind}>"
+        tag = "p" if kind == "open" else kind
+        attrs = rng.choice(odd)
+        out.append(f"<ul><li{attrs}>{inner}</li></ul>" if kind == "li" else f"<{tag}{attrs}>{inner}{end}")
+    mark = rng.choice(["article", "main"])
+    around = [rng.choice(junk) for _ in range(4)]
+    return f"<!DOCTYPE html><html><head><title>no</title></head><body>{around[0]}{around[1]}<{mark}>{''.join(out)}</{mark}>{around[2]}{around[3]}</body></html>", "\n\n".join(blocks)
+
+
+def test_built_pages():
+    rng = random.Random(12)
+    for _ in range(1500):
+        page, want = built_page(rng)
+        assert html_extract.extract(page) == want, page
+
+
 def test_names_and_broken_markup():
     page = "<html><head><meta charset=utf-8><body><form id=all><article><header><h1>Title</h1></header><div class='related-work'>On related work.</div><p class=search>On search.</p><h2 id=comments-on-method>Comments on it</h2>"
     page += "<div class='comment-list'>Nice!</div><div id=adSlot3>Buy</div><p class=notice>Take care</p><ul class=share-links><li>Share</ul></article></form>"
@@ -189,7 +243,7 @@ def test_names_and_broken_markup():
 def test_malformed_pages_take_linear_time():
     import time
 
-    for unit in ('<a href="x ', '<a "<b"x"', "<script ", "<p title='", "<!-- ", "<", "<title>"):
+    for unit in ('<a href="x ', '<a "<b"x"', "<script ", "<p title='", "<!-- ", "<", "<title>", "<div class=share>", '<p a="', "<a b=", '<a "" ', ' "" "'):
         began = time.process_time()
         html_extract.extract(unit * 30_000)
         assert time.process_time() - began < 10
