@@ -1,10 +1,14 @@
 """Texts, patterns and tables that results must agree on."""
 
 # fixed values: lines of a question that only instruct how to answer
-INSTRUCTION_LINE = (
-    r"(?i)(?:please reason step by step|solve the following math problem step by step|"
-    r"remember to put your answer|put your final answer|the last line of your response)"
+INSTRUCTION_PHRASES = (
+    "please reason step by step",
+    "solve the following math problem step by step",
+    "remember to put your answer",
+    "put your final answer",
+    "the last line of your response",
 )
+INSTRUCTION_LINE = "(?i)(?:" + "|".join(INSTRUCTION_PHRASES) + ")"
 
 # fixed values: the instruction that a prompt ends with
 STEP_BY_STEP = "Please reason step by step"

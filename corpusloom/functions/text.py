@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-from .fixed import ACTION_MARKERS, ANSWER_REMOVED, ANSWER_REPLACED, CONTEXT_MARKERS, CONTROL_MARKER, DIFFICULTY_BINS, INSTRUCTION_LINE, PROMPT_SUFFIX, STEP_BY_STEP
+from .fixed import ACTION_MARKERS, ANSWER_REMOVED, ANSWER_REPLACED, CONTEXT_MARKERS, CONTROL_MARKER, DIFFICULTY_BINS, INSTRUCTION_LINE, INSTRUCTION_PHRASES, PROMPT_SUFFIX, STEP_BY_STEP
 
 
 def _s(text: str) -> Column:
@@ -51,9 +51,12 @@ def _compact(x: Column) -> Column:
 
 def normalize_question(x: Column) -> Column:
     """Comparable form of a question: NFKC and case folding, instruction lines dropped, white space compacted."""
-    x = casefold(F.regexp_replace(x, r"(?i)\\n(?=(?:please|solve|remember|the last line))", "\n"))
+    spelt = F.when(F.contains(x, _s("\\n")), F.regexp_replace(x, r"(?i)\\n(?=(?:please|solve|remember|the last line))", "\n")).otherwise(x)
+    x = casefold(spelt)
     lines = F.filter(F.split(x, r"\r\n|[\n\x0b\f\r\x1c-\x1e\x85\u2028\u2029]"), lambda line: ~line.rlike(INSTRUCTION_LINE))
-    return _compact(F.array_join(lines, " "))
+    # few texts hold such a line; in all others the line breaks are but white space, and no line is looked at
+    plain = F.translate(x, "\x1c\x1d\x1e", "   ")
+    return _compact(F.when(contains_any(x, INSTRUCTION_PHRASES), F.array_join(lines, " ")).otherwise(plain))
 
 
 def problem_fingerprint(x: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from ..functions import text as X
 from ..functions.fixed import CONTEXT_MARKERS, INTERACTION_POLICY, OTHER_POLICY_REASON
+from ..scratch import stage
 from .batches import numbered
 from .protocol import segment_errors
 
@@ -89,14 +90,25 @@ def replay_reject_reason(min_score: float = 1.0, max_tokens: int | None = None,
     return reduce(lambda chain, r: F.when(F.coalesce(r[0], F.lit(True)), r[1]).otherwise(chain), reversed(rules), F.lit(None).cast("string"))
 
 
+def replay_candidates(traces: DataFrame, columns: list, **rules) -> DataFrame:
+    """The given columns of traces that no rule rejects.
+
+    The verdict is staged before it filters: a filter on it would be pushed below the traces' own expressions, and so
+    work out events and segments anew for each rule.
+    """
+    judged = stage(traces.select(*columns, replay_reject_reason(**rules).alias("__reason")), "judged").df
+    return judged.where(F.col("__reason").isNull()).drop("__reason")
+
+
 def best_per_problem(candidates: DataFrame, k: int, key: str = "question") -> DataFrame:
     """Highest utility, then fewest tokens and interactions, then input order; ids count problems in key order.
 
-    Problems are numbered by ranges: range partitions are counted and only those counts accumulate in one place.
+    Problems are numbered by ranges: range partitions are counted and only those counts accumulate in one place. The
+    best rows are staged, for their keys are sampled, numbered and joined: candidates are worked out once.
     """
     calls = _n("ask_count") + _n("verify_count")
     order = W.partitionBy(key).orderBy(F.desc("utility"), _n("teacher_tokens_used"), calls, "ord")
-    top = candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    top = stage(candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "best").df
     keys = dense_index(top.select(key).distinct(), key, "problem")
     out = top.join(keys, key)
     return out.withColumn("id", F.format_string("outcome_%07d_%d", "problem", F.col("rank") - 1))

@@ -149,8 +149,8 @@ WITH {TRACES}, c AS (SELECT *, {UTILITY} AS utility, {KIND} AS trajectory_type F
 r AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY utility DESC, teacher_tokens_used, ask_count + verify_count, ord) AS rank FROM c)
 SELECT printf('outcome_%07d_%d', dense_rank() OVER (ORDER BY question) - 1, rank - 1) AS id, question, ord, utility, trajectory_type FROM r WHERE rank <= 3""")
 def w1(spark, sf):
-    c = traces(spark, sf).where(T.replay_reject_reason(max_tokens=150).isNull())
-    c = c.select("*", T.utility().alias("utility"), T.trajectory_type().alias("trajectory_type"))
+    own = ["question", "ord", "teacher_tokens_used", "ask_count", "verify_count", T.utility().alias("utility"), T.trajectory_type().alias("trajectory_type")]
+    c = T.replay_candidates(traces(spark, sf), own, max_tokens=150)
     return T.best_per_problem(c, 3).select("id", "question", "ord", "utility", "trajectory_type")
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,17 +58,40 @@ class Staged:
         delete(self.spark, self.path)
 
 
+class _Cleaning:
+    """While any query is being staged, the session removes shuffle files as queries end; then its own setting is back.
+
+    Stages may overlap in several threads: the first one in keeps the session's setting, the last one out restores it.
+    """
+
+    def __init__(self):
+        self.lock, self.open, self.before = threading.Lock(), {}, {}
+
+    @contextmanager
+    def of(self, spark: SparkSession):
+        key = spark._jsparkSession.hashCode()
+        with self.lock:
+            if not self.open.get(key):
+                self.before[key] = spark.conf.get(CLEANUP, None)
+                spark.conf.set(CLEANUP, "true")
+            self.open[key] = self.open.get(key, 0) + 1
+        try:
+            yield
+        finally:
+            with self.lock:
+                self.open[key] -= 1
+                if not self.open[key]:
+                    before = self.before.pop(key)
+                    spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
+_CLEANING = _Cleaning()
+
+
 def stage(df: DataFrame, name: str) -> Staged:
     """Write df once as Parquet in the shared folder and read it back: this cuts the lineage."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with _CLEANING.of(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
     return Staged(spark, path)
