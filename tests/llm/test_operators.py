@@ -409,7 +409,7 @@ def test_url_rules_and_model(spark):
     assert got[3][2:] == ("com/de/", "block") and got[4] == ("x.com", "/fr/", "com/fr/", "allow")
     assert got[5][:3] == ("org", "", None) and got[6][:3] == got[7][:3] == ("", "", None)
     assert got[8][:2] == ("b", "") and got[9][3] == "block" and got[10][3] == "allow" and got[11][1] == "/y://z/"
-    for url, y in url_filter.LABELLED:  # the model separates its own table
+    for url, y in url_filter.labelled_urls():  # the model separates its own table
         bias, w = url_filter.weights()
         assert (bias + sum(w[g] for g in url_filter._features(*url_filter._split(url))) > 0) == bool(y), url
 
@@ -444,6 +444,30 @@ def test_url_model_on_held_out_urls(spark):
     assert old >= 17 and fresh >= 16
 
 
+#: Frozen: written before the model of this table first judged them (38 right then), and no change may be made for their sake.
+FROZEN = tuple((u, 1) for u in (
+    "https://freebetting.com/", "http://slots777.net/play", "http://buy-viagra.ru/", "https://adserver.doubleclick.net/ddm/clk", "https://www.pokerstars-bonus.com/join", "http://casino.netbet-promo.co/en", "https://pornmovies.tube/watch/9",
+    "http://sexdating.club/", "https://cams.adultlive.net/", "http://cialis-online.shop/order", "https://pills-discount.biz/", "http://ads.trackpixel.com/img", "https://click.adtracker.io/r", "http://payday-cash-loans.net/apply",
+    "https://win-prizes-now.xyz/claim", "http://crypto-doubler.top/", "https://roulette-live.bet/", "http://xxxvideos.pro/", "https://banner.adnetwork.biz/", "http://replica-bags-cheap.cn/",
+)) + tuple((u, 0) for u in (
+    "https://www.nytimes.com/2020/", "https://www.washingtonpost.com/politics/", "https://www.heise.de/news/1", "https://www.lefigaro.fr/sciences/", "https://www.elmundo.es/deportes/", "https://www.stanford.edu/academics", "https://www.nih.gov/health",
+    "https://postgresql.org/docs/", "https://www.ecosia.org/", "https://www.tate.org.uk/art", "https://www.thetimes.co.uk/", "https://www.sciencedirect.com/journal", "https://pytorch.org/tutorials", "https://www.bergfreunde.de/",
+    "https://www.cookinglight.com/recipes", "https://www.historyextra.com/period", "https://www.parks.ca.gov/", "https://www.violinist.com/blog", "https://www.fahrrad-xxl.de/", "https://www.essex.gov.uk/",
+))
+
+
+def test_url_model_on_frozen_urls(spark):
+    pages = spark.createDataFrame([(k, u) for k, (u, _) in enumerate(FROZEN)], "page_id int, url string")
+    judged = {r["page_id"]: r["verdict"] == "block" for r in collected(url_filter.judge(pages, rules=()))}
+    hits = sum(judged[k] and y for k, (_, y) in enumerate(FROZEN))
+    false = sum(judged[k] and not y for k, (_, y) in enumerate(FROZEN))
+    print(f"recall {hits} of 20, precision {hits} of {hits + false}")
+    assert hits >= 17 and false <= 1
+    seen = {h.lower() for h in url_filter.BLOCKED + url_filter.ORDINARY}
+    assert not [u for u, _ in FROZEN + HELD_OUT + FRESH if url_filter._split(u)[0] in seen]
+    assert not [h for h in seen for n in ("casino-win", "free-bets", "ads-track", "cheap-pills", "spam-farm", "adult-x") if h.partition(".")[0] == n]
+
+
 def test_empty_and_awkward_pages(spark):
     schema = "page_id long, url string, html string, text string, host string, verdict string"
     none = spark.createDataFrame([], schema)
