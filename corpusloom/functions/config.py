@@ -99,3 +99,11 @@ def read_yaml(path: str, spark: SparkSession | None = None) -> dict:
 def shared_slots(a: Column, b: Column) -> Column:
     """Slots that two jobs would both use, sorted."""
     return F.array_sort(F.array_intersect(a, b))
+
+
+def broken_rules(rules: dict):
+    """Names of the rules (columns of booleans) that a row breaks, in the rules' order; a null is no fulfilment."""
+    from pyspark.sql import functions as F
+
+    names = [F.when(~F.coalesce(test, F.lit(False)), F.lit(name)) for name, test in rules.items()]
+    return F.filter(F.array(*names), lambda x: x.isNotNull())

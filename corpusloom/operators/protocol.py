@@ -217,6 +217,12 @@ def policy_mask(length: Column, foreign: Column) -> Column:
     return F.transform(at, lambda i: F.when(F.exists(foreign, lambda s: (i >= s["start"]) & (i < s["end"])), 0).otherwise(1))
 
 
+def segment_mask(segments: Column) -> Column:
+    """1 for each character of a trained segment, 0 for each of the others, in the order of the text; linear in its length."""
+    own = lambda s: F.array_repeat(F.coalesce(s["loss"], F.lit(False)).cast("int"), F.char_length(s["text"]))
+    return F.flatten(F.transform(segments, own))
+
+
 def split_tokens(tokens: DataFrame, unknown: int) -> DataFrame:
     """(token, ids) rows of control tokens that a tokenizer does not know as one id of their own."""
     return tokens.where((F.size("ids") != 1) | (F.get("ids", F.lit(0)) == unknown))

@@ -174,6 +174,13 @@ def k6(spark, sf):
     return K.manifest(counts.withColumn("heldout_rows", F.lit(h.count()).cast("long")))
 
 
+@query("f1_document_forms", f"SELECT doc_id, sha256({norm_sql('text')}) AS norm FROM (SELECT doc_id, '  ' || text || chr(10) || ' Please reason STEP by step! ' AS text FROM documents)")
+def f1_documents(spark, sf):
+    """Normal forms of whole documents behind an instruction line, as digests."""
+    t = F.concat(F.lit("  "), "text", F.lit("\n Please reason STEP by step! "))
+    return table(spark, sf, "documents").select("doc_id", F.sha2(X.normalize_question(t), 256).alias("norm"))
+
+
 @query("f1_normal_forms", """
 SELECT k, norm FROM (VALUES (0, 'full fi 1 ss'), (1, 'a b=c'), (2, 'what is x?'), (3, 'keep me')) v(k, norm)""")
 def f1(spark, sf):

@@ -226,6 +226,24 @@ def k3(spark, sf):
     return S.read_jsonl(spark, path, "r_regionkey int, r_name string")
 
 
+@query("k11_event_metrics", "SELECT dense_rank() OVER (ORDER BY event_type) AS step, m.key, CASE m.key WHEN 'count' THEN n ELSE v END AS value FROM (SELECT event_type, count(*)::DOUBLE AS n, round(avg(value), 6) AS v FROM events GROUP BY 1), (VALUES ('count'), ('mean')) m(key)")
+def k11_events(spark, sf):
+    """Count and mean value of every kind of event, logged as a step each."""
+    path = scratch_path(spark, "metrics")
+    kinds = table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("v")).orderBy("event_type")
+    for step, r in enumerate(kinds.collect(), 1):  # kinds are few
+        K.LOGGERS["parquet"](spark, step, {"count": r.n, "mean": r.v}, path)
+    return spark.read.parquet(path)
+
+
+@query("p19_line_rules", """
+SELECT l_orderkey, l_linenumber, l_partkey, list_filter([CASE WHEN l_discount > 0.05 THEN 'discount' END, CASE WHEN l_quantity < 10 OR l_quantity > 40 THEN 'quantity' END, CASE WHEN l_tax IS NULL OR l_tax = 0 THEN 'tax' END], lambda x: x IS NOT NULL) AS broken FROM lineitem""")
+def p19_lines(spark, sf):
+    """Every line item with the names of the rules that it breaks."""
+    rules = {"discount": F.col("l_discount") <= 0.05, "quantity": F.col("l_quantity").between(10, 40), "tax": F.col("l_tax") != 0}
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", G.broken_rules(rules).alias("broken"))
+
+
 @query("k11_x6_metrics", "SELECT step::BIGINT AS step, key, value::DOUBLE AS value FROM (VALUES (1, 'loss', 0.5), (1, 'reward', 2), (2, 'loss', 0.25)) v(step, key, value)")
 def k11(spark, sf):
     path = scratch_path(spark, "metrics")

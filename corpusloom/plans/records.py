@@ -208,6 +208,18 @@ def u11(spark, sf):
     return invariants(balanced(spark, sf, B.least_loaded)).select("batch", "n", "chars", "once")
 
 
+@query("u11_least_loaded_parts", f"""
+WITH RECURSIVE {BATCHES}, s AS (
+  SELECT batch, -1::BIGINT AS place, [0, 0, 0, 0]::BIGINT[] AS sums, -1 AS part FROM n
+  UNION ALL
+  SELECT s.batch, b.place, list_transform(s.sums, lambda x, i: CASE WHEN i = list_position(s.sums, list_min(s.sums)) THEN x + b.n_chars ELSE x END), list_position(s.sums, list_min(s.sums)) - 1
+  FROM s JOIN b ON b.batch = s.batch AND b.place = s.place + 1)
+SELECT batch, batch * 64 + place AS ord, part::INT AS part FROM s WHERE place >= 0""")
+def u11_parts(spark, sf):
+    """The very parts of the greedy partition: in input order each row to the part with the smallest sum."""
+    return B.balance(batches(spark, sf), "batch", "n_chars", 4, False, B.least_loaded).select("batch", "ord", "part")
+
+
 @query("a22_imbalance", f"""
 WITH {BATCHES}, k AS (SELECT b.batch, floor(place * 4 / n) AS block, sum(n_chars) AS s FROM b JOIN n USING (batch) GROUP BY ALL)
 SELECT batch, min(s)::BIGINT AS min_before, max(s)::BIGINT AS max_before, (max(s) - min(s))::BIGINT AS diff_before, true AS better FROM k GROUP BY 1""")

@@ -267,6 +267,23 @@ def f15(spark, sf):
     return responses(spark, sf).select("doc_id", F.inline(F.array(s)))
 
 
+@query("f14_line_answers", """
+SELECT l_orderkey, l_linenumber, l_partkey, CASE k WHEN 0 THEN n WHEN 1 THEN '\\frac{' || left(n, 1) || '}{' || d || '}' WHEN 2 THEN '\\sqrt{' || d || '}' WHEN 3 THEN n ELSE n || '.5' END AS normal
+FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_partkey % 5 AS k, round(l_extendedprice * 100)::BIGINT::VARCHAR AS n, (l_linenumber % 9 + 1)::VARCHAR AS d FROM lineitem)""")
+def f14_lines(spark, sf):
+    """Every line's price in five spellings of a final answer: grouped digits with a unit, short fractions and roots, text, decimals."""
+    n, d, lit = F.round(F.col("l_extendedprice") * 100).cast("long"), (F.col("l_linenumber") % 9 + 1).cast("string"), F.lit
+    s, k = n.cast("string"), F.col("l_partkey") % 5
+    raw = (
+        F.when(k == 0, F.concat(lit("The price is = $"), F.format_number(n, 0), lit("$ dollars")))
+        .when(k == 1, F.concat(lit("x = \\frac"), F.left(s, lit(1)), d))
+        .when(k == 2, F.concat(lit("$\\sqrt"), d, lit("$")))
+        .when(k == 3, F.concat(lit("\\text{"), s, lit("}")))
+        .otherwise(F.concat(lit("y = \\boxed{"), s, lit(".5} units")))
+    )
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", X.normalize_final_answer(raw).alias("normal"))
+
+
 @query("f14_final_answers", "SELECT k, want AS normal FROM (VALUES (0, '\\frac{1}{2}'), (1, '12'), (2, '1234'), (3, '\\sqrt{3}'), (4, 'x+1'), (5, 'five')) v(k, want)")
 def f14(spark, sf):
     rows = [(0, "x = \\frac12"), (1, "\\text{12}"), (2, "1,234 dollars"), (3, "$\\sqrt3$"), (4, "y = x + 1"), (5, "\\boxed{five}")]

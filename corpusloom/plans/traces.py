@@ -10,7 +10,7 @@ from ..functions.fixed import INTERACTION_POLICY, OTHER_POLICY_REASON, RELAY_POL
 from ..operators import protocol as P
 from ..operators import traces as T
 from ..operators.dialogues import wrap
-from .base import Registry, table
+from .base import WS, Registry, table
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -178,8 +178,8 @@ def m1(spark, sf):
 
 # -- protocol examples ---------------------------------------------------------------------------------
 
-#: Documents as problems: question = first line, gold answer = number of characters, solution = second line.
-PROBLEMS = """problems AS (SELECT doc_id AS id, string_split(text, chr(10))[1] AS question, CASE WHEN doc_id % 3 = 0 THEN n_chars::VARCHAR WHEN doc_id % 3 = 1 THEN n_chars::VARCHAR || ',5' ELSE 'x' || n_chars::VARCHAR END AS gold_answer,
+#: Documents as problems: question = whole text, gold answer = number of characters, solution = two lines.
+PROBLEMS = """problems AS (SELECT doc_id AS id, text AS question, CASE WHEN doc_id % 3 = 0 THEN n_chars::VARCHAR WHEN doc_id % 3 = 1 THEN n_chars::VARCHAR || ',5' ELSE 'x' || n_chars::VARCHAR END AS gold_answer,
  'Count the letters.' || chr(10) || 'So \\boxed{' || n_chars::VARCHAR || '}' AS gold_solution FROM documents)"""
 
 
@@ -187,8 +187,7 @@ def problems(spark, sf):
     d = table(spark, sf, "documents")
     n = F.col("n_chars").cast("string")
     gold = F.when(F.col("doc_id") % 3 == 0, n).when(F.col("doc_id") % 3 == 1, F.concat(n, F.lit(",5"))).otherwise(F.concat(F.lit("x"), n))
-    question = F.element_at(F.split("text", "\n"), 1)
-    return d.select(F.col("doc_id").alias("id"), question.alias("question"), gold.alias("gold_answer"), F.concat(F.lit("Count the letters.\nSo \\boxed{"), n, F.lit("}")).alias("gold_solution"))
+    return d.select(F.col("doc_id").alias("id"), F.col("text").alias("question"), gold.alias("gold_answer"), F.concat(F.lit("Count the letters.\nSo \\boxed{"), n, F.lit("}")).alias("gold_solution"))
 
 
 def _wrong(x: str) -> str:
@@ -212,7 +211,7 @@ _ANSWERS = {
     "verify_uncertain": f"'I have a tentative derivation but want an external check before finalizing.{_NL}' || {_VERIFY} || {_TAIL}uncertain{_NL}Issue: The available check is inconclusive.{_NL}Correction: None{_NL}Suggested answer: None{_NL}</TEACHER_REVIEW>{_NL}' || gold_solution",
 }
 EXAMPLES = f"{PROBLEMS}, w AS (SELECT *, {_wrong('gold_answer')} AS wrong FROM problems), examples AS (" + " UNION ALL ".join(
-    f"SELECT id::VARCHAR || '_{name}_{k}' AS id, rtrim(question) || '{_NL}Please reason step by step, and put your final answer within \\boxed{{}}.' AS question, {answer} AS answer, '' AS system, '{name}' AS sample_type, gold_answer FROM w"
+    f"SELECT id::VARCHAR || '_{name}_{k}' AS id, regexp_replace(question, '{WS}+$', '') || '{_NL}Please reason step by step, and put your final answer within \\boxed{{}}.' AS question, {answer} AS answer, '' AS system, '{name}' AS sample_type, gold_answer FROM w"
     for k, (name, answer) in enumerate(_ANSWERS.items())
 ) + ")"
 
@@ -394,6 +393,13 @@ def m11(spark, sf):
     return P.smoke_report(traces(spark, sf).where("collection_mode = 'force_ask_first'"), "ask")
 
 
+@query("m9_conversation_mask", """
+SELECT conv_id, flatten(list(list_transform(range(length(text)), lambda i: (role = 'assistant')::INT) ORDER BY turn)) AS mask FROM conversations GROUP BY 1""")
+def m9_conversations(spark, sf):
+    """Policy masks of whole conversations: characters that the assistant said are 1."""
+    return _conversations(spark, sf).select("conv_id", P.segment_mask(F.col("segments")).alias("mask"))
+
+
 @query("p10_trainable", "SELECT doc_id FROM documents WHERE doc_id % 6 < 4")
 def p10(spark, sf):
     d = table(spark, sf, "documents").withColumn("labels", F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.when(i >= F.col("doc_id") % 6, i).otherwise(-100)))
