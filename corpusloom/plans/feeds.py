@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import threading
+from contextlib import contextmanager
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import iterate as I
 from ..operators.batches import numbered
-from ..scratch import scratch_path
+from ..scratch import scratch_path, stage
 from ..sources import commits, pages
 from ..streaming import ingest as T
 from ..streaming import requests as Q
@@ -148,3 +153,42 @@ def t4_open(spark, sf):
     T.drain_updates(Q.request_totals(stream, late="40 days"), out, state)
     rows = spark.read.parquet(out)
     return rows.groupBy("user_id").agg(F.max_by(F.struct("n_events", "asks", "verifies", "accepts", "invalid_accepts"), "epoch").alias("r")).select("user_id", "r.*")
+
+
+# -- an outside model ----------------------------------------------------------------------------------
+
+
+@query("x8_service_replies", """
+SELECT doc_id, CASE WHEN length(text) % 5 <> 0 THEN length(text)::VARCHAR END AS reply, CASE WHEN length(text) % 5 = 0 THEN 'ValueError: 0 replies to 1 prompts' END AS error FROM documents""")
+def x8(spark, sf):
+    """A model that counts characters, served over HTTP by this process; some batches come back too short."""
+    from ..sources import service
+
+    with stub_service(lambda prompts: [] if len(prompts[0]) % 5 == 0 else [len(p) for p in prompts], spark.conf.get("spark.driver.host")) as url:
+        rows = service.ask_model(table(spark, sf, "documents").select("doc_id", "text"), "text", url, batch=1)
+        return stage(rows.select("doc_id", "reply", "error"), "replies").df
+
+
+@contextmanager
+def stub_service(model, host: str = "127.0.0.1"):
+    """A service on this machine while the block runs; gives its address."""
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            body = json.dumps({"replies": model(asked["prompts"])}).encode()
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer((host, 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        yield f"http://{host}:{server.server_port}/"
+    finally:
+        server.shutdown()
+        server.server_close()

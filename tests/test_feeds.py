@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import iterate as I
 from corpusloom.operators.batches import numbered
+from corpusloom.plans.feeds import stub_service
 from corpusloom.scratch import scratch_path
 from corpusloom.sources import commits, pages
 from corpusloom.streaming import ingest, requests
@@ -222,3 +223,26 @@ def test_iterators_resume_anywhere(spark, monkeypatch):
     plain = got(I.BatchIterator(rows, 5, 1, "x", shuffle=False).take(3))
     assert [r[3] for r in plain] == list(range(15))
     assert I.BatchIterator(rows, 50, 1, "x").take(5).count() == 0
+
+
+def test_replies_or_error_rows(spark):
+    from corpusloom.sources import service
+
+    waits, fails = [], iter([ConnectionError("status 503"), TimeoutError()])
+
+    def flaky(prompts):
+        for e in fails:
+            raise e
+        return [p.upper() for p in prompts]
+
+    assert service.replies(flaky, ["a", "b"], 3, waits.append) == (["A", "B"], [None, None]) and waits == [2, 4]
+    assert service.replies(lambda p: ["x"], ["a", "b"], 3) == ([None, None], ["ValueError: 1 replies to 2 prompts"] * 2)
+    assert service.replies(lambda p: "xy", ["a", "b"], 3)[1][0].startswith("ValueError: no replies")
+    assert service.replies(lambda p: ["x", None], ["a", "b"], 3) == (["x", None], [None, "empty reply"])
+    rows = spark.createDataFrame([(k, None if k == 3 else f"p{k}", 1) for k in range(10)], "id int, prompt string, n int").coalesce(1)
+    with stub_service(lambda prompts: [] if "p5" in prompts else [p + "!" for p in prompts]) as url:
+        got = {r.id: (r.reply, r.error) for r in service.ask_model(rows, "prompt", url, batch=4).collect()}
+    assert got[3] == (None, None) and got[0] == ("p0!", None) and got[9] == ("p9!", None)
+    assert {k for k, (_, e) in got.items() if e} == {5, 6, 7, 8} and got[5][1] == "ValueError: 0 replies to 4 prompts"
+    got = service.ask_model(rows.where("id = 1"), "prompt", url, tries=2, wait=0).first()  # the service is gone
+    assert got.reply is None and got.error.startswith("ConnectionError")
