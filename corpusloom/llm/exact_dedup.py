@@ -18,7 +18,6 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .common import ascii_lower, shared_root, stage, table
 
@@ -79,8 +78,8 @@ def exact_groups(docs: DataFrame, keep: str = "largest", memtables: int = 4, dig
         rows = rows.withColumn("sha", F.unhex(F.sha2("norm", 256)))
         return rows.withColumn("digest", F.substring("sha", 1, digest_bytes))
 
-    copies = F.row_number().over(W.partitionBy("doc_id", "sha").orderBy(F.lit(1)))
-    base = stage(entries(texts).drop("norm").withColumn("copy", copies), "digests").df
+    base = entries(texts).drop("norm").withColumn("rid", F.monotonically_increasing_id())
+    base = _numbered(stage(base, "digests").df, "sha")
 
     index = DigestIndex(spark, keep)
     index.flush(base.select("doc_id", "digest"), memtables)
@@ -101,14 +100,29 @@ def exact_groups(docs: DataFrame, keep: str = "largest", memtables: int = 4, dig
 
     mixed = groups.where("variants > 1").select("digest")
     if not mixed.isEmpty():  # different texts with one digest: these rows meet by their bytes
-        own = stage(entries(texts).join(mixed, "digest", "left_semi"), "collided").df
+        own = entries(texts).join(mixed, "digest", "left_semi").withColumn("rid", F.monotonically_increasing_id())
+        own = stage(own, "collided").df
         by_text = own.groupBy("norm").agg(_best("doc_id", keep), F.count("*").alias("size"))
-        own = own.withColumn("copy", F.row_number().over(W.partitionBy("doc_id", "norm").orderBy(F.lit(1))))
+        own = _numbered(own, "norm")
         rest = base.join(mixed, "digest", "left_anti").join(plain, "digest", "left")
         out = _result(rest).unionByName(_result(own.join(by_text, "norm")))
     return out
 
 
+def _numbered(rows: DataFrame, text: str) -> DataFrame:
+    """rows with copy: 1 for one of the rows with one doc_id and text (the smallest rid), 2 for the others. rows: staged, with rid.
+
+    Repeated rows meet one row a group that map-side combine has made; adaptive execution may split such a join.
+    """
+    twice = rows.groupBy("doc_id", text).agg(F.min("rid").alias("first"), F.count("*").alias("times")).where("times > 1")
+    twice = stage(twice.select(F.col("doc_id").alias("same_id"), F.col(text).alias("same"), "first"), "repeated").df
+    if twice.isEmpty():
+        return rows.withColumn("copy", F.lit(1)).drop("rid")
+    out = rows.join(twice, rows["doc_id"].eqNullSafe(twice["same_id"]) & (rows[text] == twice["same"]), "left")
+    copy = F.when(F.col("first").isNull() | (F.col("first") == F.col("rid")), 1).otherwise(2)
+    return stage(out.withColumn("copy", copy).drop("rid", "same_id", "same", "first"), "digests").df
+
+
 def _best(c: str, keep: str):
     return (F.max(c) if keep == "largest" else F.min(c)).alias("best")
 
