@@ -6,7 +6,8 @@ An item has at least k documents at the kth impact of any one of its terms, so t
 threshold. Its terms in rising order of largest impact: as long as their sum stays under the threshold, no document
 with only those can rank, so they lead to no candidates. The join of the other terms with the index generates
 candidates; those whose sum so far plus what the left-out terms can add at most stays under the threshold go;
-all others are rescored exactly over all terms. Tasks keep the k best of each item, and thresholds rise with them.
+all others are rescored exactly over all terms. Tasks keep the k best of each item; thresholds rise with them, and
+fewer terms lead to candidates as they do.
 
 The items are the stated query set: they go out in blocks, one round of passes over the documents each. Impacts are
 64-bit integers; no posting is shuffled, only sums by term and the k best of an item and task.
@@ -37,7 +38,7 @@ TOP = 50
 BLOCK_BYTES = 8 << 20
 PORTION = 8 << 20
 #: Postings or (document, item) pairs that a task holds at once, about.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 class Items:
@@ -175,48 +176,52 @@ def _impacts(docs: int, length: int, k: int) -> Callable:
 
 
 class Plan:
-    """Thresholds, leading terms and bounds of a block's items, from the terms' weights and stored impacts."""
+    """Thresholds and bounds of a block's items, from the terms' weights and stored impacts."""
 
     def __init__(self, items: Items, weight: np.ndarray, largest: np.ndarray, kth: np.ndarray):
-        self.weight, self.terms = weight, items.terms
+        self.weight, self.items = weight, len(items.terms)
         upper, seed = weight * largest, weight * kth
-        self.threshold = np.array([int(seed[t].max()) for t in items.terms], np.int64)
-        self.rest = np.zeros(len(items.terms), np.int64)  # what the terms that do not lead can add at most
-        lead_terms, lead_items = [], []
-        for i, t in enumerate(items.terms):
-            order = t[np.argsort(upper[t], kind="stable")]
-            sums = np.cumsum(upper[order])
-            idle = int(np.searchsorted(sums, self.threshold[i]))  # their sum stays under the threshold
-            self.rest[i] = sums[idle - 1] if idle else 0
-            lead_terms.append(order[idle:])
-            lead_items.append(np.full(len(order) - idle, i))
-        lead = np.concatenate([np.zeros(0, np.int64), *lead_terms])
-        order = np.argsort(lead, kind="stable")
-        self.led = np.concatenate([np.zeros(0, np.int64), *lead_items])[order]
-        self.first = np.searchsorted(lead[order], np.arange(len(weight) + 1))
-        self.every = np.concatenate([np.zeros(0, np.int64), *items.terms])
+        self.threshold = np.array([max(1, int(seed[t].max())) for t in items.terms], np.int64)
         self.of = np.cumsum([0, *map(len, items.terms)])
+        every = np.concatenate([np.zeros(0, np.int64), *items.terms])
+        self.item = np.repeat(np.arange(self.items), np.diff(self.of))
+        self.every = every[np.lexsort((every, upper[every], self.item))]  # each item's terms in rising order of what they can add
+        total = np.cumsum(upper[self.every])
+        self.sums = total - (total[self.of[:-1]] - upper[self.every][self.of[:-1]])[self.item] if len(every) else total
+        self.by_term = np.argsort(self.every, kind="stable")
+
+    def lead(self, threshold: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first, items, rest): the items that each term leads to, and what an item's other terms can add at most.
+
+        The first terms of an item, as long as their sum stays under its threshold, lead nowhere.
+        """
+        idle = self.sums < threshold[self.item]
+        rest = np.zeros(self.items, np.int64)
+        np.maximum.at(rest, self.item[idle], self.sums[idle])
+        leading = self.by_term[~idle[self.by_term]]
+        return np.searchsorted(self.every[leading], np.arange(len(self.weight) + 1)), self.item[leading], rest
 
 
 def candidates(plan: Plan, threshold: np.ndarray, row: np.ndarray, who: np.ndarray, impact: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, item) pairs that may reach the item's threshold."""
-    lo, hi = plan.first[who], plan.first[who + 1]
+    first, led, rest = plan.lead(threshold)
+    lo, hi = first[who], first[who + 1]
     pairs = hi - lo
-    rows, items, sums = [], [], []
+    rows, items = [], []
     cuts = np.searchsorted(row, np.arange(0, row[-1] + 2)) if len(row) else np.zeros(1, np.int64)  # postings of each row
     ends = np.cumsum(np.append(0, pairs))[cuts]
     part = (ends[1:] - 1) // CHUNK if len(ends) > 1 else np.zeros(0, np.int64)
     for k in np.unique(part):
         rs = np.flatnonzero(part == k)
         a, b = cuts[rs[0]], cuts[rs[-1] + 1]
-        key = np.repeat(row[a:b], pairs[a:b]) * len(plan.terms) + plan.led[expand(lo[a:b], hi[a:b])]
+        key = np.repeat(row[a:b], pairs[a:b]) * plan.items + led[expand(lo[a:b], hi[a:b])]
         order = np.argsort(key, kind="stable")
         key, add = key[order], np.repeat(impact[a:b], pairs[a:b])[order]
         at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
         if not len(at):
             continue
-        r, i, s = key[at] // len(plan.terms), key[at] % len(plan.terms), np.add.reduceat(add, at)
-        may = s + plan.rest[i] >= threshold[i]
+        r, i, s = key[at] // plan.items, key[at] % plan.items, np.add.reduceat(add, at)
+        may = s + rest[i] >= threshold[i]
         rows.append(r[may])
         items.append(i[may])
     none = np.zeros(0, np.int64)
@@ -239,7 +244,7 @@ def rescored(plan: Plan, rows: np.ndarray, items: np.ndarray, row: np.ndarray, w
 
 def _search(plan: Plan, docs: int, length: int, k: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        threshold = np.maximum(plan.threshold, 1)
+        threshold = plan.threshold.copy()
         held = [np.zeros(0, np.int64)] * 4  # item, score, null doc_id, doc_id
         for b in batches:
             for doc, none, n, row, who, times in _postings(b):

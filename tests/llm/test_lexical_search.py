@@ -110,6 +110,10 @@ def test_pieces(monkeypatch):
         assert {(a, b) for a, b in np.argwhere(scores >= np.maximum(plan.threshold, 1)).tolist()} <= found
         assert len(found) < 0.9 * (scores > 0).sum()
         assert L.rescored(plan, r, i, row, who, impact).tolist() == scores[r, i].tolist()
+        high = np.sort(scores, axis=0)[-5]  # the true fifth score of each item
+        r, i = L.candidates(plan, np.maximum(high, 1), row, who, impact)
+        assert {(a, b) for a, b in np.argwhere(scores >= np.maximum(high, 1)).tolist()} <= set(zip(r.tolist(), i.tolist()))
+        assert len(r) < len(found)
 
 
 def test_awkward_documents(spark):
