@@ -21,14 +21,20 @@ UNION ALL SELECT 10000000 + item_id, 'leak', text, {norm_sql("text")} FROM bench
 
 def heldout(spark, sf):
     b = table(spark, sf, "benchmark")
-    return b.select(F.concat(F.lit("bench_"), (F.col("item_id") % 7).cast("string")).alias("source"), "text", X.normalize_question(F.col("text")).alias("norm"))
+    own = b.select(F.concat(F.lit("bench_"), (F.col("item_id") % 7).cast("string")).alias("source"), "text", X.normalize_question(F.col("text")).alias("norm"))
+    return own.withColumn("key", F.sha2("norm", 256))
 
 
 def records(spark, sf):
-    """Staged, so that texts are normalised once."""
+    """Staged, so that texts are normalised once. key: the normal form's digest, which joins and groups carry in its place."""
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source", "text")
     leak = table(spark, sf, "benchmark").where("item_id % 5 = 0").select((F.col("item_id") + 10000000).alias("id"), F.lit("leak").alias("source"), "text")
-    return stage(docs.unionByName(leak).select("id", "source", X.normalize_question(F.col("text")).alias("norm")), "records").df
+    rows = docs.unionByName(leak).select("id", "source", X.normalize_question(F.col("text")).alias("norm"))
+    return stage(rows.select("*", F.sha2("norm", 256).alias("key"), (F.col("norm") == "").alias("blank")), "records").df
+
+
+def keyed(spark, sf):
+    return records(spark, sf).drop("norm"), heldout(spark, sf).select("source", "key")
 
 
 SLICE = f"""
@@ -40,9 +46,9 @@ o AS (SELECT id, source, row_number() OVER (ORDER BY sha256('42:' || id::VARCHAR
 
 
 def _slice(spark, sf):
-    rows = C.exact_contamination(records(spark, sf), heldout(spark, sf))
-    clean = rows.where(F.col("heldout_sources").isNull() & (F.col("norm") != ""))
-    return rows, C.first_of_duplicates(clean)
+    rows = C.exact_contamination(*keyed(spark, sf), "key")
+    clean = rows.where(F.col("heldout_sources").isNull() & ~F.col("blank"))
+    return rows, C.first_of_duplicates(clean, "key")
 
 
 @query("curation_slice", SLICE + "SELECT id, source, CASE WHEN k <= 400 THEN 'train' ELSE 'validation' END AS split FROM o WHERE k <= 500")
@@ -60,7 +66,7 @@ SELECT reason, count(*) AS n FROM (
 def curation_rejects(spark, sf):
     """U1, A4: union of the reject streams, counted by reason."""
     rows, kept = _slice(spark, sf)
-    empty = rows.where("norm = '' AND heldout_sources IS NULL").select("id", F.lit("empty_question").alias("reason"))
+    empty = rows.where("blank AND heldout_sources IS NULL").select("id", F.lit("empty_question").alias("reason"))
     exact = rows.where("heldout_sources IS NOT NULL").select("id", F.lit("exact_match").alias("reason"), "heldout_sources")
     twice = kept.where("duplicate_of IS NOT NULL").select("id", F.lit("internal_normalized_duplicate").alias("reason"), "duplicate_of")
     every = empty.unionByName(exact, allowMissingColumns=True).unionByName(twice, allowMissingColumns=True)
@@ -71,14 +77,14 @@ def curation_rejects(spark, sf):
 WITH h AS ({BENCH}), r AS ({RECORDS})
 SELECT r.id, list_sort(list(DISTINCT h.source)) AS heldout_sources FROM r JOIN h USING (norm) GROUP BY r.id""")
 def j1(spark, sf):
-    return C.exact_contamination(records(spark, sf), heldout(spark, sf)).where("heldout_sources IS NOT NULL").select("id", "heldout_sources")
+    return C.exact_contamination(*keyed(spark, sf), "key").where("heldout_sources IS NOT NULL").select("id", "heldout_sources")
 
 
 @query("j3_internal_duplicates", f"""
 WITH r AS ({RECORDS}), f AS (SELECT id, first_value(id::VARCHAR) OVER (PARTITION BY norm ORDER BY id::VARCHAR) AS first_id FROM r)
 SELECT id, first_id AS duplicate_of FROM f WHERE id::VARCHAR <> first_id""")
 def j3(spark, sf):
-    return C.first_of_duplicates(records(spark, sf)).where("duplicate_of IS NOT NULL").select("id", "duplicate_of")
+    return C.first_of_duplicates(records(spark, sf).drop("norm"), "key").where("duplicate_of IS NOT NULL").select("id", "duplicate_of")
 
 
 GRAMS = f"""
