@@ -107,3 +107,46 @@ def broken_rules(rules: dict):
 
     names = [F.when(~F.coalesce(test, F.lit(False)), F.lit(name)) for name, test in rules.items()]
     return F.filter(F.array(*names), lambda x: x.isNotNull())
+
+
+def flat_columns(rows):
+    """rows with every field of nested structs as a column named by its dotted path."""
+    from pyspark.sql import functions as F
+    from pyspark.sql.types import StructType
+
+    def fields(kind: StructType, path: tuple):
+        for f in kind.fields:
+            if isinstance(f.dataType, StructType) and f.dataType.fields:
+                yield from fields(f.dataType, (*path, f.name))
+            else:
+                yield (*path, f.name)
+
+    def column(path: tuple):
+        out = F.col(f"`{path[0]}`")
+        for name in path[1:]:
+            out = out.getField(name)
+        return out.alias(".".join(path))
+
+    return rows.select(*[column(p) for p in fields(rows.schema, ())])
+
+
+def nested_columns(rows):
+    """rows with columns of dotted names as nested structs; a name that is also the beginning of another is an error."""
+    from pyspark.sql import functions as F
+
+    tree: dict = {}
+    for name in rows.columns:
+        *path, last = name.split(".")
+        at = tree
+        for p in path:
+            at = at.setdefault(p, {})
+            if not isinstance(at, dict):
+                raise ValueError(f"{name} begins with another column's name")
+        if last in at:
+            raise ValueError(f"{name} is the beginning of another column's name")
+        at[last] = f"`{name}`"
+
+    def column(value, name: str):
+        return (F.struct(*[column(v, k) for k, v in value.items()]) if isinstance(value, dict) else F.col(value)).alias(name)
+
+    return rows.select(*[column(v, k) for k, v in tree.items()])

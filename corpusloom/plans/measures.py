@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import config as G
 from ..functions import equivalence as E
 from ..functions import text as X
 from ..functions import tokens as K
@@ -86,6 +87,23 @@ def p10(spark, sf):
     return P.trainable_after_cut(rows, "labels", 64).select("conv_id")
 
 
+@query("p20_split_words")
+def p20(spark, sf):
+    """Languages, sources and kinds of events that the tokenizer does not know as one id of their own."""
+    d, e = table(spark, sf, "documents"), table(spark, sf, "events")
+    words = d.select(F.col("lang").alias("token")).union(d.select("source")).union(e.select("event_type")).where("token IS NOT NULL").distinct()
+    return P.split_tokens(words.select("token", K.tokens(F.col("token"))["ids"].alias("ids")), -1)
+
+
+@query("f35_flat_orders", """
+SELECT o_orderkey AS id, o_custkey AS "customer.key", o_orderstatus AS "state.now", o_totalprice AS "state.sums.price" FROM orders""")
+def f35(spark, sf):
+    """Nested rows as dotted columns, and back, and again."""
+    o = table(spark, sf, "orders")
+    nested = o.select(F.col("o_orderkey").alias("id"), F.struct(F.col("o_custkey").alias("key")).alias("customer"), F.struct(F.col("o_orderstatus").alias("now"), F.struct(F.col("o_totalprice").alias("price")).alias("sums")).alias("state"))
+    return G.flat_columns(G.nested_columns(G.flat_columns(nested)))
+
+
 LINES = "l AS (SELECT l_returnflag AS key, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount) - 1 AS place, l_quantity::DOUBLE AS reward, l_discount::DOUBLE AS value, (l_linenumber < 4)::INT AS mask FROM lineitem)"
 FAR = 160
 

@@ -112,3 +112,15 @@ def test_barrier_whitening(spark, keep):
         assert (w is None) == (v is None)
         for x, y in zip(v or [], w or []):
             assert y == (None if x is None else pytest.approx((x - flat.mean()) / np.sqrt(flat.var(ddof=1) + 1e-8)))
+
+
+def test_nested_and_flat_columns(spark):
+    from corpusloom.functions import config as G
+
+    rows = spark.createDataFrame([(1, 2, "x"), (None, None, None)], "`a.b` int, `a.c.d` int, e string")
+    nested = G.nested_columns(rows)
+    assert nested.columns == ["a", "e"] and nested.first().a.c.d == 2
+    assert G.flat_columns(nested).columns == rows.columns and G.flat_columns(nested).collect() == rows.collect()
+    for names in ("a int, `a.b` int", "`a.b` int, a int"):
+        with pytest.raises(ValueError, match="name"):
+            G.nested_columns(spark.createDataFrame([], names))
