@@ -101,7 +101,7 @@ def shared_slots(a: Column, b: Column) -> Column:
     return F.array_sort(F.array_intersect(a, b))
 
 
-def broken_rules(rules: dict):
+def row_faults(rules: dict):
     """Names of the rules (columns of booleans) that a row breaks, in the rules' order; a null is no fulfilment."""
     from pyspark.sql import functions as F
 

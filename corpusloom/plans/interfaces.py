@@ -241,7 +241,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, list_filter([CASE WHEN l_discount >
 def p19_lines(spark, sf):
     """Every line item with the names of the rules that it breaks."""
     rules = {"discount": F.col("l_discount") <= 0.05, "quantity": F.col("l_quantity").between(10, 40), "tax": F.col("l_tax") != 0}
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", G.broken_rules(rules).alias("broken"))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", G.row_faults(rules).alias("broken"))
 
 
 @query("k11_x6_metrics", "SELECT step::BIGINT AS step, key, value::DOUBLE AS value FROM (VALUES (1, 'loss', 0.5), (1, 'reward', 2), (2, 'loss', 0.25)) v(step, key, value)")

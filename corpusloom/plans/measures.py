@@ -96,12 +96,13 @@ def p20(spark, sf):
 
 
 @query("f35_flat_orders", """
-SELECT o_orderkey AS id, o_custkey AS "customer.key", o_orderstatus AS "state.now", o_totalprice AS "state.sums.price" FROM orders""")
+SELECT o_orderkey AS id, o_custkey AS customer__key, o_orderstatus AS state__now, o_totalprice AS state__sums__price FROM orders""")
 def f35(spark, sf):
     """Nested rows as dotted columns, and back, and again."""
     o = table(spark, sf, "orders")
     nested = o.select(F.col("o_orderkey").alias("id"), F.struct(F.col("o_custkey").alias("key")).alias("customer"), F.struct(F.col("o_orderstatus").alias("now"), F.struct(F.col("o_totalprice").alias("price")).alias("sums")).alias("state"))
-    return G.flat_columns(G.nested_columns(G.flat_columns(nested)))
+    flat = G.flat_columns(G.nested_columns(G.flat_columns(nested)))
+    return flat.toDF(*[c.replace(".", "__") for c in flat.columns])
 
 
 LINES = "l AS (SELECT l_returnflag AS key, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount) - 1 AS place, l_quantity::DOUBLE AS reward, l_discount::DOUBLE AS value, (l_linenumber < 4)::INT AS mask FROM lineitem)"
