@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -182,23 +183,59 @@ def reason_counts(rejects: DataFrame) -> DataFrame:
 
 
 def snapshot(heldout: DataFrame) -> DataFrame:
-    """Per source: number of questions, of distinct normalised ones, and SHA-256 over the sorted distinct ones.
+    """Per source: number of questions, of distinct normalised ones, and SHA-256 over the sorted distinct ones, by lines.
 
-    A held-out source is a benchmark of some thousand questions; its set is one value. Empty ones do not count.
+    Empty ones do not count. A source's texts stream through the hash in their order; none of it is gathered.
     """
-    named = F.when(F.col("norm") != "", F.col("norm"))
-    return heldout.groupBy("source").agg(
-        F.count("*").alias("questions"),
-        F.count_distinct(named).alias("unique_questions"),
-        F.sha2(F.array_join(F.array_sort(F.collect_set(named)), "\n"), 256).alias("sha256"),
-    )
+
+    def digests(batches):
+        now, n, h = None, 0, None
+        for b in batches:
+            for source, text in zip(b.column("source").to_pylist(), b.column("norm").to_pylist()):
+                if h is None or source != now:
+                    if h is not None:
+                        yield _one(source=[now], unique_questions=[n], sha256=[h.hexdigest()])
+                    now, n, h = source, 0, hashlib.sha256()
+                h.update((b"\n" if n else b"") + text.encode())
+                n += 1
+        if h is not None:
+            yield _one(source=[now], unique_questions=[n], sha256=[h.hexdigest()])
+
+    distinct = heldout.where("norm <> ''").select("source", "norm").distinct()
+    own = distinct.repartition("source").sortWithinPartitions("source", "norm").mapInArrow(digests, "source string, unique_questions long, sha256 string")
+    own = own.withColumnRenamed("source", "of")
+    counts = heldout.groupBy("source").agg(F.count("*").alias("questions"))
+    out = counts.join(own, counts["source"].eqNullSafe(own["of"]), "left")
+    nothing = F.lit(hashlib.sha256().hexdigest())
+    return out.select("source", "questions", F.coalesce("unique_questions", F.lit(0)).cast("long").alias("unique_questions"), F.coalesce("sha256", nothing).alias("sha256"))
 
 
 def combined_hash(heldout: DataFrame) -> DataFrame:
-    """One row: SHA-256 over the JSON text {source: [sorted distinct normalised questions]} of all sources."""
+    """One row: SHA-256 over the JSON text {source: [sorted distinct normalised questions]} of all sources.
+
+    One hash over all texts is one stream by its nature: they pass it sorted, by lists of an Arrow batch.
+    """
     quoted = lambda x: F.regexp_extract(F.to_json(F.array(x)), r"(?s)^\[(.*)\]$", 1)
+
+    def digest(batches):
+        h, now, n = hashlib.sha256(b"{"), None, -1
+        for b in batches:
+            for source, text in zip(b.column("source").to_pylist(), b.column("norm").to_pylist()):
+                if n < 0 or source != now:
+                    h.update((b"" if n < 0 else b"], ") + source.encode() + b": [")
+                    now, n = source, 0
+                if text is not None:
+                    h.update((b", " if n else b"") + text.encode())
+                    n += 1
+        h.update(b"]}" if n >= 0 else b"}")
+        yield _one(combined=[h.hexdigest()])
+
     named = F.when(F.col("norm") != "", F.col("norm"))
-    one = heldout.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_set(named)), quoted), ", ").alias("own"))
-    one = one.select(F.struct("source", F.concat(quoted(F.col("source")), F.lit(": ["), "own", F.lit("]")).alias("text")).alias("s"))
-    every = F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["text"]), ", ")
-    return one.agg(F.sha2(F.concat(F.lit("{"), every, F.lit("}")), 256).alias("combined"))
+    rows = heldout.select("source", named.alias("norm")).distinct().repartition(1).sortWithinPartitions("source", "norm")
+    rows = rows.select(quoted(F.col("source")).alias("source"), F.when(F.col("norm").isNotNull(), quoted(F.col("norm"))).alias("norm"))
+    return rows.mapInArrow(digest, "combined string").agg(F.coalesce(F.max("combined"), F.lit(hashlib.sha256(b"{}").hexdigest())).alias("combined"))
+
+
+def _one(**columns: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict(columns)
+

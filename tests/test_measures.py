@@ -124,3 +124,23 @@ def test_nested_and_flat_columns(spark):
     for names in ("a int, `a.b` int", "`a.b` int, a int"):
         with pytest.raises(ValueError, match="name"):
             G.nested_columns(spark.createDataFrame([], names))
+
+
+def test_snapshots_stream(spark):
+    import hashlib
+    import json
+
+    from corpusloom.operators import curation
+
+    rng = random.Random(6)
+    data = [(f"s{k % 3}", rng.choice(["a", 'b "q"', "é\n", "漢", "", "z" * 9, f"t{k}"])) for k in range(60)] + [("only empty", "")]
+    rows = spark.createDataFrame(data, "source string, norm string").repartition(3)
+    sets = {}
+    for s, t in data:
+        sets.setdefault(s, set()).update({t} - {""})
+    got = {r.source: (r.questions, r.unique_questions, r.sha256) for r in curation.snapshot(rows).collect()}
+    order = lambda x: sorted(x, key=lambda t: t.encode())
+    assert got == {s: (sum(a == s for a, _ in data), len(t), hashlib.sha256("\n".join(order(t)).encode()).hexdigest()) for s, t in sets.items()}
+    text = json.dumps({s: order(sets[s]) for s in sorted(sets)}, ensure_ascii=False)
+    assert curation.combined_hash(rows).first().combined == hashlib.sha256(text.encode()).hexdigest()
+    assert curation.combined_hash(rows.limit(0)).first().combined == hashlib.sha256(b"{}").hexdigest()
