@@ -20,6 +20,7 @@ from pyspark.sql.types import BooleanType
 
 #: Characters of an answer, digits of a number, size of an exponent, terms of a polynomial.
 LIMITS = {"text": 1000, "digits": 60, "power": 40, "terms": 400}
+LARGEST = 10 ** (LIMITS["power"] * LIMITS["digits"])  # of a coefficient's two parts
 
 TOKEN = re.compile(r"\s*(\d{1,3}(?:,\d{3})+(?:\.\d+)?(?![\d])|\d+\.\d+|\.\d+|\d+\.?|\\[a-zA-Z]+|\\[{}%]|[a-zA-Z]|.)", re.S)
 DROPPED = re.compile(r"\\left|\\right|\\[,;:! ]|\\text\s*\{[^{}]*\}|\\mathrm\s*\{[^{}]*\}|\^\s*\{?\s*\\circ\s*\}?|\$|\\displaystyle|\\ ")
@@ -74,7 +75,7 @@ def times(x: dict, y: dict) -> dict:
             f, m = _monomial(a, b)
             out[m] = out.get(m, Fraction(0)) + f * c * d
     out = {m: c for m, c in out.items() if c}
-    if len(out) > LIMITS["terms"] or any(max(abs(c.numerator), c.denominator) > 10 ** (40 * LIMITS["digits"]) for c in out.values()):
+    if len(out) > LIMITS["terms"] or any(max(abs(c.numerator), c.denominator) > LARGEST for c in out.values()):
         raise Unreadable
     return out
 
