@@ -16,7 +16,7 @@ from ..scratch import scratch_path
 from ..sources import pages as P
 from ..sources import readers as S
 from ..sources import sinks as K
-from .base import Registry, table, trim_sql
+from .base import Registry, rounded, table, trim_sql
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -230,7 +230,7 @@ def k3(spark, sf):
 def k11_events(spark, sf):
     """Count and mean value of every kind of event, logged as a step each."""
     path = scratch_path(spark, "metrics")
-    kinds = table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("v")).orderBy("event_type")
+    kinds = table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), rounded(F.avg("value")).alias("v")).orderBy("event_type")
     for step, r in enumerate(kinds.collect(), 1):  # kinds are few
         K.LOGGERS["parquet"](spark, step, {"count": r.n, "mean": r.v}, path)
     return spark.read.parquet(path)

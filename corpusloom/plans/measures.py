@@ -12,7 +12,7 @@ from ..operators import gather, scans
 from ..operators import protocol as P
 from ..operators.batches import numbered
 from . import traces
-from .base import Registry, table
+from .base import Registry, rounded, table
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -124,7 +124,7 @@ w AS (SELECT key, place, list(d) OVER (PARTITION BY key ORDER BY place ROWS BETW
 SELECT key, place, round(list_sum(list_transform(ds, lambda x, i: x * pow(0.72, i - 1))), 6) AS advantage FROM w""")
 def w9(spark, sf):
     """gamma 0.9, lambda 0.8: what lies over {FAR} steps away counts under 1e-22, so that a window is the oracle."""
-    return scans.gae(_sequences(spark, sf), 0.9, 0.8, block=1 << 12).select("key", "place", F.round("y", 6).alias("advantage"))
+    return scans.gae(_sequences(spark, sf), 0.9, 0.8, block=1 << 12).select("key", "place", rounded(F.col("y")).alias("advantage"))
 
 
 @query("w10_long_sequences", f"""
@@ -132,7 +132,7 @@ WITH {LINES}, w AS (SELECT key, place, list({{'r': reward, 'm': mask}}) OVER (PA
 c AS (SELECT key, place, list_transform(xs, lambda x: x.r) AS rs, coalesce(list_position(list_transform(xs[2:], lambda x: x.m), 0), {FAR + 1}) AS cut FROM w)
 SELECT key, place, round(list_sum(list_transform(rs[:cut], lambda x, i: x * pow(0.8, i - 1))), 6) AS y FROM c""")
 def w10(spark, sf):
-    return scans.discounted_returns(_sequences(spark, sf), 0.8, block=1 << 12).select("key", "place", F.round("y", 6).alias("y"))
+    return scans.discounted_returns(_sequences(spark, sf), 0.8, block=1 << 12).select("key", "place", rounded(F.col("y")).alias("y"))
 
 
 @query("u17_a20_barrier_whitening", """
@@ -141,4 +141,4 @@ SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS ord, list_transform(em
 def u17(spark, sf):
     """Places and whitened components of all vectors by one barrier stage: counts and moments go from task to task."""
     out = gather.whitened(table(spark, sf, "embeddings"), "vec_id", "embedding")
-    return out.select("vec_id", "ord", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
+    return out.select("vec_id", "ord", F.transform("embedding", lambda x: rounded(x)).alias("embedding"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import rewards as R
 from ..operators import rollouts as O
+from . import base
 from .base import Registry, table
 
 query = Registry()
@@ -27,7 +28,7 @@ def emb(spark, sf):
 
 
 def rounded(x, n=6):
-    return F.transform(x, lambda t: F.round(t, n))
+    return F.transform(x, lambda t: base.rounded(t, n))
 
 
 @query("w6_grpo", f"WITH {EMB} SELECT vec_id, (score - avg(score) OVER g) / (stddev_samp(score) OVER g + 1e-6) AS advantage FROM e WINDOW g AS (PARTITION BY uid)")
@@ -92,7 +93,7 @@ def f29(spark, sf):
 @query("a20_masked_moments", f"WITH {TOK} SELECT uid, sum(m)::DOUBLE AS n, round(avg(v) FILTER (m = 1), 9) AS mean, round(var_samp(v) FILTER (m = 1), 9) AS var FROM k GROUP BY 1")
 def a20(spark, sf):
     out = O.masked_moments(emb(spark, sf), "v", "m", ["uid"])
-    return out.withColumns({c: F.round(c, 9) for c in ("mean", "var")})
+    return out.withColumns({c: base.rounded(F.col(c), 9) for c in ("mean", "var")})
 
 
 @query("a20_whiten", f"""
@@ -123,7 +124,7 @@ def a15(spark, sf):
 
 @query("a15_explained_variance", f"WITH {TOK} SELECT round(1 - var_samp(v - w) / (var_samp(v) + 1e-5), 9) AS explained_variance FROM k WHERE m = 1")
 def a15_ev(spark, sf):
-    return O.explained_variance(emb(spark, sf), "v", "w", "m").select(F.round("explained_variance", 9).alias("explained_variance"))
+    return O.explained_variance(emb(spark, sf), "v", "w", "m").select(base.rounded(F.col("explained_variance"), 9).alias("explained_variance"))
 
 
 @query("a13_metric_means", "SELECT event_type AS key, avg(value) AS mean FROM events GROUP BY 1")
@@ -204,7 +205,7 @@ WITH {TOK} SELECT vec_id, round(0.2 * exp(sum(ln(1 + greatest(-0.2, least(0.2, a
 def f34(spark, sf):
     seen = F.transform("v", lambda t: F.abs(t))
     c = O.adaptive_kl(seen, 0.2, 0.1, 100.0, F.transform("v", lambda t: F.lit(8)))
-    return emb(spark, sf).select("vec_id", F.round(c, 6).alias("coefficient"))
+    return emb(spark, sf).select("vec_id", base.rounded(c, 6).alias("coefficient"))
 
 
 # -- rewards over texts --------------------------------------------------------------------------------

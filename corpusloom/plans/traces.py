@@ -10,7 +10,7 @@ from ..functions.fixed import INTERACTION_POLICY, OTHER_POLICY_REASON, RELAY_POL
 from ..operators import protocol as P
 from ..operators import traces as T
 from ..operators.dialogues import wrap
-from .base import WS, Registry, table
+from .base import Registry, WS, rounded, table
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -124,7 +124,7 @@ SELECT m.collection_mode, count(*) AS paired_examples, round(avg(m.s - i.s), 9)
 FROM b m JOIN b i ON m.question = i.question AND m.sample_index = i.sample_index AND i.collection_mode = 'independent' AND m.collection_mode <> 'independent' GROUP BY 1""")
 def j4(spark, sf):
     out = T.paired_comparison(traces(spark, sf))
-    return out.withColumns({c: F.round(c, 9) for c in ("mean_score_delta", "mean_utility_delta")})
+    return out.withColumns({c: rounded(F.col(c), 9) for c in ("mean_score_delta", "mean_utility_delta")})
 
 
 UTILITY = "coalesce(score, 0.0)::DOUBLE - 0.15 * (teacher_tokens_used / 192.0) - 0.1 * invalid_accept_count - 0.05 * denied_action_count"

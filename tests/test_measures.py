@@ -144,3 +144,13 @@ def test_snapshots_stream(spark):
     text = json.dumps({s: order(sets[s]) for s in sorted(sets)}, ensure_ascii=False)
     assert curation.combined_hash(rows).first().combined == hashlib.sha256(text.encode()).hexdigest()
     assert curation.combined_hash(rows.limit(0)).first().combined == hashlib.sha256(b"{}").hexdigest()
+
+
+def test_rounding_keeps_the_sign_of_zero(spark):
+    """As SQL's round: -0.0000001 is -0.0 at six digits, alone and in the arrays of recurrences and whitening."""
+    from corpusloom.plans.base import rounded
+    from corpusloom.plans.rollouts import rounded as every
+
+    values = [-1e-7, 1e-7, -0.0, 0.0, -2e-6, None, 0.1234567]
+    r = spark.createDataFrame([(values, -4e-7)], "v array<double>, x double").select(every("v").alias("v"), rounded(F.col("x")).alias("x")).first()
+    assert list(map(repr, r.v)) == ["-0.0", "0.0", "-0.0", "0.0", "-2e-06", "None", "0.123457"] and repr(r.x) == "-0.0"
