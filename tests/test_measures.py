@@ -154,3 +154,10 @@ def test_rounding_keeps_the_sign_of_zero(spark):
     values = [-1e-7, 1e-7, -0.0, 0.0, -2e-6, None, 0.1234567]
     r = spark.createDataFrame([(values, -4e-7)], "v array<double>, x double").select(every("v").alias("v"), rounded(F.col("x")).alias("x")).first()
     assert list(map(repr, r.v)) == ["-0.0", "0.0", "-0.0", "0.0", "-2e-06", "None", "0.123457"] and repr(r.x) == "-0.0"
+
+
+def test_whitening_rounds_to_the_zero_that_sql_gives(spark):
+    from corpusloom.plans.rollouts import rounded as every
+
+    df = rollouts.whiten(spark.createDataFrame([([1.0, -1.0, -1e-8], [1, 1, 1])], "v array<double>, m array<int>"), "v", "m")
+    assert list(map(repr, df.select(every("v").alias("v")).first().v)) == ["1.0", "-1.0", "-0.0"]
