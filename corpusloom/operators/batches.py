@@ -171,7 +171,7 @@ def karmarkar_karp(lengths: list[int], k: int, equal: bool) -> list[list[int]]:
 
 
 def least_loaded(lengths: list[int], k: int, equal: bool = False) -> list[list[int]]:
-    """In the order of input, each to the part with the smallest sum."""
+    """In the order of input, each to the part with the smallest sum, the first of equal ones; a part keeps its place, also an empty one."""
     parts: list[list[int]] = [[] for _ in range(k)]
     heap = [(0, j) for j in range(k)]
     for i in range(len(lengths)):
@@ -179,10 +179,29 @@ def least_loaded(lengths: list[int], k: int, equal: bool = False) -> list[list[i
         parts[j].append(i)
         if not equal or len(parts[j]) * k < len(lengths):
             heapq.heappush(heap, (total + lengths[i], j))
-    return sorted(sorted(p) for p in parts)
+    return parts
 
 
-def balance(rows: DataFrame, batch: str, length: str, k: int, equal: bool = True, method=karmarkar_karp) -> DataFrame:
+def blocks(lengths: list[int], k: int) -> list[list[int]]:
+    """k runs of neighbouring rows, of equal sizes where k divides the rows."""
+    n = len(lengths)
+    parts: list[list[int]] = [[] for _ in range(k)]
+    for i in range(n):
+        parts[i * k // n].append(i)
+    return parts
+
+
+def even_parts(lengths: list[int], k: int, equal: bool) -> list[list[int]]:
+    """Largest differencing, or the blocks where these happen to be more even, so that balancing never makes a batch worse."""
+
+    def spread(parts: list[list[int]]) -> int:
+        sums = [sum(lengths[i] for i in p) for p in parts if p]  # parts without rows do not show
+        return max(sums, default=0) - min(sums, default=0)
+
+    return min((karmarkar_karp(lengths, k, equal), blocks(lengths, k)), key=spread)
+
+
+def balance(rows: DataFrame, batch: str, length: str, k: int, equal: bool = True, method=even_parts) -> DataFrame:
     """rows plus `part` by balanced partition within each batch; a batch is one training step's rows and fits a task."""
     schema = rows.select(batch, "ord", length).schema.simpleString()[7:-1].replace(":", " ") + ", part int"
 

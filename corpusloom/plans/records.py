@@ -175,7 +175,7 @@ def batches(spark, sf):
     return d.withColumn("batch", F.floor(F.col("ord") / 64)).drop("doc_id")
 
 
-def balanced(spark, sf, method=B.karmarkar_karp):
+def balanced(spark, sf, method=B.even_parts):
     """Batches of 64 documents in four parts, of equal size where the batch divides; the last batch may not."""
     d = batches(spark, sf)
     whole = F.count(F.lit(1)).over(W.partitionBy("batch")) % 4 == 0

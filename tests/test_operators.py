@@ -208,6 +208,30 @@ def test_balanced_partitions(k):
     assert sorted(i for p in batches.least_loaded(lengths, k, True) for i in p) == list(range(32))
 
 
+def test_balancing_is_never_worse_than_the_blocks():
+    rng, worse = random.Random(3), 0
+    for n in (8, 12, 64, 5, 2):
+        for _ in range(300):
+            lengths = [int(9 * rng.paretovariate(0.6)) for _ in range(n)]
+            spread = lambda parts: max(s := [sum(lengths[i] for i in p) for p in parts if p]) - min(s)
+            own, plain = batches.even_parts(lengths, 4, n % 4 == 0), [[i for i in range(n) if i * 4 // n == j] for j in range(4)]
+            assert spread(own) <= spread(plain) and sorted(i for p in own for i in p) == list(range(n))
+            assert n % 4 or {len(p) for p in own} == {n // 4}
+            worse += spread(batches.karmarkar_karp(lengths, 4, n % 4 == 0)) > spread(plain)
+    assert worse  # differencing alone is
+
+
+def test_the_least_loaded_part_keeps_its_place():
+    """Fewer rows than parts, or rows of length 0: the parts are those that the running sums name."""
+    for lengths in ([7, 3], [0, 0, 0], [5, 0, 0, 1, 9], []):
+        sums, want = [0] * 4, [[] for _ in range(4)]
+        for i, n in enumerate(lengths):
+            j = sums.index(min(sums))
+            want[j].append(i)
+            sums[j] += n
+        assert batches.least_loaded(lengths, 4) == want
+
+
 @pytest.mark.parametrize("n,d", [(6, 4), (6, 3), (2, 7), (1, 5)])
 def test_pad_and_unpad(spark, n, d):
     df = spark.range(n).selectExpr("id AS ord", "id * 10 AS x")
