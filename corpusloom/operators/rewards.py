@@ -3,14 +3,24 @@
 from __future__ import annotations
 
 import importlib.util
+import json
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import text as X
+from ..scratch import stage
+
+#: Summaries of groups that a task holds before it passes them on.
+SUMMARIES = 10_000
+#: Rows that a reward by summaries sees at once.
+PIECE = 64
 
 
 def same_answer(a: Column, b: Column) -> Column:
@@ -135,22 +145,75 @@ def interaction_score(rows: DataFrame, budget: float = 192.0, **weights: float)
 
 
 def load_reward(spec: str, **options):
-    """The function that 'path:name' names, with its keyword options bound."""
+    """The function that 'path:name' names, with its keyword options bound; what it knows of its groups (see apply_rewards) stays with it."""
     path, _, name = spec.rpartition(":")
     module_spec = importlib.util.spec_from_file_location("reward_plugin", path)
     module = importlib.util.module_from_spec(module_spec)
     module_spec.loader.exec_module(module)
     function = getattr(module, name)
-    return lambda rows: function(rows, **options)
 
+    def bound(rows, **more):
+        return function(rows, **options, **more)
+
+    for part in ("summary", "merge"):
+        if hasattr(function, part):
+            setattr(bound, part, getattr(function, part))
+    return bound
 
-def apply_rewards(rows: DataFrame, function, schema: str, group: str | None = None) -> DataFrame:
-    """function: list of dicts to list of dicts. With `group` it sees all rows of a prompt at once, else batches."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        records = pdf.to_dict("records")
-        return pd.DataFrame([{**r, **s} for r, s in zip(records, function(records))])
+def _scored(pdf: pd.DataFrame, function, **more) -> pd.DataFrame:
+    records = pdf.to_dict("records")
+    return pd.DataFrame([{**r, **s} for r, s in zip(records, function(records, **more))])
 
-    if group:
-        return rows.groupBy(group).applyInPandas(run, schema)
-    return rows.mapInPandas(lambda it: (run(b) for b in it), schema)
+
+def apply_rewards(rows: DataFrame, function, schema: str, group: str | None = None) -> DataFrame:
+    """function: list of dicts to list of dicts. With `group` it sees all rows of a prompt at once, else batches.
+
+    A function that needs but a summary of a group says so by two attributes: `summary`, of some rows of it to a JSON
+    value, and `merge`, of a list of those to one. It then gets any rows of one group and `summary=` of them all, and
+    no group is ever gathered.
+    """
+    if not group:
+        return rows.mapInPandas(lambda it: (_scored(b, function) for b in it), schema)
+    if not hasattr(function, "summary"):
+        return rows.groupBy(group).applyInPandas(lambda b: _scored(b, function), schema)
+    summary, merge = function.summary, function.merge
+    kind, form = rows.schema[group].dataType.simpleString(), to_arrow_schema(StructType.fromDDL(schema))
+
+    def pieces(batches, by: str):
+        """Some rows at a time, dealt by a column."""
+        for b in batches:
+            for at in range(0, b.num_rows, PIECE):
+                own: dict = {}
+                for r in b.slice(at, PIECE).to_pylist():
+                    own.setdefault(r[by], []).append(r)
+                yield own
+
+    def summed(batches):
+        known: dict = {}
+        for own in pieces(batches, group):
+            for name, some in own.items():
+                said = summary(some)
+                known[name] = merge([known[name], said]) if name in known else said
+            if len(known) >= SUMMARIES:
+                yield told(known)
+                known = {}
+        yield told(known)
+
+    def told(known: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"__group": list(known), "__summary": [json.dumps(x) for x in known.values()]}, summaries)
+
+    def merged(parts: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"__group": parts["__group"][:1], "__summary": [json.dumps(merge([json.loads(x) for x in parts["__summary"]]))]})
+
+    def scored(batches):
+        for own in pieces(batches, "__summary"):
+            out = [{**r, **s} for said, some in own.items() for r, s in zip(some, function(some, summary=json.loads(said)))]
+            yield pa.RecordBatch.from_pylist(out, form)
+
+    known = f"__group {kind}, __summary string"
+    summaries = to_arrow_schema(StructType.fromDDL(known))
+    parts = rows.mapInArrow(summed, known).groupBy("__group").applyInPandas(merged, known)
+    parts = stage(parts, "summaries").df
+    both = rows.join(parts, rows[group].eqNullSafe(parts["__group"])).drop("__group")
+    return both.mapInArrow(scored, schema)

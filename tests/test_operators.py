@@ -208,6 +208,20 @@ def test_balanced_partitions(k):
     assert sorted(i for p in batches.least_loaded(lengths, k, True) for i in p) == list(range(32))
 
 
+def test_a_reward_by_summaries_never_holds_a_group(spark, monkeypatch):
+    """One group of 1,000 rows and a null one: the function sees at most PIECE rows at a time and still scores by the whole group."""
+    most = rewards.PIECE
+
+    def best(some, summary):
+        assert len(some) <= most
+        return [{"reward": float(r["x"] == summary)} for r in some]
+
+    best.summary, best.merge = (lambda some: max(r["x"] for r in some)), max
+    df = spark.range(1005).selectExpr("IF(id < 1000, 'a', NULL) AS uid", "id AS x").repartition(3)
+    got = {r["x"]: r["reward"] for r in rows(rewards.apply_rewards(df, best, "uid string, x long, reward double", "uid"))}
+    assert len(got) == 1005 and {x for x, r in got.items() if r} == {999, 1004}
+
+
 def test_balancing_is_never_worse_than_the_blocks():
     rng, worse = random.Random(3), 0
     for n in (8, 12, 64, 5, 2):
