@@ -7,9 +7,10 @@ import unicodedata
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 from pyspark.sql.types import StringType
 
 from .fixed import ACTION_MARKERS, ANSWER_REMOVED, ANSWER_REPLACED, CONTEXT_MARKERS, CONTROL_MARKER, DIFFICULTY_BINS, INSTRUCTION_LINE, INSTRUCTION_PHRASES, PROMPT_SUFFIX, STEP_BY_STEP
@@ -33,9 +34,14 @@ def first_nonblank(*columns: Column) -> Column:
     return F.coalesce(*[F.nullif(trim_u(c.cast("string")), _s("")) for c in columns])
 
 
-@pandas_udf(StringType())
-def nfkc_casefold(x: pd.Series) -> pd.Series:
-    return x.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
+#: Texts of an Arrow batch that are Python strings at once.
+PIECE = 64
+
+
+@arrow_udf(StringType())
+def nfkc_casefold(x: pa.Array) -> pa.Array:
+    fold = lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold()
+    return pa.concat_arrays([pa.array([], pa.string()), *(pa.array(map(fold, x[a : a + PIECE].to_pylist()), pa.string()) for a in range(0, len(x), PIECE))])
 
 
 def casefold(x: Column) -> Column:

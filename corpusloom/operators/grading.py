@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -12,6 +12,9 @@ from ..functions.fixed import DIFFICULTY_BINS
 from .batches import numbered
 from .curation import hash_rank
 
+#: Prompts that a task hands to its threads at once.
+JUDGED = 256
+
 
 def mean_or_zero(x: Column) -> Column:
     return F.coalesce(F.avg(x), F.lit(0.0))
@@ -106,7 +109,10 @@ def judge_with(rows: DataFrame, judge, threads: int = 10) -> DataFrame:
         from concurrent.futures import ThreadPoolExecutor
 
         with ThreadPoolExecutor(threads) as pool:
-            for b in batches:
-                yield pd.DataFrame({"id": b["id"], "judgement": list(pool.map(judge, b["prompt"]))})
+            for batch in batches:
+                for at in range(0, len(batch), JUDGED):  # so few prompts are Python strings at once
+                    b = batch.slice(at, JUDGED)
+                    said = pa.array(pool.map(judge, b.column("prompt").to_pylist()), pa.string())
+                    yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.int64()), said], ["id", "judgement"])
 
-    return rows.select("id", "prompt").mapInPandas(run, "id long, judgement string")
+    return rows.select("id", "prompt").mapInArrow(run, "id long, judgement string")

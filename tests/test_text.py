@@ -66,3 +66,14 @@ def test_config():
         C.override(tree, {"a.b.z": 1})
     assert C.broken_rules(C.flatten(tree), {"b": ("a.b", lambda v: v > 3), "d": ("a.c.d", lambda v: v == 2), "z": ("z", bool)}) == ["b", "z"]
     assert C.assign_round_robin(["x", "y", "z"], [0, 1]) == {"x": 0, "y": 1, "z": 0}
+
+
+def test_case_folding_takes_pieces_and_nulls(spark):
+    """More texts than a piece, some null, none, in order."""
+    from corpusloom.functions import text as T
+
+    texts = ["Ｆｕｌｌ ẞ", None, "ﬁ"] * (T.PIECE + 1)
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    got = [r.t for r in df.select("i", T.nfkc_casefold("t").alias("t")).orderBy("i").collect()]
+    assert got == ["full ss", None, "fi"] * (T.PIECE + 1)
+    assert df.where("i < 0").select(T.nfkc_casefold("t").alias("t")).collect() == []
