@@ -330,6 +330,17 @@ def test_similarity_join_against_all_pairs(spark):
     assert {(r["left_id"], r["right_id"]) for r in cross} == {(i, j) for i, j in want if i < 40 <= j}
 
 
+def test_gram_sets_hold_no_grams(spark):
+    """A text is staged with the number of its grams and a bit or two for each, never with the grams; halves fold to smaller bitmaps."""
+    text = "".join(random.Random(4).choice("abcdefgh ") for _ in range(3000))
+    r = curation.gram_sets(spark.createDataFrame([(1, text), (2, "ab"), (3, "")], "i long, t string"), "i", "t").orderBy("id").collect()
+    assert [x.n for x in r] == [len({text[i : i + 5] for i in range(2996)}), 1, 1] and all(set(x.asDict()) == {"id", "text", "n", "bits"} for x in r)
+    assert all(x.n <= 8 * len(x.bits) <= max(64, 2 * x.n) for x in r)
+    own = curation.parity_bits(g := curation.grams_of(text))
+    half = len(own) // 2
+    assert ((own[:half] ^ own[half:]) == [sum(1 << b for b in range(8) if ((g.view("uint64") % (8 * half)) == 8 * k + b).sum() % 2) for k in range(half)]).all()
+
+
 def test_numbered_is_one_order_over_wide_rows_and_many_partitions(spark):
     """Ordinal and payload used together; ranges come from one sampling."""
     from corpusloom.operators.batches import numbered
