@@ -4,7 +4,7 @@ A recording becomes frames of twelve pitch-class energies. Over the frames' inte
 rectangle filters (wholes, halves, quarters and thirds of WINDOW frames by some pitch classes) compare the
 logarithms of sums; each answer is quantised to two Gray-coded bits, and sixteen of them pack into one
 32-bit integer per frame position. Recordings align
-where integers that are landmarks (the smallest hash among SPREAD neighbours) agree: a histogram of their
+where integers agree, every position of the one held against every position of the other: a histogram of their
 offsets names the offsets of a pair, one vote is enough, and the first of them, in falling order of votes, at
 which the share of differing bits over the overlap is small decides.
 
@@ -44,11 +44,12 @@ from .common import meet, stage, table
 
 CLASSES = 12
 WINDOW = 16
-SPREAD = 16
 LEAST_OVERLAP = 8
 MOST_ERROR = 0.25
-#: Landmarks and integers of the queries that a task holds at once.
+#: Integers of the queries, with their places, that a task holds at once.
 BLOCK_BYTES = 32 << 20
+#: Agreeing positions that are counted by offset at once.
+HITS = 1 << 21
 #: Blocks that are broadcast for one pass over all recordings (about 300 MB of them at 30 GB of text).
 PASS_BYTES = 512 << 20
 #: Digests of recordings that a task has settled and need not settle again.
@@ -181,26 +182,6 @@ def integers(frames: np.ndarray) -> np.ndarray:
     return packed
 
 
-def landmarks(values: np.ndarray, spread: int = SPREAD) -> np.ndarray:
-    """Places that hold the smallest hash of some `spread` neighbours; each value once, at its first place."""
-    n = len(values)
-    if not n:
-        return np.zeros(0, np.int64)
-    h = values.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(29)
-    key = (h & ~np.uint64(0xFFFFFF)) | (np.arange(n, dtype=np.uint64) & np.uint64(0xFFFFFF))
-    width, step = min(spread, n), 1
-    low = key
-    while step * 2 <= width:
-        low = np.minimum(low[:-step], low[step:])
-        step *= 2
-    if width > step:
-        low = np.minimum(low[: step - width], low[width - step :])
-    places = np.flatnonzero(np.isin(key, low))
-    _, first = np.unique(values[places], return_index=True)
-    return np.sort(places[first])
-
-
 def bit_error(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, float]:
     """Overlap when b starts `offset` places into a, and the share of differing bits in it."""
     x, y = (a[offset:], b) if offset >= 0 else (a, b[-offset:])
@@ -233,29 +214,72 @@ def _describe(of: Callable, every: int) -> Callable:
 
 
 def _marks(values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Landmarks of several recordings: integers, places, and which recording each is of."""
-    places = [landmarks(v) for v in values]
-    none = np.zeros(0, np.int64)
-    who = np.repeat(np.arange(len(values)), [len(p) for p in places])
-    return np.concatenate([none.astype(np.uint32), *(v[p] for v, p in zip(values, places))]), np.concatenate([none, *places]), who
+    """All positions of several recordings: integers, places, and which recording each is of."""
+    sizes = [len(v) for v in values]
+    places = [np.arange(n, dtype=np.int32) for n in sizes]
+    who = np.repeat(np.arange(len(values), dtype=np.int32), sizes)
+    return np.concatenate([np.zeros(0, np.uint32), *values]), np.concatenate([np.zeros(0, np.int32), *places]), who
+
+
+def _counted(keys: np.ndarray, votes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, in order, with the sum of its votes."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    new = np.flatnonzero(np.append(len(keys) > 0, keys[1:] != keys[:-1]))
+    return keys[new], np.add.reduceat(votes[order], new) if len(new) else votes
 
 
 def candidates(block: tuple, marks: np.ndarray, places: np.ndarray, who: np.ndarray, alike: np.ndarray) -> np.ndarray:
-    """Rows (recording, query, offset, votes), those of a pair in the order in which to try them. alike: each recording's own query."""
+    """Rows (recording, query, offset, votes), those of a pair in the order in which to try them. alike: each recording's own query.
+
+    HITS agreeing positions are counted at a time, as a value that repeats in both recordings agrees at very many.
+    """
     value, query, at = block[:3]
-    lo, hi = np.searchsorted(value, marks, "left"), np.searchsorted(value, marks, "right")
-    n = hi - lo
-    hit = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-    row, q, offset = np.repeat(who, n), query[hit], at[hit] - np.repeat(places, n)
-    other = q != alike[row]
-    row, q, offset = row[other], q[other], offset[other]
-    order = np.lexsort((offset, q, row))
-    row, q, offset = row[order], q[order], offset[order]
-    new = np.flatnonzero(np.append(len(row) > 0, (row[1:] != row[:-1]) | (q[1:] != q[:-1]) | (offset[1:] != offset[:-1])))
-    votes = np.diff(np.append(new, len(row)))
-    row, q, offset = row[new], q[new], offset[new]
-    order = np.lexsort((offset, np.abs(offset), -votes, q, row))
-    return np.column_stack([row, q, offset, votes])[order]
+    lo = np.searchsorted(value, marks)
+    some = np.flatnonzero(np.append(value, np.uint32(0))[lo] == marks) if len(value) else np.zeros(0, np.int64)
+    lo, places, who = lo[some], places[some].astype(np.int64), who[some].astype(np.int64)
+    n = np.searchsorted(value, marks[some], "right") - lo
+    found, some = n > 0, None
+    lo, places, who, n = lo[found], places[found], who[found], n[found]
+    # a hit as one number: recording, query, offset; an Arrow batch and a block are small enough for it
+    queries, low = int(query.max(initial=0)) + 1, int(places.max(initial=0))
+    span = low + int(at.max(initial=0)) + 1
+    ends, start = np.cumsum(n), 0
+    keys, votes, waiting = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+    while start < len(n):
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] - n[start] + HITS, "right")))
+        k = n[start:stop]
+        hit = np.repeat(lo[start:stop] - np.cumsum(k) + k, k) + np.arange(int(k.sum()))
+        row, q = np.repeat(who[start:stop], k), query[hit]
+        key = (row * queries + q) * span + at[hit] - np.repeat(places[start:stop], k) + low
+        key = np.sort(key[q != alike[row]])
+        new = np.flatnonzero(np.append(len(key) > 0, key[1:] != key[:-1]))
+        waiting.append((key[new], np.diff(np.append(new, len(key)))))
+        start = stop
+        if start == len(n) or sum(len(w[0]) for w in waiting) > max(HITS, len(keys)):
+            keys, votes = _counted(*(np.concatenate(x) for x in zip((keys, votes), *waiting)))
+            waiting = []
+    pair, offset = np.divmod(keys, span)
+    offset -= low
+    order = np.lexsort((offset, np.abs(offset), -votes, pair))
+    return np.column_stack([pair // queries, pair % queries, offset, votes])[order]
+
+
+def bit_errors(x: np.ndarray, x_first: np.ndarray, y: np.ndarray, y_first: np.ndarray, a: np.ndarray, b: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """bit_error of many: recordings a of those in x (each from x_first to the next), b of those in y, by their offsets."""
+    p, q = x_first[a] + np.maximum(offset, 0), y_first[b] + np.maximum(-offset, 0)
+    n = np.maximum(0, np.minimum(x_first[a + 1] - p, y_first[b + 1] - q))
+    ends, start, wrong = np.cumsum(n), 0, np.zeros(len(n), np.int64)
+    while start < len(n):
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] - n[start] + HITS, "right")))
+        k = n[start:stop]
+        first = np.cumsum(k) - k
+        step = np.arange(int(k.sum())) - np.repeat(first, k)
+        bits = np.bitwise_count(x[np.repeat(p[start:stop], k) + step] ^ y[np.repeat(q[start:stop], k) + step])
+        sums = np.append(0, np.cumsum(bits, dtype=np.int64))
+        wrong[start:stop] = sums[first + k] - sums[first]
+        start = stop
+    return n, np.where(n > 0, wrong / np.maximum(32 * n, 1), 1.0)
 
 
 def _search(of: Callable, blocks: list) -> Callable:
@@ -274,19 +298,26 @@ def _search(of: Callable, blocks: list) -> Callable:
                 seen.update(fresh)
             digests, values = list(fresh), list(fresh.values())
             marks, places, who = _marks(values)
+            flat, sizes = marks, np.array([len(v) for v in values], np.int64)
+            starts = np.append(0, np.cumsum(sizes))
             found: list[list[dict]] = [[] for _ in values]
             for sent in blocks:
                 block = sent.load_from_path(sent._path)  # not kept: the next one takes its place
                 _, _, _, known, names, ints, first = block
                 alike = np.array([known.get(d, -1) for d in digests], np.int64)
-                done = (-1, -1)
-                for row, q, off, votes in candidates(block, marks, places, who, alike).tolist():
-                    if (row, q) == done:
-                        continue
-                    n, error = bit_error(ints[first[q] : first[q + 1]], values[row], off)
-                    if error <= MOST_ERROR and n >= min(LEAST_OVERLAP, first[q + 1] - first[q], len(values[row])):
-                        done = (row, q)
-                        found[row].append({"query_id": names[q], "offset": off, "votes": votes, "bit_error": round(error, 6)})
+                rows = candidates(block, marks, places, who, alike)
+                top = np.append(len(rows) > 0, (rows[1:, :2] != rows[:-1, :2]).any(1))[: len(rows)]
+                pair = np.cumsum(top) - 1
+                settled = np.zeros(int(top.sum()), bool)
+                for now in (top, ~top):  # most pairs are settled by their first offset
+                    left = np.flatnonzero(now & ~settled[pair])
+                    row, q, off, votes = rows[left].T
+                    n, error = bit_errors(ints, first, flat, starts, q, row, off)
+                    near = (error <= MOST_ERROR) & (n >= np.minimum(LEAST_OVERLAP, np.minimum(np.diff(first)[q], sizes[row])))
+                    near[near] = np.append(True, np.diff(pair[left[near]]) != 0)[: int(near.sum())]
+                    settled[pair[left[near]]] = True
+                    for i, k, o, v, e in zip(*(x[near].tolist() for x in (row, q, off, votes, error))):
+                        found[i].append({"query_id": names[k], "offset": o, "votes": v, "bit_error": round(e, 6)})
             some = [i for i, f in enumerate(found) if f]
             yield pa.RecordBatch.from_arrays([pa.array([digests[i] for i in some], pa.binary()), pa.array([found[i] for i in some], kind)], ["digest", "matches"])
 
@@ -294,7 +325,7 @@ def _search(of: Callable, blocks: list) -> Callable:
 
 
 def _block(queries: DataFrame):
-    """A block of queries as arrays for every task: landmarks in order (value, query, place), digests, names, integers."""
+    """A block of queries as arrays for every task: all positions in order (value, query, place), digests, names, integers."""
     rows = queries.orderBy("digest").toArrow()
     values = [np.frombuffer(x.as_buffer(), np.uint32) for x in rows["ints"]]
     marks, places, who = _marks(values)
@@ -313,7 +344,7 @@ def align(media: DataFrame, frames: Callable = text_frames, every: int = 100, bl
     kinds = stage(base.groupBy("digest").agg(F.min("id").alias("class_id"), F.count("*").alias("copies")), "classes").df
     queries = base.where("ints IS NOT NULL AND n > 0").select("digest", "ints").dropDuplicates(["digest"])
     queries = stage(queries.join(kinds.select("digest", "class_id"), "digest"), "queries").df
-    size = queries.agg(F.sum(2 * F.octet_length("ints"))).first()[0] or 0
+    size = queries.agg(F.sum(4 * F.octet_length("ints"))).first()[0] or 0
     blocks = -(-size // block_bytes)
     found, match = [], "array<struct<query_id: bigint, offset: int, votes: bigint, bit_error: double>>"
     at_once = max(1, pass_bytes // block_bytes)

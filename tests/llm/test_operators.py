@@ -2,7 +2,7 @@ import io
 import random
 import wave
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -130,6 +130,20 @@ def test_integers_of_long_texts_come_in_portions(monkeypatch):
         assert all(np.array_equal(x, y) for x, y in zip(want, chroma.text_integers(texts), strict=True))
 
 
+@pytest.mark.parametrize("hits", [1 << 21, 50, 1])
+def test_every_position_votes(monkeypatch, hits):
+    """All pairs of equal integers count, those at later places of a repeated value too."""
+    monkeypatch.setattr(chroma, "HITS", hits)
+    rng = np.random.default_rng(7)
+    asks, rows = ([rng.integers(0, 40, n).astype(np.uint32) for n in sizes] for sizes in ((30, 1, 90), (50, 3, 0, 80)))
+    value, at, query = chroma._marks(asks)
+    order = np.argsort(value, kind="stable")
+    marks, places, who = chroma._marks(rows)
+    got = chroma.candidates((value[order], query[order], at[order]), marks, places, who, np.array([-1, 2, -1, 0])).tolist()
+    want = Counter((i, j, a - b) for i, y in enumerate(rows) for j, x in enumerate(asks) if (i, j) not in ((1, 2), (3, 0)) for a in range(len(x)) for b in range(len(y)) if x[a] == y[b])
+    assert got == [[i, j, o, n] for (i, j, o), n in sorted(want.items(), key=lambda kv: (*kv[0][:2], -kv[1], abs(kv[0][2]), kv[0][2]))]
+
+
 def test_altered_texts_are_found(spark):
     """Words inserted mid-text or replaced, against every offset at the thresholds that define a match."""
     rng, rows, want = random.Random(5), [], set()
