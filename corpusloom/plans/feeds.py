@@ -105,7 +105,7 @@ def s10_sets(spark, sf):
     root = scratch_path(spark, "sets")
     pages.write_pages(d, root, 40, by="source")
     names = [r.source for r in d.select("source").distinct().collect()]  # sources are few
-    return pages.count_sets(spark, [(name, f"{root}/source={name}") for name in names]).select(F.col("name").alias("source"), "n")
+    return pages.count_sets(spark, [(name, pages.set_folder(root, "source", name)) for name in names]).select(F.col("name").alias("source"), "n")
 
 
 # -- resumable iterators -------------------------------------------------------------------------------
@@ -161,12 +161,12 @@ def t4_open(spark, sf):
 @query("x8_service_replies", """
 SELECT doc_id, CASE WHEN length(text) % 5 <> 0 THEN length(text)::VARCHAR END AS reply, CASE WHEN length(text) % 5 = 0 THEN 'ValueError: 0 replies to 1 prompts' END AS error FROM documents""")
 def x8(spark, sf):
-    """A model that counts characters, served over HTTP by this process; some batches come back too short."""
+    """A model that counts characters, served over HTTP by each task for itself; some batches come back too short."""
     from ..sources import service
 
-    with stub_service(lambda prompts: [] if len(prompts[0]) % 5 == 0 else [len(p) for p in prompts], spark.conf.get("spark.driver.host")) as url:
-        rows = service.ask_model(table(spark, sf, "documents").select("doc_id", "text"), "text", url, batch=1)
-        return stage(rows.select("doc_id", "reply", "error"), "replies").df
+    serve = lambda: stub_service(lambda prompts: [] if len(prompts[0]) % 5 == 0 else [len(p) for p in prompts])
+    rows = service.ask_model(table(spark, sf, "documents").select("doc_id", "text"), "text", serve, batch=1)
+    return stage(rows.select("doc_id", "reply", "error"), "replies").df
 
 
 @contextmanager
@@ -174,6 +174,8 @@ def stub_service(model, host: str = "127.0.0.1"):
     """A service on this machine while the block runs; gives its address."""
 
     class Handler(BaseHTTPRequestHandler):
+        protocol_version, wbufsize, disable_nagle_algorithm = "HTTP/1.1", -1, True  # connections stay open
+
         def do_POST(self):
             asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
             body = json.dumps({"replies": model(asked["prompts"])}).encode()
@@ -186,6 +188,7 @@ def stub_service(model, host: str = "127.0.0.1"):
             pass
 
     server = ThreadingHTTPServer((host, 0), Handler)
+    server.daemon_threads = True
     threading.Thread(target=server.serve_forever, daemon=True).start()
     try:
         yield f"http://{host}:{server.server_port}/"

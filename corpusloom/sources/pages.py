@@ -16,6 +16,9 @@ from collections.abc import Callable
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+#: Tasks that a batch of pages is dealt to at most; with more pages a task reads more neighbours.
+TASKS = 256
+
 
 def with_retries(call: Callable, most: int = 6, sleep: Callable = time.sleep):
     """call() again after min(2^(n+1), 60) seconds, or after what the error's retry_after says."""
@@ -126,8 +129,8 @@ class Page(InputPartition):
 
 
 def _tasks(low: int, high: int, end: int, options: dict) -> list[Page]:
-    """Pages low to high - 1, dealt to tasks of `task` neighbours (an option, 1 by default)."""
-    step = max(1, int(options.get("task", "1")))
+    """Pages low to high - 1, dealt to tasks of `task` neighbours (an option, 1 by default), more where that makes over TASKS."""
+    step = max(1, int(options.get("task", "1")), -(-(high - low) // TASKS))
     return [Page(None, k, min(step, high - k), end) for k in range(low, high, step)]
 
 
@@ -224,21 +227,47 @@ class PagedSource(DataSource):
         return PagedStream(schema, self.options)
 
 
+def set_folder(path: str, by: str, value) -> str:
+    """Where write_pages puts the pages of one value."""
+    from urllib.parse import quote
+
+    return f"{path}/{by}={'__null__' if value is None else quote(str(value), safe='')}"
+
+
 def write_pages(rows, path: str, size: int, by: str | None = None) -> None:
     """rows (with ord from 0) as a folder of pages, as PagedSource replays it.
 
-    by: a column with few values; rows lie in its order, and each value has a folder <by>=<value> of pages.
+    by: a column with few values; rows lie in its order, and each value has its pages in set_folder. A page is a file
+    of its own, which tasks put in place themselves: no committer lists or moves it. Tried again, it is replaced by its like.
     """
     from pyspark.sql import functions as F
 
-    keys = [by] if by else []
-    total = rows.groupBy(*keys).agg(F.count("*").alias("num_rows_total"), F.min("ord").alias("first"))
-    placed = (rows.join(total, by) if by else rows.join(F.broadcast(total))).withColumn("ord", F.col("ord") - F.col("first"))
+    total = rows.groupBy(*([F.col(by).alias("__by")] if by else [])).agg(F.count("*").alias("num_rows_total"), F.min("ord").alias("first"))
+    placed = rows.join(F.broadcast(total), F.col(by).eqNullSafe(F.col("__by")) if by else None).withColumn("ord", F.col("ord") - F.col("first"))
     item = F.struct(F.col("ord").alias("row_idx"), F.struct(*[c for c in rows.columns if c not in ("ord", by)]).alias("row"))
-    pages = placed.groupBy(*keys, F.floor(F.col("ord") / size).alias("page"), "num_rows_total").agg(F.collect_list(item).alias("rows"))
+    name = F.col(by).cast("string").alias("name") if by else F.lit(None).cast("string").alias("name")
+    pages = placed.groupBy(name, F.floor(F.col("ord") / size).alias("page"), "num_rows_total").agg(F.collect_list(item).alias("rows"))
     in_order = F.array_sort("rows", lambda a, b: F.signum(a["row_idx"] - b["row_idx"]).cast("int"))
-    texts = pages.select(*keys, "page", F.to_json(F.struct(in_order.alias("rows"), "num_rows_total"), {"ignoreNullFields": "false"}).alias("value"))
-    texts.write.partitionBy(*keys, "page").text(path)
+    texts = pages.select("name", "page", F.to_json(F.struct(in_order.alias("rows"), "num_rows_total"), {"ignoreNullFields": "false"}).alias("value"))
+
+    def write(batches):
+        import uuid
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        where, root = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
+        for b in batches:
+            for own, page, value in zip(*(b.column(c).to_pylist() for c in ("name", "page", "value"))):
+                folder = f"{set_folder(root, by, own) if by else root}/page={page}"
+                where.create_dir(folder, recursive=True)
+                other = f"{folder}/.{uuid.uuid4().hex}"
+                with where.open_output_stream(other) as f:
+                    f.write(value.encode())
+                where.move(other, f"{folder}/page.json")
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    texts.mapInArrow(write, "n long").agg(F.sum("n")).collect()
 
 
 def count_sets(spark, sets: list[tuple[str, str]], options: dict | None = None):

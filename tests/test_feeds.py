@@ -1,6 +1,7 @@
 """Paged sources over a service, committed tables, stateful requests and resumable iterators."""
 
 import json
+import os
 import random
 import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
@@ -246,3 +247,48 @@ def test_replies_or_error_rows(spark):
     assert {k for k, (_, e) in got.items() if e} == {5, 6, 7, 8} and got[5][1] == "ValueError: 0 replies to 4 prompts"
     got = service.ask_model(rows.where("id = 1"), "prompt", url, tries=2, wait=0).first()  # the service is gone
     assert got.reply is None and got.error.startswith("ConnectionError")
+
+
+def test_pages_are_dealt_to_a_bounded_number_of_tasks():
+    for n, task in ((3, 8), (100, 1), (5_000, 8), (600_007, 8)):
+        tasks = pages._tasks(7, 7 + n, 7 + n, {"task": str(task)})
+        assert len(tasks) <= pages.TASKS and [k for t in tasks for k in range(t.number, t.number + t.count)] == list(range(7, 7 + n))
+    assert [t.count for t in pages._tasks(0, 20, 20, {"task": "8"})] == [8, 8, 4]
+
+
+def test_sets_of_any_name(spark):
+    names = ["a/b", "c:d%", "e f+", "", "é", None]
+    rows = spark.createDataFrame([(k, names[k % 6]) for k in range(50)], "id int, kind string")
+    root = scratch_path(spark, "named")
+    pages.write_pages(numbered(rows, ["kind", "id"]), root, 3, by="kind")
+    got = pages.count_sets(spark, [(str(n), pages.set_folder(root, "kind", n)) for n in names]).collect()
+    assert {r.name: r.n for r in got} == {str(n): 8 + (k < 2) for k, n in enumerate(names)}
+    spark.dataSource.register(pages.PagedSource)
+    found = spark.read.format("pages").schema("row_idx long, id int").options(url=pages.set_folder(root, "kind", "a/b"), size=3).load()
+    assert sorted((r.row_idx, r.id) for r in found.collect()) == [(k, 6 * k) for k in range(9)]
+
+
+def test_a_service_beside_each_task(spark):
+    from corpusloom.sources import service
+
+    def serve():
+        return stub_service(lambda prompts: [f"{os.getpid()}" for _ in prompts])
+
+    rows = spark.range(40, numPartitions=2).selectExpr("id", "CAST(id AS STRING) AS prompt")
+    got = service.ask_model(rows, "prompt", serve, batch=1).collect()
+    assert len(got) == 40 and all(r.error is None and int(r.reply) != os.getpid() for r in got)
+
+
+def test_calls_share_a_connection(monkeypatch):
+    import http.client
+
+    from corpusloom.sources import service
+
+    opened, connect = [], http.client.HTTPConnection.connect
+    monkeypatch.setattr(http.client.HTTPConnection, "connect", lambda self: (opened.append(1), connect(self)))
+    with stub_service(lambda prompts: [p * 2 for p in prompts]) as url:
+        call = service.Caller(url)
+        assert [call([str(k)]) for k in range(20)] == [[f"{k}{k}"] for k in range(20)] and len(opened) == 1
+        call.open.sock.close()  # lost meanwhile
+        assert call(["x"]) == ["xx"] and len(opened) == 2
+        call.close()
