@@ -1,10 +1,11 @@
 """State of requests, kept by Spark's stateful processors: counts of actions in the order of events.
 
-Events may come in any order within the watermark. Open ones lie in map state under (bucket of event time, block of
-event numbers), at most BLOCK in each, so that a busy request never has more than a block in memory at once; an event
-that comes twice counts once. What a run of events does to the counts is a small summary, and the summaries of
-two neighbouring runs join to one. When the watermark passes a bucket, a timer folds it into the sealed summary
-(value state) and its events go. A request that no event reaches for `idle` of event time is forgotten.
+Events may come in any order within the watermark. The open ones of most requests are few and lie in one value; what
+passes BLOCK events moves to map state under (bucket of event time, block of event numbers), at most BLOCK in each, so
+that a busy request never has more than a block and a batch of rows in memory at once; an event that comes twice counts once.
+What a run of events does to the counts is a small summary, and the summaries of two neighbouring runs join to one. When
+the watermark passes the earliest open bucket, a timer folds all that it has passed into the sealed summary (value
+state), and their events go. A request that no event reaches for `idle` of event time is forgotten.
 """
 
 from __future__ import annotations
@@ -43,19 +44,47 @@ class Requests(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         self.sealed = handle.getValueState("sealed", SUMMARY)
+        self.few = handle.getValueState("few", "buckets array<bigint>, ids array<bigint>, acts string")
         self.open = handle.getMapState("open", "bucket long, block long", "ids array<bigint>, acts string")
-        self.last = handle.getValueState("last", "ms long")
-
-    def _keep(self, bucket: int, block: int, new: dict[int, str]) -> None:
-        key = (bucket, block)
-        if self.open.containsKey(key):
-            ids, acts = self.open.getValue(key)
-            new = {**new, **dict(zip(ids, acts))}
-        ids = sorted(new)
-        self.open.updateValue(key, (ids, "".join(new[i] for i in ids)))
-
-    def _folded(self, start: tuple, keys: list[tuple]) -> tuple:
-        return reduce(joined, (summary(self.open.getValue(k)[1]) for k in sorted(keys)), start)
+        self.last = handle.getValueState("last", "ms long, timer long, busy boolean")  # busy: the map is in use
+
+    def _held(self) -> dict[tuple[int, int], str]:
+        """Actions of the few open events, by bucket and event."""
+        found = self.few.get()
+        return dict(zip(zip(found[0], found[1]), found[2])) if found else {}
+
+    def _hold(self, new: dict[tuple[int, int], str]) -> None:
+        order = sorted(new)
+        self.few.update(([b for b, _ in order], [e for _, e in order], "".join(new[k] for k in order)))
+
+    @staticmethod
+    def _blocks(new: dict[tuple[int, int], str]) -> dict[tuple[int, int], dict[int, str]]:
+        own: dict[tuple[int, int], dict[int, str]] = {}
+        for (bucket, event), act in new.items():
+            own.setdefault((bucket, event // BLOCK), {})[event] = act
+        return own
+
+    def _keep(self, new: dict[tuple[int, int], str]) -> None:
+        for key, own in self._blocks(new).items():
+            found = self.open.getValue(key)
+            if found:
+                own = {**dict(zip(*found)), **own}
+            ids = sorted(own)
+            self.open.updateValue(key, (ids, "".join(own[i] for i in ids)))
+
+    def _folded(self, new: dict[tuple[int, int], str], entries) -> tuple:
+        """The sealed summary joined with those of open events: few ones, and entries (key, value) of the map."""
+        start = tuple(self.sealed.get() or NOTHING)
+        own, parts = self._blocks(new), {}
+        for key, found in entries:
+            key = tuple(key)
+            more = own.pop(key, None)
+            acts = {**dict(zip(*found)), **more} if more else None
+            parts[key] = summary("".join(acts[i] for i in sorted(acts)) if acts else found[1])
+        if not parts:
+            return joined(start, summary("".join(new[k] for k in sorted(new))))
+        parts |= {key: summary("".join(acts[i] for i in sorted(acts))) for key, acts in own.items()}
+        return reduce(joined, (parts[k] for k in sorted(parts)), start)
 
     def _row(self, key, total: tuple):
         import pandas as pd
@@ -64,36 +93,47 @@ class Requests(StatefulProcessor):
         return pd.DataFrame([(key[0], n, asks, verifies, valid, accepts - valid)], columns=[c.split()[0] for c in OUTPUT.split(", ")])
 
     def handleInputRows(self, key, rows, timerValues):
-        buckets: set[int] = set()
-        latest = self.last.get()[0] if self.last.exists() else 0
+        latest, timer, busy = self.last.get() or (0, 0, False)
+        new, first = self._held(), None
         for chunk in rows:
             ms = chunk["ts"].astype("datetime64[ms]").astype("int64").clip(lower=0)  # a missing time is the earliest
-            latest = max(latest, int(ms.max()))
-            own: dict[tuple[int, int], dict[int, str]] = {}
+            latest, earliest = max(latest, int(ms.max())), int(ms.min()) // self.bucket_ms
+            first = earliest if first is None else min(first, earliest)
             for bucket, event, action in zip((ms // self.bucket_ms).tolist(), chunk["event_id"].tolist(), chunk["action"].tolist()):
-                own.setdefault((bucket, event // BLOCK), {})[event] = KINDS.get(action, "o")
-            for (bucket, block), new in own.items():
-                self._keep(bucket, block, new)
-                buckets.add(bucket)
-        for bucket in buckets:
-            self.handle.registerTimer((bucket + 1) * self.bucket_ms)
-        self.last.update((latest,))
+                new[bucket, event] = KINDS.get(action, "o")
+            if len(new) > BLOCK:
+                self._keep(new)
+                new, busy = {}, True
+        if first is not None and (not timer or (first + 1) * self.bucket_ms < timer):
+            timer = (first + 1) * self.bucket_ms
+            self.handle.registerTimer(timer)
+        self._hold(new)
+        self.last.update((latest, timer, busy))
         self.handle.registerTimer(latest + self.idle_ms)
-        start = self.sealed.get() if self.sealed.exists() else NOTHING
-        yield self._row(key, self._folded(tuple(start), list(self.open.keys())))
+        yield self._row(key, self._folded(new, self.open.iterator() if busy else ()))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         import pandas as pd
 
         now = timerValues.getCurrentWatermarkInMs()
-        done = [tuple(k) for k in self.open.keys() if (k[0] + 1) * self.bucket_ms <= now]
-        if done:
-            start = self.sealed.get() if self.sealed.exists() else NOTHING
-            self.sealed.update(self._folded(tuple(start), done))
+        latest, timer, busy = self.last.get() or (0, 0, False)
+        passed = lambda bucket: (bucket + 1) * self.bucket_ms <= now
+        if timer and timer <= now:
+            new = self._held()
+            keys = [tuple(k) for k in self.open.keys()] if busy else []
+            done, old = [k for k in keys if passed(k[0])], {k: a for k, a in new.items() if passed(k[0])}
+            self.sealed.update(self._folded(old, ((k, self.open.getValue(k)) for k in done)))
             for k in done:
                 self.open.removeKey(k)
-        if self.last.exists() and self.last.get()[0] + self.idle_ms <= now:
-            for state in (self.sealed, self.open, self.last):
+            if old:
+                self._hold({k: a for k, a in new.items() if k not in old})
+            left = [b for b, _ in (*new, *keys) if not passed(b)]
+            timer = (min(left) + 1) * self.bucket_ms if left else 0
+            if timer:
+                self.handle.registerTimer(timer)
+            self.last.update((latest, timer, len(keys) > len(done)))
+        if latest + self.idle_ms <= now:
+            for state in (self.sealed, self.few, self.open, self.last):
                 state.clear()
         yield pd.DataFrame({c.split()[0]: pd.Series(dtype="int64") for c in OUTPUT.split(", ")})
 

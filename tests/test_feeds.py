@@ -292,3 +292,58 @@ def test_calls_share_a_connection(monkeypatch):
         call.open.sock.close()  # lost meanwhile
         assert call(["x"]) == ["xx"] and len(opened) == 2
         call.close()
+
+
+def test_few_open_events_take_few_state_calls():
+    """67 events in 67 buckets: one value holds them, and one timer waits. Sealing them changes no count."""
+    import pandas as pd
+
+    calls, timers = [], []
+
+    class Value:
+        held = None
+
+        def get(self):
+            calls.append("get")
+            return self.held
+
+        def exists(self):
+            calls.append("exists")
+            return self.held is not None
+
+        def update(self, value):
+            calls.append("update")
+            self.held = value
+
+        def clear(self):
+            self.held = None
+
+    class Map:
+        def __getattr__(self, name):
+            raise AssertionError(f"map state is used: {name}")
+
+    class Handle:
+        def getValueState(self, *_):
+            return Value()
+
+        def getMapState(self, *_):
+            return Map()
+
+        def registerTimer(self, ms):
+            timers.append(ms)
+
+    class Now:
+        def getCurrentWatermarkInMs(self):
+            return 40 * 3_600_000
+
+    p = requests.Requests(3_600_000, 1 << 46)
+    p.init(Handle())
+    rng = random.Random(4)
+    acts = [rng.choice(["ask", "verify", "accept", "view"]) for _ in range(67)]
+    rows = pd.DataFrame({"ts": pd.to_datetime([k * 3_600_000 for k in range(67)], unit="ms"), "event_id": [k * 1000 for k in range(67)], "action": acts})
+    first = next(iter(p.handleInputRows((1,), iter([rows.sample(frac=1, random_state=1)]), None)))
+    assert len(calls) <= 6 and len(timers) == 2 and min(timers) == 3_600_000
+    list(p.handleExpiredTimer((1,), Now(), None))
+    assert len(p.few.held[1]) == 27 and timers[-1] == 41 * 3_600_000 and p.sealed.held[0] == 40
+    again = next(iter(p.handleInputRows((1,), iter([rows.tail(3)]), None)))
+    assert first.values.tolist() == again.values.tolist() and first["n_events"][0] == 67
