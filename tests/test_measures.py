@@ -161,3 +161,16 @@ def test_whitening_rounds_to_the_zero_that_sql_gives(spark):
 
     df = rollouts.whiten(spark.createDataFrame([([1.0, -1.0, -1e-8], [1, 1, 1])], "v array<double>, m array<int>"), "v", "m")
     assert list(map(repr, df.select(every("v").alias("v")).first().v)) == ["1.0", "-1.0", "-0.0"]
+
+
+def test_numbers_take_no_polynomial_products(monkeypatch):
+    """Products by a number leave monomials as they are, and plain decimals need no parser; values stay what they were."""
+    x = {(("x", 2),): 3, ((6, 1),): Fraction(1, 2)}
+    assert E.times(x, {(): 1}) == x and E.times({(): Fraction(2, 3)}, x) == {(("x", 2),): 2, ((6, 1),): Fraction(1, 3)}
+    assert E.times(x, {}) == {} and E.Value({(): 7}, {(): 2}).rational() == Fraction(7, 2)
+    with pytest.raises(E.Unreadable):
+        E.times({(): E.LARGEST}, {(): 2})
+    monkeypatch.setattr(E, "_monomial", lambda *_: 1 / 0)
+    monkeypatch.setattr(E.Parser, "__init__", (lambda init: lambda self, t: init(self, t) if "." not in t else 1 / 0)(E.Parser.__init__))
+    assert E.same_answer("\\dfrac{370368}{3 \\cdot 10^{2}}", "1234.56") and not E.same_answer("(123457) / (50 + 50)", "1234.56")
+    assert E.same_answer("0", "0.00") and E.same_answer("007", "7.0")
