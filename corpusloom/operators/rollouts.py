@@ -137,14 +137,25 @@ def collate(rows: DataFrame, batch: str, tokens: str, fill: int, side: str = "ri
 # -- masked statistics ---------------------------------------------------------------------------------
 
 
+#: Rows, then blocks, that one sum of doubles runs over where a sum over the whole table would lose digits.
+BLOCK = 256
+
+
 def masked_moments(rows: DataFrame, x: str, mask: str, group: list[str] | None = None) -> DataFrame:
-    """n, mean and variance of all tokens under the mask; Bessel's correction unless only one is there."""
+    """n, mean and variance of all tokens under the mask; Bessel's correction unless only one is there.
+
+    Without groups the sums run over blocks of rows, blocks of these and then all, as the rounding of one long sum
+    grows with the table.
+    """
     v, m = F.col(x), F.col(mask)
-    sums = rows.groupBy(*(group or [])).agg(
-        F.sum(array_sum(m)).alias("n"),
-        F.sum(masked_sum(v, m)).alias("s"),
-        F.sum(masked_sum(F.transform(v, lambda t: t * t), m)).alias("q"),
-    )
+    sums = {"n": F.sum(array_sum(m)), "s": F.sum(masked_sum(v, m)), "q": F.sum(masked_sum(F.transform(v, lambda t: t * t), m))}
+    if group:
+        sums = rows.groupBy(*group).agg(*[c.alias(k) for k, c in sums.items()])
+    else:
+        again = [F.sum(k).alias(k) for k in sums]
+        blocks = rows.select(x, mask, F.floor(F.monotonically_increasing_id() / BLOCK).alias("block"))
+        blocks = blocks.groupBy("block").agg(*[c.alias(k) for k, c in sums.items()])
+        sums = blocks.groupBy(F.floor(F.col("block") / BLOCK).alias("block")).agg(*again).agg(*again)
     mean = F.col("s") / F.col("n")
     var = F.greatest(F.col("q") / F.col("n") - mean * mean, _d(0))
     return sums.select(*(group or []), "n", mean.alias("mean"), F.when(F.col("n") > 1, var * F.col("n") / (F.col("n") - 1)).otherwise(var).alias("var"))
