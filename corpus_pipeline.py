@@ -23,8 +23,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays; five-word shingles at a Jaccard similarity of at least 0.8 link."""
-    return simhash.deduplicate_similar(docs)
+    """One document of each component stays; fingerprints within 2 bits link, and five-word shingles at a Jaccard similarity of at least 0.8."""
+    return simhash.deduplicate_near(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,10 +14,11 @@ Defined cases: a null or empty text has fingerprint zero and links like any othe
 shingle has make one shingle of the whole sequence; a null doc_id never becomes a component's id unless
 nothing else is there. Repeated rows get equal results. Other columns are ignored or carried along.
 
-`deduplicate_similar` serves the pipeline: documents link where the Jaccard similarity of their five-word
-shingles is at least 0.8. Fingerprints of such pairs differ in up to about 20 of 64 bits, a radius at which
-balls part nothing (unrelated ones differ by 32, standard deviation 4). Its candidates therefore come from
-MinHash bands, as in line_dedup, and every link is checked exactly. Texts without a word are equal.
+`deduplicate_near` serves the pipeline: documents link where fingerprints of three-word shingles differ in at most
+2 bits, by the trees, and also where the Jaccard similarity of their five-word shingles is at least 0.8. Fingerprints of
+the latter pairs differ in up to about 20 of 64 bits, a radius at which balls part nothing (unrelated ones differ
+by 32, standard deviation 4), so that they are found besides by MinHash bands, as in line_dedup, and every
+such link is checked exactly. Texts without a word are equal.
 """
 
 from __future__ import annotations
@@ -291,24 +292,43 @@ def _word_shingles(width: int) -> Callable:
     return run
 
 
-def deduplicate_similar(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The rows of docs without near-duplicates: of each component of similar texts the row with the smallest doc_id.
+def deduplicate_near(docs: DataFrame, width: int = 3, radius: int = 2, similar_width: int = 5, threshold: float = 0.8) -> DataFrame:
+    """The rows of docs without near-duplicates: of each component the row with the smallest doc_id.
 
-    Between rows with one doc_id the smaller text hash stays; of equal rows one.
+    Documents link where their fingerprints (`width` words) differ in at most `radius` bits, or where the Jaccard
+    similarity of their shingles of `similar_width` words reaches the threshold. Between rows with one doc_id the
+    smaller text hash stays; of equal rows one.
     """
-    base = docs.select("doc_id", F.xxhash64("text").alias("th"), _sequence_udf()("text").alias("words"))
-    base = stage(base, "sequences").df
+    return _deduplicate(docs, similar_width, threshold, (width, radius))
+
+
+def deduplicate_similar(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
+    """As deduplicate_near, by the Jaccard similarity alone."""
+    return _deduplicate(docs, width, threshold, None)
+
+
+def _deduplicate(docs: DataFrame, similar_width: int, threshold: float, prints: tuple[int, int] | None) -> DataFrame:
+    fp = fingerprint_udf(prints[0])("text") if prints else F.lit(0).cast("long")
+    base = stage(docs.select("doc_id", F.xxhash64("text").alias("th"), _sequence_udf()("text").alias("words"), fp.alias("fp")), "sequences").df
     me = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
-    kinds = base.groupBy("words").agg(F.min(me).alias("low"), F.count("*").alias("n"))
+    # equal sequences of words have equal fingerprints
+    kinds = base.groupBy("words").agg(F.min(me).alias("low"), F.count("*").alias("n"), F.min("fp").alias("fp"))
     # numbers in falling order of frequency (by powers of two), so that a bucket's first text is a frequent one
     rare = F.lit(63).cast("long") - F.floor(F.log2("n")).cast("long")
-    kinds = stage(kinds.select(F.shiftleft(rare, 57).bitwiseOR(F.monotonically_increasing_id()).alias("lid"), "low"), "distinct").df
+    kinds = stage(kinds.select(F.shiftleft(rare, 57).bitwiseOR(F.monotonically_increasing_id()).alias("lid"), "low", "fp"), "distinct").df
     named = kinds.select("lid", F.col("low.doc_id").alias("__cl_id"), F.col("low.th").alias("__cl_th"))
     texts = docs.select("doc_id", F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).alias("line"))
     texts = texts.join(named, texts.doc_id.eqNullSafe(named["__cl_id"]) & (texts.th == named["__cl_th"]))
     texts = stage(texts.dropDuplicates(["lid"]).select("lid", "line"), "texts").df
-    parts = similar_lines(texts, threshold, _word_shingles(width)).withColumnRenamed("node", "lid")
-    roots = kinds.join(parts, "lid", "left").select("low", F.coalesce("root", "lid").alias("root"))
+    parts = similar_lines(texts, threshold, _word_shingles(similar_width))
+    if prints:
+        fps = stage(kinds.groupBy("fp").agg(F.min("lid").alias("first")), "prints").df
+        near = fingerprint_components(fps, prints[1]).df
+        groups = fps.join(near, fps.fp == near.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+        firsts = groups.groupBy("root").agg(F.min("first").alias("v"))
+        links = kinds.join(groups.join(firsts, "root").select("fp", "v"), "fp").where("lid <> v").select(F.col("lid").alias("u"), "v")
+        parts = connected_components(links.unionByName(parts.select(F.col("node").alias("u"), F.col("root").alias("v")))).df
+    roots = kinds.join(parts.withColumnRenamed("node", "lid"), "lid", "left").select("low", F.coalesce("root", "lid").alias("root"))
     return _kept(docs, base, roots.groupBy("root").agg(F.min("low").alias("low")))
 
 

@@ -107,3 +107,21 @@ def test_near_dedup_against_all_pairs(spark):
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
     got = sorted(r["doc_id"] for r in collected(corpus_pipeline.dedup_near(spark, docs, "")))
     assert got == [i for i in range(len(texts)) if forest.find(i) == i]
+
+
+def test_near_dedup_goes_by_fingerprints_too(spark):
+    """Texts under a similarity of 0.8 whose fingerprints differ in at most 2 bits: one of each pair stays."""
+    from corpusloom.llm import simhash
+
+    rng = random.Random(5)
+    pairs = []
+    while len(pairs) < 4:
+        a = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        b = [f"v{k}" if k in (15, 40) else w for k, w in enumerate(a)]
+        x, y = (simhash.fingerprint(" ".join(t)) for t in (a, b))
+        if ((x ^ y) & (1 << 64) - 1).bit_count() <= 2:
+            pairs.append((a, b))
+    rows = [(2 * k + n, " ".join(t)) for k, p in enumerate(pairs) for n, t in enumerate(p)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert simhash.deduplicate_similar(docs).count() == len(rows)
+    assert sorted(r["doc_id"] for r in collected(corpus_pipeline.dedup_near(spark, docs, ""))) == [0, 2, 4, 6]
