@@ -9,8 +9,9 @@ import sys
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
-from pyspark.sql.functions import pandas_udf
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql.functions import arrow_udf, pandas_udf
 
 IGNORED = -100
 TOKENS = "ids array<int>, starts array<int>, ends array<int>"
@@ -56,16 +57,51 @@ def within(prompt: Column, most: int, path: str | None = None, byte_level: bool
     return short | F.coalesce(token_count(F.when(~short, prompt), path) <= most, F.lit(False))
 
 
+#: Texts whose tokens are numpy arrays at once.
+PIECE = 64
+
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, parts)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *parts]).astype(np.int32)))
+
+
 def tokens(x: Column, path: str | None = None) -> Column:
     """Struct of ids, starts and ends (in characters)."""
 
-    @pandas_udf(TOKENS)
-    def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([encode(t or "", path) for t in texts], columns=["ids", "starts", "ends"])
+    @arrow_udf(TOKENS)
+    def run(texts: pa.Array) -> pa.Array:
+        names, out = ["ids", "starts", "ends"], []
+        for at in range(0, max(1, len(texts)), PIECE):
+            parts = [encode(t or "", path) for t in texts[at : at + PIECE].to_pylist()]
+            out.append(pa.StructArray.from_arrays([_lists([p[k] for p in parts]) for k in range(3)], names))
+        return pa.concat_arrays(out)
 
     return run(x)
 
 
+def labelled(rows: DataFrame, text: str, spans: str, path: str | None = None) -> DataFrame:
+    """rows without text, with ids, starts, ends and labels of its tokens: each text is encoded once, and PIECE rows leave a task together."""
+    from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+
+    rest = [c for c in rows.columns if c != text]
+    made = [StructField(c, ArrayType(IntegerType())) for c in ("ids", "starts", "ends", "labels")]
+    schema = StructType([*(rows.schema[c] for c in rest), *made])
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, len(b), PIECE):
+                part, every = b.slice(at, PIECE), []
+                for t, own in zip(part.column(text).to_pylist(), part.column(spans).to_pylist()):
+                    ids, starts, ends = encode(t or "", path)
+                    low, high = (np.array([s[k] for s in own or []], np.int64) for k in ("start", "end"))
+                    every.append((ids, starts, ends, span_labels(ids, starts, ends, low, high)))
+                made = [_lists([e[k] for e in every]) for k in range(4)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), *made], [*rest, "ids", "starts", "ends", "labels"])
+
+    return rows.mapInArrow(run, schema)
+
+
 def span_labels(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Ids of the tokens that lie within a span, IGNORED for the others; one pass over sorted spans and tokens.
 
@@ -80,16 +116,19 @@ def span_labels(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray, low: np.n
 def labels(text: Column, spans: Column, path: str | None = None, most: int | None = None) -> Column:
     """Struct of ids and labels of the text's tokens, by spans (struct of start and end, in characters); `most` cuts both."""
 
-    @pandas_udf("ids array<int>, labels array<int>, truncated boolean")
-    def run(texts: pd.Series, marked: pd.Series) -> pd.DataFrame:
-        out = []
-        for t, own in zip(texts, marked):
-            ids, starts, ends = encode(t or "", path)
-            pairs = [] if own is None else list(own)
-            low, high = (np.array([s[k] for s in pairs], np.int64) for k in ("start", "end"))
-            said = span_labels(ids, starts, ends, low, high)
-            cut = len(ids) if most is None else most
-            out.append((ids[:cut], said[:cut], len(ids) > cut))
-        return pd.DataFrame(out, columns=["ids", "labels", "truncated"])
+    @arrow_udf("ids array<int>, labels array<int>, truncated boolean")
+    def run(texts: pa.Array, marked: pa.Array) -> pa.Array:
+        names, out = ["ids", "labels", "truncated"], []
+        for at in range(0, max(1, len(texts)), PIECE):
+            every = []
+            for t, own in zip(texts[at : at + PIECE].to_pylist(), marked[at : at + PIECE].to_pylist()):
+                ids, starts, ends = encode(t or "", path)
+                low, high = (np.array([s[k] for s in own or []], np.int64) for k in ("start", "end"))
+                said = span_labels(ids, starts, ends, low, high)
+                cut = len(ids) if most is None else most
+                every.append((ids[:cut], said[:cut], len(ids) > cut))
+            parts = [_lists([e[0] for e in every]), _lists([e[1] for e in every]), pa.array([e[2] for e in every], pa.bool_())]
+            out.append(pa.StructArray.from_arrays(parts, names))
+        return pa.concat_arrays(out)
 
     return run(text, spans)

@@ -64,8 +64,8 @@ def f27(spark, sf):
     conversations are compared, where a token covers whole characters.
     """
     rows = _rendered(spark, sf).where(F.octet_length("text") == F.char_length("text"))
-    rows = rows.select("conv_id", "spans", K.tokens(F.col("text")).alias("t"), K.labels(F.col("text"), F.col("spans"))["labels"].alias("labels"))
-    parts = F.arrays_zip(F.col("t.starts").alias("a"), F.col("t.ends").alias("b"), F.col("labels").alias("l"))
+    rows = K.labelled(rows.select("conv_id", "text", "spans"), "text", "spans")
+    parts = F.arrays_zip(F.col("starts").alias("a"), F.col("ends").alias("b"), F.col("labels").alias("l"))
     within = lambda x: F.aggregate("spans", F.lit(0), lambda n, s: n + F.greatest(F.lit(0), F.least(x["b"], s["end"]) - F.greatest(x["a"], s["start"])))
     trained = lambda x: F.when(x["l"] != K.IGNORED, x["b"] - x["a"]).otherwise(within(x))
     # an untrained token lies in no span as a whole, or the definition is broken: such a row shows as -1

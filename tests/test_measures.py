@@ -172,6 +172,19 @@ def test_moments_of_long_tables_keep_their_digits(spark):
     assert tuple(rollouts.masked_moments(rows.limit(0), "v", "m").first())[:2] == (None, None)
 
 
+def test_labelled_rows_leave_in_pieces(spark):
+    """Tokens and labels as the columns give them, null and empty texts too; no more than a piece of rows is encoded ahead."""
+    from corpusloom.functions import tokens as K
+
+    data = [(k, [None, "", "Ünï 漢 two", "plain words here"][k % 4], [(0, 5), (6, 11)] if k % 3 else None) for k in range(200)]
+    rows = spark.createDataFrame(data, "k long, text string, spans array<struct<start: int, end: int>>").coalesce(1)
+    t, own = K.tokens(F.col("text")), K.labels(F.col("text"), F.col("spans"))
+    want = rows.select("k", "spans", t["ids"], t["starts"], t["ends"], own["labels"]).collect()
+    assert [tuple(r) for r in K.labelled(rows, "text", "spans").collect()] == [tuple(r) for r in want]
+    cut = rows.select(K.labels(F.col("text"), F.col("spans"), most=2).alias("c"), t["ids"].alias("ids")).collect()
+    assert all(r.c.ids == r.ids[:2] and r.c.truncated == (len(r.ids) > 2) for r in cut)
+
+
 def test_numbers_take_no_polynomial_products(monkeypatch):
     """Products by a number leave monomials as they are, and plain decimals need no parser; values stay what they were."""
     x = {(("x", 2),): 3, ((6, 1),): Fraction(1, 2)}
