@@ -60,6 +60,7 @@ def first_of_duplicates(records: DataFrame, by: str = "norm", order: Column | No
 
 
 #: Rows of a block of sizes whose square root (of their multiple) says how many parts it is dealt to; a cell is two parts.
+#: Between two tables, the rows of a part.
 CELL = 2048
 #: Pairs that are checked together; characters of texts taken, and bytes of grams kept, at once.
 CHECKED, PORTION, KEPT = 200_000, 1 << 21, 128 << 20
@@ -108,6 +109,17 @@ def gram_sets(rows: DataFrame, id_col: str, text_col: str, size: int = 5) -> Dat
     return stage(rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, text string, n int, bits binary"), "grams").df
 
 
+def block_parts(counts: dict[tuple[int, int], int], own: bool) -> list[tuple[int, int, bool, int, int]]:
+    """(block, range, is guest, left parts, right parts) from the rows of each (range, side)."""
+    out = []
+    for b in sorted({r for r, _ in counts}):
+        n = [counts.get((b, s), 0) + counts.get((b - 1, s), 0) for s in (0, 1)]
+        lefts, rights = (max(1, math.ceil(math.sqrt(n[0] / CELL))),) * 2 if own else (math.ceil(x / CELL) for x in n)
+        if lefts and rights:
+            out += [(b, b - g, g == 1, lefts, rights) for g in (0, 1) if any((b - g, s) in counts for s in (0, 1))]
+    return out
+
+
 def similarity_join(left: DataFrame, right: DataFrame | None, threshold: float = 0.85, size: int = 5) -> DataFrame:
     """Pairs with Jaccard similarity of gram sets >= threshold: left_id, right_id, overlap, similarity (6 decimals).
 
@@ -117,6 +129,7 @@ def similarity_join(left: DataFrame, right: DataFrame | None, threshold: float =
     whose sizes allow it by the parities of their grams (a differing bit is a gram that one side lacks). The work
     is quadratic, as texts of one language share many grams, but its data are parities, an eighth of a byte or two
     for each gram, as often as there are parts (a square root). What is left is checked exactly by cells on the texts.
+    Between two tables a part of CELL left texts meets a part of CELL right ones; sizes that the other side lacks go nowhere.
     """
     own = right is None
     kinds = [left.schema["id"].dataType, (left if own else right).schema["id"].dataType]
@@ -124,13 +137,14 @@ def similarity_join(left: DataFrame, right: DataFrame | None, threshold: float =
     every = every if own else every.unionByName(right.withColumn("side", F.lit(1)))
     step = -math.log(threshold) * (1 + 1e-9) if threshold < 1 else 1.0
     rows = every.select("side", "id", "n", "bits", F.floor(F.log("n") / step).cast("int").alias("range"))
-    sizes = rows.groupBy("range").count().toArrow().to_pylist()  # ranges are few: their number is a logarithm of the longest text's
-    counts = {r["range"]: r["count"] for r in sizes}
-    dealt = [(b, b - g, g == 1, math.ceil(math.sqrt((counts[b] + counts.get(b - 1, 0)) / CELL))) for b in sorted(counts) for g in (0, 1) if b - g in counts]
-    blocks = left.sparkSession.createDataFrame(dealt, "block int, range int, guest boolean, parts int")
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    sent = rows.join(F.broadcast(blocks), "range").withColumn("part", F.pmod(F.xxhash64("side", "id"), F.col("parts")).cast("int")).withColumn("other", other)
-    sent = sent.select("block", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "guest", "side", "id", "n", "bits")
+    sizes = rows.groupBy("range", "side").count().toArrow().to_pylist()  # ranges are few: their number is a logarithm of the longest text's
+    dealt = block_parts({(r["range"], r["side"]): r["count"] for r in sizes}, own)
+    blocks = left.sparkSession.createDataFrame(dealt, "block int, range int, guest boolean, lefts int, rights int")
+    first = F.lit(True) if own else F.col("side") == 0
+    mine, others = F.when(first, F.col("lefts")).otherwise(F.col("rights")), F.when(first, F.col("rights")).otherwise(F.col("lefts"))
+    sent = rows.join(F.broadcast(blocks), "range").withColumn("part", F.pmod(F.xxhash64("side", "id"), mine).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
+    i, j = (F.least("part", "other"), F.greatest("part", "other")) if own else (F.when(first, F.col("part")).otherwise(F.col("other")), F.when(first, F.col("other")).otherwise(F.col("part")))
+    sent = sent.select("block", i.alias("i"), j.alias("j"), "part", "guest", "side", "id", "n", "bits")
     cell = ["block", "i", "j"]
     id_kind = every.schema["id"].dataType
     pair_schema = f"block int, i int, j int, left_id {id_kind.simpleString()}, right_id {id_kind.simpleString()}"
@@ -141,12 +155,12 @@ def similarity_join(left: DataFrame, right: DataFrame | None, threshold: float =
         n, part, guest, side = (t[c].to_numpy() for c in ("n", "part", "guest", "side"))
         words = max(1, (1 << max(0, math.floor(math.exp((block - 1) * step)) - 1).bit_length()) // 64)
         bits = np.stack([np.bitwise_xor.reduce(np.frombuffer(x.as_buffer(), np.uint64).reshape(-1, words), axis=0) for x in t["bits"]])
-        mine, theirs = np.flatnonzero(part == i), np.flatnonzero(part == j)
-        m, maps, g, s = n[theirs].astype(np.int64), bits[theirs], guest[theirs], side[theirs]
+        mine, theirs = (np.flatnonzero(part == i), np.flatnonzero(part == j)) if own else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        m, maps, g = n[theirs].astype(np.int64), bits[theirs], guest[theirs]
         found: list[tuple[np.ndarray, np.ndarray]] = []
         for x in mine.tolist():
             lo, hi = np.searchsorted(m, math.ceil(n[x] * threshold - 1e-6), "left"), np.searchsorted(m, math.floor(n[x] / threshold + 1e-6), "right")
-            if i == j:
+            if own and i == j:
                 lo = max(lo, np.searchsorted(theirs, x, "right"))
             for a in range(lo, hi, 2048):
                 e = min(hi, a + 2048)
@@ -154,15 +168,13 @@ def similarity_join(left: DataFrame, right: DataFrame | None, threshold: float =
                 most = both - 2 * np.ceil(both * (threshold / (1 + threshold)) - 1e-9)
                 near = np.bitwise_count(maps[a:e] ^ bits[x]).sum(axis=1, dtype=np.int64) <= most
                 near &= ~(g[a:e] & guest[x])
-                if not own:
-                    near &= s[a:e] != side[x]
                 at = theirs[a:e][near]
                 if len(at):
                     found.append((np.full(len(at), x), at))
         one, two = (np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in (0, 1))
         ids = t["id"].combine_chunks()
         p, q = ids.take(pa.array(one)), ids.take(pa.array(two))
-        turn = pc.greater(p, q) if own else pa.array(side[one] == 1)
+        turn = pc.greater(p, q) if own else pa.array(np.zeros(len(one), bool))
         same = [pa.array(np.full(len(one), k), pa.int32()) for k in (block, i, j)]
         return pa.Table.from_arrays([*same, pc.if_else(turn, q, p), pc.if_else(turn, p, q)], [*cell, "left_id", "right_id"])
 

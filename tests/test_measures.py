@@ -185,6 +185,24 @@ def test_labelled_rows_leave_in_pieces(spark):
     assert all(r.c.ids == r.ids[:2] and r.c.truncated == (len(r.ids) > 2) for r in cut)
 
 
+def test_cells_between_two_tables(spark, monkeypatch):
+    """Cells hold CELL rows of each side, however many the left has; pairs are those of all pairs, for sizes that differ by a range too."""
+    from corpusloom.operators import curation as C
+
+    parts = C.block_parts({(5, 0): 10_000_000, (5, 1): 200, (9, 0): 7}, False)
+    assert parts == [(5, 5, False, -(-10_000_000 // C.CELL), 1)]
+    monkeypatch.setattr(C, "CELL", 5)
+    rng = random.Random(8)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(60, 140))) for _ in range(12)]
+    texts = [(k, b[: len(b) - k % 9] + "".join(rng.choice("xyz") for _ in range(k % 4))) for k, b in enumerate(base * 6)]
+    sides = [texts[:60], [(k, t) for k, t in texts[60:]] + [(500 + k, b) for k, b in enumerate(base)]]
+    grams = [{k: set(C.grams_of(t).tolist()) for k, t in side} for side in sides]
+    want = {(a, b) for a, x in grams[0].items() for b, y in grams[1].items() if len(x & y) / len(x | y) >= 0.85}
+    made = [C.gram_sets(spark.createDataFrame(side, "id long, text string"), "id", "text") for side in sides]
+    got = [(r.left_id, r.right_id) for r in C.similarity_join(*made).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and 50 < len(want) < 700
+
+
 def test_numbers_take_no_polynomial_products(monkeypatch):
     """Products by a number leave monomials as they are, and plain decimals need no parser; values stay what they were."""
     x = {(("x", 2),): 3, ((6, 1),): Fraction(1, 2)}
