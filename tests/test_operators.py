@@ -341,6 +341,23 @@ def test_gram_sets_hold_no_grams(spark):
     assert ((own[:half] ^ own[half:]) == [sum(1 << b for b in range(8) if ((g.view("uint64") % (8 * half)) == 8 * k + b).sum() % 2) for k in range(half)]).all()
 
 
+def test_gram_counts_hold_neither_texts_nor_parities(spark, monkeypatch):
+    """The counts of gram_sets in portions of few bytes; f3 stages records and classes, nothing of their grams."""
+    from corpusloom.plans import curation as plans
+
+    monkeypatch.setattr(curation, "PORTION", 40)
+    texts = ["".join(random.Random(k).choice("abc ") for _ in range(k)) for k in range(70)] + [None, "é" * 9]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, t string").coalesce(1)
+    got = curation.gram_counts(rows, "i", "t")
+    assert got.columns == ["id", "n"]
+    assert {r.id: r.n for r in got.collect()} == {r.id: r.n for r in curation.gram_sets(rows, "i", "t").collect()} == {i: max(1, len({t[k : k + 5] for k in range(len(t) - 4)})) for i, t in enumerate(x or "" for x in texts)}
+    staged, stage = [], plans.stage
+    for module in (curation, plans):
+        monkeypatch.setattr(module, "stage", lambda df, name: (staged.append(name), stage(df, name))[1])
+    assert plans.f3(spark, "/root/testdata/sf0.001").count() > 200
+    assert staged == ["records", "classes"]
+
+
 def test_numbered_is_one_order_over_wide_rows_and_many_partitions(spark):
     """Ordinal and payload used together; ranges come from one sampling."""
     from corpusloom.operators.batches import numbered

@@ -77,3 +77,15 @@ def test_case_folding_takes_pieces_and_nulls(spark):
     got = [r.t for r in df.select("i", T.nfkc_casefold("t").alias("t")).orderBy("i").collect()]
     assert got == ["full ss", None, "fi"] * (T.PIECE + 1)
     assert df.where("i < 0").select(T.nfkc_casefold("t").alias("t")).collect() == []
+
+
+def test_case_folding_lets_pieces_go_as_they_are_made():
+    """No array is longer than a piece, and the second batch is not asked for before the first has left."""
+    import pyarrow as pa
+
+    asked = []
+    batches = (asked.append(k) or pa.array(["É", None] * X.PIECE) for k in range(2))
+    out = X.nfkc_casefold.func(batches)
+    first = [next(out), next(out)]
+    assert asked == [0] and [len(x) for x in first] == [X.PIECE] * 2
+    assert [x for part in [*first, *out] for x in part.to_pylist()] == ["é", None] * 2 * X.PIECE
