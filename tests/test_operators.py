@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -330,6 +331,66 @@ def test_similarity_join_against_all_pairs(spark):
     assert {(r["left_id"], r["right_id"]) for r in cross} == {(i, j) for i, j in want if i < 40 <= j}
 
 
+def near_texts(copies: int = 4) -> list[str]:
+    """Texts of 60 to 1,500 characters and copies that are cut, lengthened or changed here and there, to both sides of a similarity of 0.85."""
+    rng, texts = random.Random(5), []
+    for k in range(40):
+        base = "".join(rng.choice("abcdefgh ") for _ in range(rng.choice([60, 200, 640, 1500])))
+        texts.append(base)
+        for c in range(copies):
+            t = list(base[: len(base) - rng.randrange(1 + len(base) // 8)] if c % 2 else base + base[:1].upper() * (c * 3))
+            for _ in range(rng.randrange(1 + len(t) // 45)):
+                t[rng.randrange(len(t))] = rng.choice("xyz")
+            texts.append("".join(t))
+    return texts
+
+
+@pytest.mark.parametrize("sheet", [1 << 20, 1 << 14])
+def test_groups_of_grams_lose_no_pair(spark, monkeypatch, sheet):
+    """All blocks by groups of grams, in one cell or many, on one sheet or many, with pairs that leave before all are found: the pairs are those of all pairs."""
+    monkeypatch.setattr(curation, "FEW", 0)
+    monkeypatch.setattr(curation, "FOUND", 8)
+    monkeypatch.setattr(curation, "SHEET", sheet)
+    texts = near_texts()
+    grams = [set(curation.grams_of(t).tolist()) for t in texts]
+    alike = {(i, j): len(x & y) / len(x | y) for j, y in enumerate(grams) for i, x in enumerate(grams[:j])}
+    want = {p for p, x in alike.items() if x >= 0.85}
+    got = rows(curation.similarity_join(curation.gram_sets(spark.createDataFrame(list(enumerate(texts)), "i long, t string"), "i", "t"), None, 0.85))
+    found = [(r["left_id"], r["right_id"]) for r in got]
+    assert set(found) == want and len(found) == len(want) > 100 and sum(0.75 < x < 0.85 for x in alike.values()) > 10
+    assert all(r["overlap"] == len(grams[r["left_id"]] & grams[r["right_id"]]) for r in got)
+
+
+def test_groups_of_grams_name_few_other_pairs():
+    """Of texts of one language, groups name all pairs at the threshold and few others, so that the work does not follow all pairs."""
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefghij"), rng.integers(2, 7))) for _ in range(400)]
+    texts = [" ".join(rng.choice(words, 180)) for _ in range(300)]
+    texts += [t[: len(t) - 30] for t in texts[:50]]
+    grams = [curation.grams_of(t) for t in texts]
+    n = [len(g) for g in grams]
+    groups = 2 * max(n) * 15 // 185 // (curation.RADIUS + 1) + 1
+    keys = np.stack([curation.group_keys(g, groups) for g in grams]).reshape(len(texts), groups, curation.SUBS)
+    named = set(np.concatenate(list(curation.alike(keys))).tolist())
+    near = {i * len(texts) + 300 + i for i in range(50)}
+    assert near <= named and len(named) < 0.02 * len(texts) ** 2 / 2
+
+
+def test_blocks_of_a_large_table():
+    """Ten million texts of common sizes: sheets are bounded, and only the longest texts are held against each other, in many cells."""
+    step = -math.log(0.85)
+    sizes = {b: (200_000, math.ceil(math.exp(b * step)), math.floor(math.exp((b + 1) * step))) for b in range(30, 60)}
+    blocks = curation.own_blocks(sizes, 0.85)
+    for b, (parts, groups, each, words) in blocks.items():
+        rows_ = (400_000 if b > 30 else 200_000) * (1 if parts == 1 else 2 / parts)
+        assert rows_ * (8 * words + 2 * curation.SUBS * each) <= curation.SHEET * 1.01
+        assert 64 * words >= 64 and 64 * words <= max(64, 2 * sizes[b][1])
+        if sizes[b][2] <= curation.LONG:
+            assert (curation.RADIUS + 1) * groups > 2 * sizes[b][2] * 0.15 / 1.85
+        else:
+            assert not groups and rows_**2 * words <= 4.1 * curation.MET
+
+
 def test_gram_sets_hold_no_grams(spark):
     """A text is staged with the number of its grams and a bit or two for each, never with the grams; halves fold to smaller bitmaps."""
     text = "".join(random.Random(4).choice("abcdefgh ") for _ in range(3000))
