@@ -391,6 +391,20 @@ def test_blocks_of_a_large_table():
             assert not groups and rows_**2 * words <= 4.1 * curation.MET
 
 
+def test_near_duplicates_keep_no_second_copy_of_texts(spark):
+    """Gram sets hold the texts; records and classes have left the disk when pairs are sought, and members are joined without texts."""
+    from pathlib import Path
+
+    from corpusloom.plans import curation as plans
+    from corpusloom.scratch import shared_root
+
+    root = Path(shared_root(spark).removeprefix("file:"))
+    before = {p.name for p in root.glob("*")}
+    got = plans.j2(spark, "/root/testdata/sf0.001")
+    assert sorted({p.name.rsplit("-", 1)[0] for p in root.glob("*") if p.name not in before}) == ["candidates", "grams", "members", "similar"]
+    assert got.count() > 200 and {"norm", "text"}.isdisjoint(got.columns)
+
+
 def test_gram_sets_hold_no_grams(spark):
     """A text is staged with the number of its grams and a bit or two for each, never with the grams; halves fold to smaller bitmaps."""
     text = "".join(random.Random(4).choice("abcdefgh ") for _ in range(3000))
